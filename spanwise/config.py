@@ -114,6 +114,7 @@ NUMERIC_VARIABLES = (
     "visits_per_day",
 )
 CATEGORICAL_VARIABLES = ("sex", "age_group_start", "age_group_end")
+NUMERIC_ESTIMATES = ("median", "q25", "q75", "min", "max", "mean", "sd")
 QUANTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
 
 

@@ -34,7 +34,12 @@ def person_attributes(cdm: Cdm) -> DataFrame:
 
 
 def with_attributes(rows: DataFrame, cdm: Cdm) -> DataFrame:
-    """Rows with the sex and birth date of their person; unknown persons stay."""
+    """Rows with the sex and birth date of their person; unknown persons stay.
+
+    Rows that carry both already, like a published period table, are not joined.
+    """
+    if {"sex", "date_of_birth"} <= set(rows.columns):
+        return rows
     return rows.join(person_attributes(cdm), "person_id", "left").withColumn(
         "sex", F.coalesce("sex", F.lit("None"))
     )

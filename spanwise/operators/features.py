@@ -57,7 +57,8 @@ def records_in_periods(periods: DataFrame, cdm: Cdm) -> DataFrame:
         F.struct(F.col("start_date").alias("day"), F.lit(0).alias("turn"), F.lit(-1).alias("sign")),
         F.struct(F.col("end_date").alias("day"), F.lit(2).alias("turn"), F.lit(1).alias("sign")),
     )
-    marks = periods.select(*KEY, F.inline(bounds))
+    carried = [c for c in periods.columns if c not in KEY]
+    marks = periods.select(*KEY, *carried, F.inline(bounds))
     counted = daily_counts(cdm).withColumn("turn", F.lit(1))
     along = (
         Window.partitionBy("person_id")
@@ -67,11 +68,11 @@ def records_in_periods(periods: DataFrame, cdm: Cdm) -> DataFrame:
     running = [F.sum(n).over(along).alias(n) for n in COUNTED]
     read = (
         counted.unionByName(marks, allowMissingColumns=True)
-        .select(*KEY, "sign", *running)
+        .select(*KEY, *carried, "sign", *running)
         .filter(F.col("sign").isNotNull())
     )
     inside = [F.nullif(F.sum(F.col("sign") * F.coalesce(n, F.lit(0))), F.lit(0)).alias(n) for n in COUNTED]
-    return read.groupBy("person_id", *[c for c in KEY if c != "person_id"]).agg(*inside)
+    return read.groupBy(*KEY, *carried).agg(*inside)
 
 
 def with_next(periods: DataFrame) -> DataFrame:

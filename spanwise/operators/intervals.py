@@ -13,14 +13,16 @@ from spanwise.functions.dates import year_end, year_start
 def merge_by_gaps(
     spans: DataFrame,
     keys: Sequence[str],
-    gaps: Sequence[int],
+    gaps: Sequence[int | None],
     starts_unique: bool = False,
+    keep_max: Sequence[str] = (),
 ) -> DataFrame:
     """Eras of ``spans`` under every allowed gap: ``keys, gap, start_date, end_date``.
 
     Two spans belong to one era when the next start is at most ``gap`` days
-    after the furthest end so far; gap 0 means that they share a day. Ends must
-    not precede starts.
+    after the furthest end so far; gap 0 means that they share a day, and the
+    gap None is unbounded and gives one era per key. Ends must not precede
+    starts. The columns in ``keep_max`` come back as their maximum per key.
 
     The spans of a key are first reduced to one row per start day, so the
     window sees a bounded number of rows for any key. One ordered pass gives
@@ -34,7 +36,7 @@ def merge_by_gaps(
     daily = spans.filter(F.col("start_date").isNotNull())
     if not starts_unique:
         daily = daily.groupBy(*keys, "start_date").agg(
-            F.max("end_date").alias("end_date")
+            *[F.max(c).alias(c) for c in ("end_date", *keep_max)]
         )
     everything = Window.partitionBy(*keys)
     ordered = everything.orderBy("start_date")
@@ -43,13 +45,19 @@ def merge_by_gaps(
         daily.withColumn("reach", F.max("end_date").over(earlier))
         .withColumn("furthest", F.max("end_date").over(everything))
         .withColumn("distance", F.datediff("start_date", "reach"))
+        .withColumns({c: F.max(c).over(everything) for c in keep_max})
     )
-    allowed = F.array(*[F.lit(int(g)) for g in sorted(set(gaps))])
+    allowed = F.array(*[F.lit(g).cast("int") for g in dict.fromkeys(gaps)])
     opens = F.filter(
         allowed, lambda g: F.col("distance").isNull() | (F.col("distance") > g)
     )
     openings = reached.select(
-        *keys, "start_date", "reach", "furthest", F.explode(opens).alias("gap")
+        *keys,
+        "start_date",
+        "reach",
+        "furthest",
+        *keep_max,
+        F.explode(opens).alias("gap"),
     )
     following = Window.partitionBy(*keys, "gap").orderBy("start_date")
     return openings.select(
@@ -57,6 +65,7 @@ def merge_by_gaps(
         "gap",
         "start_date",
         F.coalesce(F.lead("reach").over(following), "furthest").alias("end_date"),
+        *keep_max,
     )
 
 

@@ -16,7 +16,7 @@ from spanwise.config import (
     mode_name,
 )
 from spanwise.functions.dates import add_years
-from spanwise.operators.demographics import person_attributes
+from spanwise.operators.demographics import person_attributes, with_attributes
 from spanwise.operators.intervals import merge_by_gaps, merge_intervals
 from spanwise.operators.records import (
     first_last,
@@ -178,34 +178,68 @@ def build_periods(
     return censor(spans, cdm, censor_date)
 
 
-def _tag(spans: DataFrame, mode: str) -> DataFrame:
-    ident = F.col("period_id") if "period_id" in spans.columns else F.lit(None)
-    return spans.select(
-        F.lit(mode).alias("mode"), *SPAN, ident.cast("long").alias("period_id")
+def record_definitions(
+    cdm: Cdm, config: StudyConfig, days: DataFrame | None = None
+) -> DataFrame:
+    """Every definition that follows from the records, from one pass over them.
+
+    The unbounded gap yields the whole span of a person next to the eras of the
+    persistence rules, and the latest raw end travels along. So the first-record
+    definitions need no reading and no shuffle of the records of their own.
+    """
+    days = record_days(records(cdm)) if days is None else days
+    rules = [(mode_name(p, s), p, p if s else 0) for p, s in PERSISTENCE_RULES]
+    rules += [("min_extract", None, 0), ("min_max", None, 0)]
+    eras = merge_by_gaps(
+        days, ["person_id"], [gap for _, gap, _ in rules], True, keep_max=["raw_end"]
+    )
+    variants = F.array(
+        *[
+            F.struct(
+                F.lit(mode).alias("mode"),
+                F.lit(gap).cast("int").alias("rule_gap"),
+                F.lit(tail).alias("tail"),
+            )
+            for mode, gap, tail in rules
+        ]
+    )
+    own = F.filter(variants, lambda v: v["rule_gap"].eqNullSafe(F.col("gap")))
+    tagged = with_attributes(eras.select("*", F.inline(own)), cdm)
+    end = (
+        F.when(
+            F.col("mode") == "min_extract",
+            add_years(F.col("date_of_birth"), F.lit(config.censor_age)),
+        )
+        .when(F.col("mode") == "min_max", F.col("raw_end"))
+        .otherwise(F.date_add("end_date", F.col("tail")))
+    )
+    spans = tagged.select(
+        "mode", "person_id", "start_date", end.alias("end_date"), "sex", "date_of_birth"
     )
+    return censor(spans, cdm, config.data_end_date)
 
 
 def all_definitions(
     cdm: Cdm, config: StudyConfig, days: DataFrame | None = None
 ) -> DataFrame:
-    """Periods of every definition in one table: ``mode, person_id, start, end, id``.
+    """Periods of every definition in one table, with the person's attributes.
 
-    ``days`` takes the person-days of all records when they are at hand as a
-    written table; the record tables are then not read again.
+    ``mode, person_id, start_date, end_date, period_id, sex, date_of_birth``;
+    only original periods have an id at this point. ``days`` takes the
+    person-days of all records when they are at hand as a written table.
     """
-    cut = config.data_end_date
-    if days is None:
-        ends, days = first_last(records(cdm)), record_days(records(cdm))
-    else:
-        ends = first_last(days, "raw_end")
-    persistence = persistence_periods(cdm, cut, days=days)
+    original = with_attributes(original_periods(cdm), cdm)
+    inpatient = with_attributes(inpatient_periods(cdm), cdm)
+    unnumbered = F.lit(None).cast("long").alias("period_id")
+    derived = record_definitions(cdm, config, days)
+    attributes = ("sex", "date_of_birth")
     return stack(
         [
-            _tag(original_periods(cdm), "original_data"),
-            _tag(first_to_extract(cdm, cut, config.censor_age, ends), "min_extract"),
-            _tag(first_to_last(cdm, cut, ends), "min_max"),
-            _tag(inpatient_periods(cdm), "impatient"),
-            persistence.withColumn("period_id", F.lit(None).cast("long")).select(*PERIOD),
+            original.select(F.lit("original_data").alias("mode"), *PERIOD[1:], *attributes),
+            inpatient.select(
+                F.lit("impatient").alias("mode"), *SPAN, unnumbered, *attributes
+            ),
+            derived.select("mode", *SPAN, unnumbered, *attributes),
         ]
     )
 

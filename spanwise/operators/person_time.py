@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanwise.config import AGE_BANDS
@@ -26,9 +26,8 @@ def in_observation(
     totals over strata are taken from a table of a few thousand rows. The
     percentages refer to all periods, or all person-days, of the mode.
     """
-    spans = with_attributes(periods.select("mode", "person_id", "start_date", "end_date"), cdm)
-    first_year = F.year("start_date")
-    yearly = split_by_year(spans.withColumn("first_year", first_year))
+    spans = with_attributes(periods, cdm).withColumn("first_year", F.year("start_date"))
+    yearly = split_by_year(spans)
     aged = with_age(yearly, "start_date", "age", "age_group", bands)
     days = days_between(F.col("start_date"), F.col("end_date"), inclusive=True)
     cells = aged.groupBy("mode", "year", *STRATA).agg(
@@ -36,23 +35,24 @@ def in_observation(
         F.sum(days).alias("person_days"),
         F.sum((F.col("year") == F.col("first_year")).cast("long")).alias("opened"),
     )
-    totals = cells.groupBy("mode").agg(
-        F.sum("opened").alias("all_records"), F.sum("person_days").alias("all_days")
+    whole = Window.partitionBy("mode")
+    cells = cells.withColumns(
+        {
+            "all_records": F.sum("opened").over(whole),
+            "all_days": F.sum("person_days").over(whole),
+        }
     )
-    cubed = (
-        cells.cube("mode", "year", *STRATA)
-        .agg(
-            F.grouping_id().alias("level"),
-            F.sum("records").alias("records"),
-            F.sum("person_days").alias("person_days"),
-        )
-        # Mode and year are never totalled: only the last two bits may be set.
-        .filter(F.col("level") < 4)
+    cell = ["mode", "year", *STRATA]
+    sets = [cell, cell[:3], [*cell[:2], cell[3]], cell[:2]]
+    totalled = cells.groupingSets(sets, *cell).agg(
+        F.sum("records").alias("records"),
+        F.sum("person_days").alias("person_days"),
+        F.max("all_records").alias("all_records"),
+        F.max("all_days").alias("all_days"),
     )
     overall = {c: F.coalesce(F.col(c), F.lit("overall")) for c in STRATA}
     return (
-        cubed.withColumns(overall)
-        .join(F.broadcast(totals), "mode")
+        totalled.withColumns(overall)
         .select(
             "mode",
             "year",

@@ -18,21 +18,71 @@ def _bucket(value: Column) -> Column:
     return F.floor(F.signum(value) * size * F.lit(FINENESS))
 
 
-def exact_quantiles(
+def _centre(bucket: Column) -> Column:
+    """The value at which a bucket begins."""
+    size = F.expm1(F.abs(bucket) / F.lit(FINENESS)) * F.lit(LINEAR_BELOW)
+    return F.signum(bucket) * size
+
+
+def numeric_estimates(
     frequencies: DataFrame, keys: Sequence[str], quantiles: Mapping[str, float]
 ) -> DataFrame:
-    """Linearly interpolated quantiles: ``keys`` and one column per name.
+    """``keys, min, max, mean, sd`` and one column per quantile name.
 
-    ``frequencies`` holds ``keys, value, n`` with each value once per key. The
-    counts are summed per bucket of nearby values. The running total over the
-    buckets, whose number is bounded by the scale, tells which bucket holds
-    each wanted rank; only the values of those buckets are ordered.
+    ``frequencies`` holds ``keys, value, n`` with each value once per key.
+    Quantiles interpolate linearly between neighbours. The values are summed
+    up per bucket of nearby values; the number of buckets is bounded by the
+    scale, so everything up to the position of each wanted rank is found on
+    that small table. Only the values of the buckets with a wanted rank are
+    put in order. Squares are taken around the bucket's own place, as sums of
+    squares far from the mean would lose digits.
     """
     keys = list(keys)
+    offset = F.col("value") - F.col("centre")
     placed = frequencies.withColumn("bucket", _bucket(F.col("value")))
-    totals = placed.groupBy(*keys, "bucket").agg(F.sum("n").alias("held"))
+    buckets = (
+        placed.withColumn("centre", _centre(F.col("bucket")))
+        .groupBy(*keys, "bucket", "centre")
+        .agg(
+            F.sum("n").alias("held"),
+            F.min("value").alias("low"),
+            F.max("value").alias("high"),
+            F.sum(F.col("n") * offset).alias("shift"),
+            F.sum(F.col("n") * offset * offset).alias("square"),
+        )
+    )
     group = Window.partitionBy(*keys)
     upto = group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    held = F.col("held")
+    weighted = held * F.col("centre") + F.col("shift")
+    summed = buckets.withColumns(
+        {
+            "reached": F.sum("held").over(upto),
+            "total": F.sum("held").over(group),
+            "mean": F.sum(weighted).over(group) / F.sum("held").over(group),
+        }
+    ).withColumn("before", F.col("reached") - held)
+    away = F.col("centre") - F.col("mean")
+    squares = F.sum(F.col("square") + 2 * away * F.col("shift") + held * away * away)
+    freedom = F.first("total") - 1
+    spread = F.sqrt(F.greatest(squares, F.lit(0.0)) / freedom)
+    moments = summed.groupBy(*keys).agg(
+        F.min("low").alias("min"),
+        F.max("high").alias("max"),
+        F.first("mean").alias("mean"),
+        F.when(freedom > 0, spread).alias("sd"),
+    )
+    found = _values_at(placed, summed, keys, quantiles)
+    return moments.join(found, keys)
+
+
+def _values_at(
+    placed: DataFrame,
+    summed: DataFrame,
+    keys: list[str],
+    quantiles: Mapping[str, float],
+) -> DataFrame:
+    """``keys`` and one column per quantile, read off the placed values."""
     positions = F.array(
         *[
             F.struct(
@@ -42,44 +92,36 @@ def exact_quantiles(
             for name, q in quantiles.items()
         ]
     )
-    ranks = F.array_distinct(
-        F.array(
-            F.floor("position").cast("long"), F.ceil("position").cast("long")
-        )
-    )
-    running = totals.select(
-        *keys,
-        "bucket",
-        F.sum("held").over(upto).alias("reached"),
-        (F.sum("held").over(upto) - F.col("held")).alias("before"),
-        F.sum("held").over(group).alias("total"),
+    neighbours = F.array_distinct(
+        F.array(F.floor("position").cast("long"), F.ceil("position").cast("long"))
     )
-    # At most two buckets per group and quantile are left.
+    rank = F.col("rank")
+    # At most two rows for each group and quantile.
     wanted = (
-        running.select("*", F.inline(positions))
-        .select("*", F.explode(ranks).alias("rank"))
-        .filter((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("reached")))
-        .select(*keys, "bucket", "before", "quantile", "position", "rank")
+        summed.select(*keys, "bucket", "before", "reached", F.inline(positions))
+        .select("*", F.explode(neighbours).alias("rank"))
+        .filter((rank >= F.col("before")) & (rank < F.col("reached")))
+        .groupBy(*keys, "bucket", "before")
+        .agg(F.collect_list(F.struct("quantile", "position", "rank")).alias("wanted"))
     )
-    within = Window.partitionBy(*keys, "bucket").orderBy("value")
-    kept = wanted.select(*keys, "bucket", "before").distinct()
-    ordered = (
-        placed.join(F.broadcast(kept), [*keys, "bucket"])
-        .withColumn(
-            "reached",
-            F.col("before")
-            + F.sum("n").over(within.rowsBetween(Window.unboundedPreceding, 0)),
-        )
-        .select(
-            *keys, "bucket", "value", "reached", (F.col("reached") - F.col("n")).alias("first")
-        )
+    within = (
+        Window.partitionBy(*keys, "bucket")
+        .orderBy("value")
+        .rowsBetween(Window.unboundedPreceding, 0)
     )
-    hits = ordered.join(F.broadcast(wanted), [*keys, "bucket"]).filter(
-        (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("reached"))
+    last = F.col("before") + F.sum("n").over(within)
+    hits = (
+        placed.join(F.broadcast(wanted), [*keys, "bucket"])
+        .withColumn("last", last)
+        .select(*keys, "value", "n", "last", F.inline("wanted"))
+        .filter((rank >= F.col("last") - F.col("n")) & (rank < F.col("last")))
     )
     low, high = F.min("value"), F.max("value")
     part = F.first("position") - F.floor(F.first("position"))
-    found = hits.groupBy(*keys, "quantile").agg((low + (high - low) * part).alias("value"))
-    return found.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("quantile") == n, F.col("value"))).alias(n) for n in quantiles]
+    between = hits.groupBy(*keys, "quantile").agg(
+        (low + (high - low) * part).alias("value")
     )
+    named = [
+        F.max(F.when(F.col("quantile") == n, F.col("value"))).alias(n) for n in quantiles
+    ]
+    return between.groupBy(*keys).agg(*named)

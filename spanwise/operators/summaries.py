@@ -7,8 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanwise.config import CATEGORICAL_VARIABLES, NUMERIC_VARIABLES, QUANTILES
-from spanwise.operators.quantiles import exact_quantiles
+from spanwise.config import (
+    CATEGORICAL_VARIABLES,
+    NUMERIC_ESTIMATES,
+    NUMERIC_VARIABLES,
+    QUANTILES,
+)
+from spanwise.operators.quantiles import numeric_estimates
 from spanwise.sources.cdm import Cdm
 
 
@@ -35,27 +40,8 @@ def numeric_summary(
 ) -> DataFrame:
     """``mode, variable, median, q25, q75, min, max, mean, sd`` of each variable."""
     keys = ["mode", "variable"]
-    frequencies = value_frequencies(rows, variables)
-    value, n = F.col("value"), F.col("n")
-    moments = frequencies.groupBy(*keys).agg(
-        F.min(value).alias("min"),
-        F.max(value).alias("max"),
-        (F.sum(value * n) / F.sum(n)).alias("mean"),
-        F.sum(n).alias("size"),
-    )
-    deviation = F.col("value") - F.col("mean")
-    # One row per mode and variable; taken around the mean to stay accurate.
-    spread = (
-        frequencies.join(F.broadcast(moments.select(*keys, "mean")), keys)
-        .groupBy(*keys)
-        .agg(F.sum(deviation * deviation * F.col("n")).alias("squares"))
-    )
-    sd = F.sqrt(F.when(F.col("size") > 1, F.col("squares") / (F.col("size") - 1)))
-    return (
-        moments.join(spread, keys)
-        .join(exact_quantiles(frequencies, keys, QUANTILES), keys)
-        .select(*keys, "median", "q25", "q75", "min", "max", "mean", sd.alias("sd"))
-    )
+    estimates = numeric_estimates(value_frequencies(rows, variables), keys, QUANTILES)
+    return estimates.select(*keys, *NUMERIC_ESTIMATES)
 
 
 def categorical_summary(
