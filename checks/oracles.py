@@ -622,10 +622,12 @@ define(
             group_name="'denominator_cohort_name &&& outcome_cohort_name'",
             group_level="'denominator_' || lower(x.sex) || '_' ||"
             " replace(x.age_group, ' ', '_') || ' &&& ' || x.outcome",
-            additional_name="'incidence_start_date &&& incidence_end_date"
-            " &&& analysis_interval'",
+            additional_name="'incidence_start_date &&& incidence_end_date' ||"
+            " CASE x.analysis_interval WHEN 'years' THEN ' &&& analysis_interval'"
+            " ELSE '' END",
             additional_level="CAST(x.opened AS VARCHAR) || ' &&& ' ||"
-            " CAST(x.closed AS VARCHAR) || ' &&& ' || x.analysis_interval",
+            " CAST(x.closed AS VARCHAR) || CASE x.analysis_interval"
+            " WHEN 'years' THEN ' &&& years' ELSE '' END",
         )
         for variable, name, kind, column in (
             ("Denominator", "denominator_count", "integer", "denominator_count"),

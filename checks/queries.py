@@ -61,8 +61,18 @@ def round_sql(*columns: str, digits: int = 6) -> str:
     return ", ".join(f"round({c}, {digits}) AS {c}" for c in columns)
 
 
+@cache
+def _bound(application: str, spark: SparkSession, folder: str):
+    return fixture_cdm(spark, folder)
+
+
+def clinical(spark: SparkSession, folder: str):
+    """The clinical tables of a folder, bound once per session."""
+    return _bound(spark.sparkContext.applicationId, spark, folder)
+
+
 def all_periods(spark, folder):
-    cdm = fixture_cdm(spark, folder)
+    cdm = clinical(spark, folder)
     return cdm, periods.all_definitions(cdm, STUDY)
 
 
@@ -71,12 +81,12 @@ def all_periods(spark, folder):
 
 @register("records_union", "SELECT * FROM recs")
 def records_union(spark, folder):
-    return records.records(fixture_cdm(spark, folder))
+    return records.records(clinical(spark, folder))
 
 
 @register("records_repaired", "SELECT * FROM repaired")
 def records_repaired(spark, folder):
-    return records.repair_ends(records.records(fixture_cdm(spark, folder)))
+    return records.repair_ends(records.records(clinical(spark, folder)))
 
 
 @register(
@@ -89,12 +99,12 @@ def records_repaired(spark, folder):
        GROUP BY r.person_id, r.start_date""",
 )
 def record_days(spark, folder):
-    return records.record_days(records.records(fixture_cdm(spark, folder)))
+    return records.record_days(records.records(clinical(spark, folder)))
 
 
 @register("first_last_record", "SELECT * FROM person_span")
 def first_last_record(spark, folder):
-    return records.first_last(records.records(fixture_cdm(spark, folder)))
+    return records.first_last(records.records(clinical(spark, folder)))
 
 
 # Period definitions --------------------------------------------------------
@@ -102,18 +112,18 @@ def first_last_record(spark, folder):
 
 @register("period_min_extract", "SELECT * FROM min_extract")
 def period_min_extract(spark, folder):
-    cdm = fixture_cdm(spark, folder)
+    cdm = clinical(spark, folder)
     return periods.first_to_extract(cdm, CUT, STUDY.censor_age)
 
 
 @register("period_min_max", "SELECT * FROM min_max")
 def period_min_max(spark, folder):
-    return periods.first_to_last(fixture_cdm(spark, folder), CUT)
+    return periods.first_to_last(clinical(spark, folder), CUT)
 
 
 @register("visit_eras", "SELECT * FROM base_eras")
 def visit_eras(spark, folder):
-    return periods.record_eras(fixture_cdm(spark, folder))
+    return periods.record_eras(clinical(spark, folder))
 
 
 def _persistence(days: int, tail: bool) -> None:
@@ -121,7 +131,7 @@ def _persistence(days: int, tail: bool) -> None:
 
     @register(name, f"SELECT * FROM {mode_name(days, tail)}")
     def one_rule(spark, folder):
-        cdm = fixture_cdm(spark, folder)
+        cdm = clinical(spark, folder)
         return periods.persistence_periods(cdm, CUT, [(days, tail)]).drop("mode")
 
 
@@ -131,12 +141,12 @@ for _days, _tail in PERSISTENCE_RULES:
 
 @register("period_inpatient", "SELECT * FROM impatient")
 def period_inpatient(spark, folder):
-    return periods.inpatient_periods(fixture_cdm(spark, folder))
+    return periods.inpatient_periods(clinical(spark, folder))
 
 
 @register("period_original", "SELECT * FROM original_data")
 def period_original(spark, folder):
-    return periods.original_periods(fixture_cdm(spark, folder))
+    return periods.original_periods(clinical(spark, folder))
 
 
 O.define(
@@ -153,7 +163,7 @@ O.define(
 @register("build_periods_general", O.censored("some_extended"))
 def build_periods_general(spark, folder):
     return periods.build_periods(
-        fixture_cdm(spark, folder),
+        clinical(spark, folder),
         CUT,
         ["visit_occurrence", "drug_exposure"],
         collapse_era=90,
@@ -171,7 +181,7 @@ O.define(
 @register("build_periods_one_era", O.censored("one_era"))
 def build_periods_one_era(spark, folder):
     return periods.build_periods(
-        fixture_cdm(spark, folder),
+        clinical(spark, folder),
         CUT,
         ["visit_occurrence", "drug_exposure"],
         collapse_era=None,
@@ -188,7 +198,7 @@ O.define(
 
 @register("build_periods_unbounded", O.censored("endless"))
 def build_periods_unbounded(spark, folder):
-    return periods.build_periods(fixture_cdm(spark, folder), CUT, censor_age=None)
+    return periods.build_periods(clinical(spark, folder), CUT, censor_age=None)
 
 
 @register("all_definitions", "SELECT * FROM all_periods")
@@ -220,7 +230,7 @@ def definition_totals(spark, folder):
 
 @register("censor_death_cut", O.censored("base_eras"))
 def censor_death_cut(spark, folder):
-    cdm = fixture_cdm(spark, folder)
+    cdm = clinical(spark, folder)
     return periods.censor(periods.record_eras(cdm), cdm, CUT)
 
 
@@ -233,7 +243,7 @@ def censor_death_cut(spark, folder):
         FROM persistence_180_surveillanceTRUE""",
 )
 def published_periods(spark, folder):
-    cdm = fixture_cdm(spark, folder)
+    cdm = clinical(spark, folder)
     return periods.number_periods(periods.persistence_periods(cdm, CUT, [(180, True)]))
 
 
@@ -305,7 +315,7 @@ def time_to_next_period(spark, folder):
         FROM visit_occurrence v JOIN attrs a ON v.person_id = a.person_id""",
 )
 def age_sex_bands(spark, folder):
-    cdm = fixture_cdm(spark, folder)
+    cdm = clinical(spark, folder)
     visits = cdm["visit_occurrence"].select("person_id", "visit_start_date")
     rows = visits.join(person_attributes(cdm), "person_id")
     rows = with_age(rows, "visit_start_date", "age", "age_group")
@@ -390,7 +400,7 @@ def periods_per_person_summary(spark, folder):
                CAST(NULL AS VARCHAR) AS cdm_version FROM snap""",
 )
 def snapshot(spark, folder):
-    return summaries.snapshot(fixture_cdm(spark, folder))
+    return summaries.snapshot(clinical(spark, folder))
 
 
 O.define(
@@ -418,12 +428,12 @@ O.define(
 )
 O.define(
     "masses",
-    """SELECT mode, at, sum(mass) AS mass FROM (
-         SELECT mode, CAST(floor(place) AS INT) AS at, 1 - (place - floor(place)) AS mass
+    """SELECT mode, slot, sum(mass) AS mass FROM (
+         SELECT mode, CAST(floor(place) AS INT) AS slot, 1 - (place - floor(place)) AS mass
          FROM placed
          UNION ALL
          SELECT mode, CAST(floor(place) AS INT) + 1, place - floor(place) FROM placed)
-       GROUP BY mode, at""",
+       GROUP BY mode, slot""",
 )
 
 
@@ -431,7 +441,7 @@ O.define(
     "density_duration",
     """SELECT s.mode, 'duration' AS variable, CAST(g.point AS INT) AS point,
               round(any_value(origin + g.point * step), 6) AS density_x,
-              round(sum(mass / size * exp(-pow((g.point - at) * step / width, 2) / 2)
+              round(sum(mass / size * exp(-pow((g.point - slot) * step / width, 2) / 2)
                     / (width * sqrt(2 * pi()))), 9) AS density_y
        FROM masses m JOIN shapes s ON m.mode = s.mode
        CROSS JOIN (SELECT unnest(range(0, 512)) AS point) g
@@ -451,12 +461,12 @@ def density_duration(spark, folder):
 
 @register("ingredient_codelist", "SELECT * FROM codelist")
 def ingredient_codelist(spark, folder):
-    return cohorts.ingredient_codelist(fixture_cdm(spark, folder), STUDY.ingredients)
+    return cohorts.ingredient_codelist(clinical(spark, folder), STUDY.ingredients)
 
 
 @register("drug_outcome_eras", "SELECT * FROM outcomes")
 def drug_outcome_eras(spark, folder):
-    return study.outcome_cohorts(fixture_cdm(spark, folder), STUDY)
+    return study.outcome_cohorts(clinical(spark, folder), STUDY)
 
 
 @register(
@@ -551,13 +561,13 @@ def comparable(rows: DataFrame) -> DataFrame:
     value = F.when(number, F.col("estimate_value").try_cast("double"))
     return rows.withColumns(
         {
-            "num": F.round(value, 5),
+            "num": F.round(value, 4),
             "txt": F.when(~number, F.col("estimate_value")),
         }
     ).drop("estimate_value")
 
 
-LONG = O.LONG.replace(" num,", " round(num, 5) AS num,")
+LONG = O.LONG.replace(" num,", " round(num, 4) AS num,")
 
 
 @register("summarised_result_long", f"SELECT {LONG} FROM long_in_obs")
@@ -604,7 +614,7 @@ def suppressed_result(spark, folder):
 
 @cache
 def _exported(application: str, spark: SparkSession, folder: str) -> str:
-    cdm = fixture_cdm(spark, folder)
+    cdm = clinical(spark, folder)
     target = f"{shared_folder(spark).rstrip('/')}/results-{abs(hash(folder))}"
     study.run_study(cdm, STUDY, target)
     return target
@@ -661,7 +671,7 @@ O.define(
 )
 SPLIT = (
     "result_id, cdm_name, variable_name, variable_level, estimate_name, estimate_type,"
-    " round(num, 5) AS num, txt, omop_table, sex, age_group, time_interval, interval"
+    " round(num, 4) AS num, txt, omop_table, sex, age_group, time_interval, interval"
 )
 
 
@@ -788,7 +798,8 @@ O.define(
               CASE s.age_group WHEN '80 to 150' THEN '80 or above'
                    WHEN '0 to 150' THEN 'overall' ELSE s.age_group END AS age_group,
               CASE s.sex WHEN 'Both' THEN 'overall' ELSE s.sex END AS sex,
-              split_part(additional_level, ' &&& ', 3) AS analysis_interval,
+              CASE WHEN additional_level LIKE '%years' THEN 'years'
+                   ELSE 'overall' END AS analysis_interval,
               CASE WHEN additional_level LIKE '%years'
                    THEN CAST(substr(additional_level, 1, 4) AS INT) END AS year,
               s.mode, estimate_name, estimate_type, num
@@ -803,7 +814,7 @@ def _prepared_incidence(spark, folder):
 
 @register(
     "relabel_incidence",
-    "SELECT * REPLACE (round(num, 5) AS num) FROM prepared_incidence",
+    "SELECT * REPLACE (round(num, 4) AS num) FROM prepared_incidence",
 )
 def relabel_incidence(spark, folder):
     return comparable(_prepared_incidence(spark, folder)).drop("txt")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import sys
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -25,22 +26,31 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 def _mean_with_cdf(count: int, probability: float) -> float:
     """The Poisson mean under which at most ``count`` events have ``probability``.
 
-    Terms further than twelve deviations below the count are smaller than any
-    double can resolve next to the rest, and are left out of the sum.
+    Newton's method inside a shrinking bracket. Terms further than twelve
+    deviations below the count are smaller than any double can resolve next to
+    the rest, and are left out of the sum.
     """
     width = 12 * math.sqrt(count + 1) + 50
     k = np.arange(max(0, math.floor(count - width)), count + 1, dtype=float)
-    steps = np.log(np.maximum(k, 1.0))
-    steps[0] = 0.0
-    log_factorial = math.lgamma(k[0] + 1) + np.cumsum(steps)
+    logs = np.log(np.maximum(k, 1.0))
+    logs[0] = 0.0
+    log_factorial = math.lgamma(k[0] + 1) + np.cumsum(logs)
     low, high = max(0.0, count - width), count + width
+    mean = float(count + 1)
     for _ in range(STEPS):
-        mean = (low + high) / 2
-        below = np.exp(k * math.log(mean) - mean - log_factorial).sum()
-        low, high = (mean, high) if below > probability else (low, mean)
-    return (low + high) / 2
+        terms = np.exp(k * math.log(mean) - mean - log_factorial)
+        excess = terms.sum() - probability
+        low, high = (mean, high) if excess > 0 else (low, mean)
+        # The sum falls with the mean by the probability of the last term.
+        step = excess / terms[-1] if terms[-1] > 0 else math.inf
+        moved = mean + step if low < mean + step < high else (low + high) / 2
+        if abs(moved - mean) <= 1e-15 * mean:
+            break
+        mean = moved
+    return float(mean)
 
 
+@lru_cache(maxsize=100_000)
 def poisson_limits(count: int, level: float = 0.95) -> tuple[float, float]:
     """Exact two-sided limits of the mean behind an observed ``count``."""
     tail = (1 - level) / 2
@@ -50,9 +60,8 @@ def poisson_limits(count: int, level: float = 0.95) -> tuple[float, float]:
 
 @F.pandas_udf(LIMITS)
 def _limits(counts: pd.Series) -> pd.DataFrame:
-    known = {int(c): poisson_limits(int(c)) for c in counts.dropna().unique()}
     missing = (math.nan, math.nan)
-    pairs = [missing if pd.isna(c) else known[int(c)] for c in counts]
+    pairs = [missing if pd.isna(c) else poisson_limits(int(c)) for c in counts]
     return pd.DataFrame(pairs, columns=["lower", "upper"])
 
 

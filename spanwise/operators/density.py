@@ -26,8 +26,7 @@ def density(
     """
     keys = list(keys)
     quartiles = {"q25": 0.25, "q75": 0.75}
-    sizes = frequencies.groupBy(*keys).agg(F.sum("n").alias("size"))
-    found = numeric_estimates(frequencies, keys, quartiles).join(sizes, keys)
+    found = numeric_estimates(frequencies, keys, quartiles)
     narrow = F.least(F.col("sd"), (F.col("q75") - F.col("q25")) / 1.34)
     spread = (
         F.when(narrow > 0, narrow)

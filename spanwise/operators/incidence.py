@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanwise.functions.dates import days_between, year_end, year_start
@@ -16,6 +16,7 @@ DAYS_PER_YEAR = 365.25
 RATE_PER = 100_000
 
 INTERVAL = ("analysis_interval", "year")
+EVENTS = "array<struct<slot: int, start_date: date, rest_end: date>>"
 STRATUM = ("mode", "sex", "age_group", *INTERVAL)
 
 
@@ -58,42 +59,72 @@ def events_and_rest(
 
 
 def _person_events(events: DataFrame, names: Sequence[str]) -> DataFrame:
-    """One row per person with the events of each outcome as a list.
+    """One row per person with all events as a list; ``slot`` numbers the outcome.
 
     Events of an outcome are apart from each other by the washout at least, so
-    the lists are bounded by the days of a lifetime.
+    a list is bounded by the days of a lifetime.
     """
-    event = F.struct("start_date", "rest_end")
-    return events.groupBy("person_id").agg(
-        *[
-            F.collect_list(F.when(F.col("outcome") == name, event)).alias(f"events_{i}")
-            for i, name in enumerate(names)
-        ]
+    slots = F.array(*[F.lit(n) for n in names])
+    slot = (F.array_position(slots, F.col("outcome")) - 1).cast("int")
+    return (
+        events.withColumn("slot", slot)
+        .filter(F.col("slot") >= 0)
+        .groupBy("person_id")
+        .agg(F.collect_list(F.struct("slot", "start_date", "rest_end")).alias("events"))
     )
 
 
-def _days_lost(events: str) -> Column:
-    """Days of the row's span on which the person rests after an event."""
+def _pieces(follow_up: DataFrame, events: DataFrame) -> DataFrame:
+    """Follow-up by year, with further rows for the rests that fall into it.
 
-    def rest(event):
-        # A missing end of the rest is skipped by ``least``: it never ends.
-        until = F.least(F.col("end_date"), event["rest_end"])
-        since = F.greatest(F.col("start_date"), F.date_add(event["start_date"], 1))
-        return F.greatest(F.lit(0), F.datediff(until, since) + 1)
-
-    summed = F.aggregate(events, F.lit(0), lambda total, event: total + rest(event))
-    return F.coalesce(summed, F.lit(0))
-
-
-def _events_started(events: str) -> Column:
-    """Number of events that start inside the row's span."""
+    Rows without a ``slot`` are the follow-up itself. The others stand for the
+    part of one event and its rest inside the follow-up: ``lost`` counts its
+    days off risk and ``started`` whether the event itself lies inside.
+    """
 
-    def started(event):
-        inside = event["start_date"].between(F.col("start_date"), F.col("end_date"))
-        return inside.cast("int")
+    def meets(event):
+        returns = event["rest_end"] >= F.col("start_date")
+        return (event["start_date"] <= F.col("end_date")) & (
+            event["rest_end"].isNull() | returns
+        )
 
-    summed = F.aggregate(events, F.lit(0), lambda total, event: total + started(event))
-    return F.coalesce(summed, F.lit(0))
+    whole = F.struct(
+        F.lit(None).cast("int").alias("slot"),
+        F.lit(None).cast("date").alias("start_date"),
+        F.lit(None).cast("date").alias("rest_end"),
+    )
+    met = F.concat(
+        F.array(whole), F.coalesce(F.filter("events", meets), F.array().cast(EVENTS))
+    )
+    attached = follow_up.join(events, "person_id", "left").select(
+        *follow_up.columns, F.inline(met).alias("slot", "event_date", "rest_end")
+    )
+    # The missing dates of the follow-up rows are skipped on both sides.
+    spans = attached.withColumns(
+        {
+            "start_date": F.greatest("start_date", "event_date"),
+            "end_date": F.least("end_date", "rest_end"),
+        }
+    )
+    day, event = F.col("start_date"), F.col("event_date")
+    off_risk = F.greatest(day, F.date_add(event, 1))
+    lost = F.greatest(days_between(off_risk, F.col("end_date"), inclusive=True), F.lit(0))
+    started = event.between(day, F.col("end_date")).cast("int")
+    length = days_between(day, F.col("end_date"), inclusive=True)
+    followed = F.col("slot").isNull()
+    return split_by_year(spans).select(
+        "person_id",
+        "mode",
+        "sex",
+        "age_group",
+        "year",
+        "slot",
+        F.when(followed, day).alias("first_day"),
+        F.when(followed, F.col("end_date")).alias("last_day"),
+        F.when(followed, length).otherwise(0).alias("days"),
+        F.when(~followed, lost).alias("lost"),
+        F.when(~followed, started).alias("started"),
+    )
 
 
 def incidence(
@@ -107,27 +138,32 @@ def incidence(
 ) -> DataFrame:
     """Counts and time at risk per mode, outcome, sex, age group and interval.
 
-    The events of a person are attached to the follow-up before it is split
-    into years, so follow-up and events meet in one join by person. The split
-    rows are reduced per person where they arise: only sums per stratum are
-    shuffled after that. All outcomes are counted along in columns of their
-    own, so their number does not multiply the rows.
+    Follow-up and events meet in one join by person, before the follow-up is
+    split into years. The time of everybody is added up once; an outcome only
+    adds rows for the rests that its events cause, so the number of outcomes
+    does not multiply the follow-up. The rows are summed per person where they
+    arise, and only sums per stratum are shuffled after that.
     """
     slots = range(len(names))
-    events = events_and_rest(outcomes, washout, repeated)
-    attached = follow_up.join(_person_events(events, names), "person_id", "left")
-    days = days_between(F.col("start_date"), F.col("end_date"), inclusive=True)
-    cells = split_by_year(attached).select(
-        "person_id",
-        "mode",
-        "sex",
-        "age_group",
-        "year",
-        F.col("start_date").alias("first_day"),
-        F.col("end_date").alias("last_day"),
-        days.alias("days"),
-        *[_days_lost(f"events_{i}").alias(f"lost_{i}") for i in slots],
-        *[_events_started(f"events_{i}").alias(f"started_{i}") for i in slots],
+    events = _person_events(events_and_rest(outcomes, washout, repeated), names)
+    own = follow_up.select(
+        "person_id", "mode", "sex", "age_group", "start_date", "end_date"
+    )
+
+    def of(slot, column):
+        return F.sum(F.when(F.col("slot") == slot, F.col(column)).otherwise(0))
+
+    person = ["person_id", "mode", "sex", "age_group"]
+    yearly = (
+        _pieces(own, events)
+        .groupBy(*person, "year")
+        .agg(
+            F.min("first_day").alias("first_day"),
+            F.max("last_day").alias("last_day"),
+            F.sum("days").alias("days"),
+            *[of(i, "lost").alias(f"lost_{i}") for i in slots],
+            *[of(i, "started").alias(f"started_{i}") for i in slots],
+        )
     )
     summed = ["days", *[f"lost_{i}" for i in slots], *[f"started_{i}" for i in slots]]
     merged = [
@@ -135,12 +171,7 @@ def incidence(
         F.max("last_day").alias("last_day"),
         *[F.sum(c).alias(c) for c in summed],
     ]
-    person = ["person_id", "mode", "sex", "age_group"]
-    per_person = (
-        _by_interval(cells.groupBy(*person, "year").agg(*merged), intervals)
-        .groupBy(*person, *INTERVAL)
-        .agg(*merged)
-    )
+    per_person = _by_interval(yearly, intervals).groupBy(*person, *INTERVAL).agg(*merged)
     at_risk = [
         F.count_if(F.col("days") > F.col(f"lost_{i}")).alias(f"persons_{i}")
         for i in slots
@@ -161,9 +192,9 @@ def incidence(
             for i, name in enumerate(names)
         ]
     )
-    yearly = F.col("analysis_interval") == "years"
-    opened = F.when(yearly, year_start(F.col("year"))).otherwise(F.col("first_day"))
-    closed = F.when(yearly, year_end(F.col("year"))).otherwise(F.col("last_day"))
+    by_year = F.col("analysis_interval") == "years"
+    opened = F.when(by_year, year_start(F.col("year"))).otherwise(F.col("first_day"))
+    closed = F.when(by_year, year_end(F.col("year"))).otherwise(F.col("last_day"))
     return totals.select(
         *STRATUM,
         opened.alias("incidence_start_date"),

@@ -27,19 +27,68 @@ def _centre(bucket: Column) -> Column:
 def numeric_estimates(
     frequencies: DataFrame, keys: Sequence[str], quantiles: Mapping[str, float]
 ) -> DataFrame:
-    """``keys, min, max, mean, sd`` and one column per quantile name.
-
-    ``frequencies`` holds ``keys, value, n`` with each value once per key.
-    Quantiles interpolate linearly between neighbours. The values are summed
-    up per bucket of nearby values; the number of buckets is bounded by the
-    scale, so everything up to the position of each wanted rank is found on
-    that small table. Only the values of the buckets with a wanted rank are
-    put in order. Squares are taken around the bucket's own place, as sums of
-    squares far from the mean would lose digits.
+    """``keys, size, min, max, mean, sd`` and one column per quantile name.
+
+    ``frequencies`` holds ``keys, value, n`` with each value once per key and
+    no NULLs. Quantiles interpolate linearly between neighbours. The values are
+    summed up per bucket of nearby values; the number of buckets is bounded by
+    the scale, so the bucket of each wanted rank is found on that small table.
+    Only the values of these buckets are put in order.
     """
     keys = list(keys)
-    offset = F.col("value") - F.col("centre")
     placed = frequencies.withColumn("bucket", _bucket(F.col("value")))
+    # One row per key, joined by the key alone: a join by bucket would push a
+    # condition on it below the frequencies, which would then be computed twice.
+    shapes = F.broadcast(_shapes(placed, keys, quantiles))
+    within = (
+        Window.partitionBy(*keys, "bucket")
+        .orderBy("value")
+        .rowsBetween(Window.unboundedPreceding, 0)
+    )
+    ordered = (
+        placed.join(shapes, keys)
+        .withColumn("before", F.try_element_at("wanted", F.col("bucket")))
+        .filter(F.col("before").isNotNull())
+        .withColumn("last", F.col("before") + F.sum("n").over(within))
+    )
+
+    def value_at(rank):
+        held = (rank >= F.col("last") - F.col("n")) & (rank < F.col("last"))
+        return F.max(F.when(held, F.col("value")))
+
+    moments = ("size", "min", "max", "mean", "sd")
+    found = ordered.groupBy(*keys).agg(
+        *[F.first(f"shape.{m}").alias(m) for m in moments],
+        *[
+            value_at(side(_position(q, F.col("shape.size")))).alias(f"{name}_{label}")
+            for name, q in quantiles.items()
+            for label, side in (("low", F.floor), ("high", F.ceil))
+        ],
+    )
+    return found.select(*keys, *moments, *[_between(n, q) for n, q in quantiles.items()])
+
+
+def _position(q: float, size: Column) -> Column:
+    """Place of a quantile among ``size`` ordered values, counted from 0."""
+    return F.lit(float(q)) * (size - 1)
+
+
+def _between(name: str, q: float) -> Column:
+    low, high = F.col(f"{name}_low"), F.col(f"{name}_high")
+    place = _position(q, F.col("size"))
+    return (low + (high - low) * (place - F.floor(place))).alias(name)
+
+
+def _shapes(
+    placed: DataFrame, keys: list[str], quantiles: Mapping[str, float]
+) -> DataFrame:
+    """``keys, shape, wanted``: the moments, and the buckets that hold a rank.
+
+    ``wanted`` maps such a bucket, at most two per quantile, to the number of
+    values before it. Squares are taken around the bucket's own place first, as
+    plain sums of squares lose digits when the mean is far from zero.
+    """
+    offset = F.col("value") - F.col("centre")
     buckets = (
         placed.withColumn("centre", _centre(F.col("bucket")))
         .groupBy(*keys, "bucket", "centre")
@@ -53,75 +102,32 @@ def numeric_estimates(
     )
     group = Window.partitionBy(*keys)
     upto = group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    held = F.col("held")
+    held, size = F.col("held"), F.col("size")
     weighted = held * F.col("centre") + F.col("shift")
-    summed = buckets.withColumns(
-        {
-            "reached": F.sum("held").over(upto),
-            "total": F.sum("held").over(group),
-            "mean": F.sum(weighted).over(group) / F.sum("held").over(group),
-        }
-    ).withColumn("before", F.col("reached") - held)
+    summed = (
+        buckets.withColumn("reached", F.sum("held").over(upto))
+        .withColumn("size", F.sum("held").over(group))
+        .withColumn("mean", F.sum(weighted).over(group) / F.col("size"))
+        .withColumn("before", F.col("reached") - held)
+    )
     away = F.col("centre") - F.col("mean")
     squares = F.sum(F.col("square") + 2 * away * F.col("shift") + held * away * away)
-    freedom = F.first("total") - 1
+    freedom = F.first("size") - 1
     spread = F.sqrt(F.greatest(squares, F.lit(0.0)) / freedom)
-    moments = summed.groupBy(*keys).agg(
-        F.min("low").alias("min"),
-        F.max("high").alias("max"),
-        F.first("mean").alias("mean"),
-        F.when(freedom > 0, spread).alias("sd"),
-    )
-    found = _values_at(placed, summed, keys, quantiles)
-    return moments.join(found, keys)
-
-
-def _values_at(
-    placed: DataFrame,
-    summed: DataFrame,
-    keys: list[str],
-    quantiles: Mapping[str, float],
-) -> DataFrame:
-    """``keys`` and one column per quantile, read off the placed values."""
-    positions = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("quantile"),
-                (F.lit(float(q)) * (F.col("total") - 1)).alias("position"),
-            )
-            for name, q in quantiles.items()
-        ]
-    )
-    neighbours = F.array_distinct(
-        F.array(F.floor("position").cast("long"), F.ceil("position").cast("long"))
-    )
-    rank = F.col("rank")
-    # At most two rows for each group and quantile.
-    wanted = (
-        summed.select(*keys, "bucket", "before", "reached", F.inline(positions))
-        .select("*", F.explode(neighbours).alias("rank"))
-        .filter((rank >= F.col("before")) & (rank < F.col("reached")))
-        .groupBy(*keys, "bucket", "before")
-        .agg(F.collect_list(F.struct("quantile", "position", "rank")).alias("wanted"))
-    )
-    within = (
-        Window.partitionBy(*keys, "bucket")
-        .orderBy("value")
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    last = F.col("before") + F.sum("n").over(within)
-    hits = (
-        placed.join(F.broadcast(wanted), [*keys, "bucket"])
-        .withColumn("last", last)
-        .select(*keys, "value", "n", "last", F.inline("wanted"))
-        .filter((rank >= F.col("last") - F.col("n")) & (rank < F.col("last")))
-    )
-    low, high = F.min("value"), F.max("value")
-    part = F.first("position") - F.floor(F.first("position"))
-    between = hits.groupBy(*keys, "quantile").agg(
-        (low + (high - low) * part).alias("value")
-    )
-    named = [
-        F.max(F.when(F.col("quantile") == n, F.col("value"))).alias(n) for n in quantiles
+    ranks = [
+        side(_position(q, size)) for q in quantiles.values() for side in (F.floor, F.ceil)
     ]
-    return between.groupBy(*keys).agg(*named)
+    holds = F.lit(False)
+    for rank in ranks:
+        holds = holds | ((rank >= F.col("before")) & (rank < F.col("reached")))
+    entry = F.when(holds, F.struct("bucket", "before"))
+    return summed.groupBy(*keys).agg(
+        F.struct(
+            F.first("size").alias("size"),
+            F.min("low").alias("min"),
+            F.max("high").alias("max"),
+            F.first("mean").alias("mean"),
+            F.when(freedom > 0, spread).alias("sd"),
+        ).alias("shape"),
+        F.map_from_entries(F.collect_list(entry)).alias("wanted"),
+    )

@@ -29,7 +29,7 @@ def value_frequencies(
     )
     return (
         rows.select("mode", F.inline(values))
-        .filter(F.col("value").isNotNull())
+        .filter(F.col("value").isNotNull() & F.col("mode").isNotNull())
         .groupBy("mode", "variable", "value")
         .agg(F.count("*").alias("n"))
     )

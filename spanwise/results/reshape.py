@@ -126,6 +126,14 @@ def format_values(rows: DataFrame, decimals: Mapping[str, int]) -> DataFrame:
     return rows.withColumn("estimate_value", text)
 
 
+def _usable(names):
+    return lambda e: e["estimate_name"].isin(names) & e["estimate_value"].isNotNull()
+
+
+def _not_named(names):
+    return lambda e: ~e["estimate_name"].isin(names)
+
+
 def format_names(rows: DataFrame, templates: Mapping[str, str]) -> DataFrame:
     """Fill templates such as ``<count> (<percentage>%)`` from the estimates.
 
@@ -140,11 +148,7 @@ def format_names(rows: DataFrame, templates: Mapping[str, str]) -> DataFrame:
     filled = []
     for label, template in templates.items():
         wanted = list(dict.fromkeys(re.findall(r"<([^<>]+)>", template)))
-        usable = F.filter(
-            "left_over",
-            lambda e, w=wanted: e["estimate_name"].isin(w)
-            & e["estimate_value"].isNotNull(),
-        )
+        usable = F.filter("left_over", _usable(wanted))
         complete = F.size(usable) == len(wanted)
         values = F.map_from_entries(
             F.transform(usable, lambda e: F.struct(e["estimate_name"], e["estimate_value"]))
@@ -171,7 +175,7 @@ def format_names(rows: DataFrame, templates: Mapping[str, str]) -> DataFrame:
             "left_over",
             F.when(
                 complete,
-                F.filter("left_over", lambda e, w=wanted: ~e["estimate_name"].isin(w)),
+                F.filter("left_over", _not_named(wanted)),
             ).otherwise(F.col("left_over")),
         )
         filled.append(F.col(column))
