@@ -37,8 +37,10 @@ def numeric_estimates(
     """
     keys = list(keys)
     placed = frequencies.withColumn("bucket", _bucket(F.col("value")))
-    # One row per key, joined by the key alone: a join by bucket would push a
-    # condition on it below the frequencies, which would then be computed twice.
+    # One row per key, joined by the key alone, and the look-up never NULL: a
+    # condition on the bucket would be pushed below the frequencies, and they
+    # would be computed once with it and once without.
+    before = F.coalesce(F.try_element_at("wanted", F.col("bucket")), F.lit(-1))
     shapes = F.broadcast(_shapes(placed, keys, quantiles))
     within = (
         Window.partitionBy(*keys, "bucket")
@@ -47,8 +49,8 @@ def numeric_estimates(
     )
     ordered = (
         placed.join(shapes, keys)
-        .withColumn("before", F.try_element_at("wanted", F.col("bucket")))
-        .filter(F.col("before").isNotNull())
+        .withColumn("before", before)
+        .filter(F.col("before") >= 0)
         .withColumn("last", F.col("before") + F.sum("n").over(within))
     )
 
