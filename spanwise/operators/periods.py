@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanwise.config import (
@@ -36,21 +36,25 @@ def first_deaths(cdm: Cdm) -> DataFrame:
     return cdm.dates("death").groupBy("person_id").agg(F.min("start_date").alias("died"))
 
 
-def censor(spans: DataFrame, cdm: Cdm, data_end_date: dt.date) -> DataFrame:
+def censor(
+    spans: DataFrame, cdm: Cdm, data_end_date: dt.date, only: Column | None = None
+) -> DataFrame:
     """End spans at the first death and at the data cut; drop what is left empty.
 
-    A missing end stays missing through both steps and is then dropped, hence
-    the second ``when`` in place of ``otherwise``.
+    ``only`` limits this to the rows that meet a condition. A missing end stays
+    missing through both steps and is then dropped, hence the second ``when`` in
+    place of ``otherwise``.
     """
+    concerned = F.lit(True) if only is None else only
     end, cut = F.col("end_date"), F.lit(data_end_date)
-    at_death = F.when(F.col("died") <= end, F.col("died")).otherwise(end)
-    at_cut = F.when(end <= cut, end).when(end > cut, cut)
+    at_death = F.when(concerned & (F.col("died") <= end), F.col("died")).otherwise(end)
+    at_cut = F.when(~concerned | (end <= cut), end).when(end > cut, cut)
     return (
         spans.join(first_deaths(cdm), "person_id", "left")
         .withColumn("end_date", at_death)
         .drop("died")
         .withColumn("end_date", at_cut)
-        .filter(F.col("start_date") <= F.col("end_date"))
+        .filter(~concerned | (F.col("start_date") <= F.col("end_date")))
     )
 
 
@@ -178,16 +182,16 @@ def build_periods(
     return censor(spans, cdm, censor_date)
 
 
-def record_definitions(
-    cdm: Cdm, config: StudyConfig, days: DataFrame | None = None
-) -> DataFrame:
-    """Every definition that follows from the records, from one pass over them.
+UNCENSORED = ("original_data", "impatient")
+
+
+def _record_spans(days: DataFrame) -> DataFrame:
+    """Spans of every definition that follows from the records, from one pass.
 
     The unbounded gap yields the whole span of a person next to the eras of the
     persistence rules, and the latest raw end travels along. So the first-record
     definitions need no reading and no shuffle of the records of their own.
     """
-    days = record_days(records(cdm)) if days is None else days
     rules = [(mode_name(p, s), p, p if s else 0) for p, s in PERSISTENCE_RULES]
     rules += [("min_extract", None, 0), ("min_max", None, 0)]
     eras = merge_by_gaps(
@@ -204,19 +208,12 @@ def record_definitions(
         ]
     )
     own = F.filter(variants, lambda v: v["rule_gap"].eqNullSafe(F.col("gap")))
-    tagged = with_attributes(eras.select("*", F.inline(own)), cdm)
-    end = (
-        F.when(
-            F.col("mode") == "min_extract",
-            add_years(F.col("date_of_birth"), F.lit(config.censor_age)),
-        )
-        .when(F.col("mode") == "min_max", F.col("raw_end"))
-        .otherwise(F.date_add("end_date", F.col("tail")))
+    end = F.when(F.col("mode") == "min_max", F.col("raw_end")).otherwise(
+        F.date_add("end_date", F.col("tail"))
     )
-    spans = tagged.select(
-        "mode", "person_id", "start_date", end.alias("end_date"), "sex", "date_of_birth"
+    return eras.select("*", F.inline(own)).select(
+        "mode", "person_id", "start_date", end.alias("end_date")
     )
-    return censor(spans, cdm, config.data_end_date)
 
 
 def all_definitions(
@@ -226,22 +223,31 @@ def all_definitions(
 
     ``mode, person_id, start_date, end_date, period_id, sex, date_of_birth``;
     only original periods have an id at this point. ``days`` takes the
-    person-days of all records when they are at hand as a written table.
+    person-days of all records when they are at hand as a written table. All
+    branches are partitioned by person, so that attributes and deaths are
+    joined to the whole at once without a further shuffle of the periods.
     """
-    original = with_attributes(original_periods(cdm), cdm)
-    inpatient = with_attributes(inpatient_periods(cdm), cdm)
+    days = record_days(records(cdm)) if days is None else days
     unnumbered = F.lit(None).cast("long").alias("period_id")
-    derived = record_definitions(cdm, config, days)
-    attributes = ("sex", "date_of_birth")
-    return stack(
+    original = original_periods(cdm).repartition("person_id")
+    spans = stack(
         [
-            original.select(F.lit("original_data").alias("mode"), *PERIOD[1:], *attributes),
-            inpatient.select(
-                F.lit("impatient").alias("mode"), *SPAN, unnumbered, *attributes
+            original.select(F.lit("original_data").alias("mode"), *SPAN, "period_id"),
+            inpatient_periods(cdm).select(
+                F.lit("impatient").alias("mode"), *SPAN, unnumbered
             ),
-            derived.select("mode", *SPAN, unnumbered, *attributes),
+            _record_spans(days).select("mode", *SPAN, unnumbered),
         ]
     )
+    outgrown = add_years(F.col("date_of_birth"), F.lit(config.censor_age))
+    end = F.when(F.col("mode") == "min_extract", outgrown).otherwise(F.col("end_date"))
+    censored = censor(
+        with_attributes(spans, cdm).withColumn("end_date", end),
+        cdm,
+        config.data_end_date,
+        only=~F.col("mode").isin(*UNCENSORED),
+    )
+    return censored.select(*PERIOD, "sex", "date_of_birth")
 
 
 # A prime, so that regularly spaced person ids still spread over all buckets.
