@@ -31,14 +31,14 @@ def shared_folder(spark: SparkSession) -> str:
     A machine-local folder is only ever chosen in local mode; on a cluster the
     setting must be there, as executors on other machines write to it.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder:
         return folder
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="spanwise-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="spanwise-"))
+    return context.getCheckpointDir()
 
 
 def materialise(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
