@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 from functools import cache
 
@@ -206,6 +207,24 @@ def all_definitions(spark, folder):
     return all_periods(spark, folder)[1].drop("sex", "date_of_birth")
 
 
+O.define(
+    "all_censored",
+    O.union(
+        f"SELECT '{m}' AS mode, * FROM ({O.censored(m)})"
+        if m in periods.UNCENSORED
+        else f"SELECT '{m}' AS mode, person_id, start_date, end_date FROM {m}"
+        for m in MODE_LABELS
+    ),
+)
+
+
+@register("all_definitions_censored", "SELECT * FROM all_censored")
+def all_definitions_censored(spark, folder):
+    config = dataclasses.replace(STUDY, censor_all=True)
+    spans = periods.all_definitions(clinical(spark, folder), config)
+    return spans.select("mode", *periods.SPAN)
+
+
 @register(
     "definition_totals",
     """SELECT mode, count(*) AS periods, count(DISTINCT person_id) AS persons,
@@ -1151,6 +1170,27 @@ def filter_result(spark, folder):
     return comparable(result.rows)
 
 
+@register("default_outcome", "SELECT min(outcome) AS outcome FROM prepared_incidence")
+def default_outcome(spark, folder):
+    return selection.first_value(_prepared_incidence(spark, folder), "outcome")
+
+
+@register(
+    "per_thousand",
+    """SELECT s.mode, variable_name, estimate_name,
+              round(CASE WHEN variable_name LIKE '%per_day' THEN num * 1000
+                         ELSE num END, 4) AS num
+       FROM safe_tables r JOIN sets s ON r.result_id = s.result_id
+       WHERE estimate_type = 'numeric' AND num IS NOT NULL""",
+)
+def per_thousand(spark, folder):
+    result = of_type(spark, folder, "summarise_table")
+    rows = prepare.per_thousand(result.rows.filter("estimate_type = 'numeric'"))
+    rows = comparable(reshape.add_settings(rows, result.settings, ["mode"]))
+    kept = rows.filter(F.col("num").isNotNull())
+    return kept.select("mode", "variable_name", "estimate_name", "num")
+
+
 @register(
     "subset_panels",
     """SELECT CASE WHEN result_id <= 14 THEN 'first' ELSE 'last' END AS panel,
@@ -1231,6 +1271,20 @@ def result_overview(spark, folder):
     return overview.overview(imported(spark, folder), panels=len(prepare.PANELS))
 
 
+@register(
+    "overview_text",
+    """SELECT CAST(unnest([0, 1, 2]) AS INT) AS line, unnest([
+         format('Results contain {:,} rows with {:,} different result_id.', count(*),
+                (SELECT count(*) FROM sets)),
+         'Results contain 4 panels with 4 different result_type.',
+         'Results contain data from ' || count(DISTINCT cdm_name)
+           || ' different cdm objects: ' || min(cdm_name) || '.']) AS message
+       FROM safe_all""",
+)
+def overview_text(spark, folder):
+    return overview.overview_text(imported(spark, folder), panels=len(prepare.PANELS))
+
+
 @register(
     "prepared_bundle",
     """SELECT 'snapshot' AS panel, count(*) AS panel_rows FROM long_snapshot

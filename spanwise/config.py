@@ -130,6 +130,7 @@ class StudyConfig:
     data_end_date: dt.date
     cdm_name: str = "cdm"
     censor_age: int = 150
+    censor_all: bool = False
     min_cell_count: int = 5
     study_start: dt.date | None = dt.date(2012, 1, 1)
     study_end: dt.date | None = None

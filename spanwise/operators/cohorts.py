@@ -14,6 +14,7 @@ from spanwise.operators.demographics import with_attributes
 from spanwise.operators.intervals import merge_intervals
 from spanwise.operators.periods import original_periods
 from spanwise.operators.records import repair_ends
+from spanwise.session import broadcast_if_small
 from spanwise.sources.cdm import Cdm
 
 
@@ -42,13 +43,16 @@ def drug_outcomes(cdm: Cdm, codelist: DataFrame, gap_era: int = 1) -> DataFrame:
 
     Exposures count when they start inside an original period. They are reduced
     to one row per person and day before any of them is compared with a period.
-    The codelist is joined without a hint: its size depends on the vocabulary,
-    so the planner decides on a broadcast by the size it measures.
+    The codelist is counted before it is broadcast, as its size depends on the
+    vocabulary and shuffling all exposures to meet a short list would be waste.
     """
     start, end = cdm.date_fields["drug_exposure"]
     exposures = (
         cdm["drug_exposure"]
-        .join(codelist, F.col("drug_concept_id") == F.col("concept_id"))
+        .join(
+            broadcast_if_small(codelist),
+            F.col("drug_concept_id") == F.col("concept_id"),
+        )
         .select(
             F.col("codelist_name").alias("outcome"),
             "person_id",

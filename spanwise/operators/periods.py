@@ -222,8 +222,9 @@ def all_definitions(
     """Periods of every definition in one table, with the person's attributes.
 
     ``mode, person_id, start_date, end_date, period_id, sex, date_of_birth``;
-    only original periods have an id at this point. ``days`` takes the
-    person-days of all records when they are at hand as a written table. All
+    only original periods have an id at this point. Original and inpatient
+    periods are left as they are unless the study censors all. ``days`` takes
+    the person-days of all records when they are at hand as a written table. All
     branches are partitioned by person, so that attributes and deaths are
     joined to the whole at once without a further shuffle of the periods.
     """
@@ -241,11 +242,12 @@ def all_definitions(
     )
     outgrown = add_years(F.col("date_of_birth"), F.lit(config.censor_age))
     end = F.when(F.col("mode") == "min_extract", outgrown).otherwise(F.col("end_date"))
+    derived = None if config.censor_all else ~F.col("mode").isin(*UNCENSORED)
     censored = censor(
         with_attributes(spans, cdm).withColumn("end_date", end),
         cdm,
         config.data_end_date,
-        only=~F.col("mode").isin(*UNCENSORED),
+        only=derived,
     )
     return censored.select(*PERIOD, "sex", "date_of_birth")
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -54,3 +55,13 @@ def materialise(df: DataFrame, name: str, partition_by: str | None = None) -> Da
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """``df`` marked for broadcast when it has at most ``most`` rows.
+
+    The rows are counted first, up to the limit and no further. A larger table
+    is returned as it is and joined by a shuffle, with the same result.
+    """
+    few = df.limit(most + 1).count() <= most
+    return F.broadcast(df) if few else df

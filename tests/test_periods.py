@@ -9,6 +9,7 @@ from spanwise.config import StudyConfig
 from spanwise.functions.dates import add_years, age_at, age_band
 from spanwise.operators import periods as P
 from spanwise.plans.study import publish_periods
+from spanwise.sources.cdm import Cdm
 from spanwise.sources.fixtures import STUDY, fixture_cdm
 
 CUT = dt.date(2024, 1, 20)
@@ -150,3 +151,16 @@ def test_bad_arguments(make_cdm, spark):
         P.build_periods(make_cdm(), CUT, ["unknown_table"])
     with pytest.raises(ValueError):
         make_cdm().from_tables(spark, {})
+
+
+def test_binding_from_folders(spark, make_cdm, tmp_path):
+    cdm = make_cdm(measurement=[(1, day("2000-03-01"))])
+    for name, table in cdm.tables.items():
+        table.write.parquet(str(tmp_path / f"{name}.parquet"))
+    bound = Cdm.from_parquet(spark, str(tmp_path), name="files")
+    assert rows_of(bound["measurement"]) == [(1, day("2000-03-01"))]
+    assert "cdm_source" not in bound and "concept" in bound
+    with pytest.raises(ValueError, match="missing tables"):
+        Cdm.from_parquet(spark, str(tmp_path / "nowhere"))
+    with pytest.raises(KeyError):
+        bound["unknown"]
