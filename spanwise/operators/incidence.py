@@ -15,23 +15,7 @@ from spanwise.operators.intervals import merge_intervals, split_by_year
 DAYS_PER_YEAR = 365.25
 RATE_PER = 100_000
 
-INTERVAL = ("analysis_interval", "year")
-EVENTS = "array<struct<slot: int, start_date: date, rest_end: date>>"
-STRATUM = ("mode", "sex", "age_group", *INTERVAL)
-
-
-def _by_interval(rows: DataFrame, intervals: Sequence[str]) -> DataFrame:
-    """Yearly rows, and the same rows again for the interval ``overall``."""
-    kinds = {
-        "years": F.struct(F.lit("years").alias("analysis_interval"), "year"),
-        "overall": F.struct(
-            F.lit("overall").alias("analysis_interval"),
-            F.lit(None).cast("int").alias("year"),
-        ),
-    }
-    others = [c for c in rows.columns if c != "year"]
-    chosen = F.array(*[kinds[i] for i in intervals])
-    return rows.select(*others, F.inline(chosen).alias(*INTERVAL))
+STRATUM = ("mode", "sex", "age_group", "year")
 
 
 def events_and_rest(
@@ -58,61 +42,59 @@ def events_and_rest(
     )
 
 
+# The entry of a person's list that stands for the follow-up itself.
+FOLLOWED = "named_struct('slot', CAST(NULL AS INT), 'event_date', CAST(NULL AS DATE)," \
+    " 'rest_end', CAST(NULL AS DATE))"
+
+
 def _person_events(events: DataFrame, names: Sequence[str]) -> DataFrame:
     """One row per person with all events as a list; ``slot`` numbers the outcome.
 
     Events of an outcome are apart from each other by the washout at least, so
-    a list is bounded by the days of a lifetime.
+    a list is bounded by the days of a lifetime. It ends with an entry without
+    a slot, for the follow-up itself.
     """
     slots = F.array(*[F.lit(n) for n in names])
     slot = (F.array_position(slots, F.col("outcome")) - 1).cast("int")
+    entry = F.struct("slot", F.col("start_date").alias("event_date"), "rest_end")
+    listed = F.array_append(F.collect_list(entry), F.expr(FOLLOWED))
     return (
         events.withColumn("slot", slot)
         .filter(F.col("slot") >= 0)
         .groupBy("person_id")
-        .agg(F.collect_list(F.struct("slot", "start_date", "rest_end")).alias("events"))
+        .agg(listed.alias("events"))
     )
 
 
 def _pieces(follow_up: DataFrame, events: DataFrame) -> DataFrame:
-    """Follow-up by year, with further rows for the rests that fall into it.
+    """Follow-up by year and as a whole, with rows for the rests inside it.
 
     Rows without a ``slot`` are the follow-up itself. The others stand for the
     part of one event and its rest inside the follow-up: ``lost`` counts its
     days off risk and ``started`` whether the event itself lies inside.
     """
-
-    def meets(event):
-        returns = event["rest_end"] >= F.col("start_date")
-        return (event["start_date"] <= F.col("end_date")) & (
-            event["rest_end"].isNull() | returns
+    listed = F.coalesce("events", F.array(F.expr(FOLLOWED)))
+    event = F.col("event_date")
+    followed = F.col("slot").isNull()
+    returns = F.col("rest_end").isNull() | (F.col("rest_end") >= F.col("start_date"))
+    spans = (
+        follow_up.join(events, "person_id", "left")
+        .select(*follow_up.columns, F.inline(listed))
+        .filter(followed | ((event <= F.col("end_date")) & returns))
+        # The missing dates of the follow-up rows are skipped on both sides.
+        .withColumns(
+            {
+                "start_date": F.greatest("start_date", "event_date"),
+                "end_date": F.least("end_date", "rest_end"),
+            }
         )
-
-    whole = F.struct(
-        F.lit(None).cast("int").alias("slot"),
-        F.lit(None).cast("date").alias("start_date"),
-        F.lit(None).cast("date").alias("rest_end"),
-    )
-    met = F.concat(
-        F.array(whole), F.coalesce(F.filter("events", meets), F.array().cast(EVENTS))
     )
-    attached = follow_up.join(events, "person_id", "left").select(
-        *follow_up.columns, F.inline(met).alias("slot", "event_date", "rest_end")
-    )
-    # The missing dates of the follow-up rows are skipped on both sides.
-    spans = attached.withColumns(
-        {
-            "start_date": F.greatest("start_date", "event_date"),
-            "end_date": F.least("end_date", "rest_end"),
-        }
-    )
-    day, event = F.col("start_date"), F.col("event_date")
+    day = F.col("start_date")
     off_risk = F.greatest(day, F.date_add(event, 1))
     lost = F.greatest(days_between(off_risk, F.col("end_date"), inclusive=True), F.lit(0))
     started = event.between(day, F.col("end_date")).cast("int")
     length = days_between(day, F.col("end_date"), inclusive=True)
-    followed = F.col("slot").isNull()
-    return split_by_year(spans).select(
+    return split_by_year(spans, and_whole=True).select(
         "person_id",
         "mode",
         "sex",
@@ -142,7 +124,8 @@ def incidence(
     split into years. The time of everybody is added up once; an outcome only
     adds rows for the rests that its events cause, so the number of outcomes
     does not multiply the follow-up. The rows are summed per person where they
-    arise, and only sums per stratum are shuffled after that.
+    arise, and only sums per stratum are shuffled after that. The interval
+    ``overall`` has no year.
     """
     slots = range(len(names))
     events = _person_events(events_and_rest(outcomes, washout, repeated), names)
@@ -153,10 +136,10 @@ def incidence(
     def of(slot, column):
         return F.sum(F.when(F.col("slot") == slot, F.col(column)).otherwise(0))
 
-    person = ["person_id", "mode", "sex", "age_group"]
-    yearly = (
+    person = ["person_id", "mode", "sex", "age_group", "year"]
+    per_person = (
         _pieces(own, events)
-        .groupBy(*person, "year")
+        .groupBy(*person)
         .agg(
             F.min("first_day").alias("first_day"),
             F.max("last_day").alias("last_day"),
@@ -171,7 +154,6 @@ def incidence(
         F.max("last_day").alias("last_day"),
         *[F.sum(c).alias(c) for c in summed],
     ]
-    per_person = _by_interval(yearly, intervals).groupBy(*person, *INTERVAL).agg(*merged)
     at_risk = [
         F.count_if(F.col("days") > F.col(f"lost_{i}")).alias(f"persons_{i}")
         for i in slots
@@ -181,6 +163,8 @@ def incidence(
     totals = in_each_sex(strata).groupBy(*STRATUM).agg(*merged, *persons)
     if complete_intervals:
         totals = _complete_years(totals)
+    interval = F.when(F.col("year").isNull(), "overall").otherwise("years")
+    totals = totals.withColumn("analysis_interval", interval)
     outcome = F.array(
         *[
             F.struct(
@@ -192,11 +176,11 @@ def incidence(
             for i, name in enumerate(names)
         ]
     )
-    by_year = F.col("analysis_interval") == "years"
-    opened = F.when(by_year, year_start(F.col("year"))).otherwise(F.col("first_day"))
-    closed = F.when(by_year, year_end(F.col("year"))).otherwise(F.col("last_day"))
-    return totals.select(
+    opened = F.coalesce(year_start(F.col("year")), "first_day")
+    closed = F.coalesce(year_end(F.col("year")), "last_day")
+    return totals.filter(F.col("analysis_interval").isin(list(intervals))).select(
         *STRATUM,
+        "analysis_interval",
         opened.alias("incidence_start_date"),
         closed.alias("incidence_end_date"),
         F.inline(outcome),
@@ -212,7 +196,7 @@ def _complete_years(totals: DataFrame) -> DataFrame:
     return (
         totals.withColumn("opens", F.min("first_day").over(mode))
         .withColumn("closes", F.max("last_day").over(mode))
-        .filter((F.col("analysis_interval") == "overall") | inside)
+        .filter(F.col("year").isNull() | inside)
         .drop("opens", "closes")
     )
 

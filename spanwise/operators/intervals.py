@@ -86,10 +86,16 @@ def clip(
     )
 
 
-def split_by_year(spans: DataFrame) -> DataFrame:
-    """One row for each span and calendar year it touches, clipped to the year."""
+def split_by_year(spans: DataFrame, and_whole: bool = False) -> DataFrame:
+    """One row for each span and calendar year it touches, clipped to the year.
+
+    With ``and_whole`` the span itself is one more row, without a year.
+    """
     years = F.sequence(F.year("start_date"), F.year("end_date"))
+    if and_whole:
+        years = F.array_append(years, F.lit(None).cast("int"))
     year = F.col("year")
+    # Without a year the limits are missing and do not clip.
     start, end = clip(
         F.col("start_date"), F.col("end_date"), year_start(year), year_end(year)
     )
