@@ -211,7 +211,7 @@ O.define(
     "all_censored",
     O.union(
         f"SELECT '{m}' AS mode, * FROM ({O.censored(m)})"
-        if m in periods.UNCENSORED
+        if m in ("original_data", "impatient")
         else f"SELECT '{m}' AS mode, person_id, start_date, end_date FROM {m}"
         for m in MODE_LABELS
     ),

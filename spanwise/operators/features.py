@@ -44,35 +44,130 @@ def daily_counts(cdm: Cdm) -> DataFrame:
     )
 
 
-def records_in_periods(periods: DataFrame, cdm: Cdm) -> DataFrame:
-    """Periods with the number of records that start inside; NULL where none.
+def _count_along_bounds(periods: DataFrame, cdm: Cdm) -> DataFrame:
+    """Counts for derived periods, of which a person has few: one sort per person.
 
-    Records and periods of a person are not joined. A period's bounds are put
-    among the person's record days; a running count along the days is read at
-    both bounds, and the difference is the number inside. The work is one sort
-    per person, however many periods and records meet, and serves all modes,
-    overlapping periods included.
+    Period bounds are put among the person's record days; a running count is
+    read at both bounds, and the difference is the number inside.
     """
+    day, turn, sign = "day", "turn", "sign"
     bounds = F.array(
-        F.struct(F.col("start_date").alias("day"), F.lit(0).alias("turn"), F.lit(-1).alias("sign")),
-        F.struct(F.col("end_date").alias("day"), F.lit(2).alias("turn"), F.lit(1).alias("sign")),
+        *[
+            F.struct(F.col(c).alias(day), F.lit(t).alias(turn), F.lit(s).alias(sign))
+            for c, t, s in (("start_date", 0, -1), ("end_date", 2, 1))
+        ]
     )
     carried = [c for c in periods.columns if c not in KEY]
     marks = periods.select(*KEY, *carried, F.inline(bounds))
-    counted = daily_counts(cdm).withColumn("turn", F.lit(1))
+    counted = daily_counts(cdm).withColumn(turn, F.lit(1))
     along = (
         Window.partitionBy("person_id")
-        .orderBy("day", "turn")
+        .orderBy(day, turn)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    running = [F.sum(n).over(along).alias(n) for n in COUNTED]
+    running = [F.coalesce(F.sum(n).over(along), F.lit(0)).alias(n) for n in COUNTED]
     read = (
         counted.unionByName(marks, allowMissingColumns=True)
-        .select(*KEY, *carried, "sign", *running)
-        .filter(F.col("sign").isNotNull())
+        .select(*KEY, *carried, sign, *running)
+        .filter(F.col(sign).isNotNull())
+    )
+    inside = [F.sum(F.col(sign) * F.col(n)) for n in COUNTED]
+    return read.groupBy(*KEY, *carried).agg(
+        *[F.nullif(n, F.lit(0)).alias(c) for n, c in zip(inside, COUNTED, strict=True)]
+    )
+
+
+def _count_by_days(periods: DataFrame, cdm: Cdm) -> DataFrame:
+    """Counts for source periods, of which a person may have any number.
+
+    The running count is taken over the distinct days of a person only, and
+    looked up by person and day, so the periods of one person are spread out.
+    """
+    days = F.array(F.date_sub("start_date", 1), F.col("end_date"))
+    bounds = periods.select("person_id", F.explode(days).alias("day"))
+    daily = (
+        daily_counts(cdm)
+        .unionByName(bounds, allowMissingColumns=True)
+        .groupBy("person_id", "day")
+        .agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in COUNTED])
+    )
+    along = (
+        Window.partitionBy("person_id")
+        .orderBy("day")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    running = daily.select(
+        "person_id", "day", *[F.sum(n).over(along).alias(n) for n in COUNTED]
+    )
+
+    def until(label):
+        names = {n: f"{label}_{n}" for n in COUNTED}
+        return running.withColumnsRenamed({**names, "day": f"{label}_day"})
+
+    inside = [
+        F.nullif(F.col(f"last_{n}") - F.col(f"before_{n}"), F.lit(0)).alias(n)
+        for n in COUNTED
+    ]
+    return (
+        periods.withColumn("before_day", F.date_sub("start_date", 1))
+        .withColumn("last_day", F.col("end_date"))
+        .join(until("before"), ["person_id", "before_day"])
+        .join(until("last"), ["person_id", "last_day"])
+        .select(*periods.columns, *inside)
+    )
+
+
+def _next_in_order(periods: DataFrame) -> DataFrame:
+    """Next start of derived periods, which have one row per person and start."""
+    following = Window.partitionBy("person_id", "mode").orderBy("start_date")
+    return periods.withColumn("coming", F.lead("start_date").over(following))
+
+
+def _next_by_starts(periods: DataFrame) -> DataFrame:
+    """Next start of source periods: the starts are ordered, not the periods.
+
+    Of periods that start together, each is followed by another at once, but
+    for the last by end and id.
+    """
+    place = F.struct("end_date", "period_id")
+    key = ["person_id", "mode", "start_date"]
+    following = Window.partitionBy("person_id", "mode").orderBy("start_date")
+    starts = (
+        periods.groupBy(*key)
+        .agg(F.max(place).alias("final"))
+        .withColumn("later", F.lead("start_date").over(following))
+    )
+    own = F.when(place == F.col("final"), F.col("later"))
+    coming = own.when(place != F.col("final"), F.col("start_date"))
+    joined = periods.join(starts, key).withColumn("coming", coming)
+    return joined.select(*periods.columns, "coming")
+
+
+def _distances(rows: DataFrame) -> DataFrame:
+    start, end, coming = F.col("start_date"), F.col("end_date"), F.col("coming")
+    return rows.withColumns(
+        {
+            "time_to_next_observation": days_between(start, coming),
+            "gap_to_next": days_between(end, coming),
+        }
+    ).drop("coming")
+
+
+def _each_kind(periods: DataFrame, sourced, derived) -> DataFrame:
+    """Treat source periods, which have an id, and derived ones by their own way."""
+    known = F.col("period_id").isNotNull()
+    return sourced(periods.filter(known)).unionByName(derived(periods.filter(~known)))
+
+
+def records_in_periods(periods: DataFrame, cdm: Cdm) -> DataFrame:
+    """Periods with the number of records that start inside; NULL where none.
+
+    Records and periods of a person are never joined with each other, however
+    many of both there are; overlapping periods are fine.
+    """
+    return _each_kind(
+        periods, lambda p: _count_by_days(p, cdm), lambda p: _count_along_bounds(p, cdm)
     )
-    inside = [F.nullif(F.sum(F.col("sign") * F.coalesce(n, F.lit(0))), F.lit(0)).alias(n) for n in COUNTED]
-    return read.groupBy(*KEY, *carried).agg(*inside)
 
 
 def with_next(periods: DataFrame) -> DataFrame:
@@ -81,26 +176,21 @@ def with_next(periods: DataFrame) -> DataFrame:
     ``time_to_next_observation`` runs from start to start, as the study defines
     it; ``gap_to_next`` is the uncovered stretch. Both are NULL on the last one.
     """
-    following = Window.partitionBy("person_id", "mode").orderBy(
-        "start_date", "end_date", "period_id"
-    )
-    start, end = F.col("start_date"), F.col("end_date")
-    coming = F.lead("start_date").over(following)
-    return periods.withColumn("coming", coming).select(
-        *periods.columns,
-        days_between(start, F.col("coming")).alias("time_to_next_observation"),
-        days_between(end, F.col("coming")).alias("gap_to_next"),
-    )
+    return _distances(_each_kind(periods, _next_by_starts, _next_in_order))
 
 
 def period_features(periods: DataFrame, cdm: Cdm) -> DataFrame:
     """One row per period: length, distance to the next, ages, sex and densities.
 
-    The person is the partitioning key throughout, so the counts, the next
-    start and the attributes share one shuffle of the periods.
+    Derived periods stay partitioned by person throughout: the counts, the next
+    start and the attributes share one shuffle.
     """
-    rows = with_next(records_in_periods(periods, cdm))
-    rows = with_attributes(rows, cdm)
+    rows = _each_kind(
+        periods,
+        lambda p: _next_by_starts(_count_by_days(p, cdm)),
+        lambda p: _next_in_order(_count_along_bounds(p, cdm)),
+    )
+    rows = with_attributes(_distances(rows), cdm)
     rows = with_age(rows, "start_date", "age_start", "age_group_start")
     rows = with_age(rows, "end_date", "age_end", "age_group_end")
     length = days_between(F.col("start_date"), F.col("end_date"), inclusive=True)

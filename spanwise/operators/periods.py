@@ -182,9 +182,6 @@ def build_periods(
     return censor(spans, cdm, censor_date)
 
 
-UNCENSORED = ("original_data", "impatient")
-
-
 def _record_spans(days: DataFrame) -> DataFrame:
     """Spans of every definition that follows from the records, from one pass.
 
@@ -224,32 +221,37 @@ def all_definitions(
     ``mode, person_id, start_date, end_date, period_id, sex, date_of_birth``;
     only original periods have an id at this point. Original and inpatient
     periods are left as they are unless the study censors all. ``days`` takes
-    the person-days of all records when they are at hand as a written table. All
-    branches are partitioned by person, so that attributes and deaths are
-    joined to the whole at once without a further shuffle of the periods.
+    the person-days of all records when they are at hand as a written table.
+
+    Inpatient and record-based periods, of which a person has one per day at
+    most, come partitioned by person, so attributes and deaths are joined to
+    all of them at once without a further shuffle. Original periods are joined
+    by themselves, which lets a person with very many of them be split up.
     """
     days = record_days(records(cdm)) if days is None else days
-    unnumbered = F.lit(None).cast("long").alias("period_id")
-    original = original_periods(cdm).repartition("person_id")
-    spans = stack(
-        [
-            original.select(F.lit("original_data").alias("mode"), *SPAN, "period_id"),
-            inpatient_periods(cdm).select(
-                F.lit("impatient").alias("mode"), *SPAN, unnumbered
-            ),
-            _record_spans(days).select("mode", *SPAN, unnumbered),
-        ]
+    derived = with_attributes(
+        stack(
+            [
+                inpatient_periods(cdm).select(F.lit("impatient").alias("mode"), *SPAN),
+                _record_spans(days).select("mode", *SPAN),
+            ]
+        ),
+        cdm,
     )
     outgrown = add_years(F.col("date_of_birth"), F.lit(config.censor_age))
     end = F.when(F.col("mode") == "min_extract", outgrown).otherwise(F.col("end_date"))
-    derived = None if config.censor_all else ~F.col("mode").isin(*UNCENSORED)
     censored = censor(
-        with_attributes(spans, cdm).withColumn("end_date", end),
+        derived.withColumn("end_date", end),
         cdm,
         config.data_end_date,
-        only=derived,
-    )
-    return censored.select(*PERIOD, "sex", "date_of_birth")
+        only=None if config.censor_all else F.col("mode") != "impatient",
+    ).withColumn("period_id", F.lit(None).cast("long"))
+    original = with_attributes(original_periods(cdm), cdm)
+    if config.censor_all:
+        original = censor(original, cdm, config.data_end_date)
+    original = original.withColumn("mode", F.lit("original_data"))
+    columns = (*PERIOD, "sex", "date_of_birth")
+    return original.select(*columns).unionByName(censored.select(*columns))
 
 
 # A prime, so that regularly spaced person ids still spread over all buckets.

@@ -268,9 +268,9 @@ def run_study(cdm: Cdm, config: StudyConfig, folder: str) -> str:
     the person-days of all records, the periods, their features and outcomes.
     """
     days = materialise(record_days(records(cdm)), "record_days")
-    periods = materialise(all_definitions(cdm, config, days), "periods", "mode")
+    periods = materialise(all_definitions(cdm, config, days), "periods")
     outcomes = materialise(outcome_cohorts(cdm, config), "outcomes")
-    features = materialise(period_features(periods, cdm), "features", "mode")
+    features = materialise(period_features(periods, cdm), "features")
     tables = characterise(periods, cdm, config, outcomes, features)
     return export_result(
         study_result(tables, cdm),

@@ -14,12 +14,16 @@ from spanwise.operators.quantiles import numeric_estimates
 PERIOD = "mode string, person_id long, start_date date, end_date date, period_id long"
 
 
-def periods_of(spark, rows):
-    data = [(m, p, day(a), day(b), i) for i, (m, p, a, b) in enumerate(rows)]
+PERIOD_COLUMNS = ("mode", "person_id", "start_date", "end_date", "period_id")
+
+
+def periods_of(spark, rows, sourced=False):
+    data = [(m, p, day(a), day(b), i if sourced else None) for i, (m, p, a, b) in enumerate(rows)]
     return spark.createDataFrame(data, PERIOD)
 
 
-def test_records_are_counted_like_a_join(spark, make_cdm):
+@pytest.mark.parametrize("sourced", [True, False])
+def test_records_are_counted_like_a_join(spark, make_cdm, sourced):
     rng = random.Random(3)
     origin = dt.date(2010, 1, 1)
 
@@ -36,10 +40,13 @@ def test_records_are_counted_like_a_join(spark, make_cdm):
     for i in range(90):
         start = some_day()
         spans.append((rng.choice("ab"), rng.randint(1, 9), start, start + dt.timedelta(rng.randint(0, 60)), i))
-    spans.append((*spans[0][:4], 1000))
+    if sourced:
+        spans.append((*spans[0][:4], 1000))
+    else:
+        spans = [(*s[:4], None) for s in spans]
     frame = spark.createDataFrame(spans, PERIOD)
     found = {
-        r["period_id"]: (r["number_drugs"], r["number_conditions"], r["number_visits"])
+        tuple(r[c] for c in PERIOD_COLUMNS): (r["number_drugs"], r["number_conditions"], r["number_visits"])
         for r in features.records_in_periods(frame, make_cdm(**tables)).collect()
     }
 
@@ -48,7 +55,7 @@ def test_records_are_counted_like_a_join(spark, make_cdm):
         return n or None
 
     assert found == {
-        s[4]: (
+        s: (
             inside(tables["drug_exposure"], 2, s),
             inside(tables["condition_occurrence"], 1, s),
             inside(tables["visit_occurrence"], 2, s),
@@ -57,8 +64,10 @@ def test_records_are_counted_like_a_join(spark, make_cdm):
     }
 
 
-def test_next_period(spark):
-    frame = periods_of(spark, [("a", 1, "2000-01-01", "2000-01-10"), ("a", 1, "2000-03-01", "2000-03-01"), ("b", 1, "2000-02-01", "2000-02-01")])
+@pytest.mark.parametrize("sourced", [True, False])
+def test_next_period(spark, sourced):
+    rows = [("a", 1, "2000-01-01", "2000-01-10"), ("a", 1, "2000-03-01", "2000-03-01"), ("b", 1, "2000-02-01", "2000-02-01")]
+    frame = periods_of(spark, rows, sourced)
     found = features.with_next(frame)
     assert rows_of(found, "mode", "start_date", "time_to_next_observation", "gap_to_next") == [
         ("a", day("2000-01-01"), 60, 51),
@@ -67,6 +76,12 @@ def test_next_period(spark):
     ]
 
 
+def test_next_of_periods_that_start_together(spark):
+    rows = [("a", 1, "2000-01-01", "2000-01-10"), ("a", 1, "2000-01-01", "2000-01-05"), ("a", 1, "2000-01-01", "2000-01-10"), ("a", 1, "2000-02-01", "2000-02-01")]
+    found = features.with_next(periods_of(spark, rows, sourced=True))
+    assert rows_of(found, "period_id", "time_to_next_observation") == [(0, 0), (1, 0), (2, 31), (3, None)]
+
+
 def test_duration_and_unknown_person(spark, make_cdm):
     frame = periods_of(spark, [("a", 1, "2000-01-01", "2000-01-01")])
     row = features.period_features(frame, make_cdm()).first()
