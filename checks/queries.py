@@ -1,4 +1,9 @@
-"""The registered queries: every operator on the clinical tables of a folder."""
+"""The registered queries: every operator on the clinical tables of a folder.
+
+As in a study run, the periods of all definitions, their features and the
+outcomes are written to the shared folder once, and later steps read them; the
+queries that build them start from the clinical tables.
+"""
 
 from __future__ import annotations
 
@@ -32,7 +37,7 @@ from spanwise.operators.demographics import person_attributes, with_age
 from spanwise.plans import study
 from spanwise.report import overview, prepare, selection
 from spanwise.results import exchange, longform, reshape
-from spanwise.session import shared_folder
+from spanwise.session import materialise, shared_folder
 from spanwise.sources.fixtures import STUDY, fixture_cdm
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,9 +77,24 @@ def clinical(spark: SparkSession, folder: str):
     return _bound(spark.sparkContext.applicationId, spark, folder)
 
 
-def all_periods(spark, folder):
+@cache
+def _table(application: str, spark: SparkSession, folder: str, name: str) -> DataFrame:
     cdm = clinical(spark, folder)
-    return cdm, periods.all_definitions(cdm, STUDY)
+    if name == "periods":
+        return materialise(periods.all_definitions(cdm, STUDY), name)
+    if name == "features":
+        spans = written(spark, folder, "periods")
+        return materialise(features.period_features(spans, cdm), name)
+    return materialise(study.outcome_cohorts(cdm, STUDY), name)
+
+
+def written(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table that the study writes for its later steps, made once per session."""
+    return _table(spark.sparkContext.applicationId, spark, folder, name)
+
+
+def all_periods(spark, folder):
+    return clinical(spark, folder), written(spark, folder, "periods")
 
 
 # Records -------------------------------------------------------------------
@@ -204,7 +224,8 @@ def build_periods_unbounded(spark, folder):
 
 @register("all_definitions", "SELECT * FROM all_periods")
 def all_definitions(spark, folder):
-    return all_periods(spark, folder)[1].drop("sex", "date_of_birth")
+    spans = periods.all_definitions(clinical(spark, folder), STUDY)
+    return spans.drop("sex", "date_of_birth")
 
 
 O.define(
@@ -354,8 +375,7 @@ def records_in_period(spark, folder):
     "rates_per_day", f"SELECT {KEY}, {round_sql(*features.RATES, digits=9)} FROM feats"
 )
 def rates_per_day(spark, folder):
-    cdm, spans = all_periods(spark, folder)
-    rows = features.period_features(spans, cdm)
+    rows = written(spark, folder, "features")
     return rounded(rows, *features.RATES, digits=9).select(
         *features.KEY, *features.RATES
     )
@@ -378,8 +398,7 @@ ESTIMATES = ("median", "q25", "q75", "min", "max", "mean", "sd")
 
 @register("numeric_summary", f"SELECT mode, variable, {round_sql(*ESTIMATES)} FROM num_summary")
 def numeric_summary(spark, folder):
-    cdm, spans = all_periods(spark, folder)
-    rows = features.period_features(spans, cdm)
+    rows = written(spark, folder, "features")
     return rounded(summaries.numeric_summary(rows), *ESTIMATES)
 
 
@@ -388,8 +407,7 @@ def numeric_summary(spark, folder):
     f"SELECT mode, variable, level, count, {round_sql('percentage')} FROM cat_summary",
 )
 def categorical_summary(spark, folder):
-    cdm, spans = all_periods(spark, folder)
-    rows = features.period_features(spans, cdm)
+    rows = written(spark, folder, "features")
     return rounded(summaries.categorical_summary(rows), "percentage")
 
 
@@ -508,7 +526,7 @@ INC = (
 def _incidence(spark, folder, **options):
     cdm, spans = all_periods(spark, folder)
     follow_up = cohorts.study_follow_up(spans, cdm, STUDY)
-    outcomes = study.outcome_cohorts(cdm, STUDY)
+    outcomes = written(spark, folder, "outcomes")
     counts = incidence.incidence(
         follow_up, outcomes, STUDY.ingredients, washout=STUDY.washout, **options
     )
@@ -552,7 +570,7 @@ def incidence_complete_years(spark, folder):
 )
 def incidence_ci(spark, folder):
     cdm, spans = all_periods(spark, folder)
-    outcomes = study.outcome_cohorts(cdm, STUDY)
+    outcomes = written(spark, folder, "outcomes")
     table = study.study_incidence(spans, cdm, STUDY, outcomes)
     rate = "incidence_100000_pys"
     return table.select(
@@ -606,7 +624,7 @@ def summarised_result_long(spark, folder):
 )
 def bind_results(spark, folder):
     cdm, spans = all_periods(spark, folder)
-    rows = features.period_features(spans, cdm)
+    rows = written(spark, folder, "features")
     bound = longform.bind(
         study.snapshot_result(cdm),
         study.in_observation_result(person_time.in_observation(spans, cdm), cdm),

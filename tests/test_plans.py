@@ -51,7 +51,7 @@ def test_no_single_task_and_no_pairing_of_everything(spark, large_plans, name):
 
 
 def test_definitions_read_and_shuffle_the_records_once(spark, large_plans):
-    plan = plan_of(all_periods(spark, SMALL)[1])
+    plan = plan_of(QUERIES["all_definitions"](spark, SMALL))
     by_day = [k for _, k in exchanges(plan) if k.startswith("person_id, start_date")]
     # Once for all records, and once for the stays.
     assert len(by_day) == 2
