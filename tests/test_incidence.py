@@ -1,11 +1,16 @@
 import datetime as dt
+import os
 import random
+import subprocess
+import sys
 from collections import defaultdict
 
 import pytest
 from conftest import day, rows_of
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from spanwise.functions import poisson
 from spanwise.functions.poisson import poisson_limits
 from spanwise.operators import cohorts
 from spanwise.operators.incidence import incidence, with_rates
@@ -166,3 +171,23 @@ def test_outcomes_start_in_an_original_period(make_cdm):
         ("Amoxy", day("2000-01-01"), day("2000-01-06")),
         ("Amoxy", day("2000-01-08"), day("2000-01-08")),
     ]
+
+
+def test_limits_travel_without_the_package(tmp_path):
+    """Executors need not have the package: the function is pickled whole."""
+    target = tmp_path / "function"
+    target.write_bytes(cloudpickle.dumps(poisson._limits.func))
+    code = (
+        "import pickle, sys, pandas as pd;"
+        "f = pickle.load(open(sys.argv[1], 'rb'));"
+        "print(f(pd.Series([0, 5]))['upper'].round(5).tolist())"
+    )
+    run = subprocess.run(
+        [sys.executable, "-c", code, str(target)],
+        cwd=tmp_path,
+        env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"},
+        capture_output=True,
+        text=True,
+        check=False,
+    )
+    assert run.stdout.strip() == "[3.68888, 11.66833]", run.stderr
