@@ -15,6 +15,19 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    from spanwise.llm.decontamination import find
+
+    return find(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+def op8_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    from spanwise.llm.pii import digest, find, train
+
+    docs = _table(spark, folder, "documents")
+    return digest(find(docs, train(docs)))
+
+
 def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     from spanwise.llm.packing import pack
 
@@ -30,6 +43,8 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op7_decontamination": op7_decontamination,
+    "op8_personal_data": op8_personal_data,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_token_files": op10_token_files,
 }
