@@ -22,9 +22,9 @@ SPACE_BESIDE_SPACE = rf"^$|^ | $|[{WHITE}] | [{WHITE}]"
 # Work on so many characters at a time, whatever the size of a batch.
 SLICE_CHARS = 4_000_000
 # So many words are given to the tokenizer as one text.
-RUN = 4096
+RUN = 8192
 # Known words are forgotten beyond so many characters; they are then encoded anew, with the same ids.
-MEMORY_CHARS = 12_000_000
+MEMORY_CHARS = 20_000_000
 
 
 def process_memory() -> dict:
@@ -46,12 +46,22 @@ def slices(sizes: Iterable[int], most: int = SLICE_CHARS) -> Iterator[slice]:
         yield slice(begin, end + 1)
 
 
+def _grown(array: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """``array`` with ``more`` behind its first ``used`` elements, in a larger one if need be."""
+    if used + len(more) > len(array):
+        larger = np.empty(max(2 * len(array), used + len(more)), array.dtype)
+        larger[:used] = array[:used]
+        array = larger
+    array[used : used + len(more)] = more
+    return array
+
+
 class TextEncoder:
     """Encodes texts with a tokenizer file, without special tokens.
 
     The ids equal those of encoding each text as a whole: texts are cut only where
     no token can cross, and each distinct word is given to the tokenizer once, many
-    of them in one text, between marks.
+    of them in one text.
     """
 
     MARK = "|"
@@ -64,6 +74,13 @@ class TextEncoder:
         self.tokenizer.encode_special_tokens = True
         mark = self._ids([f" {self.MARK}"])[0]
         self.mark = mark[0] if len(mark) == 1 else None
+        # Tokens that only begin, or only end, a word after a space; None if the vocabulary marks neither.
+        size, vocabulary = self.tokenizer.get_vocab_size(), self.tokenizer.get_vocab().items()
+        begins, ends = np.zeros(size, bool), np.zeros(size, bool)
+        begins[[i for t, i in vocabulary if t.startswith("\u0120")]] = True
+        ends[[i for t, i in vocabulary if t.endswith("</w>")]] = True
+        self.begins = begins if begins.any() else None
+        self.ends = ends if ends.any() else None
         self._forget()
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
@@ -73,44 +90,60 @@ class TextEncoder:
         self.first: dict[str, int] = {}
         self.later: dict[str, int] = {}
         self.flat = np.empty(1 << 16, np.uint32)
-        self.used = self.chars = 0
-        self.starts = np.empty(0, np.int64)
-        self.sizes = np.empty(0, np.int64)
-
-    def _add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
-        if self.used + len(ids) > len(self.flat):
-            grown = np.empty(max(2 * len(self.flat), self.used + len(ids)), np.uint32)
-            grown[: self.used] = self.flat[: self.used]
-            self.flat = grown
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.starts = np.concatenate([self.starts, self.used + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
+        self.used = self.known = self.chars = 0
+        self.starts = np.empty(1 << 16, np.int64)
+        self.sizes = np.empty(1 << 16, np.int64)
+
+    def _add(self, ids: np.ndarray, sizes: np.ndarray, words: list[str], known: dict[str, int]) -> None:
+        begin = self.known
+        known.update(zip(words, range(begin, begin + len(words)), strict=True))
+        self.chars += sum(map(len, words))
+        self.flat = _grown(self.flat, self.used, ids)
+        self.starts = _grown(self.starts, begin, self.used + np.cumsum(sizes) - sizes)
+        self.sizes = _grown(self.sizes, begin, sizes)
+        self.known += len(words)
         self.used += len(ids)
 
     def _codes(self, words: list[str], known: dict[str, int], prefix: str) -> np.ndarray:
         """Numbers of ``words``; those met for the first time are encoded."""
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        joined = prefix == " " and self.mark is not None
-        for one in (False, True):
-            part = [w for w in new if (joined and self.MARK not in w) is one]
-            if not part:
-                continue
-            if one:
-                texts = ("".join(f" {w} {self.MARK}" for w in part[i : i + RUN]) for i in range(0, len(part), RUN))
-                ids = np.concatenate([np.array(self._ids([text])[0], np.uint32) for text in texts])
-                ends = np.flatnonzero(ids == self.mark)
-                sizes = np.diff(ends, prepend=-1) - 1
-                ids = np.delete(ids, ends)
+        new = [w for w in words if w not in known]
+        if new:
+            new = list(dict.fromkeys(new))
+            if prefix == " ":
+                for i in range(0, len(new), RUN):
+                    self._learn_run(new[i : i + RUN], known)
             else:
-                found = self._ids([prefix + w for w in part])
-                sizes = np.fromiter(map(len, found), np.int64, len(found))
-                ids = np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum()))
-            begin = len(self.starts)
-            known.update(zip(part, range(begin, begin + len(part)), strict=True))
-            self._add(ids, sizes)
-            self.chars += sum(map(len, part))
+                self._learn(new, self._ids([prefix + w for w in new]), known)
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
+    def _learn_run(self, words: list[str], known: dict[str, int]) -> None:
+        """Encode words that follow a space as one text, and tell them apart by their first or last ids."""
+        if self.ends is not None:
+            plain = [w for w in words if w.isalpha()]
+            words = [w for w in words if not w.isalpha()]
+        else:
+            plain, words = (words, []) if self.begins is not None else ([], words)
+        ids = np.array(self._ids([" " + " ".join(plain)])[0] if plain else [], np.int64)
+        if plain and self.ends is not None:
+            stops = np.flatnonzero(self.ends[ids]) + 1
+        else:
+            stops = np.append(np.flatnonzero(self.begins[ids])[1:], len(ids)) if plain else np.empty(0, np.int64)
+        if len(stops) == len(plain) and (not plain or stops[-1] == len(ids)):
+            self._add(ids, np.diff(stops, prepend=0), plain, known)
+        else:
+            words = words + plain
+        marked = [w for w in words if self.mark is not None and self.MARK not in w]
+        if marked:
+            ids = np.array(self._ids(["".join(f" {w} {self.MARK}" for w in marked)])[0], np.int64)
+            stops = np.flatnonzero(ids == self.mark)
+            self._add(np.delete(ids, stops), np.diff(stops, prepend=-1) - 1, marked, known)
+        rest = [w for w in words if self.mark is None or self.MARK in w]
+        self._learn(rest, self._ids([" " + w for w in rest]), known)
+
+    def _learn(self, words: list[str], found: list[list[int]], known: dict[str, int]) -> None:
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        self._add(np.fromiter((i for x in found for i in x), np.int64, int(sizes.sum())), sizes, words, known)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the non-null ``texts`` one after another, and where each text's ids end."""
         if self.chars > MEMORY_CHARS:
