@@ -9,7 +9,7 @@ from math import log2
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanwise.llm.components import components
@@ -25,7 +25,12 @@ PROBE = 0.0085
 # Sizes of sets that are cut into equal numbers of ranges: each span reaches so far above its lower end.
 SPAN = 1.5
 
-SIGNED = "doc_id long, n long, d1 long, d2 long, keys array<bigint>"
+# Values of ``n`` in rows of blocks, the pairs of a block, and the keys a task holds before it writes them.
+KEYS, EDGES = -1, -2
+BLOCK_KEYS = 4096
+HELD_KEYS = 1_000_000
+
+SIGNED = "doc_id long, n long, d1 long, d2 long, first array<bigint>, second array<bigint>"
 
 
 class Rule:
@@ -97,34 +102,44 @@ class Signatures:
             place = ((grams >> U(32)) * U(ranges)) >> U(32)
             bounds = np.searchsorted(place, np.arange(ranges + 1, dtype=U))
             full = np.flatnonzero(np.diff(bounds))
-            own = U(number + 1) * STEP
+            own = U((number + 1) * int(STEP) % (1 << 64))
             found.append(mix(sums[bounds[full + 1]] - sums[bounds[full]] + (full.astype(U) + U(1)) * U(0xD1342543DE82EF95) + own))
             if ranges - len(full) >= 2:
                 found.append(mix(np.array([own], U)))
-        # Chance agreement of keys only adds candidates; short keys take less room.
-        return np.concatenate(found) >> U(16) if found else np.empty(0, U)
+        return np.concatenate(found) if found else np.empty(0, U)
 
 
 def sign(docs: DataFrame, rule: Rule) -> DataFrame:
-    """Per row: ``doc_id``, the size ``n`` of its set, a 128-bit digest of the set, and its keys."""
+    """Signed documents, blocks of keys, and blocks of edges, told apart by ``n``.
+
+    A document's row has the size ``n`` of its set and a 128-bit digest of it. What
+    shares a key within a task is brought together there: one document goes on with
+    the key and edges join the others to it, so that the rows of a key number no more
+    than the tasks, however many documents have it.
+    """
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = Signatures(rule)
+        held: list[tuple[int, np.ndarray]] = []
         for batch in batches:
             for part in slices(batch.column(2).to_pylist()):
                 hashes, _, ends = words(batch.column(1)[part], SPACES)
-                sizes, first, second, keys = [], [], [], []
+                docs_of = batch.column(0)[part]
+                rows = []
                 begin = 0
-                for end in ends.tolist():
+                for doc, end in zip(docs_of.to_pylist(), ends.tolist(), strict=True):
                     grams = shingle_set(hashes[begin:end], rule.n)
                     begin = end
-                    sizes.append(len(grams))
-                    first.append(int(mix(grams).sum(dtype=U).view(np.int64)))
-                    second.append(int(mix(grams ^ STEP).sum(dtype=U).view(np.int64)))
-                    keys.append(maker.keys(grams).view(np.int64))
-                columns = [batch.column(0)[part], pa.array(sizes, pa.int64()), pa.array(first, pa.int64())]
-                columns += [pa.array(second, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "d1", "d2", "keys"])
+                    digest = (mix(grams).sum(dtype=U), mix(grams ^ STEP).sum(dtype=U))
+                    rows.append((doc, len(grams), *(int(d.view(np.int64)) for d in digest)))
+                    if doc is not None and len(grams):
+                        held.append((doc, maker.keys(grams).view(np.int64)))
+                columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
+                yield _signed(columns, [None] * len(rows), [None] * len(rows))
+                if sum(len(k) for _, k in held) >= HELD_KEYS:
+                    yield from _blocks(held)
+                    held = []
+        yield from _blocks(held)
 
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.length(text).alias("size")).mapInArrow(
@@ -132,6 +147,30 @@ def sign(docs: DataFrame, rule: Rule) -> DataFrame:
     )
 
 
+def _signed(columns: list[pa.Array], first: list, second: list) -> pa.RecordBatch:
+    lists = [pa.array(x, pa.list_(pa.int64())) for x in (first, second)]
+    return pa.RecordBatch.from_arrays([*columns, *lists], ["doc_id", "n", "d1", "d2", "first", "second"])
+
+
+def _blocks(held: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Each key with the least of its documents, and edges from the others to that one."""
+    if not held:
+        return
+    keys = np.concatenate([k for _, k in held])
+    docs = np.repeat(np.array([d for d, _ in held], np.int64), [len(k) for _, k in held])
+    order = np.lexsort((docs, keys))
+    keys, docs = keys[order], docs[order]
+    new = np.concatenate([[True], keys[1:] != keys[:-1]])
+    least = docs[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    edges = np.unique(np.stack([docs, least])[:, docs != least], axis=1)
+    for kind, (first, second) in ((KEYS, (keys[new], docs[new])), (EDGES, edges)):
+        for i in range(0, len(first), BLOCK_KEYS):
+            none = pa.array([None], pa.int64())
+            yield _signed(
+                [none, pa.array([kind], pa.int64()), none, none], [first[i : i + BLOCK_KEYS]], [second[i : i + BLOCK_KEYS]]
+            )
+
+
 class Search:
     """T-occurrence search in an inverted index that grows document by document."""
 
@@ -276,17 +315,19 @@ def _search_parts(members: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
                     if part != current:
                         yield close()
                         current, rows = part, []
-                    rows.append((doc, known, shingle_set(hashes[begin:end], rule.n), asks))
+                    grams = shingle_set(hashes[begin:end], rule.n)
                     begin = end
+                    last = rows[-1] if rows else None
+                    if last is None or last[0] != doc or last[3] != asks or not np.array_equal(last[2], grams):
+                        rows.append((doc, known, grams, asks))
         yield close()
 
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    # A doc_id that occurs with several texts stands for the first of them here as in the table of sets.
-    joined = members.join(texts, "doc_id").dropDuplicates(["part", "doc_id", "asks", "text"])
     return (
-        joined.select("part", "doc_id", "known", "asks", "text", F.length("text").alias("size"))
+        members.join(texts, "doc_id")
+        .select("part", "doc_id", "known", "asks", "text", F.length("text").alias("size"))
         .repartition("part")
-        .sortWithinPartitions("part")
+        .sortWithinPartitions("part", "doc_id", "asks", "size")
         .mapInArrow(run, "a long, b long")
     )
 
@@ -298,25 +339,34 @@ def link_classes(docs: DataFrame, rule: Rule, block: int = BLOCK) -> DataFrame:
     the smallest ``doc_id`` reachable by links. Documents without words have no
     shingles and link with nothing; null texts are empty; equal rows give equal rows;
     an empty table gives no rows; other columns are not read. ``doc_id`` identifies a
-    document; a row without one stands alone.
+    document: rows with the same one are linked; a row without one stands alone.
 
     1. Each document is signed once; equal sets are one class and go on as one.
-    2. Classes that share a key fall into one group. Linked classes always do.
+    2. Documents that share a key fall into one group. Linked ones always do. Only the
+       first of each class is searched for.
     3. Each group is searched. A group of more than ``block`` is dealt by a hash into
        parts, and a few of its documents are put into every part, which joins what
        belongs together across them. What then is not in the largest class of its
        group is asked about against all documents of the group, block by block.
     """
-    spark = docs.sparkSession
-    signed = materialise(sign(docs, rule), "signed")
+    made = materialise(sign(docs, rule), "signed")
+    signed = made.filter("n >= 0").select("doc_id", "n", "d1", "d2")
     classes = signed.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"))
-    firsts = classes.select("doc_id").distinct()
-    keys = signed.join(firsts, "doc_id", "left_semi").select(F.explode("keys").alias("key"), "doc_id")
-    shared = keys.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
-    near = keys.join(shared.select("key", "least"), "key").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
-    groups = materialise(components(near), "groups")
+
+    def pairs(kind: int, a: str, b: str) -> DataFrame:
+        pair = F.explode(F.arrays_zip("first", "second")).alias("pair")
+        return made.filter(F.col("n") == kind).select(pair).select(
+            F.col("pair.first").alias(a), F.col("pair.second").alias(b)
+        )
+
+    in_order = Window.partitionBy("key").orderBy("doc_id")
+    across = pairs(KEYS, "key", "doc_id").select(F.col("doc_id").alias("a"), F.lag("doc_id").over(in_order).alias("b"))
+    near = across.filter("b is not null").unionByName(pairs(EDGES, "a", "b"))
+    firsts = classes.select(F.col("doc_id").alias("node")).distinct()
+    # Equal sets have all keys in common, so the first of them is in the group of the others.
+    groups = materialise(components(near).join(firsts, "node", "left_semi"), "groups")
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    dealt = groups.join(sizes, "root").select(
+    dealt = groups.join(sizes.filter("size > 1"), "root").select(
         F.col("node").alias("doc_id"),
         "root",
         F.ceil(F.col("size") / block).cast("long").alias("parts"),

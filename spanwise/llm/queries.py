@@ -15,6 +15,12 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_overlap_join(spark: SparkSession, folder: str) -> DataFrame:
+    from spanwise.llm.overlap_join import Rule, link_classes
+
+    return link_classes(_table(spark, folder, "documents"), Rule(3, 90))
+
+
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     from spanwise.llm.decontamination import find
 
@@ -43,6 +49,7 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_overlap_join": op3_overlap_join,
     "op7_decontamination": op7_decontamination,
     "op8_personal_data": op8_personal_data,
     "op9_best_fit_packing": op9_best_fit_packing,
