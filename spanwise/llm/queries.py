@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -15,6 +16,19 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from spanwise.llm.toxicity import REJECT, held_out, score, train
+
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    scored = score(docs, train(docs, _table(spark, folder, "labels")))
+    return scored.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= REJECT).cast("int").alias("predicted"),
+    )
+
+
 def op3_overlap_join(spark: SparkSession, folder: str) -> DataFrame:
     from spanwise.llm.overlap_join import Rule, link_classes
 
@@ -49,6 +63,7 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op3_overlap_join": op3_overlap_join,
     "op7_decontamination": op7_decontamination,
     "op8_personal_data": op8_personal_data,

@@ -17,7 +17,7 @@ from spanwise.session import materialise, shared_folder
 
 END = 0
 # A file is closed once it holds so many ids.
-FILE_IDS = 8_000_000
+FILE_IDS = 2_000_000
 MAGIC = b"SWIDS\x01\x00\x00"
 
 # One file: MAGIC, five 64-bit counts (documents, ids, control bytes, data bytes, control bits per id), the
@@ -53,7 +53,7 @@ def decode(control: bytes, data: bytes, count: int, bits: int) -> np.ndarray:
     per = 8 // bits
     table = (np.arange(256)[:, None] >> (bits * np.arange(per))) & ((1 << bits) - 1)
     extra = table.astype(np.uint8)[np.frombuffer(control, np.uint8)].reshape(-1)[:count]
-    at = np.cumsum(extra, dtype=np.int64) - extra + np.arange(count)
+    at = np.cumsum(extra, dtype=np.int32) + np.arange(count, dtype=np.int32) - extra
     # Reading past a rank's own bytes needs padding at the end.
     content = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(4, np.uint8)])
     ranks = content[at].astype(np.uint32)
@@ -85,12 +85,18 @@ def write(docs: DataFrame, tokenizer: str, vocabulary: int, folder: str, end: in
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = text_encoder(tokenizer)
         last = np.array([end], kind).tobytes()
+        counts = np.zeros(vocabulary, np.int64)
         for batch in batches:
             for part in slices(batch.column(3).to_pylist()):
                 ids, ends = encoder.encode(batch.column(2)[part])
+                counts += np.bincount(ids, minlength=vocabulary)
+                counts[end] += len(ends)
                 content = [x.astype(kind).tobytes() + last for x in np.split(ids, ends[:-1])]
                 columns = [batch.column(0)[part], batch.column(1)[part], pa.array(content, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["bucket", "doc_id", "ids"])
+        # The task's counts, in a row of no bucket.
+        columns = [pa.array([None], pa.int32()), pa.array([None], pa.int64()), pa.array([counts.tobytes()], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["bucket", "doc_id", "ids"])
 
     text = F.coalesce(F.col("text"), F.lit(""))
     plain = docs.select(F.col("doc_id").cast("long"), text.alias("text"))
@@ -103,14 +109,14 @@ def write(docs: DataFrame, tokenizer: str, vocabulary: int, folder: str, end: in
     tokens = materialise(ordered.mapInArrow(tokenise, "bucket int, doc_id long, ids binary"), "token-ids")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                counts += np.bincount(np.frombuffer(ids.as_buffer(), kind), minlength=vocabulary)
-        found = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], ["id", "count"])
+            for content in batch.column(0):
+                counts = np.frombuffer(content.as_buffer(), np.int64)
+                found = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], ["id", "count"])
 
-    totals = tokens.select("ids").mapInArrow(count, "id long, count long").groupBy("id").agg(F.sum("count"))
+    counted = tokens.filter("bucket is null").select("ids")
+    totals = counted.mapInArrow(count, "id long, count long").groupBy("id").agg(F.sum("count"))
     counts = np.zeros(vocabulary, np.int64)
     for token, total in totals.toLocalIterator():  # as many rows as the vocabulary at most
         counts[token] = total
@@ -150,7 +156,7 @@ def write(docs: DataFrame, tokenizer: str, vocabulary: int, folder: str, end: in
         yield pa.RecordBatch.from_arrays(arrays, ["file", "first_doc", "last_doc", "docs", "ids"])
 
     # The written list, not the plan, is what readers start from: reading it again writes nothing.
-    saved = materialise(tokens.mapInArrow(save, MANIFEST), "token-files")
+    saved = materialise(tokens.filter("bucket is not null").mapInArrow(save, MANIFEST), "token-files")
     return saved.withColumn("ranks", F.lit(table))
 
 

@@ -24,7 +24,7 @@ SLICE_CHARS = 4_000_000
 # So many words are given to the tokenizer as one text.
 RUN = 8192
 # Known words are forgotten beyond so many characters; they are then encoded anew, with the same ids.
-MEMORY_CHARS = 20_000_000
+MEMORY_CHARS = 16_000_000
 
 
 def process_memory() -> dict:
@@ -91,8 +91,8 @@ class TextEncoder:
         self.later: dict[str, int] = {}
         self.flat = np.empty(1 << 16, np.uint32)
         self.used = self.known = self.chars = 0
-        self.starts = np.empty(1 << 16, np.int64)
-        self.sizes = np.empty(1 << 16, np.int64)
+        self.starts = np.empty(1 << 16, np.int32)
+        self.sizes = np.empty(1 << 16, np.int32)
 
     def _add(self, ids: np.ndarray, sizes: np.ndarray, words: list[str], known: dict[str, int]) -> None:
         begin = self.known
@@ -114,7 +114,7 @@ class TextEncoder:
                     self._learn_run(new[i : i + RUN], known)
             else:
                 self._learn(new, self._ids([prefix + w for w in new]), known)
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        return np.fromiter(map(known.__getitem__, words), np.int32, len(words))
 
     def _learn_run(self, words: list[str], known: dict[str, int]) -> None:
         """Encode words that follow a space as one text, and tell them apart by their first or last ids."""
@@ -159,7 +159,7 @@ class TextEncoder:
         if not plain.all():
             rest = [BETWEEN_WORDS.split(t) for t in texts.filter(pa.array(~plain)).to_pylist()]
             counts[~plain] = [len(r) for r in rest]
-            mixed = np.empty(int(counts.sum()), np.int64)
+            mixed = np.empty(int(counts.sum()), np.int32)
             own = np.repeat(plain, counts)
             mixed[own] = codes
             other = self._codes([w for r in rest for w in r], self.later, " ")
@@ -167,9 +167,11 @@ class TextEncoder:
             mixed[~own] = other
             codes = mixed
         sizes = self.sizes[codes]
-        stops = np.cumsum(sizes)
+        stops = np.cumsum(sizes, dtype=np.int64)
         total = int(stops[-1]) if len(stops) else 0
-        ids = self.flat[np.repeat(self.starts[codes] - (stops - sizes), sizes) + np.arange(total)]
+        at = np.arange(total, dtype=np.int32)
+        at += np.repeat(self.starts[codes] - (stops - sizes).astype(np.int32), sizes)
+        ids = self.flat[at]
         return ids, stops[np.cumsum(counts) - 1] if len(counts) else counts
 
 

@@ -61,7 +61,9 @@ def words(texts: pa.Array, separators: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the ``n`` words from each place on where so many follow."""
-    total = np.zeros(max(0, len(hashes) - n + 1), U)
+    if len(hashes) < n:
+        return np.empty(0, U)
+    total = np.zeros(len(hashes) - n + 1, U)
     for i in range(n):
         total = total * U(0xD1342543DE82EF95) + hashes[i : len(hashes) - n + 1 + i]
     return mix(total + U(n * int(STEP) % (1 << 64)))
