@@ -35,6 +35,20 @@ def op3_overlap_join(spark: SparkSession, folder: str) -> DataFrame:
     return link_classes(_table(spark, folder, "documents"), Rule(3, 90))
 
 
+def op4_chat_windows(spark: SparkSession, folder: str) -> DataFrame:
+    from spanwise.llm.chat import digest, windows
+
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    probe = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        role.alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    rows = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return digest(windows(rows.unionByName(probe)))
+
+
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     from spanwise.llm.decontamination import find
 
@@ -65,10 +79,48 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_overlap_join": op3_overlap_join,
+    "op4_chat_windows": op4_chat_windows,
     "op7_decontamination": op7_decontamination,
     "op8_personal_data": op8_personal_data,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_token_files": op10_token_files,
 }
 
-SQL: dict[str, str] = {}
+# The windows of op4 written out: a budget of 1024 tokens, 256 of them for history, a token for four characters.
+OP4_SQL = """
+WITH t AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+    UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), n AS (
+    SELECT *, row_number() OVER w AS number, ceil(length(text) / 4) + 5 AS tokens,
+        row_number() OVER w = 1 AND role = 'system' AS is_system,
+        length(role) + length(text) + 13 + length(regexp_replace(role || text, '[^\\\\<|]', '', 'g')) AS chars
+    FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
+), p AS (
+    SELECT *, sum(CASE WHEN is_system THEN 0 ELSE tokens END) OVER w AS stop,
+        greatest(1, floor((768 - coalesce(max(CASE WHEN is_system THEN tokens END) OVER w, 0)) / 2)) AS cell
+    FROM n WINDOW w AS (PARTITION BY conv_id ORDER BY number)
+), c AS (
+    SELECT *, tokens > cell AS alone, floor((stop - 1) / cell) AS place FROM p
+), f AS (
+    SELECT *, CASE WHEN is_system THEN 0
+        WHEN alone OR lag(alone) OVER w OR lag(place) OVER w <> place OR lag(is_system) OVER w
+            OR lag(number) OVER w IS NULL THEN 1 ELSE 0 END AS opens
+    FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY number)
+), v AS (
+    SELECT *, greatest(0, sum(opens) OVER (PARTITION BY conv_id ORDER BY number) - 1) AS win FROM f
+), l AS (
+    SELECT *, max(win) OVER (PARTITION BY conv_id) AS last, max(stop) OVER (PARTITION BY conv_id, win) AS win_stop
+    FROM v
+)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY number)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY number) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(chars * CASE WHEN is_system THEN last + 1
+        WHEN win < last AND stop - tokens >= win_stop - 256 THEN 2 ELSE 1 END) AS BIGINT) AS formatted_chars
+FROM l GROUP BY conv_id
+"""
+
+SQL: dict[str, str] = {"op4_chat_windows": OP4_SQL}

@@ -16,7 +16,7 @@ from spanwise.llm.words import U, mix
 
 # Windows of so many bytes, one begun every STRIDE bytes, each behind the same FILL bytes, so that
 # even a short window makes a block that is compressed rather than stored.
-WINDOW, STRIDE, FILL = 32, 16, 40
+WINDOW, STRIDE, FILL = 40, 28, 40
 ORDINARY_BYTES, TOXIC_BYTES = 98_304, 4_096
 # Tables large enough that no part of a dictionary hides another.
 SEARCH = {"min_match": 6, "window_log": 17, "hash_log": 18, "chain_log": 18, "search_log": 6, "target_length": 48}
@@ -97,10 +97,8 @@ class Classifier:
         """How many bytes the toxic dictionary saves: its best windows, their number and share."""
         ordinary, toxic = self._compressors()
         fill = self.ordinary[-FILL:]
-        saved = []
-        for i in range(0, max(1, len(body) - WINDOW + STRIDE), STRIDE):
-            window = fill + body[i : i + WINDOW]
-            saved.append(len(ordinary(window)) - len(toxic(window)))
+        windows = [fill + body[i : i + WINDOW] for i in range(0, max(1, len(body) - WINDOW + STRIDE), STRIDE)]
+        saved = [len(a) - len(b) for a, b in zip(map(ordinary, windows), map(toxic, windows), strict=True)]
         saved = np.array(saved)
         top = np.sort(saved[saved >= np.partition(saved, -min(3, len(saved)))[-min(3, len(saved))]])[::-1][:3]
         counts = [int((saved >= k).sum()) for k in range(2, 9)]
