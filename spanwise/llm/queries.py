@@ -49,6 +49,15 @@ def op4_chat_windows(spark: SparkSession, folder: str) -> DataFrame:
     return digest(windows(rows.unionByName(probe)))
 
 
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    from spanwise.llm.warc import archive_folder, read, write
+
+    place = archive_folder(spark)
+    write(_table(spark, folder, "pages"), place)
+    records = read(spark, place).filter(F.col("record_type").isin("response", "revisit"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     from spanwise.llm.decontamination import find
 
@@ -80,6 +89,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_overlap_join": op3_overlap_join,
     "op4_chat_windows": op4_chat_windows,
+    "op6_warc": op6_warc,
     "op7_decontamination": op7_decontamination,
     "op8_personal_data": op8_personal_data,
     "op9_best_fit_packing": op9_best_fit_packing,
