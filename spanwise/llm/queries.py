@@ -49,6 +49,12 @@ def op4_chat_windows(spark: SparkSession, folder: str) -> DataFrame:
     return digest(windows(rows.unionByName(probe)))
 
 
+def op5_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    from spanwise.llm.parsing import compare
+
+    return compare(_table(spark, folder, "documents"))
+
+
 def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
     from spanwise.llm.warc import archive_folder, read, write
 
@@ -89,6 +95,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_overlap_join": op3_overlap_join,
     "op4_chat_windows": op4_chat_windows,
+    "op5_fingerprints": op5_fingerprints,
     "op6_warc": op6_warc,
     "op7_decontamination": op7_decontamination,
     "op8_personal_data": op8_personal_data,

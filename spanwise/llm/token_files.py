@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanwise.llm.files import get, put
+from spanwise.llm.ranges import bucketed
 from spanwise.llm.tokens import slices, text_encoder
 from spanwise.session import materialise, shared_folder
 
@@ -62,15 +63,6 @@ def decode(control: bytes, data: bytes, count: int, bits: int) -> np.ndarray:
     return ranks
 
 
-def _bucketed(docs: DataFrame) -> DataFrame:
-    """Rows with a bucket that rises with ``doc_id``; bounds are quantiles of the ids alone."""
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = docs.approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.25 / buckets)
-    bounds = F.array(*[F.lit(int(b)) for b in sorted(set(bounds))]) if bounds else F.array().cast("array<long>")
-    # Equal ids share a bucket. The bounds are as many as the buckets, whatever the number of rows.
-    return docs.withColumn("bucket", F.size(F.filter(bounds, lambda b: b < F.col("doc_id"))))
-
-
 def write(docs: DataFrame, tokenizer: str, vocabulary: int, folder: str, end: int = END) -> DataFrame:
     """Write the ids of all documents in ascending ``doc_id`` order; return the list of files.
 
@@ -101,7 +93,7 @@ def write(docs: DataFrame, tokenizer: str, vocabulary: int, folder: str, end: in
     text = F.coalesce(F.col("text"), F.lit(""))
     plain = docs.select(F.col("doc_id").cast("long"), text.alias("text"))
     ordered = (
-        _bucketed(plain)
+        bucketed(plain, "doc_id")
         .select("bucket", "doc_id", "text", F.length("text").alias("n"))
         .repartition(F.col("bucket"))
         .sortWithinPartitions("bucket", "doc_id", "text")
