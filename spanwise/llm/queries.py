@@ -29,6 +29,12 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_wrapper(spark: SparkSession, folder: str) -> DataFrame:
+    from spanwise.llm.wrapper import extract
+
+    return extract(_table(spark, folder, "pages"))
+
+
 def op3_overlap_join(spark: SparkSession, folder: str) -> DataFrame:
     from spanwise.llm.overlap_join import Rule, link_classes
 
@@ -93,6 +99,7 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_wrapper": op2_wrapper,
     "op3_overlap_join": op3_overlap_join,
     "op4_chat_windows": op4_chat_windows,
     "op5_fingerprints": op5_fingerprints,
