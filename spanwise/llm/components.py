@@ -2,54 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanwise.session import materialise
 
-
-def _state(edges: DataFrame) -> tuple:
-    """A checksum of the set of edges."""
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return tuple(row)
+# Rounds in which nodes go to their smallest neighbour; in later ones the order is drawn anew each time.
+PLAIN_ROUNDS = 3
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``root``, the smallest node it reaches, for each node of ``edges`` (a, b).
 
-    Alternates two steps until nothing moves: every node hands its larger neighbours
-    to its smallest one, then its smaller neighbours. The rounds grow with the
-    logarithm of a component's size. Minima are taken before the shuffle, and a node
-    with very many neighbours meets them in a join that can be split. Each round is
-    written, so a lost executor costs a re-read. Self-loops and repeated edges do no harm.
+    In each round every node goes to the least of its neighbours and itself, and the
+    edges are redrawn between the nodes gone to, until none is left. Stars whose centre
+    is their smallest node vanish in one round; with an order drawn anew in each round
+    the rounds grow with the logarithm of a component's size whatever its form. Minima
+    are taken before the shuffle, and a node with very many neighbours meets them in a
+    join that can be split. What each round makes is written, so a lost executor costs a
+    re-read. Self-loops and repeated edges do no harm.
     """
-    stars = materialise(_clean(edges), "edges")
-    before = _state(stars)
-    while True:
-        both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m"))
-        large = _clean(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(least, "a")
-        small = _clean(
-            moved.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
-                least.select("a", F.col("m").alias("b"))
-            )
-        )
-        stars = materialise(small, "edges")
-        after = _state(stars)
-        if after == before:
-            break
-        before = after
-    return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
-        stars.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    )
-
-
-def _clean(edges: DataFrame) -> DataFrame:
-    """Each edge once, from the larger to the smaller node."""
-    return (
-        edges.filter("a <> b")
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct()
-    )
+    left = materialise(edges.filter("a <> b").select("a", "b").distinct(), "edges")
+    moves: list[DataFrame] = []
+    while left.take(1):
+        rank = _rank(len(moves))
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min_by("b", rank("b")).alias("least"))
+        move = F.when(rank("least") < rank("a"), F.col("least")).otherwise(F.col("a"))
+        moved = materialise(least.select(F.col("a").alias("node"), move.alias("root")), "moves")
+        first = moved.select(F.col("node").alias("a"), F.col("root").alias("c"))
+        second = moved.select(F.col("node").alias("b"), F.col("root").alias("d"))
+        redrawn = left.join(first, "a").join(second, "b").filter("c <> d")
+        left = materialise(redrawn.select(F.col("c").alias("a"), F.col("d").alias("b")).distinct(), "edges")
+        moves.append(moved)
+    if not moves:
+        return left.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    found = moves[0]
+    for moved in moves[1:]:
+        later = moved.select(F.col("node").alias("root"), F.col("root").alias("last"))
+        found = found.join(later, "root", "left").select("node", F.coalesce("last", "root").alias("root"))
+    if len(moves) <= PLAIN_ROUNDS:
+        return found
+    smallest = found.groupBy("root").agg(F.min("node").alias("smallest"))
+    return found.join(smallest, "root").select("node", F.col("smallest").alias("root"))
+
+
+def _rank(number: int):
+    def rank(column: str) -> Column:
+        if number < PLAIN_ROUNDS:
+            return F.col(column)
+        return F.struct(F.xxhash64(F.col(column), F.lit(number)), F.col(column))
+
+    return rank

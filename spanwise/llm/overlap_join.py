@@ -250,14 +250,14 @@ class Forest:
 
 
 def links_of_part(rows: list[tuple[int, int, np.ndarray, bool]], rule: Rule) -> list[tuple[int, int]]:
-    """Edges that join the linked documents of one part, as few as hold them together.
+    """Edges that hold the linked documents of one part together, from each to the least of its class.
 
     A row is a document, the class it is known to be in, its set, and whether it asks
     or is only asked about. Documents known to be of one class are not compared.
     """
-    search, forest = Search(rule), Forest()
+    search, forest, linked = Search(rule), Forest(), Forest()
     by_class: dict[int, set[int]] = {}
-    edges, ids, start_of, latest = [], [], [], {}
+    ids, start_of, latest = [], [], {}
     for doc, known, grams, asks in sorted(rows, key=lambda r: (r[3], len(r[2]), r[0])):
         listed = grams.tolist()
         mine = forest.root(known)
@@ -268,19 +268,19 @@ def links_of_part(rows: list[tuple[int, int, np.ndarray, bool]], rule: Rule) ->
                 if other != mine and near is not None:
                     shared = len(np.intersect1d(grams, near[1], assume_unique=True))
                     if shared >= rule.overlap(len(grams), len(near[1])):
-                        edges.append((doc, near[0]))
+                        linked.join(doc, near[0])
                         mine = _merge(forest, by_class, latest, mine, other)
             for number in search.linked(listed, by_class.get(mine)):
                 other = forest.root(start_of[number])
                 if other != mine:
-                    edges.append((doc, ids[number]))
+                    linked.join(doc, ids[number])
                     mine = _merge(forest, by_class, latest, mine, other)
         number = search.add(listed)
         ids.append(doc)
         start_of.append(mine)
         by_class.setdefault(mine, set()).add(number)
         latest[mine] = (doc, grams)
-    return edges
+    return [(doc, linked.root(doc)) for doc in sorted(linked.up) if linked.root(doc) != doc]
 
 
 def _merge(forest: Forest, by_class: dict, latest: dict, a: int, b: int) -> int:
@@ -295,7 +295,7 @@ def _merge(forest: Forest, by_class: dict, latest: dict, a: int, b: int) -> int:
     return root
 
 
-def _search_parts(members: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
+def _search_parts(members: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     """Links (a, b) inside each part of ``members`` (part, doc_id, known, asks)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,7 +322,6 @@ def _search_parts(members: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
                         rows.append((doc, known, grams, asks))
         yield close()
 
-    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     return (
         members.join(texts, "doc_id")
         .select("part", "doc_id", "known", "asks", "text", F.length("text").alias("size"))
@@ -359,9 +358,9 @@ def link_classes(docs: DataFrame, rule: Rule, block: int = BLOCK) -> DataFrame:
             F.col("pair.first").alias(a), F.col("pair.second").alias(b)
         )
 
-    in_order = Window.partitionBy("key").orderBy("doc_id")
-    across = pairs(KEYS, "key", "doc_id").select(F.col("doc_id").alias("a"), F.lag("doc_id").over(in_order).alias("b"))
-    near = across.filter("b is not null").unionByName(pairs(EDGES, "a", "b"))
+    in_order = Window.partitionBy("key").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    across = pairs(KEYS, "key", "doc_id").select(F.col("doc_id").alias("a"), F.first("doc_id").over(in_order).alias("b"))
+    near = across.filter("a <> b").unionByName(pairs(EDGES, "a", "b"))
     firsts = classes.select(F.col("doc_id").alias("node")).distinct()
     # Equal sets have all keys in common, so the first of them is in the group of the others.
     groups = materialise(components(near).join(firsts, "node", "left_semi"), "groups")
@@ -382,10 +381,17 @@ def link_classes(docs: DataFrame, rule: Rule, block: int = BLOCK) -> DataFrame:
             .otherwise(F.array(F.pmod(F.col("place"), F.col("parts"))))
         ).alias("part"),
     ).select(F.xxhash64("root", "part").alias("part"), "doc_id", F.col("doc_id").alias("known"), F.lit(True).alias("asks"))
-    links = materialise(_search_parts(parts, docs, rule), "links")
+    # Both sides are always shuffled, so that the plan is the same at every size.
+    texts = materialise(
+        docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text")).join(
+            dealt.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"
+        ),
+        "group-texts",
+    )
+    links = materialise(_search_parts(parts, texts, rule), "links")
     split = dealt.filter("parts > 1")
     if split.take(1):
-        links = materialise(links.unionByName(_across(split, links, docs, rule, block)), "links")
+        links = materialise(links.unionByName(_across(split, links, texts, rule, block)), "links")
     roots = components(links).select(F.col("node").alias("doc_id"), "root")
     known = classes.join(roots, "doc_id", "left").select("d1", "d2", F.coalesce("root", "doc_id").alias("root"))
     return signed.join(known, ["d1", "d2"], "left").select(
@@ -395,7 +401,7 @@ def link_classes(docs: DataFrame, rule: Rule, block: int = BLOCK) -> DataFrame:
     )
 
 
-def _across(split: DataFrame, links: DataFrame, docs: DataFrame, rule: Rule, block: int) -> DataFrame:
+def _across(split: DataFrame, links: DataFrame, texts: DataFrame, rule: Rule, block: int) -> DataFrame:
     """Links between different parts of the groups of ``split`` that the first search left open."""
     roots = components(links).select(F.col("node").alias("doc_id"), F.col("root").alias("known"))
     members = split.join(roots, "doc_id", "left").withColumn("known", F.coalesce("known", "doc_id"))
@@ -418,4 +424,4 @@ def _across(split: DataFrame, links: DataFrame, docs: DataFrame, rule: Rule, blo
     parts = index.select(number, "doc_id", "known", F.lit(False).alias("asks")).unionByName(
         queries.select(number, "doc_id", "known", F.lit(True).alias("asks"))
     )
-    return _search_parts(parts, docs, rule)
+    return _search_parts(parts, texts, rule)
