@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import math
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -64,7 +65,7 @@ def main(folder: str, names: list[str]) -> int:
     from checks.queries import QUERIES, SQL
     from spanwise.session import local_session
 
-    spark, con = local_session(8), connect(folder)
+    spark, con = local_session(8, folder=tempfile.mkdtemp(prefix="spanwise-")), connect(folder)
     failed = 0
     for name in names or QUERIES:
         begun = time.time()

@@ -22,7 +22,7 @@ from spanwise.config import (
     mode_name,
 )
 from spanwise.functions.dates import band_label
-from spanwise.operators.periods import ID_BUCKETS
+
 from spanwise.sources.fixtures import FIXTURE_FIELDS, STUDY, VIEWS
 
 CUT = f"DATE '{STUDY.data_end_date}'"
@@ -711,7 +711,8 @@ def hidden(source: str) -> str:
           SELECT *, bool_or(small) OVER (PARTITION BY {stratum}, variable_name,
                                          variable_level)
                  OR bool_or(small AND variable_name IN ('number records',
-                            'number subjects')) OVER (PARTITION BY {stratum}) AS hide
+                            'number subjects', 'Number records in observation',
+                            'Denominator')) OVER (PARTITION BY {stratum}) AS hide
           FROM (SELECT *, coalesce(estimate_name LIKE '%count' AND num > 0 AND num < {k},
                                    FALSE) AS small FROM {source}))"""
 

@@ -276,7 +276,7 @@ def censor_death_cut(spark, folder):
 
 @register(
     "published_periods",
-    f"""SELECT row_number() OVER (ORDER BY person_id % {periods.ID_BUCKETS}, person_id,
+    f"""SELECT row_number() OVER (ORDER BY person_id % {STUDY.id_buckets}, person_id,
                                   start_date, end_date) AS observation_period_id,
                person_id, start_date AS observation_period_start_date,
                end_date AS observation_period_end_date, 0 AS period_type_concept_id
@@ -287,50 +287,20 @@ def published_periods(spark, folder):
     return periods.number_periods(periods.persistence_periods(cdm, CUT, [(180, True)]))
 
 
-@register(
-    "mode_parameters",
-    "SELECT * FROM (VALUES "
-    + ", ".join(
-        f"('{mode_name(p, s)}', {p}, {str(s).upper()})" for p, s in PERSISTENCE_RULES
-    )
-    + ") m(mode, persistence, surveillance) WHERE mode IN (SELECT mode FROM all_periods)",
-)
-def mode_parameters(spark, folder):
-    rules = [(mode_name(p, s), p, s) for p, s in PERSISTENCE_RULES]
-    listed = spark.createDataFrame(
-        rules, "mode string, persistence int, surveillance boolean"
-    )
-    found = all_periods(spark, folder)[1]
-    return listed.join(found, "mode", "left_semi")
-
-
 # Characterisation ----------------------------------------------------------
 
 STRATUM = "mode, year, sex, age_group"
 
 
 @register(
-    "in_observation_records",
-    f"SELECT {STRATUM}, records, round(records_percentage, 6) AS records_percentage"
-    " FROM in_obs",
-)
-def in_observation_records(spark, folder):
-    cdm, spans = all_periods(spark, folder)
-    table = person_time.in_observation(spans, cdm)
-    return rounded(table, "records_percentage").drop(
-        "person_days", "person_days_percentage"
-    )
-
-
-@register(
-    "in_observation_person_days",
-    f"SELECT {STRATUM}, person_days, round(person_days_percentage, 6)"
-    " AS person_days_percentage FROM in_obs",
+    "in_observation",
+    f"SELECT {STRATUM}, records, person_days,"
+    f" {round_sql('records_percentage', 'person_days_percentage')} FROM in_obs",
 )
-def in_observation_person_days(spark, folder):
+def in_observation(spark, folder):
     cdm, spans = all_periods(spark, folder)
     table = person_time.in_observation(spans, cdm)
-    return rounded(table, "person_days_percentage").drop("records", "records_percentage")
+    return rounded(table, "records_percentage", "person_days_percentage")
 
 
 KEY = "mode, person_id, start_date, end_date, period_id"
@@ -652,7 +622,7 @@ def suppressed_result(spark, folder):
 @cache
 def _exported(application: str, spark: SparkSession, folder: str) -> str:
     cdm = clinical(spark, folder)
-    target = f"{shared_folder(spark).rstrip('/')}/results-{abs(hash(folder))}"
+    target = f"{shared_folder(spark).rstrip('/')}/results-{folder.strip('/').replace('/', '-')}"
     study.run_study(cdm, STUDY, target)
     return target
 

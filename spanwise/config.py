@@ -139,6 +139,9 @@ class StudyConfig:
     washout: int = 30
     repeated_events: bool = True
     drug_gap_era: int = 1
+    # Published period ids are numbered in so many parts at a time; a prime, so that
+    # regularly spaced person ids still spread over all of them.
+    id_buckets: int = 4099
 
     def __post_init__(self):
         if not isinstance(self.data_end_date, dt.date):

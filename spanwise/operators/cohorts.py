@@ -5,28 +5,31 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanwise.config import DENOMINATOR_BANDS, DENOMINATOR_SEXES, StudyConfig
 from spanwise.functions.dates import Band, add_years, band_label
 from spanwise.operators.demographics import with_attributes
-from spanwise.operators.intervals import merge_intervals
+from spanwise.operators.intervals import held, merge_intervals
 from spanwise.operators.periods import original_periods
 from spanwise.operators.records import repair_ends
-from spanwise.session import broadcast_if_small
 from spanwise.sources.cdm import Cdm
 
 
 def ingredient_codelist(cdm: Cdm, names: Sequence[str]) -> DataFrame:
-    """``codelist_name, concept_id``: all descendants of the named ingredients."""
-    wanted = [n.lower() for n in names]
+    """``codelist_name, concept_id``: all descendants of the named ingredients.
+
+    Names are matched without regard to case; a codelist has the name it was asked for by.
+    """
+    asked = F.array(*[F.lit(n) for n in names])
     ingredients = (
         cdm["concept"]
         .filter(F.col("concept_class_id") == "Ingredient")
-        .filter(F.lower("concept_name").isin(wanted))
         .select(
-            F.col("concept_name").alias("codelist_name"),
+            F.explode(
+                F.filter(asked, lambda n: F.lower(n) == F.lower("concept_name"))
+            ).alias("codelist_name"),
             F.col("concept_id").alias("ancestor_concept_id"),
         )
     )
@@ -42,17 +45,14 @@ def drug_outcomes(cdm: Cdm, codelist: DataFrame, gap_era: int = 1) -> DataFrame:
     """``outcome, person_id, start_date, end_date``: exposure eras per codelist.
 
     Exposures count when they start inside an original period. They are reduced
-    to one row per person and day before any of them is compared with a period.
-    The codelist is counted before it is broadcast, as its size depends on the
-    vocabulary and shuffling all exposures to meet a short list would be waste.
+    to one row per person and day, and the periods to the furthest end per person and
+    first day; in the order of days, an exposure lies inside a period when the furthest
+    end so far reaches it. So no exposure is compared with a period.
     """
     start, end = cdm.date_fields["drug_exposure"]
     exposures = (
         cdm["drug_exposure"]
-        .join(
-            broadcast_if_small(codelist),
-            F.col("drug_concept_id") == F.col("concept_id"),
-        )
+        .join(codelist, F.col("drug_concept_id") == F.col("concept_id"))
         .select(
             F.col("codelist_name").alias("outcome"),
             "person_id",
@@ -65,15 +65,23 @@ def drug_outcomes(cdm: Cdm, codelist: DataFrame, gap_era: int = 1) -> DataFrame:
         .groupBy("outcome", "person_id", "start_date")
         .agg(F.max("end_date").alias("end_date"))
     )
-    observed = original_periods(cdm).select(
-        F.col("person_id").alias("observed_person"),
-        F.col("start_date").alias("observed_from"),
-        F.col("end_date").alias("observed_to"),
+    observed = (
+        held(original_periods(cdm))
+        .groupBy("person_id", "start_date")
+        .agg(F.max("end_date").alias("observed_to"))
+    )
+    along = (
+        Window.partitionBy("person_id")
+        .orderBy("start_date", "turn")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    kept = (
+        daily.withColumn("turn", F.lit(1))
+        .unionByName(observed.withColumn("turn", F.lit(0)), allowMissingColumns=True)
+        .withColumn("reach", F.max("observed_to").over(along))
+        .filter((F.col("turn") == 1) & (F.col("reach") >= F.col("start_date")))
+        .select("outcome", "person_id", "start_date", "end_date")
     )
-    inside = (F.col("person_id") == F.col("observed_person")) & F.col(
-        "start_date"
-    ).between(F.col("observed_from"), F.col("observed_to"))
-    kept = daily.join(observed, inside, "left_semi")
     return merge_intervals(kept, ["outcome", "person_id"], gap_era, starts_unique=True)
 
 
@@ -90,7 +98,8 @@ def followed_bands(
     ``mode, person_id, sex, age_group, start_date, end_date``; a stretch starts
     after ``days_prior`` days in the period, inside the study window and at the
     lowest age of the band, and ends the day before the band is outgrown.
-    Persons without a birth date belong to no band.
+    Persons without a birth date belong to no band, periods without an end or with
+    an end before their start hold no follow-up.
     """
     banded = F.array(
         *[
@@ -113,7 +122,7 @@ def followed_bands(
     if study_end is not None:
         latest.append(F.lit(study_end))
     return (
-        with_attributes(periods, cdm)
+        with_attributes(held(periods), cdm)
         .filter(born.isNotNull())
         .select("*", F.inline(banded))
         .withColumns(

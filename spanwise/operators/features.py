@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spanwise.functions.dates import days_between
 from spanwise.operators.demographics import with_age, with_attributes
 from spanwise.operators.records import stack
+from spanwise.session import materialise
 from spanwise.sources.cdm import Cdm
 
 KEY = ("mode", "person_id", "start_date", "end_date", "period_id")
@@ -44,7 +45,7 @@ def daily_counts(cdm: Cdm) -> DataFrame:
     )
 
 
-def _count_along_bounds(periods: DataFrame, cdm: Cdm) -> DataFrame:
+def _count_along_bounds(periods: DataFrame, daily: DataFrame) -> DataFrame:
     """Counts for derived periods, of which a person has few: one sort per person.
 
     Period bounds are put among the person's record days; a running count is
@@ -59,7 +60,7 @@ def _count_along_bounds(periods: DataFrame, cdm: Cdm) -> DataFrame:
     )
     carried = [c for c in periods.columns if c not in KEY]
     marks = periods.select(*KEY, *carried, F.inline(bounds))
-    counted = daily_counts(cdm).withColumn(turn, F.lit(1))
+    counted = daily.withColumn(turn, F.lit(1))
     along = (
         Window.partitionBy("person_id")
         .orderBy(day, turn)
@@ -77,7 +78,7 @@ def _count_along_bounds(periods: DataFrame, cdm: Cdm) -> DataFrame:
     )
 
 
-def _count_by_days(periods: DataFrame, cdm: Cdm) -> DataFrame:
+def _count_by_days(periods: DataFrame, daily: DataFrame) -> DataFrame:
     """Counts for source periods, of which a person may have any number.
 
     The running count is taken over the distinct days of a person only, and
@@ -85,8 +86,8 @@ def _count_by_days(periods: DataFrame, cdm: Cdm) -> DataFrame:
     """
     days = F.array(F.date_sub("start_date", 1), F.col("end_date"))
     bounds = periods.select("person_id", F.explode(days).alias("day"))
-    daily = (
-        daily_counts(cdm)
+    known = (
+        daily
         .unionByName(bounds, allowMissingColumns=True)
         .groupBy("person_id", "day")
         .agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in COUNTED])
@@ -96,7 +97,7 @@ def _count_by_days(periods: DataFrame, cdm: Cdm) -> DataFrame:
         .orderBy("day")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    running = daily.select(
+    running = known.select(
         "person_id", "day", *[F.sum(n).over(along).alias(n) for n in COUNTED]
     )
 
@@ -165,8 +166,16 @@ def records_in_periods(periods: DataFrame, cdm: Cdm) -> DataFrame:
     Records and periods of a person are never joined with each other, however
     many of both there are; overlapping periods are fine.
     """
+    return _counted(periods, cdm)
+
+
+def _counted(periods: DataFrame, cdm: Cdm) -> DataFrame:
+    """Counts of both kinds of periods from one writing of the records per day."""
+    daily = materialise(daily_counts(cdm), "daily_counts")
     return _each_kind(
-        periods, lambda p: _count_by_days(p, cdm), lambda p: _count_along_bounds(p, cdm)
+        periods,
+        lambda p: _count_by_days(p, daily),
+        lambda p: _count_along_bounds(p, daily),
     )
 
 
@@ -182,14 +191,11 @@ def with_next(periods: DataFrame) -> DataFrame:
 def period_features(periods: DataFrame, cdm: Cdm) -> DataFrame:
     """One row per period: length, distance to the next, ages, sex and densities.
 
-    Derived periods stay partitioned by person throughout: the counts, the next
-    start and the attributes share one shuffle.
+    The next start is found among the bare periods and carried through the counting;
+    the record tables are read once, for the records per person and day.
     """
-    rows = _each_kind(
-        periods,
-        lambda p: _next_by_starts(_count_by_days(p, cdm)),
-        lambda p: _next_in_order(_count_along_bounds(p, cdm)),
-    )
+    ordered = _each_kind(periods, _next_by_starts, _next_in_order)
+    rows = _counted(ordered, cdm)
     rows = with_attributes(_distances(rows), cdm)
     rows = with_age(rows, "start_date", "age_start", "age_group_start")
     rows = with_age(rows, "end_date", "age_end", "age_group_end")

@@ -42,70 +42,114 @@ def events_and_rest(
     )
 
 
-# The entry of a person's list that stands for the follow-up itself.
-FOLLOWED = "named_struct('slot', CAST(NULL AS INT), 'event_date', CAST(NULL AS DATE)," \
-    " 'rest_end', CAST(NULL AS DATE))"
+def _knots(events: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Days on which the time off risk of an outcome begins or ends to run.
 
-
-def _person_events(events: DataFrame, names: Sequence[str]) -> DataFrame:
-    """One row per person with all events as a list; ``slot`` numbers the outcome.
-
-    Events of an outcome are apart from each other by the washout at least, so
-    a list is bounded by the days of a lifetime. It ends with an entry without
-    a slot, for the follow-up itself.
+    Up to a day d, the days off risk of outcome i are ``slope_i * d - offset_i`` with the
+    sums of both columns up to d, and its events the sum of ``event_i``. An event takes
+    effect from its day on and a rest ends on its last day. Outcomes that are not among
+    ``names`` are an error.
     """
     slots = F.array(*[F.lit(n) for n in names])
-    slot = (F.array_position(slots, F.col("outcome")) - 1).cast("int")
-    entry = F.struct("slot", F.col("start_date").alias("event_date"), "rest_end")
-    listed = F.array_append(F.collect_list(entry), F.expr(FOLLOWED))
-    return (
+    place = F.array_position(slots, F.col("outcome"))
+    unknown = F.raise_error(F.concat(F.lit("outcome not asked for: "), F.col("outcome")))
+    slot = F.when(place > 0, place - 1).otherwise(unknown.cast("long"))
+
+    def mark(day, slope, event):
+        return F.struct(day.alias("day"), F.lit(slope).alias("slope"), F.lit(event).alias("event"))
+
+    marks = F.array(
+        mark(F.col("start_date"), 1, 1), mark(F.col("rest_end"), -1, 0)
+    )
+    rows = (
         events.withColumn("slot", slot)
-        .filter(F.col("slot") >= 0)
-        .groupBy("person_id")
-        .agg(listed.alias("events"))
+        .select("person_id", "slot", F.inline(marks))
+        .filter(F.col("day").isNotNull())
     )
+    offset = F.col("slope") * F.unix_date("day")
+
+    def of(i, column):
+        return F.sum(F.when(F.col("slot") == i, column).otherwise(0))
+
+    return rows.groupBy("person_id", "day").agg(
+        *[of(i, F.col("slope")).alias(f"slope_{i}") for i in range(len(names))],
+        *[of(i, offset).alias(f"offset_{i}") for i in range(len(names))],
+        *[of(i, F.col("event")).alias(f"event_{i}") for i in range(len(names))],
+    )
+
+
+PERSON = ("person_id", "mode", "sex", "age_group", "year")
 
 
-def _pieces(follow_up: DataFrame, events: DataFrame) -> DataFrame:
-    """Follow-up by year and as a whole, with rows for the rests inside it.
+def _bounds(follow_up: DataFrame, intervals: Sequence[str]) -> DataFrame:
+    """Last days of follow-up, and the days before it begins, with how often they count.
 
-    Rows without a ``slot`` are the follow-up itself. The others stand for the
-    part of one event and its rest inside the follow-up: ``lost`` counts its
-    days off risk and ``started`` whether the event itself lies inside.
+    A value that grows with time adds up over the follow-up of a person as the sum of
+    ``sign`` times its state on these days. Stretches that share a bound are added up
+    before the shuffle, so a person has no more rows than days, however many stretches.
     """
-    listed = F.coalesce("events", F.array(F.expr(FOLLOWED)))
-    event = F.col("event_date")
-    followed = F.col("slot").isNull()
-    returns = F.col("rest_end").isNull() | (F.col("rest_end") >= F.col("start_date"))
-    spans = (
-        follow_up.join(events, "person_id", "left")
-        .select(*follow_up.columns, F.inline(listed))
-        .filter(followed | ((event <= F.col("end_date")) & returns))
-        # The missing dates of the follow-up rows are skipped on both sides.
-        .withColumns(
-            {
-                "start_date": F.greatest("start_date", "event_date"),
-                "end_date": F.least("end_date", "rest_end"),
-            }
+    pieces = split_by_year(
+        follow_up, and_whole="overall" in intervals, by_year="years" in intervals
+    )
+    first, last = F.col("start_date"), F.col("end_date")
+    none = F.lit(None).cast("date")
+
+    def bound(day, sign, length, opens, closes):
+        return F.struct(
+            day.alias("day"),
+            F.lit(sign).alias("sign"),
+            length.cast("long").alias("days"),
+            opens.alias("first_day"),
+            closes.alias("last_day"),
         )
+
+    both = F.array(
+        bound(last, 1, days_between(first, last, inclusive=True), first, last),
+        bound(F.date_sub(first, 1), -1, F.lit(0), none, none),
     )
-    day = F.col("start_date")
-    off_risk = F.greatest(day, F.date_add(event, 1))
-    lost = F.greatest(days_between(off_risk, F.col("end_date"), inclusive=True), F.lit(0))
-    started = event.between(day, F.col("end_date")).cast("int")
-    length = days_between(day, F.col("end_date"), inclusive=True)
-    return split_by_year(spans, and_whole=True).select(
-        "person_id",
-        "mode",
-        "sex",
-        "age_group",
-        "year",
-        "slot",
-        F.when(followed, day).alias("first_day"),
-        F.when(followed, F.col("end_date")).alias("last_day"),
-        F.when(followed, length).otherwise(0).alias("days"),
-        F.when(~followed, lost).alias("lost"),
-        F.when(~followed, started).alias("started"),
+    return (
+        pieces.select(*PERSON, F.inline(both))
+        .groupBy(*PERSON, "day")
+        .agg(
+            F.sum("sign").alias("sign"),
+            F.sum("days").alias("days"),
+            F.min("first_day").alias("first_day"),
+            F.max("last_day").alias("last_day"),
+        )
+    )
+
+
+def _swept(bounds: DataFrame, knots: DataFrame, count: int) -> DataFrame:
+    """Follow-up per person with ``lost_i`` days off risk and ``started_i`` events.
+
+    Bounds and knots of a person are put in order of their days, running sums over the
+    knots are read at the bounds. The work is a sort per person; no follow-up is ever
+    paired with an event.
+    """
+    along = (
+        Window.partitionBy("person_id")
+        .orderBy("day", "turn")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    marks = [f"{what}_{i}" for what in ("slope", "offset", "event") for i in range(count)]
+    placed = bounds.withColumn("turn", F.lit(1)).unionByName(
+        knots.withColumn("turn", F.lit(0)), allowMissingColumns=True
+    )
+    running = [F.coalesce(F.sum(c).over(along), F.lit(0)).alias(c) for c in marks]
+    read = placed.select(
+        *PERSON, "day", "turn", "sign", "days", "first_day", "last_day", *running
+    ).filter(F.col("turn") == 1)
+    day = F.unix_date("day")
+
+    def lost(i):
+        return F.sum(F.col("sign") * (F.col(f"slope_{i}") * day - F.col(f"offset_{i}")))
+
+    return read.groupBy(*PERSON).agg(
+        F.min("first_day").alias("first_day"),
+        F.max("last_day").alias("last_day"),
+        F.sum("days").alias("days"),
+        *[lost(i).alias(f"lost_{i}") for i in range(count)],
+        *[F.sum(F.col("sign") * F.col(f"event_{i}")).alias(f"started_{i}") for i in range(count)],
     )
 
 
@@ -120,34 +164,15 @@ def incidence(
 ) -> DataFrame:
     """Counts and time at risk per mode, outcome, sex, age group and interval.
 
-    Follow-up and events meet in one join by person, before the follow-up is
-    split into years. The time of everybody is added up once; an outcome only
-    adds rows for the rests that its events cause, so the number of outcomes
-    does not multiply the follow-up. The rows are summed per person where they
-    arise, and only sums per stratum are shuffled after that. The interval
+    The days off risk and the events up to a day are running sums over a person's
+    events; the follow-up reads them at its bounds. So neither the number of outcomes
+    nor that of events multiplies the follow-up, and only the intervals asked for are
+    split by year. Outcomes that are not among ``names`` are an error. The interval
     ``overall`` has no year.
     """
     slots = range(len(names))
-    events = _person_events(events_and_rest(outcomes, washout, repeated), names)
-    own = follow_up.select(
-        "person_id", "mode", "sex", "age_group", "start_date", "end_date"
-    )
-
-    def of(slot, column):
-        return F.sum(F.when(F.col("slot") == slot, F.col(column)).otherwise(0))
-
-    person = ["person_id", "mode", "sex", "age_group", "year"]
-    per_person = (
-        _pieces(own, events)
-        .groupBy(*person)
-        .agg(
-            F.min("first_day").alias("first_day"),
-            F.max("last_day").alias("last_day"),
-            F.sum("days").alias("days"),
-            *[of(i, "lost").alias(f"lost_{i}") for i in slots],
-            *[of(i, "started").alias(f"started_{i}") for i in slots],
-        )
-    )
+    knots = _knots(events_and_rest(outcomes, washout, repeated), names)
+    per_person = _swept(_bounds(follow_up, intervals), knots, len(names))
     summed = ["days", *[f"lost_{i}" for i in slots], *[f"started_{i}" for i in slots]]
     merged = [
         F.min("first_day").alias("first_day"),
@@ -178,7 +203,7 @@ def incidence(
     )
     opened = F.coalesce(year_start(F.col("year")), "first_day")
     closed = F.coalesce(year_end(F.col("year")), "last_day")
-    return totals.filter(F.col("analysis_interval").isin(list(intervals))).select(
+    return totals.select(
         *STRATUM,
         "analysis_interval",
         opened.alias("incidence_start_date"),

@@ -86,19 +86,36 @@ def clip(
     )
 
 
-def split_by_year(spans: DataFrame, and_whole: bool = False) -> DataFrame:
+def held(spans: DataFrame) -> DataFrame:
+    """Spans that hold a day: both dates are known and the end does not precede the start.
+
+    Periods that came with the data are kept as they are; person-time, follow-up and
+    outcomes only take those that pass here.
+    """
+    return spans.filter(F.col("start_date") <= F.col("end_date"))
+
+
+def split_by_year(
+    spans: DataFrame, and_whole: bool = False, by_year: bool = True
+) -> DataFrame:
     """One row for each span and calendar year it touches, clipped to the year.
 
-    With ``and_whole`` the span itself is one more row, without a year.
+    With ``and_whole`` the span itself is one more row, without a year; without
+    ``by_year`` it is the only one. Spans that hold no day give no row.
     """
     years = F.sequence(F.year("start_date"), F.year("end_date"))
-    if and_whole:
-        years = F.array_append(years, F.lit(None).cast("int"))
+    whole = F.array(F.lit(None).cast("int"))
+    if not by_year:
+        years = whole
+    elif and_whole:
+        years = F.concat(years, whole)
     year = F.col("year")
     # Without a year the limits are missing and do not clip.
     start, end = clip(
         F.col("start_date"), F.col("end_date"), year_start(year), year_end(year)
     )
-    return spans.withColumn("year", F.explode(years)).withColumns(
-        {"start_date": start, "end_date": end}
+    return (
+        held(spans)
+        .withColumn("year", F.explode(years))
+        .withColumns({"start_date": start, "end_date": end})
     )

@@ -25,6 +25,7 @@ from spanwise.operators.records import (
     repair_ends,
     stack,
 )
+from spanwise.session import materialise
 from spanwise.sources.cdm import Cdm
 
 SPAN = ("person_id", "start_date", "end_date")
@@ -254,20 +255,18 @@ def all_definitions(
     return original.select(*columns).unionByName(censored.select(*columns))
 
 
-# A prime, so that regularly spaced person ids still spread over all buckets.
-ID_BUCKETS = 4099
-
-
-def number_periods(spans: DataFrame, buckets: int = ID_BUCKETS) -> DataFrame:
+def number_periods(spans: DataFrame, buckets: int = StudyConfig.id_buckets) -> DataFrame:
     """Publish spans with dense ids from 1 and the period type 0.
 
     Rows are numbered inside ``person_id % buckets`` and shifted by the counts
     of the buckets before, so no task ever sorts the whole table; only the
     counts, one row per bucket, are summed in one place. The ids depend on the
-    data alone and come out equal when a lost task is run again.
+    data alone and come out equal when a lost task is run again. Rows without a
+    person are numbered in the first bucket. The spans are written once and read
+    twice, so what they are made from is read once.
     """
-    bucket = F.pmod("person_id", F.lit(buckets))
-    placed = spans.select(*SPAN).withColumn("bucket", bucket)
+    bucket = F.coalesce(F.pmod("person_id", F.lit(buckets)), F.lit(0))
+    placed = materialise(spans.select(*SPAN).withColumn("bucket", bucket), "numbered")
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     shifts = (
         placed.groupBy("bucket")

@@ -25,7 +25,6 @@ from spanwise.operators.features import period_features
 from spanwise.operators.incidence import incidence, with_rates
 from spanwise.operators.periods import all_definitions, number_periods
 from spanwise.operators.person_time import in_observation
-from spanwise.operators.records import record_days, records
 from spanwise.operators.summaries import (
     categorical_summary,
     numeric_summary,
@@ -41,7 +40,7 @@ from spanwise.results.longform import (
     summarised,
     to_rows,
 )
-from spanwise.session import materialise
+from spanwise.session import materialise, run_folder
 from spanwise.sources.cdm import Cdm
 
 MODES = tuple(MODE_LABELS)
@@ -264,30 +263,39 @@ def study_result(tables: Characterisation, cdm: Cdm, modes=MODES) -> SummarisedR
 def run_study(cdm: Cdm, config: StudyConfig, folder: str) -> str:
     """Build, characterise and export; returns the path of the exported result.
 
-    The tables that several steps read are written to the shared folder once:
-    the person-days of all records, the periods, their features and outcomes.
+    The tables that several steps read are written once to a folder of the run:
+    the periods, their features and the outcomes. It is deleted after the export.
     """
-    days = materialise(record_days(records(cdm)), "record_days")
-    periods = materialise(all_definitions(cdm, config, days), "periods")
-    outcomes = materialise(outcome_cohorts(cdm, config), "outcomes")
-    features = materialise(period_features(periods, cdm), "features")
-    tables = characterise(periods, cdm, config, outcomes, features)
-    return export_result(
-        study_result(tables, cdm),
-        folder=folder,
-        cdm_name=cdm.name,
-        min_cell_count=config.min_cell_count,
-    )
-
-
-def publish_periods(periods: DataFrame, mode: str) -> DataFrame:
+    with run_folder(cdm.spark, "study"):
+        periods = materialise(all_definitions(cdm, config), "periods")
+        outcomes = materialise(outcome_cohorts(cdm, config), "outcomes")
+        features = materialise(period_features(periods, cdm), "features")
+        tables = characterise(periods, cdm, config, outcomes, features)
+        modes = present(periods)
+        return export_result(
+            study_result(tables, cdm, modes),
+            folder=folder,
+            cdm_name=cdm.name,
+            min_cell_count=config.min_cell_count,
+        )
+
+
+def present(periods: DataFrame, modes: Sequence[str] = MODES) -> tuple[str, ...]:
+    """Those of ``modes`` that have periods: a definition without any leaves no settings."""
+    found = {r["mode"] for r in periods.select("mode").distinct().collect()}
+    return tuple(m for m in modes if m in found)
+
+
+def publish_periods(
+    periods: DataFrame, mode: str, buckets: int = StudyConfig.id_buckets
+) -> DataFrame:
     """The period table of one definition in the CDM layout, with dense ids.
 
     Original periods keep the ids they came with.
     """
     chosen = periods.filter(F.col("mode") == mode)
     if mode != "original_data":
-        return number_periods(chosen)
+        return number_periods(chosen, buckets)
     return chosen.select(
         F.col("period_id").alias("observation_period_id"),
         "person_id",

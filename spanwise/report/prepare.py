@@ -278,7 +278,7 @@ def simple_table(
 def prepare_report(
     spark: SparkSession,
     folder: str,
-    databases: Mapping[str, str] | None = DATABASE_LABELS,
+    databases: Mapping[str, str] | None = None,
     modes: Mapping[str, str] = MODE_LABELS,
 ) -> dict[str, DataFrame]:
     """Import all results below ``folder`` and prepare every panel's table."""

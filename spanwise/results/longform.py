@@ -40,6 +40,13 @@ SETTINGS_COLUMNS = (
 )
 SEPARATOR = " &&& "
 OVERALL = "overall"
+# Variables whose count is the size of their stratum.
+STRATUM_COUNTS = (
+    "number records",
+    "number subjects",
+    "Number records in observation",
+    "Denominator",
+)
 PACKAGE = ("spanwise", "0.1.0")
 
 RESULT_SCHEMA = T.StructType(
@@ -196,8 +203,10 @@ def suppress(result: SummarisedResult, min_cell_count: int = 5) -> SummarisedRes
     """Blank small counts and all that could give them away.
 
     A count between 1 and ``min_cell_count - 1`` is blanked together with every
-    estimate of the same cell; when it counts the subjects or records of a
-    stratum, the whole stratum is blanked. Zero stays.
+    estimate of the same cell; when it counts the subjects or records that a
+    stratum is about, the whole stratum is blanked: the person-days of few periods,
+    and the rates and limits of a small denominator, from which it could be
+    worked out, go with it. Zero stays.
     """
     value = F.col("estimate_value").try_cast("double")
     small = (
@@ -205,7 +214,7 @@ def suppress(result: SummarisedResult, min_cell_count: int = 5) -> SummarisedRes
         & (value > 0)
         & (value < F.lit(min_cell_count))
     )
-    base = F.col("variable_name").isin("number records", "number subjects")
+    base = F.col("variable_name").isin(*STRATUM_COUNTS)
     stratum = [
         "result_id",
         "cdm_name",

@@ -8,7 +8,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanwise.results.longform import OVERALL, PAIRS, SEPARATOR, SummarisedResult
+from spanwise.results.longform import (
+    OVERALL,
+    PAIRS,
+    SEPARATOR,
+    SETTINGS_COLUMNS,
+    SummarisedResult,
+)
 
 ESTIMATE = ("estimate_name", "estimate_type", "estimate_value")
 
@@ -79,6 +85,8 @@ def pivot_estimates(
     if estimates is None:
         pairs = rows.select("estimate_name", "estimate_type").distinct().collect()
         estimates = {n: t for n, t in sorted((p[0], p[1]) for p in pairs)}
+        if len(estimates) < len(pairs):
+            raise ValueError("an estimate occurs with more than one type")
     keys = [c for c in rows.columns if c not in ESTIMATE]
     wide = rows.groupBy(*keys).pivot("estimate_name", list(estimates)).agg(
         F.first("estimate_value")
@@ -96,26 +104,13 @@ def tidy(
     estimates: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Split pairs, settings and estimates into columns of one wide table."""
-    free = [c for c in result.settings.columns if c not in _BOOKKEEPING]
+    free = [c for c in result.settings.columns if c not in SETTINGS_COLUMNS]
     rows = split_all(result.rows, columns)
     free = [c for c in free if c not in rows.columns]
     wide = add_settings(rows, result.settings, free).drop("result_id")
     return pivot_estimates(wide, estimates)
 
 
-# Settings that describe the making of a result, not its content.
-_BOOKKEEPING = (
-    "result_id",
-    "result_type",
-    "package_name",
-    "package_version",
-    "group",
-    "strata",
-    "additional",
-    "min_cell_count",
-)
-
-
 def format_values(rows: DataFrame, decimals: Mapping[str, int]) -> DataFrame:
     """Estimate values as text with thousands marks and decimals by type."""
     number = F.col("estimate_value").try_cast("double")

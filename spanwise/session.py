@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
-def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
-    """A local session for tests and the benchmark."""
+def local_session(
+    cores: int | str = "*", partitions: int = 8, folder: str | None = None
+) -> SparkSession:
+    """A local session for tests and the benchmark; ``folder`` is where it keeps tables."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("spanwise")
@@ -23,23 +26,36 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    if folder is not None:
+        spark.sparkContext.setCheckpointDir(folder)
     return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
-
-    A machine-local folder is only ever chosen in local mode; on a cluster the
-    setting must be there, as executors on other machines write to it.
-    """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if folder:
-        return folder
-    if not context.master.startswith("local"):
+    """The folder named by ``spark.checkpoint.dir``, which all executors share."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = folder or spark.sparkContext.getCheckpointDir()
+    if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="spanwise-"))
-    return context.getCheckpointDir()
+    return folder
+
+
+# Set while a run keeps its tables in a folder of its own.
+_run_folder: ContextVar[str | None] = ContextVar("run_folder", default=None)
+
+
+@contextmanager
+def run_folder(spark: SparkSession, name: str) -> Iterator[str]:
+    """Tables written inside go to one folder, which is deleted at the end."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    token = _run_folder.set(path)
+    try:
+        yield path
+    finally:
+        _run_folder.reset(token)
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        system.delete(place, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -49,16 +65,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     and not a recomputation, and later jobs prune its columns.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = _run_folder.get() or shared_folder(spark).rstrip("/")
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def broadcast_if_small(df: DataFrame, most: int = 200_000) -> DataFrame:
-    """``df`` marked for broadcast when it has at most ``most`` rows.
-
-    The rows are counted first, up to the limit and no further. A larger table
-    is returned as it is and joined by a shuffle, with the same result.
-    """
-    few = df.limit(most + 1).count() <= most
-    return F.broadcast(df) if few else df

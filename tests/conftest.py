@@ -15,8 +15,8 @@ SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(8, partitions=4)
+def spark(tmp_path_factory):
+    session = local_session(8, partitions=4, folder=str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()
 

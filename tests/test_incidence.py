@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from spanwise.functions import poisson
 from spanwise.functions.poisson import poisson_limits
 from spanwise.operators import cohorts
+from spanwise.operators import incidence as incidence_operator
 from spanwise.operators.incidence import incidence, with_rates
 
 FOLLOW = "mode string, person_id long, sex string, age_group string, start_date date, end_date date"
@@ -165,12 +166,64 @@ def test_outcomes_start_in_an_original_period(make_cdm):
         observation_period=[(1, 1, day("2000-01-01"), day("2000-12-31"), 0)],
     )
     codes = cohorts.ingredient_codelist(cdm, ["amoxy"])
-    assert rows_of(codes) == [("Amoxy", 11), ("Amoxy", 9)]
+    # The codelist has the name it was asked for by.
+    assert rows_of(codes) == [("amoxy", 11), ("amoxy", 9)]
     eras = cohorts.drug_outcomes(cdm, codes, gap_era=1)
     assert rows_of(eras, "outcome", "start_date", "end_date") == [
-        ("Amoxy", day("2000-01-01"), day("2000-01-06")),
-        ("Amoxy", day("2000-01-08"), day("2000-01-08")),
+        ("amoxy", day("2000-01-01"), day("2000-01-06")),
+        ("amoxy", day("2000-01-08"), day("2000-01-08")),
     ]
+    spark = eras.sparkSession
+    follow = spark.createDataFrame([("m", 1, "Male", "0 to 150", day("2000-01-01"), day("2000-12-31"))], FOLLOW)
+    table = incidence(follow, eras, ["amoxy"], washout=0, intervals=["overall"])
+    both = table.filter("sex = 'Both'").first()
+    assert (both["outcome_count"], both["person_days"], both["year"]) == (2, 366 - 5, None)
+    with pytest.raises(Exception, match="not asked for"):
+        incidence(follow, eras, ["Amoxy"], washout=0).collect()
+
+
+def test_exposures_of_a_person_with_many_periods(make_cdm):
+    """Nested, inverted and open-ended periods; an exposure needs one that holds it."""
+    first = day("2000-01-01")
+    spans = [(i, 1, first + dt.timedelta(i), first + dt.timedelta(i + 1), 0) for i in range(0, 2000, 4)]
+    spans += [(9000, 1, day("2010-01-01"), day("2009-01-01"), 0), (9001, 1, day("2011-01-01"), None, 0)]
+    drugs = [(1, 9, first + dt.timedelta(i), None) for i in range(0, 2000)]
+    drugs += [(1, 9, day("2009-06-01"), None), (1, 9, day("2011-02-01"), None)]
+    cdm = make_cdm(
+        concept=[(9, "Amoxy", "Ingredient")],
+        concept_ancestor=[(9, 9)],
+        drug_exposure=drugs,
+        observation_period=spans,
+    )
+    eras = cohorts.drug_outcomes(cdm, cohorts.ingredient_codelist(cdm, ["Amoxy"]), gap_era=0)
+    # Two days of each four are covered; eras that share no day stay apart.
+    wanted = [first + dt.timedelta(i + k) for i in range(0, 2000, 4) for k in (0, 1)]
+    assert sorted(r[0] for r in rows_of(eras, "start_date")) == wanted
+
+
+def test_incidence_of_a_person_with_very_many_periods(spark):
+    """Rows grow with periods plus events, not with their product."""
+    first = dt.date(1990, 1, 1)
+    follow = [
+        ("m", 1, "Male", "0 to 150", first + dt.timedelta(i % 5000), first + dt.timedelta(i % 5000 + 20))
+        for i in range(10_000)
+    ]
+    events = [("one", 1, first + dt.timedelta(5 * i), first + dt.timedelta(5 * i)) for i in range(1_000)]
+    periods, outcomes = spark.createDataFrame(follow, FOLLOW), spark.createDataFrame(events, OUTCOME)
+    table = incidence(periods, outcomes, ["one"], washout=1, intervals=["overall"])
+    row = table.filter("sex = 'Both'").first()
+    days = {dt.timedelta(5 * i + 1) + first for i in range(1_000)}
+    wanted_days = sum(
+        sum((a + dt.timedelta(k)) not in days for k in range(21)) for *_, a, _ in follow
+    )
+    starts = {dt.timedelta(5 * i) + first for i in range(1_000)}
+    wanted_events = sum(sum((a + dt.timedelta(k)) in starts for k in range(21)) for *_, a, _ in follow)
+    assert (row["person_days"], row["outcome_count"]) == (wanted_days, wanted_events)
+    knots = incidence_operator._knots(incidence_operator.events_and_rest(outcomes, 1), ["one"])
+    bounds = incidence_operator._bounds(periods, ["overall"])
+    assert knots.count() <= 2_000 and bounds.count() <= 10_100
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
 
 
 def test_limits_travel_without_the_package(tmp_path):

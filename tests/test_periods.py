@@ -164,3 +164,24 @@ def test_binding_from_folders(spark, make_cdm, tmp_path):
         Cdm.from_parquet(spark, str(tmp_path / "nowhere"))
     with pytest.raises(KeyError):
         bound["unknown"]
+
+
+def test_dirty_source_periods_hold_no_person_time(make_cdm):
+    """Inverted, open-ended and person-less periods stay in the table and hold no days."""
+    from spanwise.operators.person_time import in_observation
+
+    cdm = make_cdm(
+        person=[(1, 8507, 1980, 1, 1)],
+        observation_period=[
+            (1, 1, day("2001-03-01"), day("1999-06-01"), 0),
+            (2, 1, day("2002-01-01"), None, 0),
+            (3, 1, day("2003-01-01"), day("2003-01-10"), 0),
+            (4, None, day("2003-01-01"), day("2003-01-10"), 0),
+        ],
+    )
+    spans = P.original_periods(cdm).withColumn("mode", F.lit("original_data"))
+    assert spans.count() == 4
+    table = in_observation(spans.filter("person_id IS NOT NULL"), cdm).filter("sex = 'overall' AND age_group = 'overall'")
+    assert [(r["year"], r["records"], r["person_days"]) for r in table.collect()] == [(2003, 1, 10)]
+    numbered = P.number_periods(spans, buckets=7)
+    assert sorted(r["observation_period_id"] for r in numbered.collect()) == [1, 2, 3, 4]

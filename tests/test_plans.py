@@ -65,11 +65,27 @@ def test_merging_pre_aggregates_before_the_first_shuffle(spark, large_plans):
     assert re.search(r"Exchange hashpartitioning\(person_id#\d+L, start_date#\d+.*\n.*partial_max", plan)
 
 
-def test_split_follow_up_is_not_shuffled(spark, large_plans):
+def test_split_follow_up_is_added_up_before_it_is_shuffled(spark, large_plans):
     cdm, spans = all_periods(spark, SMALL)
     table = incidence(study_follow_up(spans, cdm, STUDY), outcome_cohorts(cdm, STUDY), STUDY.ingredients)
-    keys = [k for _, k in exchanges(plan_of(table))]
-    assert not [k for k in keys if "year" in k and "person_id" in k]
+    plan = plan_of(table)
+    # The bounds meet the events in one window per person, after a sum in the task that made them.
+    assert re.search(r"Exchange hashpartitioning\(person_id#\d+L, mode.*\n.*partial_sum\(sign", plan)
+    assert len([k for _, k in exchanges(plan) if "year" in k and "person_id" in k]) == 1
+
+
+def test_records_are_read_once_for_all_features(spark, large_plans):
+    from spanwise.operators.features import daily_counts
+
+    plan = plan_of(daily_counts(fixture_cdm(spark, SMALL)))
+    assert plan.count("lineitem.parquet") == 1
+    # The periods' features start from that table, written once; no record table is read again.
+    assert "lineitem.parquet" not in plan_of(QUERIES["period_features"](spark, SMALL))
+
+
+def test_exposures_are_not_joined_with_periods(spark, large_plans):
+    plan = plan_of(QUERIES["drug_outcome_eras"](spark, SMALL))
+    assert "observed_from" not in plan and "LeftSemi" not in plan
 
 
 def test_scans_read_only_needed_columns(spark):

@@ -220,3 +220,25 @@ def test_paper_patch(spark):
     )
     table = prepare.paper_person_years(rows, patch=("db", "Bespoke", "Other"))
     assert rows_of(table, "mode", "count", "person-years") == [("Bespoke", 730, 2.0), ("Other", 0, 0.0)]
+
+
+def test_suppressed_counts_cannot_be_worked_out(spark):
+    """With a small denominator no estimate of the stratum is left, nor person-days of few periods."""
+    rows = [
+        ("a", "Denominator", "denominator_count", "integer", "3"),
+        ("a", "Denominator", "person_years", "numeric", "7.5"),
+        ("a", "Outcome", "outcome_count", "integer", "0"),
+        ("a", "Outcome", "incidence_100000_pys_95CI_upper", "numeric", "49185.1"),
+        ("b", "Number records in observation", "count", "integer", "2"),
+        ("b", "Number person-days", "count", "integer", "420"),
+        ("c", "Denominator", "denominator_count", "integer", "30"),
+        ("c", "Outcome", "outcome_count", "integer", "0"),
+    ]
+    long = [
+        (1, "db", "g", g, "overall", "overall", v, None, e, k, x, "overall", "overall") for g, v, e, k, x in rows
+    ]
+    table = spark.createDataFrame(long, longform.RESULT_SCHEMA)
+    settings = longform.settings_table(spark, "incidence", [{"mode": "m"}])
+    left = longform.suppress(longform.SummarisedResult(table, settings), 5).rows
+    shown = {(r["group_level"], r["variable_name"], r["estimate_name"]) for r in left.filter("estimate_value IS NOT NULL").collect()}
+    assert shown == {("c", "Denominator", "denominator_count"), ("c", "Outcome", "outcome_count")}
