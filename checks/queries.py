@@ -412,55 +412,69 @@ def snapshot(spark, folder):
 
 O.define(
     "lengths",
-    """SELECT mode, CAST(end_date - start_date + 1 AS DOUBLE) AS value
-       FROM all_periods""",
+    " UNION ALL ".join(
+        f"SELECT mode, '{v}' AS variable, CAST({v} AS DOUBLE) AS value FROM feats"
+        f" WHERE {v} IS NOT NULL"
+        for v in NUMERIC_VARIABLES
+    ),
 )
 O.define(
     "shapes",
-    """SELECT mode, size, width, low - 3 * width AS origin,
+    """SELECT mode, variable, size, width, low - 3 * width AS origin,
               (high - low + 6 * width) / 511 AS step
-       FROM (SELECT mode, size, low, high, 0.9 * pow(size, -0.2)
+       FROM (SELECT mode, variable, size, low, high, 0.9 * pow(size, -0.2)
                * CASE WHEN least(sd, iqr / 1.34) > 0 THEN least(sd, iqr / 1.34)
                       WHEN sd > 0 THEN sd WHEN abs(high) > 0 THEN abs(high)
                       ELSE 1 END AS width
-             FROM (SELECT mode, count(*) AS size, min(value) AS low, max(value) AS high,
-                          stddev_samp(value) AS sd, quantile_cont(value, 0.75)
-                            - quantile_cont(value, 0.25) AS iqr
-                   FROM lengths GROUP BY mode))""",
+             FROM (SELECT mode, variable, count(*) AS size, min(value) AS low,
+                          max(value) AS high, stddev_samp(value) AS sd,
+                          quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr
+                   FROM lengths GROUP BY mode, variable))""",
 )
 O.define(
     "placed",
-    """SELECT l.mode, (value - origin) / step AS place FROM lengths l
-       JOIN shapes s ON l.mode = s.mode""",
+    """SELECT l.mode, l.variable, (value - origin) / step AS place FROM lengths l
+       JOIN shapes s ON l.mode = s.mode AND l.variable = s.variable""",
 )
 O.define(
     "masses",
-    """SELECT mode, slot, sum(mass) AS mass FROM (
-         SELECT mode, CAST(floor(place) AS INT) AS slot, 1 - (place - floor(place)) AS mass
-         FROM placed
+    """SELECT mode, variable, slot, sum(mass) AS mass FROM (
+         SELECT mode, variable, CAST(floor(place) AS INT) AS slot,
+                1 - (place - floor(place)) AS mass FROM placed
          UNION ALL
-         SELECT mode, CAST(floor(place) AS INT) + 1, place - floor(place) FROM placed)
-       GROUP BY mode, slot""",
+         SELECT mode, variable, CAST(floor(place) AS INT) + 1, place - floor(place)
+         FROM placed) GROUP BY mode, variable, slot""",
 )
 
 
 @register(
-    "density_duration",
-    """SELECT s.mode, 'duration' AS variable, CAST(g.point AS INT) AS point,
-              round(any_value(origin + g.point * step), 6) AS density_x,
-              round(sum(mass / size * exp(-pow((g.point - slot) * step / width, 2) / 2)
-                    / (width * sqrt(2 * pi()))), 9) AS density_y
-       FROM masses m JOIN shapes s ON m.mode = s.mode
-       CROSS JOIN (SELECT unnest(range(0, 512)) AS point) g
-       GROUP BY s.mode, g.point""",
-)
-def density_duration(spark, folder):
-    spans = all_periods(spark, folder)[1]
-    length = F.datediff("end_date", "start_date") + 1
-    rows = spans.select("mode", length.alias("duration"))
-    frequencies = summaries.value_frequencies(rows, ["duration"])
-    table = density.density(frequencies, ["mode", "variable"])
-    return rounded(rounded(table, "density_x"), "density_y", digits=9)
+    "density",
+    """SELECT s.mode, s.variable AS variable_name, estimate_name,
+              CAST(point AS VARCHAR) AS variable_level,
+              round(CASE estimate_name WHEN 'density_x' THEN x ELSE y END, 6) AS num
+       FROM (SELECT s.mode, s.variable, g.point,
+                    any_value(origin + g.point * step) AS x,
+                    sum(mass / size * exp(-pow((g.point - slot) * step / width, 2) / 2)
+                        / (width * sqrt(2 * pi()))) AS y
+             FROM masses m JOIN shapes s ON m.mode = s.mode AND m.variable = s.variable
+             CROSS JOIN (SELECT unnest(range(0, 512)) AS point) g
+             GROUP BY s.mode, s.variable, g.point) s
+       CROSS JOIN (SELECT unnest(['density_x', 'density_y']) AS estimate_name)""",
+)
+def density_of_features(spark, folder):
+    cdm = clinical(spark, folder)
+    frequencies = summaries.value_frequencies(written(spark, folder, "features"))
+    result = study.density_result(
+        density.density(frequencies, ["mode", "variable"]), cdm
+    )
+    rows = reshape.add_settings(result.rows, result.settings, ["mode"])
+    return rows.select(
+        "mode",
+        "variable_name",
+        "estimate_name",
+        "variable_level",
+        F.round(F.col("estimate_value").cast("double"), 6).alias("num"),
+    )
 
 
 # Cohorts and incidence -----------------------------------------------------
@@ -1079,6 +1093,19 @@ def paper_table(spark, folder):
     ).filter(F.col("estimate_value").isNotNull())
 
 
+@register(
+    "paper_table_by_database",
+    f"""SELECT mode, variable_name, estimate_name,
+               max(estimate_value) AS "{STUDY.cdm_name}"
+        FROM ({SQL["paper_table"]}) GROUP BY ALL""",
+)
+def paper_table_by_database(spark, folder):
+    part = of_type(spark, folder, "summarise_table")
+    table = prepare.paper_table_by_database(part)
+    labels = table.select("mode", "variable_name", "estimate_name", STUDY.cdm_name)
+    return labels.filter(F.col(STUDY.cdm_name).isNotNull())
+
+
 O.define(
     "simple_cells",
     f"""SELECT cdm_name, s.mode, variable_name, variable_level,
@@ -1181,22 +1208,64 @@ def per_thousand(spark, folder):
 
 @register(
     "subset_panels",
-    """SELECT CASE WHEN result_id <= 14 THEN 'first' ELSE 'last' END AS panel,
-              count(*) AS result_rows, count(DISTINCT result_id) AS result_ids
-       FROM safe_all WHERE result_id <= 14 OR result_id >= 262 GROUP BY ALL""",
+    f"""SELECT CASE WHEN result_id <= 14 THEN 'first' ELSE 'last' END AS panel, {LONG}
+        FROM safe_all WHERE result_id <= 14 OR result_id >= 262""",
 )
 def subset_panels(spark, folder):
     parts = selection.subset(
         imported(spark, folder), {"first": range(1, 15), "last": range(262, 275)}
     )
-    counted = [
-        part.rows.agg(
-            F.count("*").alias("result_rows"),
-            F.countDistinct("result_id").alias("result_ids"),
-        ).withColumn("panel", F.lit(name))
-        for name, part in parts.items()
-    ]
-    return records.stack(counted)
+    return records.stack(
+        [
+            comparable(part.rows).withColumn("panel", F.lit(name))
+            for name, part in parts.items()
+        ]
+    )
+
+
+CHOSEN = ("original_data", "min_max")
+
+
+@register(
+    "select_characteristics",
+    f"""SELECT {LONG} FROM safe_tables WHERE variable_name IN ('duration', 'age_start')
+          AND cdm_name = '{STUDY.cdm_name}' AND result_id IN (
+            SELECT result_id FROM sets WHERE mode IN {CHOSEN})""",
+)
+def select_characteristics(spark, folder):
+    part = of_type(spark, folder, "summarise_table")
+    chosen = selection.filter_result(
+        part,
+        settings={"mode": CHOSEN},
+        grouping={"cdm_name": [STUDY.cdm_name]},
+        variable_name=["duration", "age_start"],
+    )
+    # A selection without rows has no settings either, and adds none here.
+    nothing = selection.filter_result(part, variable_name=["no such variable"])
+    ids = chosen.settings.select("result_id").unionByName(
+        nothing.settings.select("result_id")
+    )
+    return comparable(chosen.rows.join(ids, "result_id"))
+
+
+@register(
+    "select_incidence",
+    f"""SELECT * REPLACE (round(num, 4) AS num) FROM prepared_incidence
+        WHERE cdm_name = '{STUDY.cdm_name}' AND outcome = '{STUDY.ingredients[0]}'
+          AND age_group IN ('overall', '20 to 39') AND sex = 'Female'
+          AND analysis_interval = 'years' AND mode IN {CHOSEN}""",
+)
+def select_incidence(spark, folder):
+    rows = selection.select_rows(
+        _prepared_incidence(spark, folder),
+        cdm_name=[STUDY.cdm_name],
+        outcome=[STUDY.ingredients[0]],
+        age_group=["overall", "20 to 39"],
+        sex=["Female"],
+        analysis_interval=["years"],
+        mode=CHOSEN,
+    )
+    return comparable(rows).drop("txt")
 
 
 @register(

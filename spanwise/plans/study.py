@@ -187,6 +187,17 @@ def per_person_result(table: DataFrame, cdm: Cdm, modes=MODES) -> SummarisedResu
     return summarised(rows, _modes(cdm.spark, "summarise_table", modes), ["mode"])
 
 
+def density_result(table: DataFrame, cdm: Cdm, modes=MODES) -> SummarisedResult:
+    """Smoothed densities as long rows: a pair of estimates for each point of a variable."""
+    variable, point = F.col("variable"), F.col("point")
+    estimates = [
+        (variable, point, name, "numeric", F.col(name))
+        for name in ("density_x", "density_y")
+    ]
+    rows = to_rows(table, cdm.name, estimates)
+    return summarised(rows, _modes(cdm.spark, "summarise_table", modes), ["mode"])
+
+
 def incidence_result(table: DataFrame, cdm: Cdm, modes=MODES) -> SummarisedResult:
     """Incidence as long rows, one result per mode and denominator cohort."""
     group = ("denominator_cohort_name", "outcome_cohort_name")

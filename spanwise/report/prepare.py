@@ -174,6 +174,19 @@ def paper_table(
     return kept.orderBy("order_id").select("variable_name", *others)
 
 
+def paper_table_by_database(
+    result: SummarisedResult,
+    variables: Mapping[str, str] = PAPER_VARIABLES,
+    left_out: str = PAPER_LEFT_OUT,
+) -> DataFrame:
+    """The paper's characteristics with a column per database, definitions as groups."""
+    rows = paper_table(result, variables, left_out)
+    shown = rows.select(
+        "mode", "variable_name", "estimate_name", "cdm_name", "estimate_value"
+    )
+    return format_header(shown, ["cdm_name"])
+
+
 def paper_person_years(
     in_obs: DataFrame,
     first_year: int = 2012,
@@ -185,7 +198,7 @@ def paper_person_years(
 
     ``patch`` is ``(database, mode, new mode)``: the rows of that database and
     mode are repeated with a count of zero under the new mode, to draw a line
-    for a definition that the database cannot have.
+    for a definition that the database cannot have. Rows come sorted by definition.
     """
     rows = in_obs.filter(
         (F.col("variable_name") == "Number person-days")
@@ -205,7 +218,7 @@ def paper_person_years(
             "person-years": F.col("count") / days_per_year,
             "OP definition": F.col("mode"),
         }
-    )
+    ).orderBy("OP definition")
 
 
 def incidence_estimates(rows: DataFrame) -> DataFrame:
@@ -218,10 +231,7 @@ def incidence_estimates(rows: DataFrame) -> DataFrame:
 
 
 def paper_incidence(
-    rows: DataFrame,
-    outcome: str = "ciprofloxacin",
-    year: int = 2023,
-    without: Sequence[str] = ("CPRD AURUM 50",),
+    rows: DataFrame, outcome: str, year: int, without: Sequence[str] = ()
 ) -> DataFrame:
     """Rates of one outcome and year over all ages and both sexes."""
     chosen = select_rows(

@@ -104,23 +104,26 @@ class Cdm:
         schema: str,
         person_id_range: tuple[int, int],
         partitions: int,
-        tables: Sequence[str] = (*REQUIRED_TABLES, "concept", "concept_ancestor"),
+        tables: Sequence[str] = (*REQUIRED_TABLES, *OPTIONAL_TABLES),
         properties: Mapping[str, str] | None = None,
         **options,
     ) -> Cdm:
-        """Bind database tables, read in ``partitions`` slices of ``person_id``."""
+        """Bind database tables; those of persons are read in slices of ``person_id``.
+
+        The bounds are those of the persons, so a table without persons is read whole.
+        """
         low, high = person_id_range
-        keys = {"concept": "concept_id", "concept_ancestor": "descendant_concept_id"}
+        slices = {
+            "column": "person_id",
+            "lowerBound": low,
+            "upperBound": high,
+            "numPartitions": partitions,
+        }
 
         def read(table):
+            sliced = {} if table in OPTIONAL_TABLES else slices
             return spark.read.jdbc(
-                url,
-                f"{schema}.{table}",
-                column=keys.get(table, "person_id"),
-                lowerBound=low,
-                upperBound=high,
-                numPartitions=partitions,
-                properties=dict(properties or {}),
+                url, f"{schema}.{table}", properties=dict(properties or {}), **sliced
             )
 
         return cls.from_tables(spark, {t: read(t) for t in tables}, **options)

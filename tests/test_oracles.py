@@ -2,8 +2,9 @@
 
 import pytest
 
-from __spark_entry__ import oracle_sql, queries
+from __spark_entry__ import queries
 from checks.compare import connect, differences
+from checks.queries import QUERIES, SQL
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -14,9 +15,10 @@ def database():
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(queries())
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, database, name):
-    assert differences(name, spark, SMALL, database, queries(), oracle_sql()) == []
+    assert differences(name, spark, SMALL, database, QUERIES, SQL) == []
