@@ -58,7 +58,7 @@ def run_folder(spark: SparkSession, name: str) -> Iterator[str]:
         system.delete(place, True)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` under the shared folder and return the table read back.
 
     The written table replaces the lineage, so a lost executor costs a re-read
@@ -67,5 +67,5 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     folder = _run_folder.get() or shared_folder(spark).rstrip("/")
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
