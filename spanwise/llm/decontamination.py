@@ -95,7 +95,7 @@ class Benchmark:
     def __init__(self, ids: list[int], texts: list[str]) -> None:
         hashes, sizes, ends = words(pa.array(texts, pa.string()), NOT_ALNUM)
         by_size: dict[int, list[tuple]] = {}
-        for i, (begin, end) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
+        for i, (begin, end) in enumerate(zip([0, *ends.tolist()], ends.tolist(), strict=False)):
             if end > begin:
                 n = min(SHINGLE, end - begin)
                 grams = shingles(hashes[begin:end], n)

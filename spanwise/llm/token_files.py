@@ -19,6 +19,8 @@ from spanwise.session import materialise, shared_folder
 END = 0
 # A file is closed once it holds so many ids.
 FILE_IDS = 2_000_000
+# Stands in the files for a document without ``doc_id``.
+NO_ID = -(1 << 63)
 MAGIC = b"SWIDS\x01\x00\x00"
 
 # One file: MAGIC, five 64-bit counts (documents, ids, control bytes, data bytes, control bits per id), the
@@ -34,19 +36,22 @@ def control_bits(vocabulary: int) -> int:
 
 def encode(ranks: np.ndarray, bits: int) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of ``ranks`` (below 2^16 with one bit, 2^32 with two)."""
-    ranks = ranks.astype("<u4")
+    width = 4 if bits == 2 else 2
+    ranks = ranks.astype(f"<u{width}")
     extra = (ranks > 0xFF).astype(np.uint8)
     if bits == 2:
         extra += (ranks > 0xFFFF).astype(np.uint8) + (ranks > 0xFFFFFF).astype(np.uint8)
     per = 8 // bits
     padded = np.zeros(-(-len(ranks) // per) * per, np.uint8)
     padded[: len(ranks)] = extra
-    control = np.zeros(len(padded) // per, np.uint8)
-    for i in range(per):
-        control |= padded[i::per] << np.uint8(bits * i)
-    width = 4 if bits == 2 else 2
-    kept = np.arange(width) <= extra[:, None]
-    return control.tobytes(), ranks.view(np.uint8).reshape(-1, 4)[:, :width][kept].tobytes()
+    if bits == 1:
+        control = np.packbits(padded, bitorder="little")
+    else:
+        control = (padded.reshape(-1, per) << (bits * np.arange(per, dtype=np.uint8))).sum(axis=1, dtype=np.uint8)
+    kept = np.ones((len(ranks), width), bool)
+    for i in range(1, width):
+        kept[:, i] = extra >= i
+    return control.tobytes(), ranks.view(np.uint8).reshape(-1, width)[kept].tobytes()
 
 
 def decode(control: bytes, data: bytes, count: int, bits: int) -> np.ndarray:
@@ -54,12 +59,15 @@ def decode(control: bytes, data: bytes, count: int, bits: int) -> np.ndarray:
     per = 8 // bits
     table = (np.arange(256)[:, None] >> (bits * np.arange(per))) & ((1 << bits) - 1)
     extra = table.astype(np.uint8)[np.frombuffer(control, np.uint8)].reshape(-1)[:count]
-    at = np.cumsum(extra, dtype=np.int32) + np.arange(count, dtype=np.int32) - extra
+    at = np.cumsum(extra, dtype=np.int32)
+    at += np.arange(count, dtype=np.int32)
+    at -= extra
     # Reading past a rank's own bytes needs padding at the end.
     content = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(4, np.uint8)])
     ranks = content[at].astype(np.uint32)
     for i in range(1, 4 if bits == 2 else 2):
-        ranks |= np.where(extra >= i, content[at + i], 0).astype(np.uint32) << np.uint32(8 * i)
+        at += 1
+        ranks += (content[at] * (extra >= i)).astype(np.uint32) << np.uint32(8 * i)
     return ranks
 
 
@@ -68,8 +76,8 @@ def write(docs: DataFrame, tokenizer: str, vocabulary: int, folder: str, end: in
 
     Each document's ids are followed by ``end``. Ids are ranked by their counts over
     the whole table (ties by id), so that the commonest take one byte. A null text is
-    empty; rows with the same ``doc_id`` follow each other by text; an empty table
-    gives no file. Other columns are not read.
+    empty; rows with the same ``doc_id`` follow each other by text, those without one
+    come first and are read back without one; an empty table gives no file. Other columns are not read.
     """
     spark = docs.sparkSession
     kind, bits = ("<u2" if vocabulary <= 1 << 16 else "<u4"), control_bits(vocabulary)
@@ -98,7 +106,7 @@ def write(docs: DataFrame, tokenizer: str, vocabulary: int, folder: str, end: in
         .repartition(F.col("bucket"))
         .sortWithinPartitions("bucket", "doc_id", "text")
     )
-    tokens = materialise(ordered.mapInArrow(tokenise, "bucket int, doc_id long, ids binary"), "token-ids")
+    tokens = materialise(ordered.mapInArrow(tokenise, "bucket int, doc_id long, ids binary"), "token-ids", "zstd")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,6 +141,7 @@ def write(docs: DataFrame, tokenizer: str, vocabulary: int, folder: str, end: in
         current, held = None, 0
         for batch in batches:
             for bucket, doc, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                doc = NO_ID if doc is None else doc
                 # A new bucket, and a split that begins elsewhere, need not follow what came before.
                 if rows and (bucket != current or doc < rows[-1][0] or held >= FILE_IDS):
                     done.append(close(rows))
@@ -166,9 +175,9 @@ def read(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
                 docs, ids, ends = parse(get(folder, name), by_rank)
                 begins = np.concatenate([[0], ends[:-1]])
                 sums = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
-                columns = [docs, start + begins, ends - begins, np.array(sums, np.int64)]
-                names = ["doc_id", "start", "n_tokens", "ids_crc32"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+                columns = [start + begins, ends - begins, np.array(sums, np.int64)]
+                arrays = [pa.array(docs, pa.int64(), mask=docs == NO_ID), *(pa.array(c, pa.int64()) for c in columns)]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     listed = spark.createDataFrame(rows, "file string, ranks string, start long")
     return listed.repartition(max(1, len(rows)), "file").mapInArrow(load, READ)

@@ -17,14 +17,14 @@ import pyarrow.compute as pc
 BETWEEN_WORDS = re.compile(r" (?<=\S )(?=\S)")
 # White space of either kind, as a class of a pattern that knows no Unicode classes.
 WHITE = r"\x00-\x20\x7f-\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-# Texts in which some space is not such a place.
-SPACE_BESIDE_SPACE = rf"^$|^ | $|[{WHITE}] | [{WHITE}]"
+# Words beside which a space is not such a place.
+SPACE_AT_EDGE = rf"^$|^[{WHITE}]|[{WHITE}]$"
 # Work on so many characters at a time, whatever the size of a batch.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 6_000_000
 # So many words are given to the tokenizer as one text.
 RUN = 8192
 # Known words are forgotten beyond so many characters; they are then encoded anew, with the same ids.
-MEMORY_CHARS = 16_000_000
+MEMORY_CHARS = 14_000_000
 
 
 def process_memory() -> dict:
@@ -106,15 +106,18 @@ class TextEncoder:
 
     def _codes(self, words: list[str], known: dict[str, int], prefix: str) -> np.ndarray:
         """Numbers of ``words``; those met for the first time are encoded."""
-        new = [w for w in words if w not in known]
-        if new:
-            new = list(dict.fromkeys(new))
+        codes = list(map(known.get, words))
+        unknown = [i for i, c in enumerate(codes) if c is None]
+        if unknown:
+            new = list(dict.fromkeys(words[i] for i in unknown))
             if prefix == " ":
                 for i in range(0, len(new), RUN):
                     self._learn_run(new[i : i + RUN], known)
             else:
                 self._learn(new, self._ids([prefix + w for w in new]), known)
-        return np.fromiter(map(known.__getitem__, words), np.int32, len(words))
+            for i in unknown:
+                codes[i] = known[words[i]]
+        return np.array(codes, np.int32)
 
     def _learn_run(self, words: list[str], known: dict[str, int]) -> None:
         """Encode words that follow a space as one text, and tell them apart by their first or last ids."""
@@ -148,15 +151,20 @@ class TextEncoder:
         """All ids of the non-null ``texts`` one after another, and where each text's ids end."""
         if self.chars > MEMORY_CHARS:
             self._forget()
-        plain = pc.invert(pc.match_substring_regex(texts, SPACE_BESIDE_SPACE)).to_numpy(zero_copy_only=False)
-        words = pc.split_pattern(texts.filter(pa.array(plain)), " ")
+        words = pc.split_pattern(texts, " ")
         coded = words.flatten().dictionary_encode()
-        codes = self._codes(coded.dictionary.to_pylist(), self.later, " ")[coded.indices.to_numpy(zero_copy_only=False)]
-        begins = words.offsets.to_numpy()[:-1]
-        codes[begins] = self._codes(words.flatten().take(pa.array(begins)).to_pylist(), self.first, "")
-        counts = np.zeros(len(texts), np.int64)
-        counts[plain] = np.diff(words.offsets.to_numpy())
+        edged = pc.match_substring_regex(coded.dictionary, SPACE_AT_EDGE).to_numpy(zero_copy_only=False)
+        numbers = np.zeros(len(edged), np.int32)
+        numbers[~edged] = self._codes(coded.dictionary.filter(pa.array(~edged)).to_pylist(), self.later, " ")
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        codes = numbers[at]
+        begins, counts = words.offsets.to_numpy()[:-1], np.diff(words.offsets.to_numpy())
+        # Splitting a text gives one word at least.
+        plain = ~np.logical_or.reduceat(edged[at], begins) if len(texts) else np.zeros(0, bool)
+        opening = begins[plain]
+        codes[opening] = self._codes(words.flatten().take(pa.array(opening)).to_pylist(), self.first, "")
         if not plain.all():
+            codes = codes[np.repeat(plain, counts)]
             rest = [BETWEEN_WORDS.split(t) for t in texts.filter(pa.array(~plain)).to_pylist()]
             counts[~plain] = [len(r) for r in rest]
             mixed = np.empty(int(counts.sum()), np.int32)

@@ -157,7 +157,9 @@ class WarcReader(DataSourceReader):
     def partitions(self):
         return [Archive(name) for name in json.loads(get(self.folder, LIST))]
 
-    def read(self, partition: Archive):
+    def read(self, partition: Archive | None):
+        if partition is None:  # a folder without files
+            return
         content = memoryview(get(self.folder, partition.file))
         at = 0
         while at < len(content):
