@@ -163,10 +163,14 @@ define(
 
 
 def age(date: str) -> str:
-    return (
-        f"CAST(floor((year({date}) * 10000 + month({date}) * 100 + day({date})"
-        " - year(dob) * 10000 - month(dob) * 100 - day(dob)) / 10000.0) AS INT)"
-    )
+    """Birthdays reached: calendar years apart, less one if this year's is still to come.
+
+    Somebody born on 29 February is a year older on 1 March of other years.
+    """
+    years = f"date_diff('year', dob, {date})"
+    birthday = f"CASE WHEN month(dob) = 2 AND day(dob) = 29 THEN dob + 1 + to_years(CAST({years} AS INT)) ELSE dob + to_years(CAST({years} AS INT)) END"
+    leap = f"month({date}) = 2 AND day({date}) = 29 AND month(dob) = 2 AND day(dob) = 29"
+    return f"CAST({years} - CASE WHEN {birthday} > {date} AND NOT ({leap}) THEN 1 ELSE 0 END AS INT)"
 
 
 def band(value: str) -> str:

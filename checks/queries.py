@@ -1057,6 +1057,49 @@ def incidence_table(spark, folder):
     return kept.withColumnRenamed("estimate_name", "variable_estimate")
 
 
+O.define(
+    "incidence_year_cells",
+    f"""SELECT cdm_name, outcome, age_group, sex, year, mode,
+               max(CASE WHEN estimate_name = 'outcome_count'
+                   THEN {shown_sql(0, 2, 2)} END) AS n,
+               max(CASE WHEN estimate_name = 'denominator_count'
+                   THEN {shown_sql(0, 2, 2)} END) AS d,
+               max(CASE WHEN estimate_name = '{RATE}' THEN {shown_sql(0, 2, 2)} END) AS r,
+               max(CASE WHEN estimate_name = '{RATE}_95CI_lower'
+                   THEN {shown_sql(0, 2, 2)} END) AS lo,
+               max(CASE WHEN estimate_name = '{RATE}_95CI_upper'
+                   THEN {shown_sql(0, 2, 2)} END) AS hi
+        FROM (SELECT *, NULL AS txt FROM prepared_incidence
+              WHERE analysis_interval = 'years') GROUP BY ALL""",
+)
+O.define(
+    "incidence_year_shown",
+    """SELECT cdm_name, outcome, age_group, sex, year, mode, 'Outcomes' AS variable_estimate,
+              n AS estimate_value FROM incidence_year_cells WHERE n IS NOT NULL
+       UNION ALL SELECT cdm_name, outcome, age_group, sex, year, mode, 'Denominator', d
+       FROM incidence_year_cells WHERE d IS NOT NULL
+       UNION ALL SELECT cdm_name, outcome, age_group, sex, year, mode, 'Incidence',
+              r || ' [' || lo || ' - ' || hi || ']'
+       FROM incidence_year_cells WHERE r IS NOT NULL""",
+)
+
+
+@register(
+    "incidence_table_yearly",
+    spread_sql(
+        "incidence_year_shown", "outcome, age_group, sex, year, variable_estimate"
+    ),
+)
+def incidence_table_yearly(spark, folder):
+    rows = selection.select_rows(
+        _prepared_incidence(spark, folder), analysis_interval=["years"]
+    )
+    table = prepare.incidence_table(rows, "years")
+    labels = list(prepare.INCIDENCE_TEMPLATES)
+    kept = selection.select_rows(table, estimate_name=labels)
+    return kept.withColumnRenamed("estimate_name", "variable_estimate")
+
+
 O.define(
     "paper_cells",
     f"""SELECT cdm_name, s.mode, variable_name,
