@@ -22,15 +22,13 @@ BLOCK = 512
 PIVOTS = 12
 # Cost of a binary probe of a long list against a step of the merge.
 PROBE = 0.0085
-# Sizes of sets that are cut into equal numbers of ranges: each span reaches so far above its lower end.
-SPAN = 1.5
-
-# Values of ``n`` in rows of blocks, the pairs of a block, and the keys a task holds before it writes them.
-KEYS, EDGES = -1, -2
+ODD = U(0xD1342543DE82EF95)
+# The pairs of a block, and the keys a task holds before it hands them on.
 BLOCK_KEYS = 4096
 HELD_KEYS = 1_000_000
 
-SIGNED = "doc_id long, n long, d1 long, d2 long, first array<bigint>, second array<bigint>"
+SIGNED = "doc_id long, n long, d1 long, d2 long"
+KEYED = "keys array<bigint>, docs array<bigint>"
 
 
 class Rule:
@@ -74,6 +72,9 @@ class Signatures:
 
     def __init__(self, rule: Rule) -> None:
         self.rule = rule
+        # How far a span reaches above its lower end; spans overlap the less the farther they reach, and have
+        # the more ranges. This is about the least number of keys.
+        self.reach = 1 + 5 * (100 - rule.per_cent) / 100
         self.spans: list[tuple[int, int, int]] = []
         self._extend(64)
 
@@ -84,7 +85,7 @@ class Signatures:
                 # The next span begins where partners of its smallest sets are still in the one before.
                 low, high, _ = self.spans[-1]
                 low = next(a for a in range(low + 1, high + 2) if self.rule.largest(a) > high)
-            high = max(int(low * SPAN), self.rule.largest(low) + 1)
+            high = max(int(low * self.reach), self.rule.largest(low) + 1)
             most = max(self.rule.differences(high, high), self.rule.differences(high, high - 1))
             self.spans.append((low, high, most + 2))
 
@@ -109,51 +110,64 @@ class Signatures:
         return np.concatenate(found) if found else np.empty(0, U)
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.length(text).alias("size"))
+
+
+def _sets(batch: pa.RecordBatch, rule: Rule) -> Iterator[tuple[int | None, np.ndarray]]:
+    """Each ``doc_id`` of a batch of ``_texts`` with its set."""
+    for part in slices(batch.column(2).to_pylist()):
+        hashes, _, ends = words(batch.column(1)[part], SPACES)
+        begin = 0
+        for doc, end in zip(batch.column(0)[part].to_pylist(), ends.tolist(), strict=True):
+            yield doc, shingle_set(hashes[begin:end], rule.n)
+            begin = end
+
+
 def sign(docs: DataFrame, rule: Rule) -> DataFrame:
-    """Signed documents, blocks of keys, and blocks of edges, told apart by ``n``.
+    """Per row: ``doc_id``, the size ``n`` of its set, and a 128-bit digest of the set."""
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc, grams in _sets(batch, rule):
+                digest = (mix(grams).sum(dtype=U), mix(grams ^ STEP).sum(dtype=U))
+                rows.append((doc, len(grams), *(int(d.view(np.int64)) for d in digest)))
+            columns = zip(*rows, strict=True) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "n", "d1", "d2"])
+
+    return _texts(docs).mapInArrow(compute, SIGNED)
+
 
-    A document's row has the size ``n`` of its set and a 128-bit digest of it. What
-    shares a key within a task is brought together there: one document goes on with
-    the key and edges join the others to it, so that the rows of a key number no more
-    than the tasks, however many documents have it.
+def keyed(docs: DataFrame, rule: Rule) -> DataFrame:
+    """Blocks of pairs of a key and a document that has it.
+
+    What shares a key within a task is brought together there: the least document goes
+    on with the key, and the others share one more key with it, however many they have
+    in common. So the pairs of a key number no more than the tasks, however many
+    documents have it.
     """
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = Signatures(rule)
         held: list[tuple[int, np.ndarray]] = []
+        size = 0
         for batch in batches:
-            for part in slices(batch.column(2).to_pylist()):
-                hashes, _, ends = words(batch.column(1)[part], SPACES)
-                docs_of = batch.column(0)[part]
-                rows = []
-                begin = 0
-                for doc, end in zip(docs_of.to_pylist(), ends.tolist(), strict=True):
-                    grams = shingle_set(hashes[begin:end], rule.n)
-                    begin = end
-                    digest = (mix(grams).sum(dtype=U), mix(grams ^ STEP).sum(dtype=U))
-                    rows.append((doc, len(grams), *(int(d.view(np.int64)) for d in digest)))
-                    if doc is not None and len(grams):
-                        held.append((doc, maker.keys(grams).view(np.int64)))
-                columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
-                yield _signed(columns, [None] * len(rows), [None] * len(rows))
-                if sum(len(k) for _, k in held) >= HELD_KEYS:
+            for doc, grams in _sets(batch, rule):
+                if doc is not None and len(grams):
+                    held.append((doc, maker.keys(grams).view(np.int64)))
+                    size += len(held[-1][1])
+                if size >= HELD_KEYS:
                     yield from _blocks(held)
-                    held = []
+                    held, size = [], 0
         yield from _blocks(held)
 
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.length(text).alias("size")).mapInArrow(
-        compute, SIGNED
-    )
-
-
-def _signed(columns: list[pa.Array], first: list, second: list) -> pa.RecordBatch:
-    lists = [pa.array(x, pa.list_(pa.int64())) for x in (first, second)]
-    return pa.RecordBatch.from_arrays([*columns, *lists], ["doc_id", "n", "d1", "d2", "first", "second"])
+    return _texts(docs).mapInArrow(compute, KEYED)
 
 
 def _blocks(held: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """Each key with the least of its documents, and edges from the others to that one."""
+    """Each key with the least of its documents, and that one with the others under a key of its own."""
     if not held:
         return
     keys = np.concatenate([k for _, k in held])
@@ -162,13 +176,13 @@ def _blocks(held: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
     keys, docs = keys[order], docs[order]
     new = np.concatenate([[True], keys[1:] != keys[:-1]])
     least = docs[np.flatnonzero(new)[np.cumsum(new) - 1]]
-    edges = np.unique(np.stack([docs, least])[:, docs != least], axis=1)
-    for kind, (first, second) in ((KEYS, (keys[new], docs[new])), (EDGES, edges)):
-        for i in range(0, len(first), BLOCK_KEYS):
-            none = pa.array([None], pa.int64())
-            yield _signed(
-                [none, pa.array([kind], pa.int64()), none, none], [first[i : i + BLOCK_KEYS]], [second[i : i + BLOCK_KEYS]]
-            )
+    other, center = np.unique(np.stack([docs, least])[:, docs != least], axis=1)
+    both = np.concatenate([center, np.unique(center)])
+    first = np.concatenate([keys[new], mix(both.view(U) ^ ODD).view(np.int64)])
+    second = np.concatenate([docs[new], other, np.unique(center)])
+    for i in range(0, len(first), BLOCK_KEYS):
+        lists = [pa.array([x[i : i + BLOCK_KEYS]], pa.list_(pa.int64())) for x in (first, second)]
+        yield pa.RecordBatch.from_arrays(lists, ["keys", "docs"])
 
 
 class Search:
@@ -348,19 +362,11 @@ def link_classes(docs: DataFrame, rule: Rule, block: int = BLOCK) -> DataFrame:
        belongs together across them. What then is not in the largest class of its
        group is asked about against all documents of the group, block by block.
     """
-    made = materialise(sign(docs, rule), "signed")
-    signed = made.filter("n >= 0").select("doc_id", "n", "d1", "d2")
+    signed = materialise(sign(docs, rule), "signed")
     classes = signed.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"))
-
-    def pairs(kind: int, a: str, b: str) -> DataFrame:
-        pair = F.explode(F.arrays_zip("first", "second")).alias("pair")
-        return made.filter(F.col("n") == kind).select(pair).select(
-            F.col("pair.first").alias(a), F.col("pair.second").alias(b)
-        )
-
-    in_order = Window.partitionBy("key").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    across = pairs(KEYS, "key", "doc_id").select(F.col("doc_id").alias("a"), F.first("doc_id").over(in_order).alias("b"))
-    near = across.filter("a <> b").unionByName(pairs(EDGES, "a", "b"))
+    pairs = keyed(docs, rule).select(F.explode(F.arrays_zip("keys", "docs")).alias("pair")).select("pair.keys", "pair.docs")
+    in_order = Window.partitionBy("keys").orderBy("docs").rowsBetween(Window.unboundedPreceding, 0)
+    near = pairs.select(F.col("docs").alias("a"), F.first("docs").over(in_order).alias("b"))
     firsts = classes.select(F.col("doc_id").alias("node")).distinct()
     # Equal sets have all keys in common, so the first of them is in the group of the others.
     groups = materialise(components(near).join(firsts, "node", "left_semi"), "groups")
