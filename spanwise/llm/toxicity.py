@@ -198,13 +198,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Clas
     return learn(rows.text.tolist(), rows.toxic.astype(int).tolist())
 
 
-def score(docs: DataFrame, classifier: Classifier) -> DataFrame:
-    """``docs`` with a ``toxicity`` between 0 and 1 in place of any column of that name.
+def score(docs: DataFrame, classifier: Classifier, column: str = "toxicity") -> DataFrame:
+    """``docs`` with a ``column`` between 0 and 1, in place of any column of that name.
 
     Each whole text is scored, null as empty; equal texts have equal scores; all rows
     and other columns are kept.
     """
-    kept = docs.drop("toxicity")
+    kept = docs.drop(column)
     place = kept.columns.index("text")
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +213,7 @@ def score(docs: DataFrame, classifier: Classifier) -> DataFrame:
             for part in slices(sizes):
                 rows = batch.slice(part.start, part.stop - part.start)
                 found = classifier.scores([t or "" for t in rows.column(place).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(found)], [*rows.schema.names, "toxicity"])
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(found)], [*rows.schema.names, column])
 
-    schema = T.StructType([*kept.schema.fields, T.StructField("toxicity", T.DoubleType())])
+    schema = T.StructType([*kept.schema.fields, T.StructField(column, T.DoubleType())])
     return kept.mapInArrow(rate, schema)

@@ -287,3 +287,23 @@ def test_packing_stage_and_others_keep_clean_documents(spark, tmp_path):
             assert after.columns == docs.columns
             docs = after
     assert after.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 2048").isEmpty()
+
+
+def test_stages_on_odd_rows(spark, odd_docs, no_docs, tmp_path):
+    import corpus_pipeline as P
+
+    for kind, docs in (("odd", odd_docs.withColumn("n_chars", F.length("text").cast("long"))), ("none", no_docs)):
+        for name, stage in P.STAGES:
+            stage(spark, docs, SMALL).write.parquet(str(tmp_path / f"{kind}-{name}"))
+            after = spark.read.parquet(str(tmp_path / f"{kind}-{name}"))
+            if name != "packing":
+                assert after.columns == docs.columns and after.dtypes == docs.dtypes
+                docs = after
+        if kind == "none":
+            assert after.count() == 0
+            continue
+        left = {r["doc_id"]: r for r in docs.collect()}
+        # The later of two like texts goes, whatever is repeated, empty or without an id stays.
+        assert set(left) == {None, -9, 1, 2, 3, 4, 5, 6, 8, 9} and docs.filter("doc_id = 6").count() == 2
+        assert left[-9]["text"] == "mail <email> now" and left[-9]["n_chars"] == 16 and left[1]["text"] is None
+        assert left[8]["toxicity"] == "z"
