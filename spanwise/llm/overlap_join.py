@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import heapq
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
-from math import log2
+from math import exp, log2, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +19,14 @@ from spanwise.llm.words import SPACES, STEP, U, mix, shingles, words
 from spanwise.session import materialise
 
 # Documents that one search indexes, and of how many a split group shares the same ones in every part.
-BLOCK = 512
+BLOCK = 8192
 PIVOTS = 12
 # Cost of a binary probe of a long list against a step of the merge.
 PROBE = 0.0085
 ODD = U(0xD1342543DE82EF95)
+# How far a span of sizes reaches above its lower end. Spans overlap the less the farther they reach, and their
+# ranges hold the fewer shingles; this is near the least number of keys.
+REACH = 1.6
 # The pairs of a block, and the keys a task holds before it hands them on.
 BLOCK_KEYS = 4096
 HELD_KEYS = 1_000_000
@@ -65,17 +69,15 @@ class Signatures:
 
     Sizes fall into overlapping spans, so that any two sizes that can link share a
     span. In a span the hash space is cut into more ranges than linked sets can have
-    differences, by two: so at least two ranges hold the same shingles in both, and one
-    of these holds some in all but those sets with two or more empty ranges, which get
-    a key in common. A key stands for the span, the range and all shingles in it.
+    differences, by one and a reserve: so they hold the same shingles in more ranges than
+    the reserve counts, and one of these is not empty unless both sets have more empty
+    ranges than the reserve. Such sets, for which the reserve is far too large by chance,
+    get a key in common. A key stands for the span, the range and all shingles in it.
     """
 
     def __init__(self, rule: Rule) -> None:
         self.rule = rule
-        # How far a span reaches above its lower end; spans overlap the less the farther they reach, and have
-        # the more ranges. This is about the least number of keys.
-        self.reach = 1 + 5 * (100 - rule.per_cent) / 100
-        self.spans: list[tuple[int, int, int]] = []
+        self.spans: list[tuple[int, int, int, int]] = []
         self._extend(64)
 
     def _extend(self, size: int) -> None:
@@ -83,11 +85,26 @@ class Signatures:
         while not self.spans or self.spans[-1][0] <= size:
             if self.spans:
                 # The next span begins where partners of its smallest sets are still in the one before.
-                low, high, _ = self.spans[-1]
+                low, high, *_ = self.spans[-1]
                 low = next(a for a in range(low + 1, high + 2) if self.rule.largest(a) > high)
-            high = max(int(low * self.reach), self.rule.largest(low) + 1)
+            high = max(int(low * REACH), self.rule.largest(low) + 1)
             most = max(self.rule.differences(high, high), self.rule.differences(high, high - 1))
-            self.spans.append((low, high, most + 2))
+            reserve = self._reserve(low, most)
+            self.spans.append((low, high, most + 1 + reserve, reserve))
+
+    @staticmethod
+    def _reserve(low: int, most: int) -> int:
+        """Empty ranges that the smallest sets of a span hardly ever exceed, four deviations above their mean.
+
+        More ranges than shingles would be of no use, which bounds the reserve of small sets.
+        """
+        reserve = 1
+        while most + 1 + reserve < low:
+            mean = (most + 1 + reserve) * exp(-low / (most + 1 + reserve))
+            if reserve >= mean + 4 * sqrt(mean):
+                break
+            reserve += 1
+        return reserve
 
     def keys(self, grams: np.ndarray) -> np.ndarray:
         size = len(grams)
@@ -95,7 +112,7 @@ class Signatures:
             self._extend(size)
         found = []
         sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(grams), dtype=U)])
-        for number, (low, high, ranges) in enumerate(self.spans):
+        for number, (low, high, ranges, reserve) in enumerate(self.spans):
             if low > size:
                 break
             if size > high:
@@ -104,8 +121,8 @@ class Signatures:
             bounds = np.searchsorted(place, np.arange(ranges + 1, dtype=U))
             full = np.flatnonzero(np.diff(bounds))
             own = U((number + 1) * int(STEP) % (1 << 64))
-            found.append(mix(sums[bounds[full + 1]] - sums[bounds[full]] + (full.astype(U) + U(1)) * U(0xD1342543DE82EF95) + own))
-            if ranges - len(full) >= 2:
+            found.append(mix(sums[bounds[full + 1]] - sums[bounds[full]] + (full.astype(U) + U(1)) * ODD + own))
+            if ranges - len(full) > reserve:
                 found.append(mix(np.array([own], U)))
         return np.concatenate(found) if found else np.empty(0, U)
 
@@ -186,22 +203,23 @@ def _blocks(held: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
 
 
 class Search:
-    """T-occurrence search in an inverted index that grows document by document."""
+    """T-occurrence search in inverted lists, kept as one sorted array of (shingle, document)."""
 
-    def __init__(self, rule: Rule) -> None:
+    def __init__(self, rule: Rule, sets: list[np.ndarray]) -> None:
         self.rule = rule
-        self.lists: dict[int, list[int]] = {}
-        self.sizes: list[int] = []
-
-    def add(self, grams: list[int]) -> int:
-        number = len(self.sizes)
-        self.sizes.append(len(grams))
-        for g in grams:
-            self.lists.setdefault(g, []).append(number)
-        return number
-
-    def linked(self, grams: list[int], known: set[int] | None = None) -> list[int]:
-        """Indexed documents that link with the set, but for those ``known``.
+        self.sizes = [len(s) for s in sets]
+        grams = np.concatenate([*sets, np.empty(0, U)])
+        owners = np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(grams, kind="stable")  # owners rise within a shingle
+        self.known, counts = np.unique(grams[order], return_counts=True)
+        self.owners = owners[order]
+        self.begin = np.cumsum(counts) - counts
+        self.count = max(1, len(sets))
+        # Rises with the shingle and within it with the document.
+        self.places = np.repeat(np.arange(len(counts)), counts) * self.count + self.owners
+
+    def linked(self, grams: np.ndarray, limit: int, skip) -> list[int]:
+        """Documents below ``limit`` that link with the set, but for those that ``skip`` knows.
 
         Divide and skip: the longest lists are set aside, as many as a set can lack and
         still reach the overlap; the short ones are merged by a heap that jumps over
@@ -209,29 +227,34 @@ class Search:
         """
         size, rule = len(grams), self.rule
         needed = rule.least(size)
-        lists = sorted((self.lists[g] for g in grams if g in self.lists), key=len)
-        if len(lists) < needed or not lists:
+        at = np.searchsorted(self.known, grams)
+        at = at[at < len(self.known)] if len(self.known) else at[:0]
+        at = at[np.isin(self.known[at], grams, assume_unique=True)]
+        begin = self.begin[at]
+        end = np.searchsorted(self.places, at * self.count + limit)
+        held = end > begin
+        if held.sum() < needed:
             return []
-        aside = min(needed - 1, int(needed / (PROBE * log2(max(2, len(lists[-1]))) + 1)))
-        cut = len(lists) - aside
-        short, long, wanted = lists[:cut], lists[cut:], needed - aside
+        order = np.argsort((end - begin)[held], kind="stable")
+        at, begin, end = at[held][order], begin[held][order], end[held][order]
+        aside = min(needed - 1, int(needed / (PROBE * log2(max(2, int(end[-1] - begin[-1]))) + 1)))
+        cut = len(at) - aside
+        short = [self.owners[a:b].tolist() for a, b in zip(begin[:cut].tolist(), end[:cut].tolist(), strict=True)]
+        long, wanted = at[cut:] * self.count, needed - aside
         found = []
         heap = [(posting[0], i) for i, posting in enumerate(short)]
         heapq.heapify(heap)
-        at = [0] * len(short)
+        place = [0] * len(short)
         while len(heap) >= wanted:
             document, popped = heap[0][0], []
             while heap and heap[0][0] == document:
                 popped.append(heapq.heappop(heap)[1])
             if len(popped) >= wanted:
-                if known is None or document not in known:
-                    least, total = rule.overlap(size, self.sizes[document]), len(popped)
-                    for k, posting in enumerate(long):
-                        if total + len(long) - k < least:
-                            break
-                        i = bisect_left(posting, document)
-                        total += i < len(posting) and posting[i] == document
-                    if total >= least:
+                if not skip(document):
+                    near = np.searchsorted(self.places, long + document)
+                    near = np.minimum(near, len(self.places) - 1)
+                    shared = len(popped) + int((self.places[near] == long + document).sum())
+                    if shared >= rule.overlap(size, self.sizes[document]):
                         found.append(document)
                 target = document + 1
             else:
@@ -241,9 +264,9 @@ class Search:
                     break
                 target = heap[0][0]
             for i in popped:
-                at[i] = bisect_left(short[i], target, at[i])
-                if at[i] < len(short[i]):
-                    heapq.heappush(heap, (short[i][at[i]], i))
+                place[i] = bisect_left(short[i], target, place[i])
+                if place[i] < len(short[i]):
+                    heapq.heappush(heap, (short[i][place[i]], i))
         return found
 
 
@@ -267,48 +290,53 @@ def links_of_part(rows: list[tuple[int, int, np.ndarray, bool]], rule: Rule) ->
     """Edges that hold the linked documents of one part together, from each to the least of its class.
 
     A row is a document, the class it is known to be in, its set, and whether it asks
-    or is only asked about. Documents known to be of one class are not compared.
+    or is only asked about. First each asking document is held against the newest of the
+    two largest classes, which finds what is linked with most. Then every asking document
+    searches among those only asked about, and among the asking ones of larger classes:
+    so documents of one class are not searched for among each other, however many they are.
     """
-    search, forest, linked = Search(rule), Forest(), Forest()
-    by_class: dict[int, set[int]] = {}
-    ids, start_of, latest = [], [], {}
+    classes, linked = Forest(), Forest()
+    newest: dict[int, tuple[int, np.ndarray]] = {}
+    sizes: Counter = Counter()
+
+    def meet(doc: int, mine: int, other_doc: int, other: int) -> int:
+        linked.join(doc, other_doc)
+        classes.join(mine, other)
+        root, total = classes.root(mine), sizes.pop(mine, 0) + sizes.pop(other, 0)
+        sizes[root] = total
+        kept = newest.pop(other, None) or newest.pop(mine, None)
+        newest.pop(mine, None)
+        if kept:
+            newest[root] = kept
+        return root
+
     for doc, known, grams, asks in sorted(rows, key=lambda r: (r[3], len(r[2]), r[0])):
-        listed = grams.tolist()
-        mine = forest.root(known)
-        if asks:
-            # A quick look at the newest of the largest classes saves searching for what is linked anyhow.
-            for other in sorted(by_class, key=lambda c: -len(by_class[c]))[:2]:
-                near = latest.get(other)
-                if other != mine and near is not None:
-                    shared = len(np.intersect1d(grams, near[1], assume_unique=True))
-                    if shared >= rule.overlap(len(grams), len(near[1])):
-                        linked.join(doc, near[0])
-                        mine = _merge(forest, by_class, latest, mine, other)
-            for number in search.linked(listed, by_class.get(mine)):
-                other = forest.root(start_of[number])
-                if other != mine:
-                    linked.join(doc, ids[number])
-                    mine = _merge(forest, by_class, latest, mine, other)
-        number = search.add(listed)
-        ids.append(doc)
-        start_of.append(mine)
-        by_class.setdefault(mine, set()).add(number)
-        latest[mine] = (doc, grams)
+        mine = classes.root(known)
+        for other, _ in heapq.nlargest(2, sizes.items(), key=lambda x: x[1]) if asks else ():
+            if other != mine and other in newest:
+                near_doc, near = newest[other]
+                if len(np.intersect1d(grams, near, assume_unique=True)) >= rule.overlap(len(grams), len(near)):
+                    mine = meet(doc, mine, near_doc, other)
+        sizes[mine] += 1
+        newest[mine] = (doc, grams)
+    of_size = {c: n for c, n in sizes.items()}
+    roots = [classes.root(r[1]) for r in rows]
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][3], -of_size[roots[i]], roots[i], rows[i][0]))
+    search = Search(rule, [rows[i][2] for i in order])
+    begin_of: dict[int, int] = {}
+    for place, i in enumerate(order):
+        doc, known, grams, asks = rows[i]
+        if not asks:
+            continue
+        limit = begin_of.setdefault(roots[i], place)
+        mine = classes.root(known)
+        for number in search.linked(grams, limit, lambda n: classes.root(rows[order[n]][1]) == mine):  # noqa: B023
+            other = rows[order[number]]
+            if classes.root(other[1]) != mine:
+                mine = meet(doc, mine, other[0], classes.root(other[1]))
     return [(doc, linked.root(doc)) for doc in sorted(linked.up) if linked.root(doc) != doc]
 
 
-def _merge(forest: Forest, by_class: dict, latest: dict, a: int, b: int) -> int:
-    forest.join(a, b)
-    root = forest.root(a)
-    sets = sorted((by_class.pop(a, set()), by_class.pop(b, set())), key=len)
-    sets[1].update(sets[0])
-    by_class[root] = sets[1]
-    seen = [x for x in (latest.pop(a, None), latest.pop(b, None)) if x]
-    if seen:
-        latest[root] = seen[0]
-    return root
-
-
 def _search_parts(members: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     """Links (a, b) inside each part of ``members`` (part, doc_id, known, asks)."""
 
