@@ -48,27 +48,25 @@ def encode(ranks: np.ndarray, bits: int) -> tuple[bytes, bytes]:
         control = np.packbits(padded, bitorder="little")
     else:
         control = (padded.reshape(-1, per) << (bits * np.arange(per, dtype=np.uint8))).sum(axis=1, dtype=np.uint8)
-    kept = np.ones((len(ranks), width), bool)
+    kept = np.ones(len(ranks) * width, bool)
     for i in range(1, width):
-        kept[:, i] = extra >= i
-    return control.tobytes(), ranks.view(np.uint8).reshape(-1, width)[kept].tobytes()
+        kept[i::width] = extra >= i
+    return control.tobytes(), ranks.view(np.uint8)[kept].tobytes()
 
 
 def decode(control: bytes, data: bytes, count: int, bits: int) -> np.ndarray:
     """The ``count`` ranks; widths come from a table with a row for each control byte."""
+    if not count:
+        return np.empty(0, np.uint16)
     per = 8 // bits
-    table = (np.arange(256)[:, None] >> (bits * np.arange(per))) & ((1 << bits) - 1)
-    extra = table.astype(np.uint8)[np.frombuffer(control, np.uint8)].reshape(-1)[:count]
-    at = np.cumsum(extra, dtype=np.int32)
-    at += np.arange(count, dtype=np.int32)
-    at -= extra
-    # Reading past a rank's own bytes needs padding at the end.
-    content = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(4, np.uint8)])
-    ranks = content[at].astype(np.uint32)
-    for i in range(1, 4 if bits == 2 else 2):
-        at += 1
-        ranks += (content[at] * (extra >= i)).astype(np.uint32) << np.uint32(8 * i)
-    return ranks
+    table = ((np.arange(256)[:, None] >> (bits * np.arange(per))) & ((1 << bits) - 1)).astype(np.uint8)
+    extra = table[np.frombuffer(control, np.uint8)].reshape(-1)[:count]
+    ends = np.cumsum(extra + np.uint8(1), dtype=np.int64)
+    width = 4 if bits == 2 else 2
+    # At every byte a number that begins there, of which a rank's own bytes are kept.
+    begun = np.ndarray(len(data) + 1, f"<u{width}", data + bytes(width), strides=(1,))
+    own = np.array([(1 << 8 * (i + 1)) - 1 for i in range(width)], f"<u{width}")
+    return begun[ends - 1 - extra] & own[extra]
 
 
 def write(docs: DataFrame, tokenizer: str, vocabulary: int, folder: str, end: int = END) -> DataFrame:
