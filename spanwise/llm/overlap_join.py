@@ -19,7 +19,7 @@ from spanwise.llm.words import SPACES, STEP, U, mix, shingles, words
 from spanwise.session import materialise
 
 # Documents that one search indexes, and of how many a split group shares the same ones in every part.
-BLOCK = 8192
+BLOCK = 4096
 PIVOTS = 12
 # Cost of a binary probe of a long list against a step of the merge.
 PROBE = 0.0085
@@ -209,14 +209,20 @@ class Search:
         self.rule = rule
         self.sizes = [len(s) for s in sets]
         grams = np.concatenate([*sets, np.empty(0, U)])
-        owners = np.repeat(np.arange(len(sets)), self.sizes)
+        owners = np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)
         order = np.argsort(grams, kind="stable")  # owners rise within a shingle
-        self.known, counts = np.unique(grams[order], return_counts=True)
-        self.owners = owners[order]
-        self.begin = np.cumsum(counts) - counts
+        grams, owners = grams[order], owners[order]
+        del order
+        # A shingle of one document is in nobody else's list.
+        with_next = np.append(grams[1:] == grams[:-1], False)
+        shared = with_next.copy()
+        shared[1:] |= with_next[:-1]
+        grams, self.owners = grams[shared], owners[shared]
+        new = np.append(True, grams[1:] != grams[:-1])[: len(grams)]
+        self.known, self.begin = grams[new], np.flatnonzero(new)
         self.count = max(1, len(sets))
         # Rises with the shingle and within it with the document.
-        self.places = np.repeat(np.arange(len(counts)), counts) * self.count + self.owners
+        self.places = (np.cumsum(new) - 1) * self.count + self.owners
 
     def linked(self, grams: np.ndarray, limit: int, skip) -> list[int]:
         """Documents below ``limit`` that link with the set, but for those that ``skip`` knows.
@@ -227,9 +233,10 @@ class Search:
         """
         size, rule = len(grams), self.rule
         needed = rule.least(size)
-        at = np.searchsorted(self.known, grams)
-        at = at[at < len(self.known)] if len(self.known) else at[:0]
-        at = at[np.isin(self.known[at], grams, assume_unique=True)]
+        if len(self.known) < needed:
+            return []
+        at = np.minimum(np.searchsorted(self.known, grams), len(self.known) - 1)
+        at = at[self.known[at] == grams]
         begin = self.begin[at]
         end = np.searchsorted(self.places, at * self.count + limit)
         held = end > begin

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +26,9 @@ SAMPLE_DOCS = 10_000
 SAMPLE_CHARS = 8_000
 REJECT = 0.7
 
+# So many characters are scored at a time.
+SLICE_CHARS = 2_000_000
+
 # What marks toxic text out: beginnings of words, of so many bytes with the space before them, in at least
 # LEAST_DOCS toxic documents and in LEAST_SHARE of them, whose log odds against ordinary documents exceed
 # ODDS and whose count lies DEVIATIONS above what ordinary documents let expect.
@@ -209,8 +213,8 @@ def score(docs: DataFrame, classifier: Classifier, column: str = "toxicity") ->
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = [len(t or "") for t in batch.column(place).to_pylist()]
-            for part in slices(sizes):
+            sizes = pc.fill_null(pc.utf8_length(batch.column(place)), 0).to_pylist()
+            for part in slices(sizes, SLICE_CHARS):
                 rows = batch.slice(part.start, part.stop - part.start)
                 found = classifier.scores([t or "" for t in rows.column(place).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(found)], [*rows.schema.names, column])
