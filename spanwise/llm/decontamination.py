@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanwise.llm.tokens import slices
+from spanwise.llm.tokens import process_memory, slices
 from spanwise.llm.words import NOT_ALNUM, U, shingles, words
 
 SHINGLE = 5
@@ -175,6 +175,7 @@ def find(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) -> DataFrame
         index = spark.sparkContext.broadcast(Benchmark([r["item_id"] for r in part], [r["text"] for r in part]))
 
         def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            process_memory("decontamination")
             items = index.value
             for batch in batches:
                 for part in slices(batch.column(2).to_pylist()):

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanwise.llm.components import components
-from spanwise.llm.tokens import slices
+from spanwise.llm.tokens import process_memory, slices
 from spanwise.llm.words import SPACES, STEP, U, mix, shingles, words
 from spanwise.session import materialise
 
@@ -146,6 +146,7 @@ def sign(docs: DataFrame, rule: Rule) -> DataFrame:
     """Per row: ``doc_id``, the size ``n`` of its set, and a 128-bit digest of the set."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        process_memory("overlap_join")
         for batch in batches:
             rows = []
             for doc, grams in _sets(batch, rule):
@@ -167,6 +168,7 @@ def keyed(docs: DataFrame, rule: Rule) -> DataFrame:
     """
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        process_memory("overlap_join")
         maker = Signatures(rule)
         held: list[tuple[int, np.ndarray]] = []
         size = 0
@@ -348,6 +350,7 @@ def _search_parts(members: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame
     """Links (a, b) inside each part of ``members`` (part, doc_id, known, asks)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        process_memory("overlap_join")
         current, rows = None, []
 
         def close() -> pa.RecordBatch:

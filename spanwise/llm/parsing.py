@@ -64,7 +64,7 @@ class Powers:
 def _coded(names: np.ndarray) -> np.ndarray:
     """Symbols of 32 bits, most of them below 2^16, or names of 64 bits, as multipliers."""
     if names.dtype == np.uint32 and int(names.max()) < 1 << 16:
-        kept = process_memory()
+        kept = process_memory("parsing")
         if "characters" not in kept:
             kept["characters"] = mix(np.arange(1 << 16, dtype=U) + STEP)
         return kept["characters"][names]
@@ -119,7 +119,7 @@ def fingerprints(texts: list[str]) -> list[str]:
     ends = begins + np.int32(1)
     fresh = np.zeros(len(names), bool)
     fresh[(stops - lengths)[lengths > 0]] = True
-    kept = process_memory()
+    kept = process_memory("parsing")
     powers = kept.setdefault("powers", Powers())
     level, held = 0, []
     while len(names):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import sys
@@ -27,10 +28,17 @@ RUN = 8192
 MEMORY_CHARS = 14_000_000
 
 
-def process_memory() -> dict:
-    """Objects that later tasks of the same Python worker may use again."""
+def process_memory(owner: str) -> dict:
+    """Objects that later tasks of the same Python worker may use again.
+
+    They last as long as the worker's tasks belong to one ``owner``: an operator that
+    begins frees what the one before it kept.
+    """
     module = sys.modules.setdefault("_spanwise_task_memory", types.ModuleType("_spanwise_task_memory"))
-    return module.__dict__.setdefault("kept", {})
+    if module.__dict__.get("owner") != owner:
+        module.__dict__.update(owner=owner, kept={})
+        gc.collect()
+    return module.__dict__["kept"]
 
 
 def slices(sizes: Iterable[int], most: int = SLICE_CHARS) -> Iterator[slice]:
@@ -185,7 +193,7 @@ class TextEncoder:
 
 def text_encoder(path: str) -> TextEncoder:
     """The encoder of a tokenizer file; loaded once by a worker process."""
-    kept = process_memory()
+    kept = process_memory("tokens")
     if path not in kept:
         kept[path] = TextEncoder(path)
     return kept[path]

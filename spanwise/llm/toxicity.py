@@ -80,7 +80,7 @@ class Classifier:
     def _compressors(self):
         import zstandard
 
-        kept, made = process_memory(), ("toxicity", self.ordinary, self.toxic)
+        kept, made = process_memory("toxicity"), ("toxicity", self.ordinary, self.toxic)
         if made not in kept:
             settings = zstandard.ZstdCompressionParameters(
                 strategy=zstandard.STRATEGY_DFAST,

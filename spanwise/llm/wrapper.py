@@ -107,7 +107,7 @@ def own_texts(root: Node) -> dict[int, str]:
 
 def aligned(pivot: Node, page: Node) -> dict[int, int]:
     """The alignment of two pages; it depends on their shapes only."""
-    kept = process_memory().setdefault("alignments", {})
+    kept = process_memory("wrapper").setdefault("alignments", {})
     known = (pivot.shape, page.shape)
     if known not in kept:
         if len(kept) >= ALIGNMENTS:
