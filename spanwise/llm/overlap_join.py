@@ -397,8 +397,8 @@ def link_classes(docs: DataFrame, rule: Rule, block: int = BLOCK) -> DataFrame:
        first of each class is searched for.
     3. Each group is searched. A group of more than ``block`` is dealt by a hash into
        parts, and a few of its documents are put into every part, which joins what
-       belongs together across them. What then is not in the largest class of its
-       group is asked about against all documents of the group, block by block.
+       belongs together across them. Where more than one class is left of a group, any
+       two of its parts meet, and what is not in the largest class asks about the rest.
     """
     signed = materialise(sign(docs, rule), "signed")
     classes = signed.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"))
@@ -435,7 +435,7 @@ def link_classes(docs: DataFrame, rule: Rule, block: int = BLOCK) -> DataFrame:
     links = materialise(_search_parts(parts, texts, rule), "links")
     split = dealt.filter("parts > 1")
     if split.take(1):
-        links = materialise(links.unionByName(_across(split, links, texts, rule, block)), "links")
+        links = materialise(links.unionByName(_across(split, links, texts, rule)), "links")
     roots = components(links).select(F.col("node").alias("doc_id"), "root")
     known = classes.join(roots, "doc_id", "left").select("d1", "d2", F.coalesce("root", "doc_id").alias("root"))
     return signed.join(known, ["d1", "d2"], "left").select(
@@ -445,27 +445,21 @@ def link_classes(docs: DataFrame, rule: Rule, block: int = BLOCK) -> DataFrame:
     )
 
 
-def _across(split: DataFrame, links: DataFrame, texts: DataFrame, rule: Rule, block: int) -> DataFrame:
+def _across(split: DataFrame, links: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     """Links between different parts of the groups of ``split`` that the first search left open."""
     roots = components(links).select(F.col("node").alias("doc_id"), F.col("root").alias("known"))
     members = split.join(roots, "doc_id", "left").withColumn("known", F.coalesce("known", "doc_id"))
     counts = members.groupBy("root", "known").agg(F.count(F.lit(1)).alias("n"))
     largest = counts.groupBy("root").agg(F.max_by("known", F.struct("n", F.negative("known"))).alias("largest"))
     members = members.join(largest, "root")
-    asking = members.filter("known <> largest")
-    asked = asking.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("queries"))
-    members = members.join(asked, "root")
+    open_groups = members.filter("known <> largest").select("root").distinct()
     rows = F.pmod(F.col("place"), F.col("parts"))
-    number = F.xxhash64("root", "row", "query").alias("part")
-    index = members.select("doc_id", "root", "known", rows.alias("row"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("queries") - 1)).alias("query"))
-    queries = members.filter("known <> largest").select(
-        "doc_id",
-        "root",
-        "known",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("row"),
-        F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("queries")).alias("query"),
-    )
-    parts = index.select(number, "doc_id", "known", F.lit(False).alias("asks")).unionByName(
-        queries.select(number, "doc_id", "known", F.lit(True).alias("asks"))
+    # A document goes to the meetings of its part with every other one; whoever is not in the largest class asks.
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda p: p != F.col("row"))
+    meetings = (
+        members.join(open_groups, "root", "left_semi")
+        .withColumn("row", rows)
+        .select("doc_id", "root", "known", "row", (F.col("known") != F.col("largest")).alias("asks"), F.explode(others).alias("other"))
     )
-    return _search_parts(parts, texts, rule)
+    number = F.xxhash64("root", F.least("row", "other"), F.greatest("row", "other")).alias("part")
+    return _search_parts(meetings.select(number, "doc_id", "known", "asks"), texts, rule)
