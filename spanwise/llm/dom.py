@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 
+import numpy as np
+
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*+>?", re.S
 )
@@ -23,17 +26,20 @@ BLOCK = set(
 SAME_CLOSES = {"li": ("li", "ul ol"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr", "table"),
                "td": ("td th", "tr"), "th": ("td th", "tr"), "option": ("option", "select")}
 
+# Weight of an equal text in an alignment; more than any tree has nodes.
+SAME_TEXT = 1 << 32
+
 
 class Node:
     """An element: its tag, the tokens of its class, id and role, and its texts and elements in order."""
 
-    __slots__ = ("tag", "tokens", "hidden", "parts", "kids", "shape", "number")
+    __slots__ = ("tag", "tokens", "hidden", "parts", "kids", "text", "number")
 
     def __init__(self, tag: str, tokens: frozenset = frozenset(), hidden: bool = False) -> None:
         self.tag, self.tokens, self.hidden = tag, tokens, hidden
         self.parts: list = []
         self.kids: list[Node] = []
-        self.shape, self.number = "", -1
+        self.text, self.number = 0, -1
 
     @property
     def key(self) -> str:
@@ -102,68 +108,89 @@ def parse(source: str) -> Node:
     return root
 
 
+def digest(text: str) -> int:
+    """64 bits of a text, the same in every process; 0 if there is none."""
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big") >> 1 if text else 0
+
+
 def _finish(root: Node) -> None:
-    """Number all nodes from the root on and give each the shape of its subtree."""
-    order, todo = [], [root]
+    """Number all nodes from the root on and give each the digest of the text that stands directly in it."""
+    for number, node in enumerate(nodes(root)):
+        node.number = number
+        node.text = digest(" ".join(" ".join(p for p in node.parts if isinstance(p, str)).split()))
+
+
+def nodes(root: Node) -> list[Node]:
+    """All nodes of a tree, each before its kids."""
+    found, todo = [], [root]
     while todo:
         node = todo.pop()
-        node.number = len(order)
-        order.append(node)
+        found.append(node)
         todo += reversed(node.kids)
-    for node in reversed(order):
-        node.shape = f"{node.key}({''.join(k.shape for k in node.kids)})" if node.kids else f"{node.key};"
-        # Long shapes are told apart by a hash of theirs.
-        if len(node.shape) > 200:
-            node.shape = f"{node.key}#{hash(node.shape)}"
+    return found
 
 
 def align(a: Node, b: Node) -> dict[int, int]:
-    """Simple tree matching: numbers of nodes of ``a`` by those of ``b``, in a largest match.
+    """Simple tree matching: numbers of nodes of ``a`` by those of ``b``, in a heaviest match.
 
-    Matched nodes have the same key, matched parents and the same order. Brothers of
-    equal shape at either end of two lists are matched at once, which loses nothing.
+    Matched nodes have the same key, matched parents and the same order. Matches of
+    nodes with the same own text come first, then the number of matched nodes: without
+    texts in common this is a largest match. Brothers of equal content at either end of
+    two lists are matched at once, which loses nothing.
     """
-    sizes: dict[tuple[int, int], int] = {}
-    chosen: dict[tuple[int, int], list[tuple[Node, Node]]] = {}
-
-    def size(x: Node, y: Node) -> int:
+    sides = nodes(a), nodes(b)
+    common = {n.text for n in sides[0] if n.text} & {n.text for n in sides[1] if n.text}
+    # Subtrees that differ in texts only one side has are of equal content; contents are numbered.
+    numbers: dict[tuple, int] = {}
+    contents: list[dict[int, int]] = [{}, {}]
+    for side, held in zip(sides, contents, strict=True):
+        for n in reversed(side):
+            text = n.text if n.text in common else 0
+            content = (n.tag, n.tokens, text, tuple(held[k.number] for k in n.kids))
+            held[n.number] = numbers.setdefault(content, len(numbers))
+    ours, theirs = contents
+    weights: dict[tuple[int, int], int] = {}
+    chosen: dict[tuple[int, int], list[tuple[int, int]]] = {}
+
+    def weigh(x: Node, y: Node) -> int:
         if x.tag != y.tag or x.tokens != y.tokens:
             return 0
-        known = (x.number, y.number)
-        if known not in sizes:
-            left, right = x.kids, y.kids
-            pairs: list[tuple[Node, Node]] = []
-            lo = 0
-            while lo < min(len(left), len(right)) and left[lo].shape == right[lo].shape:
-                pairs.append((left[lo], right[lo]))
-                lo += 1
-            hi = 0
-            while hi < min(len(left), len(right)) - lo and left[-1 - hi].shape == right[-1 - hi].shape:
-                pairs.append((left[-1 - hi], right[-1 - hi]))
-                hi += 1
-            left, right = left[lo : len(left) - hi], right[lo : len(right) - hi]
-            best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
-            weight = [[size(p, q) for q in right] for p in left]
-            for i in range(1, len(left) + 1):
-                for j in range(1, len(right) + 1):
-                    best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + weight[i - 1][j - 1])
-            i, j = len(left), len(right)
+        known = (ours[x.number], theirs[y.number])
+        if known in weights:
+            return weights[known]
+        left, right = [ours[k.number] for k in x.kids], [theirs[k.number] for k in y.kids]
+        n, m = len(left), len(right)
+        lo = hi = 0
+        while lo < min(n, m) and left[lo] == right[lo]:
+            lo += 1
+        while hi < min(n, m) - lo and left[-1 - hi] == right[-1 - hi]:
+            hi += 1
+        pairs = [(i, i) for i in range(lo)] + [(n - 1 - i, m - 1 - i) for i in range(hi)]
+        total = sum(weigh(x.kids[i], y.kids[j]) for i, j in pairs)
+        n, m = n - lo - hi, m - lo - hi
+        if n and m:
+            each = np.array([[weigh(p, q) for q in y.kids[lo : lo + m]] for p in x.kids[lo : lo + n]], dtype=np.int64)
+            best = np.zeros((n + 1, m + 1), dtype=np.int64)
+            for i in range(n):
+                np.maximum.accumulate(np.maximum(best[i, 1:], best[i, :-1] + each[i]), out=best[i + 1, 1:])
+            i, j = n, m
             while i and j:
-                if best[i][j] == best[i - 1][j]:
+                if best[i, j] == best[i - 1, j]:
                     i -= 1
-                elif best[i][j] == best[i][j - 1]:
+                elif best[i, j] == best[i, j - 1]:
                     j -= 1
                 else:
                     i, j = i - 1, j - 1
-                    pairs.append((left[i], right[j]))
-            chosen[known] = pairs
-            sizes[known] = 1 + sum(size(p, q) for p, q in pairs[: lo + hi]) + best[-1][-1]
-        return sizes[known]
+                    pairs.append((lo + i, lo + j))
+            total += int(best[n, m])
+        chosen[known] = pairs
+        weights[known] = 1 + total + (SAME_TEXT if x.text and x.text == y.text else 0)
+        return weights[known]
 
     matched: dict[int, int] = {}
-    todo = [(a, b)] if size(a, b) else []
+    todo = [(a, b)] if weigh(a, b) else []
     while todo:
         x, y = todo.pop()
         matched[y.number] = x.number
-        todo += chosen[x.number, y.number]
+        todo += [(x.kids[i], y.kids[j]) for i, j in chosen[ours[x.number], theirs[y.number]]]
     return matched

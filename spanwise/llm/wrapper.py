@@ -9,16 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanwise.llm.dom import BLOCK, Node, align, parse
-from spanwise.llm.tokens import process_memory
+from spanwise.llm.dom import BLOCK, Node, align, nodes, parse
 from spanwise.session import materialise
 
 # Pages of a host that go to one task; larger hosts are split.
 PART_PAGES = 2_000
-# A node is template if so many other pages were aligned with it and so many of them have the same text there.
+# A node is template if so many other pages were aligned with it and so many of them have the same text there;
+# in an article, where documents may share lines, the same share of all pages must have it.
 LEAST_PAGES, SAME_SHARE = 3, 0.9
-# Alignments that a worker remembers.
-ALIGNMENTS = 20_000
 
 # What stands around an article.
 NEVER = set("script style noscript template iframe object svg canvas head title nav aside footer form button select dialog".split())
@@ -40,8 +38,8 @@ def around(node: Node, inside: bool) -> bool:
     return not inside and (node.tag == "header" or bool(node.tokens & HEADERS))
 
 
-def regions(root: Node) -> list[Node]:
-    """The outermost articles, else the main elements, else nothing."""
+def regions(root: Node, template: set[int]) -> list[Node]:
+    """The outermost articles, else the main elements, that hold more than template; else nothing."""
     for tag in ("article", "main"):
         found, todo = [], [root]
         while todo:
@@ -50,7 +48,7 @@ def regions(root: Node) -> list[Node]:
                 found.append(node)
             elif not around(node, False):
                 todo += reversed(node.kids)
-        if any(blocks(n, set()) for n in found):
+        if any(blocks(n, template) for n in found):
             return found
     return []
 
@@ -87,12 +85,32 @@ def blocks(region: Node, template: set[int]) -> list[str]:
 
 
 def main_text(root: Node, template: set[int]) -> str:
-    """What an article element holds is content; without one, what is neither template nor around an article."""
-    found = regions(root)
-    texts = [t for n in found for t in blocks(n, set())] if found else blocks(root, template)
+    """What varies in the article elements; without one that varies, all that is neither template nor around an article."""
+    texts = [t for n in regions(root, template) or [root] for t in blocks(n, template)]
     return "\n".join(texts)
 
 
+def articles(root: Node) -> set[int]:
+    """The numbers of the nodes in article and main elements."""
+    found, todo = set(), [(root, False)]
+    while todo:
+        node, inside = todo.pop()
+        inside |= node.tag in ("article", "main") or "main" in node.tokens
+        if inside:
+            found.add(node.number)
+        todo += [(k, inside) for k in node.kids]
+    return found
+
+
+def constants(pivot: Node, template: set[int], page: Node) -> set[int]:
+    """The nodes of a page that are aligned with template and have its text."""
+    if not template:
+        return set()
+    texts = {n.number: n.text for n in nodes(pivot) if n.number in template}
+    pairs = align(pivot, page)
+    return {n.number for n in nodes(page) if n.text and texts.get(pairs.get(n.number)) == n.text}
+
+
 def own_texts(root: Node) -> dict[int, str]:
     """The texts that stand directly in each element, by its number."""
     found, todo = {}, [root]
@@ -105,17 +123,6 @@ def own_texts(root: Node) -> dict[int, str]:
     return found
 
 
-def aligned(pivot: Node, page: Node) -> dict[int, int]:
-    """The alignment of two pages; it depends on their shapes only."""
-    kept = process_memory("wrapper").setdefault("alignments", {})
-    known = (pivot.shape, page.shape)
-    if known not in kept:
-        if len(kept) >= ALIGNMENTS:
-            kept.clear()
-        kept[known] = align(pivot, page)
-    return kept[known]
-
-
 def _rows(pages: DataFrame) -> DataFrame:
     """``pages`` by host; a page without a host shares one with the others like it."""
     host = F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)
@@ -168,6 +175,7 @@ def induce(rows: DataFrame) -> DataFrame:
     node whose own text stays the same on nearly all aligned pages is template. Pages
     whose aligned texts are mostly those of the pivot are copies of it and say nothing
     about what varies. Counts are added up in the tasks before they are shuffled.
+    Node -1 stands for all pages that were counted.
     """
     pivots = materialise(
         rows.groupBy("host").agg(
@@ -184,34 +192,39 @@ def induce(rows: DataFrame) -> DataFrame:
         for host, pivot, _, _, _, source in _pages(batches):
             if id(pivot) not in texts:
                 texts.clear()
-                texts[id(pivot)] = (pivot, own_texts(pivot))
-            model = texts[id(pivot)][1]
+                texts[id(pivot)] = (pivot, own_texts(pivot), articles(pivot))
+            _, model, inside = texts[id(pivot)]
             page = parse(source)
             own = own_texts(page)
-            pairs = [(p, own[n]) for n, p in aligned(pivot, page).items() if n in own and p in model]
+            pairs = [(p, own[n]) for n, p in align(pivot, page).items() if n in own and p in model]
             equal = [p for p, t in pairs if model[p] == t]
             if 2 * sum(len(model[p]) for p in equal) > sum(len(t) for _, t in pairs):
                 continue
-            seen.update((host, p) for p, _ in pairs)
-            same.update((host, p) for p in equal)
+            seen.update([(host, -1, False), *((host, p, p in inside) for p, _ in pairs)])
+            same.update((host, p, p in inside) for p in equal)
         keys = list(seen)
         columns = [
-            pa.array([h for h, _ in keys], pa.string()),
-            pa.array([p for _, p in keys], pa.int32()),
+            pa.array([h for h, _, _ in keys], pa.string()),
+            pa.array([p for _, p, _ in keys], pa.int32()),
+            pa.array([i for _, _, i in keys], pa.bool_()),
             pa.array([seen[k] for k in keys], pa.int64()),
             pa.array([same[k] for k in keys], pa.int64()),
         ]
-        yield pa.RecordBatch.from_arrays(columns, ["host", "node", "seen", "same"])
+        yield pa.RecordBatch.from_arrays(columns, ["host", "node", "inside", "seen", "same"])
 
     unknown = pivots.withColumn("template", F.lit(None).cast("array<int>"))
-    counts = _dealt(rows, unknown).mapInArrow(count, "host string, node int, seen long, same long")
-    template = (
-        counts.groupBy("host", "node")
-        .agg(F.sum("seen").alias("seen"), F.sum("same").alias("same"))
-        .filter((F.col("seen") >= LEAST_PAGES) & (F.col("same") >= SAME_SHARE * F.col("seen")))
-        .groupBy("host")
-        .agg(F.collect_list("node").alias("template"))
+    counts = _dealt(rows, unknown).mapInArrow(count, "host string, node int, inside boolean, seen long, same long")
+    total = counts.groupBy("host", "node", "inside").agg(F.sum("seen").alias("seen"), F.sum("same").alias("same"))
+    by_host = total.groupBy("host").agg(
+        F.max(F.when(F.col("node") == -1, F.col("seen"))).alias("all"),
+        F.collect_list(F.struct("node", "inside", "seen", "same")).alias("nodes"),
+    )
+    constant = F.filter(
+        "nodes",
+        lambda n: (n["seen"] >= LEAST_PAGES)
+        & (n["same"] >= SAME_SHARE * F.when(n["inside"], F.col("all")).otherwise(n["seen"])),
     )
+    template = by_host.select("host", F.transform(constant, lambda n: n["node"]).alias("template"))
     return pivots.join(template, "host", "left")
 
 
@@ -234,8 +247,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
         for _, pivot, template, page_id, url, source in _pages(batches):
             page = parse(source)
-            constant = {n for n, p in aligned(pivot, page).items() if p in template} if template else set()
-            text = main_text(page, constant)
+            text = main_text(page, constants(pivot, template, page))
             held.append((page_id, url, text, len(text)))
             if len(held) >= 500:
                 yield flush()

@@ -61,6 +61,21 @@ def test_constant_nodes_of_a_host_are_template(spark):
     assert texts(spark, rows) == wanted
 
 
+def test_constant_text_in_articles_is_template(spark):
+    rng = random.Random(2)
+    rows, wanted = [], {}
+    for i in range(12):
+        own = [" ".join(rng.choices("abcdefghij", k=12)) for _ in range(rng.randint(2, 6))]
+        # A line that some documents share is no template, wherever it stands.
+        own += ["Shared by some"] * (i % 3 == 0)
+        # The notice is wherever the paragraphs end, and one page has none.
+        notice = "" if i == 7 else "<p>Read our <i>notice</i></p>"
+        body = f"<p>Advert</p>{''.join(f'<p>{p}</p>' for p in own)}{notice}"
+        rows.append((i, f"https://host.example/{i}", f"<body><article><p>Teaser</p></article><article>{body}</article></body>"))
+        wanted[i] = "\n".join(own)
+    assert texts(spark, rows) == wanted
+
+
 def tree(rng, depth):
     node = Node(rng.choice("ab"))
     for _ in range(rng.randint(0, 3) if depth else 0):
