@@ -111,18 +111,6 @@ def constants(pivot: Node, template: set[int], page: Node) -> set[int]:
     return {n.number for n in nodes(page) if n.text and texts.get(pairs.get(n.number)) == n.text}
 
 
-def own_texts(root: Node) -> dict[int, str]:
-    """The texts that stand directly in each element, by its number."""
-    found, todo = {}, [root]
-    while todo:
-        node = todo.pop()
-        text = " ".join(" ".join(p for p in node.parts if isinstance(p, str)).split())
-        if text:
-            found[node.number] = text
-        todo += node.kids
-    return found
-
-
 def _rows(pages: DataFrame) -> DataFrame:
     """``pages`` by host; a page without a host shares one with the others like it."""
     host = F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)
@@ -173,8 +161,8 @@ def induce(rows: DataFrame) -> DataFrame:
 
     Every page is aligned with the pivot of its host by simple tree matching. A pivot
     node whose own text stays the same on nearly all aligned pages is template. Pages
-    whose aligned texts are mostly those of the pivot are copies of it and say nothing
-    about what varies. Counts are added up in the tasks before they are shuffled.
+    with the same text apart from what stands around articles are copies of the pivot
+    and say nothing about what varies. Counts are added up in the tasks before they are shuffled.
     Node -1 stands for all pages that were counted.
     """
     pivots = materialise(
@@ -192,16 +180,16 @@ def induce(rows: DataFrame) -> DataFrame:
         for host, pivot, _, _, _, source in _pages(batches):
             if id(pivot) not in texts:
                 texts.clear()
-                texts[id(pivot)] = (pivot, own_texts(pivot), articles(pivot))
-            _, model, inside = texts[id(pivot)]
+                own = {n.number: n.text for n in nodes(pivot) if n.text}
+                texts[id(pivot)] = (pivot, own, articles(pivot), main_text(pivot, set()))
+            _, model, inside, whole = texts[id(pivot)]
             page = parse(source)
-            own = own_texts(page)
-            pairs = [(p, own[n]) for n, p in align(pivot, page).items() if n in own and p in model]
-            equal = [p for p, t in pairs if model[p] == t]
-            if 2 * sum(len(model[p]) for p in equal) > sum(len(t) for _, t in pairs):
+            if main_text(page, set()) == whole:
                 continue
+            own = {n.number: n.text for n in nodes(page) if n.text}
+            pairs = [(p, own[n]) for n, p in align(pivot, page).items() if n in own and p in model]
             seen.update([(host, -1, False), *((host, p, p in inside) for p, _ in pairs)])
-            same.update((host, p, p in inside) for p in equal)
+            same.update((host, p, p in inside) for p, t in pairs if model[p] == t)
         keys = list(seen)
         columns = [
             pa.array([h for h, _, _ in keys], pa.string()),

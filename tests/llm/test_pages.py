@@ -76,6 +76,13 @@ def test_constant_text_in_articles_is_template(spark):
     assert texts(spark, rows) == wanted
 
 
+def test_boilerplate_may_outweigh_the_text(spark):
+    long = " ".join(["All rights reserved"] * 40)
+    page = "<div><p>{0}</p></div><div><p>Only {1}</p></div><div><p>{0}</p></div>"
+    rows = [(i, f"https://host.example/{i}", page.format(long, i)) for i in range(9)]
+    assert texts(spark, rows) == {i: f"Only {i}" for i in range(9)}
+
+
 def tree(rng, depth):
     node = Node(rng.choice("ab"))
     for _ in range(rng.randint(0, 3) if depth else 0):
