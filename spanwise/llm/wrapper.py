@@ -1,4 +1,4 @@
-"""Main texts of web pages by wrappers induced for each host."""
+"""Main texts of web pages by wrappers induced for each host and layout."""
 
 from __future__ import annotations
 
@@ -9,15 +9,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanwise.llm.dom import BLOCK, Node, align, nodes, parse
+from spanwise.llm.dom import BLOCK, Node, align, digest, nodes, parse
 from spanwise.session import materialise
 
-# Pages of a host that go to one task; larger hosts are split.
+# Pages of a host and layout that go to one task; larger groups are split.
 PART_PAGES = 2_000
 # A node is template if so many other pages were aligned with it and so many of them have the same text there;
 # in an article, where documents may share lines, the same share of all pages must have it.
 LEAST_PAGES, SAME_SHARE = 3, 0.9
 
+# Levels below the body that tell layouts apart: by their blocks in order, and by the set of containers.
+DEPTHS = (2, 4)
+CONTAINERS = set("article aside center details div fieldset footer form header main menu nav section table".split())
+
 # What stands around an article.
 NEVER = set("script style noscript template iframe object svg canvas head title nav aside footer form button select dialog".split())
 AROUND = set(
@@ -111,6 +115,53 @@ def constants(pivot: Node, template: set[int], page: Node) -> set[int]:
     return {n.number for n in nodes(page) if n.text and texts.get(pairs.get(n.number)) == n.text}
 
 
+def packed(root: Node) -> str:
+    """A tree without its texts, of which only digests are kept."""
+    lines, todo = [], [(root, 0)]
+    while todo:
+        node, depth = todo.pop()
+        lines.append(f"{depth} {node.tag} {f'{node.text:x}' if node.text else ''} {' '.join(sorted(node.tokens))}")
+        todo += [(k, depth + 1) for k in reversed(node.kids)]
+    return "\n".join(lines)
+
+
+def unpacked(source: str) -> Node:
+    """The tree of ``packed``."""
+    path: list[Node] = []
+    for number, line in enumerate(source.split("\n")):
+        depth, tag, text, tokens = line.split(" ", 3)
+        node = Node(tag, frozenset(tokens.split()))
+        node.number, node.text = number, int(text or "0", 16)
+        del path[int(depth) :]
+        if path:
+            path[-1].kids.append(node)
+        path.append(node)
+    return path[0]
+
+
+def layouts(root: Node) -> tuple[int, int]:
+    """Digests of the upper tree: of its blocks in order, and of the set of its containers."""
+    body = next((n for n in nodes(root) if n.tag == "body"), root)
+    containers: set[str] = set()
+
+    def outline(node: Node, depth: int) -> str:
+        if depth > DEPTHS[1] or node.tag in ("article", "main"):
+            return node.key
+        kids = []
+        for kid in node.kids:
+            if kid.tag in BLOCK:
+                if kid.tag in CONTAINERS:
+                    containers.add(kid.key)
+                own = outline(kid, depth + 1)
+                # The number of brothers alike is no matter of layout.
+                if own not in kids[-1:]:
+                    kids.append(own)
+        return f"{node.key}({' '.join(kids)})" if depth <= DEPTHS[0] and kids else node.key
+
+    fine = "".join(outline(body, 0))
+    return digest(fine), digest(" ".join(["set", *sorted(containers)]))
+
+
 def _rows(pages: DataFrame) -> DataFrame:
     """``pages`` by host; a page without a host shares one with the others like it."""
     host = F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)
@@ -119,91 +170,157 @@ def _rows(pages: DataFrame) -> DataFrame:
     ).withColumn("host", F.lower(host))
 
 
-def _dealt(rows: DataFrame, hosts: DataFrame) -> DataFrame:
-    """Pages by part of their host, each part led by the host's pivot page and what is known of it."""
-    lead = hosts.select(
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * len(schema)
+    arrays = [pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+
+def _shapes(rows: DataFrame) -> DataFrame:
+    """``host, fine, coarse, text, tree`` of each page that has a main text: layouts, digest of the text, packed tree."""
+    schema = pa.schema({"host": pa.string(), "fine": pa.int64(), "coarse": pa.int64(), "text": pa.int64(), "tree": pa.string()})
+
+    def shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = []
+            for host, source in zip(*(batch.column(c).to_pylist() for c in ("host", "html")), strict=True):
+                root = parse(source)
+                text = digest(main_text(root, set()))
+                if text:
+                    done.append((host, *layouts(root), text, packed(root)))
+            yield _batch(done, schema)
+
+    return rows.select("host", "html").mapInArrow(shape, "host string, fine long, coarse long, text long, tree string")
+
+
+def _with_layouts(rows: DataFrame) -> DataFrame:
+    """``rows`` and their layouts; null where there is no main text."""
+    schema = pa.schema({"page_id": pa.int64(), "url": pa.string(), "html": pa.string(), "host": pa.string(), "fine": pa.int64(), "coarse": pa.int64()})
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            trees = [parse(source) for source in batch.column("html").to_pylist()]
+            found = [layouts(t) if main_text(t, set()) else (None, None) for t in trees]
+            own = [batch.column(c).cast(schema.field(c).type) for c in ("page_id", "url", "html", "host")]
+            more = [pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*own, *more], schema=schema)
+
+    columns = rows.select("page_id", "url", "html", "host")
+    return columns.mapInArrow(place, "page_id long, url string, html string, host string, fine long, coarse long")
+
+
+def _dealt(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """Pages (``source``) by part of their group, each part led by the group's pivot and what is known of it."""
+    lead = wrappers.select(
         "host",
+        "layout",
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"),
         F.lit(False).alias("page"),
         F.lit(None).cast("long").alias("page_id"),
         F.lit(None).cast("string").alias("url"),
-        F.col("pivot").alias("html"),
+        F.col("pivot").alias("source"),
         "template",
     )
-    own = rows.join(hosts.select("host", "parts"), "host").select(
+    own = pages.select(
         "host",
-        F.pmod(F.xxhash64("page_id", "url"), F.col("parts")).alias("part"),
+        "layout",
+        F.pmod(F.xxhash64("page_id", "url"), F.coalesce("parts", F.lit(PART_PAGES))).alias("part"),
         F.lit(True).alias("page"),
         "page_id",
         "url",
-        "html",
+        "source",
         F.lit(None).cast("array<int>").alias("template"),
     )
-    return lead.unionByName(own).repartition("host", "part").sortWithinPartitions("host", "part", "page")
+    key = ("host", "layout", "part")
+    return lead.unionByName(own).repartition(*key).sortWithinPartitions(*key, "page")
 
 
 def _pages(batches: Iterator[pa.RecordBatch]):
-    """(host, pivot tree, template, page_id, url, html) of each page."""
-    host = pivot = template = None
+    """((host, layout), pivot's packed tree, template, page_id, url, source) of each page."""
+    group = pivot = template = None
     for batch in batches:
         names = batch.schema.names
-        at = [names.index(c) for c in ("host", "page", "page_id", "url", "html", "template")]
+        at = [names.index(c) for c in ("host", "layout", "page", "page_id", "url", "source", "template")]
         for i in range(batch.num_rows):
-            own, page, page_id, url, source, known = (batch.column(c)[i].as_py() for c in at)
+            host, layout, page, page_id, url, source, known = (batch.column(c)[i].as_py() for c in at)
             if not page:
-                host, pivot, template = own, parse(source), set(known or ())
+                group, pivot, template = (host, layout), source, set(known or ())
+            elif layout is None:
+                yield (host, None), None, set(), page_id, url, source
             else:
-                yield host, pivot, template, page_id, url, source
+                yield group, pivot, template, page_id, url, source
 
 
-def induce(rows: DataFrame) -> DataFrame:
-    """``host, pivot, parts, template``: per host a pivot page and the numbers of its template nodes.
+def _kinds(shapes: DataFrame) -> DataFrame:
+    """``host, fine, coarse, layout, pages``: the group of pages whose wrapper serves those of each layout.
 
-    Every page is aligned with the pivot of its host by simple tree matching. A pivot
-    node whose own text stays the same on nearly all aligned pages is template. Pages
-    with the same text apart from what stands around articles are copies of the pivot
-    and say nothing about what varies. Counts are added up in the tasks before they are shuffled.
-    Node -1 stands for all pages that were counted.
+    That is the layout itself if enough pages with different texts have it, else the
+    pages of the same containers, else the whole host.
     """
+    fine = shapes.groupBy("host", "fine", "coarse", "text").agg(F.count(F.lit(1)).alias("n"))
+    fine = fine.groupBy("host", "fine", "coarse").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("pages"))
+    coarse = fine.groupBy("host", "coarse").agg(F.sum("texts").alias("coarse_texts"))
+    layout = (
+        F.when(F.col("texts") > LEAST_PAGES, F.concat_ws(" ", "coarse", "fine"))
+        .when(F.col("coarse_texts") > LEAST_PAGES, F.col("coarse").cast("string"))
+        .otherwise(F.lit(""))
+    )
+    return fine.join(coarse, ["host", "coarse"]).select("host", "fine", "coarse", layout.alias("layout"), "pages")
+
+
+def induce(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``host, fine, coarse, layout, parts`` and ``host, layout, parts, pivot, template``.
+
+    The first names the group of pages whose wrapper serves a layout, the second has
+    for each group a pivot page and the numbers of its template nodes. Every page is
+    aligned with the pivot of its group by simple tree matching. A pivot node whose own
+    text stays the same on nearly all aligned pages is template. Pages with the same
+    text apart from what stands around articles are copies and count once, pages
+    without such text do not count. Counts are added up in the tasks before they are
+    shuffled. Node -1 stands for all pages that were counted.
+    """
+    shapes = materialise(_shapes(rows), "shapes", "zstd")
+    kinds = materialise(_kinds(shapes), "kinds")
+    groups = kinds.groupBy("host", "layout").agg(F.ceil(F.sum("pages") / PART_PAGES).cast("long").alias("parts"))
+    ways = F.array(F.concat_ws(" ", "coarse", "fine"), F.col("coarse").cast("string"), F.lit(""))
+    members = shapes.withColumn("layout", F.explode(ways)).join(groups, ["host", "layout"])
+    # Groups serve pages of rare layouts too, but are induced from all pages that they cover.
     pivots = materialise(
-        rows.groupBy("host").agg(
-            F.min_by("html", F.struct(F.xxhash64("page_id", "url"), "page_id")).alias("pivot"),
-            F.ceil(F.count(F.lit(1)) / PART_PAGES).cast("long").alias("parts"),
+        members.groupBy("host", "layout").agg(
+            F.min_by("tree", F.struct(F.xxhash64("text"), "text", "tree")).alias("pivot"),
+            F.first("parts").alias("parts"),
+            F.ceil(F.count(F.lit(1)) / PART_PAGES).cast("long").alias("all_parts"),
         ),
         "pivots",
     )
+    distinct = members.groupBy("host", "layout", "text").agg(F.min("tree").alias("source"))
+    distinct = distinct.join(pivots.select("host", "layout", F.col("all_parts").alias("parts")), ["host", "layout"])
+    distinct = distinct.withColumnRenamed("text", "page_id").withColumn("url", F.lit(None).cast("string"))
+    schema = pa.schema({"host": pa.string(), "layout": pa.string(), "node": pa.int32(), "inside": pa.bool_(), "seen": pa.int64(), "same": pa.int64()})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         same: Counter = Counter()
-        texts: dict = {}
-        for host, pivot, _, _, _, source in _pages(batches):
-            if id(pivot) not in texts:
-                texts.clear()
-                own = {n.number: n.text for n in nodes(pivot) if n.text}
-                texts[id(pivot)] = (pivot, own, articles(pivot), main_text(pivot, set()))
-            _, model, inside, whole = texts[id(pivot)]
-            page = parse(source)
-            if main_text(page, set()) == whole:
+        last = None
+        for group, source, _, _, _, tree in _pages(batches):
+            if group != last:
+                last, pivot = group, unpacked(source)
+                model, inside = {n.number: n.text for n in nodes(pivot) if n.text}, articles(pivot)
+            if tree == source:
                 continue
+            page = unpacked(tree)
             own = {n.number: n.text for n in nodes(page) if n.text}
             pairs = [(p, own[n]) for n, p in align(pivot, page).items() if n in own and p in model]
-            seen.update([(host, -1, False), *((host, p, p in inside) for p, _ in pairs)])
-            same.update((host, p, p in inside) for p, t in pairs if model[p] == t)
-        keys = list(seen)
-        columns = [
-            pa.array([h for h, _, _ in keys], pa.string()),
-            pa.array([p for _, p, _ in keys], pa.int32()),
-            pa.array([i for _, _, i in keys], pa.bool_()),
-            pa.array([seen[k] for k in keys], pa.int64()),
-            pa.array([same[k] for k in keys], pa.int64()),
-        ]
-        yield pa.RecordBatch.from_arrays(columns, ["host", "node", "inside", "seen", "same"])
-
-    unknown = pivots.withColumn("template", F.lit(None).cast("array<int>"))
-    counts = _dealt(rows, unknown).mapInArrow(count, "host string, node int, inside boolean, seen long, same long")
-    total = counts.groupBy("host", "node", "inside").agg(F.sum("seen").alias("seen"), F.sum("same").alias("same"))
-    by_host = total.groupBy("host").agg(
+            seen.update([(*group, -1, False), *((*group, p, p in inside) for p, _ in pairs)])
+            same.update((*group, p, p in inside) for p, t in pairs if model[p] == t)
+        yield _batch([(*k, n, same[k]) for k, n in seen.items()], schema)
+
+    unknown = pivots.select("host", "layout", F.col("all_parts").alias("parts"), "pivot", F.lit(None).cast("array<int>").alias("template"))
+    counts = _dealt(distinct, unknown).mapInArrow(
+        count, "host string, layout string, node int, inside boolean, seen long, same long"
+    )
+    total = counts.groupBy("host", "layout", "node", "inside").agg(F.sum("seen").alias("seen"), F.sum("same").alias("same"))
+    by_group = total.groupBy("host", "layout").agg(
         F.max(F.when(F.col("node") == -1, F.col("seen"))).alias("all"),
         F.collect_list(F.struct("node", "inside", "seen", "same")).alias("nodes"),
     )
@@ -212,8 +329,10 @@ def induce(rows: DataFrame) -> DataFrame:
         lambda n: (n["seen"] >= LEAST_PAGES)
         & (n["same"] >= SAME_SHARE * F.when(n["inside"], F.col("all")).otherwise(n["seen"])),
     )
-    template = by_host.select("host", F.transform(constant, lambda n: n["node"]).alias("template"))
-    return pivots.join(template, "host", "left")
+    template = by_group.select("host", "layout", F.transform(constant, lambda n: n["node"]).alias("template"))
+    served = kinds.join(groups, ["host", "layout"]).select("host", "fine", "coarse", "layout", "parts")
+    wrappers = pivots.join(template, ["host", "layout"], "left")
+    return served, wrappers.select("host", "layout", "parts", "pivot", "template")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -233,7 +352,10 @@ def extract(pages: DataFrame) -> DataFrame:
             held.clear()
             return pa.RecordBatch.from_arrays(arrays, ["page_id", "url", "text", "n_chars"])
 
-        for _, pivot, template, page_id, url, source in _pages(batches):
+        last = pivot = None
+        for group, tree, template, page_id, url, source in _pages(batches):
+            if group != last:
+                last, pivot = group, unpacked(tree) if template else None
             page = parse(source)
             text = main_text(page, constants(pivot, template, page))
             held.append((page_id, url, text, len(text)))
@@ -242,4 +364,7 @@ def extract(pages: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    return _dealt(rows, materialise(induce(rows), "wrappers")).mapInArrow(read, ROW)
+    served, wrappers = induce(rows)
+    wrappers = materialise(wrappers, "wrappers")
+    placed = _with_layouts(rows).join(served, ["host", "fine", "coarse"], "left").withColumnRenamed("html", "source")
+    return _dealt(placed, wrappers).mapInArrow(read, ROW)

@@ -5,8 +5,9 @@ import random
 import re
 
 from spanwise.llm import warc, wrapper
-from spanwise.llm.dom import Node, _finish, align, parse
+from spanwise.llm.dom import Node, _finish, align, nodes, parse
 from spanwise.llm.queries import QUERIES
+from spanwise.llm.wrapper import packed, unpacked
 
 SMALL = "/root/testdata/sf0.001"
 COLUMNS = "page_id long, url string, html string, host string"
@@ -83,6 +84,28 @@ def test_boilerplate_may_outweigh_the_text(spark):
     assert texts(spark, rows) == {i: f"Only {i}" for i in range(9)}
 
 
+def test_each_layout_has_a_wrapper(spark):
+    rows, wanted = [], {}
+    kinds = ["<div><p>Top</p></div><div><p>{0}</p></div><div>Foot</div>", "<section><div>{0}</div></section><div><b>Left</b></div>", "<table><tr><td>Bar<td>{0}</table>"]
+    for i in range(30):
+        rows.append((i, f"https://host.example/{i}", kinds[i % 3].format(f"Only {i}")))
+        wanted[i] = f"Only {i}"
+    # Empty pages.
+    rows += [(100 + i, f"https://host.example/{100 + i}", [None, "", " <p> </p>"][i % 3]) for i in range(60)]
+    wanted |= {100 + i: "" for i in range(60)}
+    # Copies of one page, of either layout, are one page.
+    rows += [(200 + i, f"https://copies.example/{i}", kinds[i % 2].format("Again and again")) for i in range(20)]
+    wanted |= {200 + i: ["Top\nAgain and again\nFoot", "Again and again\nLeft"][i % 2] for i in range(20)}
+    assert texts(spark, rows) == wanted
+
+
+def test_packed_trees():
+    page = parse("<body id='a b'>x<div class=c><p>one<p>two</div><x-y.z>y")
+    again = unpacked(packed(page))
+    assert [(n.key, n.text, n.number) for n in nodes(page)] == [(n.key, n.text, n.number) for n in nodes(again)]
+    assert align(page, again) == {n.number: n.number for n in nodes(page)}
+
+
 def tree(rng, depth):
     node = Node(rng.choice("ab"))
     for _ in range(rng.randint(0, 3) if depth else 0):
