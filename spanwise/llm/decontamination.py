@@ -102,6 +102,7 @@ class Benchmark:
                 letters = _letters(sizes[begin:end], n)
                 by_size.setdefault(end - begin, []).append((ids[i], grams, weights(grams, letters)))
         self.sizes = {}
+        self.least = {size: min(w.total() for _, _, w in items) for size, items in by_size.items()}
         known: dict[int, list[np.ndarray]] = {}
         for size, items in by_size.items():
             n = min(SHINGLE, size)
@@ -122,13 +123,17 @@ class Benchmark:
         """Best (similarity, first word, number of words) of each item in one document.
 
         Only windows that hold some shingle of an item are fingerprinted: the others
-        have a similarity of zero to all.
+        have a similarity of zero to all. A document shorter than an item is one window,
+        if it has letters enough to be similar.
         """
         best: dict[int, tuple] = {}
-        for size, (index, items) in self.sizes.items():
-            n = min(SHINGLE, size)
+        for longest, (index, items) in self.sizes.items():
+            n = min(SHINGLE, longest)
+            size = min(longest, len(hashes))
             count = size - n + 1
-            if size > len(hashes) or not len(hits.get(n, ())):
+            if not len(hits.get(n, ())):
+                continue
+            if size < longest and _letters(sizes, n).sum() / self.least[longest] < SIMILARITY:
                 continue
             marks = np.zeros(len(hashes) - size + 2, np.int64)
             np.add.at(marks, np.maximum(hits[n] - count + 1, 0).clip(max=len(marks) - 1), 1)
@@ -157,7 +162,7 @@ def find(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) -> DataFrame
     """A row for each document and benchmark item that share a passage.
 
     Words are runs of letters and digits in lower case. A window has as many words as
-    the item; it matches if its fingerprint lies within RADIUS of the item's and the
+    the item, or is the whole document if that has fewer; it matches if its fingerprint lies within RADIUS of the item's and the
     weighted Jaccard similarity of their five-word shingles (whole text if shorter) is
     at least SIMILARITY; the best window is returned. The items are a query set: they
     go to every task in passes of about ``items``, over all documents each. Null and

@@ -193,6 +193,24 @@ def test_passages_against_every_window(spark):
         assert {(r["doc_id"], r["item_id"]): round(r["similarity"], 9) for r in found} == {k: round(v, 9) for k, v in wanted.items()}
 
 
+def test_documents_shorter_than_an_item(spark):
+    rng = random.Random(18)
+    item = [f"w{i}" for i in rng.sample(range(1000), 60)]
+    docs = [(cut, " ".join(item[:-cut])) for cut in (1, 4, 9, 10, 11, 12, 30, 57)] + [(100, " ".join(item[3:-3]))]
+
+    def letters(words):
+        return sum(len("".join(words[i : i + 5])) for i in range(len(words) - 4))
+
+    # A document that is part of the item shares all its shingles.
+    wanted = {d: round(letters(t.split()) / letters(item), 9) for d, t in docs}
+    wanted = {d: (s, 0, len(dict(docs)[d].split())) for d, s in wanted.items() if s >= 0.8}
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    table = spark.createDataFrame([(1, " ".join(item)), (2, "other words " * 40)], "item_id long, text string")
+    found = decontamination.find(frame, table).collect()
+    assert {r["doc_id"]: (round(r["similarity"], 9), r["start_word"], r["n_words"]) for r in found} == wanted
+    assert 1 in wanted and 30 not in wanted and 100 in wanted and len(found) == len(wanted)
+
+
 def test_decontamination_of_odd_rows(spark, odd_docs, no_docs):
     items = spark.createDataFrame([(1, "two THREE four five"), (None, "mail a b")], "item_id long, text string")
     found = sorted((r["doc_id"] or 0, r["item_id"] or 0, r["start_word"]) for r in decontamination.find(odd_docs, items).collect())
