@@ -77,13 +77,3 @@ class Boosted:
         for tree in self.trees:
             margin += self._values(tree, x)
         return 1 / (1 + np.exp(-margin))
-
-
-def least_threshold(scores: np.ndarray, labels: np.ndarray, precision: float) -> float:
-    """The smallest score from which on at least ``precision`` are labelled 1; above 1 if there is none."""
-    order = np.argsort(-scores, kind="stable")
-    good = np.cumsum(labels[order]) / np.arange(1, len(order) + 1)
-    # Only the last of equal scores has all of them above the threshold.
-    last = np.append(np.diff(scores[order]) != 0, True) if len(order) else np.zeros(0, bool)
-    fits = np.flatnonzero((good >= precision) & last)
-    return float(scores[order][fits[-1]]) if len(fits) else 2.0

@@ -267,6 +267,19 @@ def test_model_adds_spans_that_the_patterns_miss(spark):
     assert clean[1000] == "call <phone> <card> today"
 
 
+def test_all_kinds_and_places_are_learned_from(spark):
+    numbers = " ".join(f"{a} 555 0123 4567 8901," for a in range(1000, 1100))
+    found = pii.candidates(numbers + " a@b.example.org")
+    kept = pii.drawn(found, 40)
+    assert ("email", len(numbers) + 1, len(numbers) + 16) in kept and kept == pii.drawn(found, 40)
+    for kind in ("phone", "card"):
+        starts = [a for k, a, _ in kept if k == kind]
+        assert len(starts) == 40 and min(starts) < len(numbers) / 4 and max(starts) > 3 * len(numbers) / 4
+    # Emails stand behind more numbers than are drawn; they are learned, and scored by a threshold of their own.
+    docs = spark.createDataFrame([(i, f"{numbers} mail q{i}@m.example.org or a{i} at b") for i in range(60)], "doc_id long, text string")
+    assert pii.train(docs).thresholds["email"] <= 1
+
+
 def test_personal_data_of_odd_rows(spark, odd_docs, no_docs):
     detector = pii.train(odd_docs)
     rows = pii.digest(pii.find(odd_docs, detector)).collect()
