@@ -1,4 +1,3 @@
-import datetime as dt
 import sys
 from pathlib import Path
 
@@ -10,6 +9,7 @@ sys.path.insert(0, str(ROOT))
 from spanwise.config import RECORD_TABLES  # noqa: E402
 from spanwise.session import local_session  # noqa: E402
 from spanwise.sources.cdm import Cdm  # noqa: E402
+from tables import day  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -21,10 +21,6 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-def day(text):
-    return None if text is None else dt.date.fromisoformat(text)
-
-
 @pytest.fixture(scope="session")
 def make_cdm(spark):
     """Build clinical tables from short lists; absent tables are empty."""
@@ -72,9 +68,3 @@ def spans(spark):
         return spark.createDataFrame(data, schema)
 
     return build
-
-
-def rows_of(frame, *columns):
-    return sorted(
-        (tuple(r) for r in frame.select(*(columns or frame.columns)).collect()), key=repr
-    )

@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import day, rows_of
+from tables import day, rows_of
 from pyspark.sql import functions as F
 
 from spanwise.operators import features, summaries

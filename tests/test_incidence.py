@@ -6,7 +6,7 @@ import sys
 from collections import defaultdict
 
 import pytest
-from conftest import day, rows_of
+from tables import day, rows_of
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 

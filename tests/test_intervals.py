@@ -2,7 +2,7 @@ import datetime as dt
 import random
 
 import pytest
-from conftest import day, rows_of
+from tables import day, rows_of
 from pyspark.sql import functions as F
 
 from spanwise.operators.intervals import merge_by_gaps, merge_intervals, split_by_year

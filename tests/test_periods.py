@@ -1,7 +1,7 @@
 import datetime as dt
 
 import pytest
-from conftest import day, rows_of
+from tables import day, rows_of
 from pyspark.sql import functions as F
 
 from checks.queries import QUERIES

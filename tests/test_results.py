@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows_of
+from tables import rows_of
 from pyspark.sql import functions as F
 
 from spanwise.report import overview, prepare, selection
