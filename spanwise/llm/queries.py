@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanwise.llm.sql import OP11_SQL, OP12_SQL, OP13_SQL
+
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -97,6 +99,27 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return read(spark, files, place)
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    from spanwise.llm.trie import number_turns, trie, with_shared_heads
+
+    items, lengths = with_shared_heads(number_turns(_table(spark, folder, "conversations")))
+    return trie(items, lengths).select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"
+    )
+
+
+def op12_lattice(spark: SparkSession, folder: str) -> DataFrame:
+    from spanwise.llm.lattice import near_duplicates
+
+    return near_duplicates(_table(spark, folder, "embeddings"))
+
+
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    from spanwise.llm.spelling import group_variants
+
+    return group_variants(_table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_wrapper": op2_wrapper,
@@ -108,6 +131,9 @@ QUERIES = {
     "op8_personal_data": op8_personal_data,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_token_files": op10_token_files,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_lattice": op12_lattice,
+    "op13_spelling": op13_spelling,
 }
 
 # The windows of op4 written out: a budget of 1024 tokens, 256 of them for history, a token for four characters.
@@ -147,4 +173,9 @@ SELECT conv_id, count(*) AS n_turns,
 FROM l GROUP BY conv_id
 """
 
-SQL: dict[str, str] = {"op4_chat_windows": OP4_SQL}
+SQL: dict[str, str] = {
+    "op4_chat_windows": OP4_SQL,
+    "op11_prefix_trie": OP11_SQL,
+    "op12_lattice": OP12_SQL,
+    "op13_spelling": OP13_SQL,
+}
