@@ -8,6 +8,7 @@ logic with the Spark operators they check.
 from __future__ import annotations
 
 import re
+from itertools import combinations
 
 from spanwise.config import (
     AGE_BANDS,
@@ -704,11 +705,97 @@ define(
 )
 
 
-def hidden(source: str) -> str:
-    """Small counts blanked, with their cell; with their stratum for sizes."""
+def boxed(name: str, cells: str, dims: str, totals: bool = True) -> None:
+    """Table ``name``: seeds, hidden places, and all corners of the cheapest box of each seed.
+
+    ``cells`` has family, layer, x, y, z, v, seed and hid; '' is the coordinate of a
+    total. Every corner is a join; the boxes of a seed are ranked by what they hide.
+    """
+    subsets = [c for n in range(1, len(dims) + 1) for c in combinations(dims, n)]
+    place = ("family", "layer", "x", "y", "z")
+    joins, cost, up, down = [], [], [], ["s.v >= 2"]
+    for subset in subsets:
+        a = "c" + "".join(subset)
+        on = [f"{a}.family = s.family", f"{a}.layer = s.layer", f"{a}.v > 0"]
+        for d in "xyz":
+            if subset == (d,):
+                on.append(f"{a}.{d} <> s.{d}")
+            else:
+                on.append(f"{a}.{d} = {'c' + d if d in subset else 's'}.{d}")
+        joins.append(f"JOIN cells_{name} {a} ON {' AND '.join(on)}")
+        cost.append(f"CASE WHEN {a}.seed OR {a}.hid THEN 0 ELSE {a}.v END")
+        signs = [f"CASE WHEN s.{d} = '' OR c{d}.{d} = '' THEN 1 ELSE -1 END" if totals else "-1" for d in subset]
+        sign = " * ".join(f"({x})" for x in signs)
+        up.append(f"({sign} > 0 OR {a}.v >= 2)")
+        down.append(f"({sign} < 0 OR {a}.v >= 2)")
+    partner = {d: f"c{d}.{d}" if d in dims else f"s.{d}" for d in "xyz"}
+    define(f"cells_{name}", cells)
+    define(
+        f"chosen_{name}",
+        f"""SELECT {", ".join(f"s.{c}" for c in place)}, {", ".join(f"{v} AS {d}2" for d, v in partner.items())}
+            FROM (SELECT * FROM cells_{name} WHERE seed) s {" ".join(joins)}
+            WHERE ({" AND ".join(up)}) OR ({" AND ".join(down)})
+            QUALIFY row_number() OVER (PARTITION BY {", ".join(f"s.{c}" for c in place)}
+                ORDER BY {" + ".join(cost)}, {", ".join(partner.values())}) = 1""",
+    )
+    corners = [
+        f"SELECT family, layer, {', '.join(d + '2' if d in subset else d for d in 'xyz')} FROM chosen_{name}"
+        for subset in subsets
+    ]
+    define(name, f"SELECT {', '.join(place)} FROM cells_{name} WHERE seed OR hid UNION " + " UNION ".join(corners))
+
+
+K = STUDY.min_cell_count
+IN_OBS = """SELECT mode AS family, CAST(year AS VARCHAR) AS layer, replace(sex, 'overall', '') AS x,
+    replace(age_group, 'overall', '') AS y, '' AS z, records AS v, FALSE AS hid, {seed} AS seed FROM in_obs"""
+boxed("first_in_obs", IN_OBS.format(seed=f"records > 0 AND records < {K}"), "xy")
+# A definition with a single hidden year has the smallest other one hidden as well.
+define(
+    "second_year",
+    """SELECT family, min_by(layer, (v, layer)) AS layer FROM cells_first_in_obs c
+       WHERE x = '' AND y = '' AND v > 0
+         AND family IN (SELECT family FROM first_in_obs WHERE x = '' AND y = '' GROUP BY family HAVING count(*) = 1)
+         AND (family, layer) NOT IN (SELECT (family, layer) FROM first_in_obs WHERE x = '' AND y = '')
+       GROUP BY family""",
+)
+boxed(
+    "gone_in_obs",
+    IN_OBS.format(
+        seed=f"""(records > 0 AND records < {K}) OR (sex = 'overall' AND age_group = 'overall'
+            AND (mode, CAST(year AS VARCHAR)) IN (SELECT (family, layer) FROM second_year))"""
+    ),
+    "xy",
+)
+AT_RISK = f"""mode AS family, CASE WHEN sex = '{DENOMINATOR_SEXES[0]}' THEN '' ELSE sex END AS x,
+    CASE WHEN age_group = '{band_label(DENOMINATOR_BANDS[0])}' THEN '' ELSE age_group END AS y,
+    CASE WHEN analysis_interval = 'years' THEN CAST(opened AS VARCHAR) ELSE '' END AS z"""
+boxed(
+    "gone_at_risk",
+    f"""SELECT {AT_RISK}, '' AS layer, min(nullif(denominator_count, 0)) AS v, FALSE AS hid,
+            coalesce(min(nullif(denominator_count, 0)) < {K}, FALSE) AS seed FROM inc GROUP BY ALL""",
+    "xyz",
+)
+boxed(
+    "gone_outcomes",
+    f"""SELECT i.* EXCLUDE (v), v, g.family IS NOT NULL AS hid,
+               v > 0 AND (v < {K} OR g.family IS NOT NULL) AS seed
+        FROM (SELECT {AT_RISK}, outcome AS layer, outcome_count AS v FROM inc) i
+        LEFT JOIN gone_at_risk g ON (g.family, g.x, g.y, g.z) = (i.family, i.x, i.y, i.z)""",
+    "xyz",
+)
+boxed(
+    "gone_levels",
+    f"""SELECT mode AS family, variable AS layer, level AS x, '' AS y, '' AS z, count AS v, FALSE AS hid,
+               count > 0 AND count < {K} AS seed FROM cat_summary""",
+    "x",
+    totals=False,
+)
+
+
+def hidden(source: str, further: str = "FALSE") -> str:
+    """Small counts blanked, with their cell; with their stratum for sizes; and what ``further`` selects."""
     stratum = "result_id, cdm_name, group_name, group_level, strata_name, strata_level,"
     stratum += " additional_name, additional_level"
-    k = STUDY.min_cell_count
     return f"""
         SELECT * REPLACE (CASE WHEN hide THEN NULL ELSE num END AS num,
                           CASE WHEN hide THEN NULL ELSE txt END AS txt) FROM (
@@ -716,14 +803,51 @@ def hidden(source: str) -> str:
                                          variable_level)
                  OR bool_or(small AND variable_name IN ('number records',
                             'number subjects', 'Number records in observation',
-                            'Denominator')) OVER (PARTITION BY {stratum}) AS hide
-          FROM (SELECT *, coalesce(estimate_name LIKE '%count' AND num > 0 AND num < {k},
+                            'Denominator')) OVER (PARTITION BY {stratum})
+                 OR coalesce({further}, FALSE) AS hide
+          FROM (SELECT *, coalesce(estimate_name LIKE '%count' AND num > 0 AND num < {K},
                                    FALSE) AS small FROM {source}))"""
 
 
-define("safe_in_obs", hidden("long_in_obs"))
-define("safe_incidence", hidden("long_incidence"))
-define("safe_periods", hidden("long_periods"))
+# The keys of hidden places as they stand in the long rows.
+define(
+    "gone_strata",
+    """SELECT s.result_id, CASE WHEN x = '' AND y = '' THEN 'overall' ELSE concat_ws(' &&& ', nullif(x, ''),
+               nullif(y, '')) END AS strata, layer || '-01-01 to ' || layer || '-12-31 &&& years' AS additional
+       FROM gone_in_obs g JOIN sets s ON s.mode = g.family AND result_type = 'summarise_in_observation'""",
+)
+define(
+    "gone_incidence",
+    f"""SELECT s.result_id, layer AS outcome, z AS opened, whole FROM (
+            SELECT family, layer, x, y, z, FALSE AS whole FROM gone_outcomes
+            UNION ALL SELECT family, NULL, x, y, z, TRUE FROM gone_at_risk) g
+        JOIN sets s ON s.mode = g.family AND result_type = 'incidence'
+            AND s.sex = CASE WHEN x = '' THEN '{DENOMINATOR_SEXES[0]}' ELSE x END
+            AND s.age_group = CASE WHEN y = '' THEN '{band_label(DENOMINATOR_BANDS[0])}' ELSE y END""",
+)
+OPENED = "CASE WHEN additional_name LIKE '%interval' THEN split_part(additional_level, ' &&& ', 1) ELSE '' END"
+define(
+    "safe_in_obs",
+    hidden("long_in_obs", "(result_id, strata_level, additional_level) IN (SELECT (result_id, strata, additional) FROM gone_strata)"),
+)
+define(
+    "safe_incidence",
+    hidden(
+        "long_incidence",
+        f"""(result_id, {OPENED}) IN (SELECT (result_id, opened) FROM gone_incidence WHERE whole)
+            OR variable_name = 'Outcome' AND (result_id, split_part(group_level, ' &&& ', 2), {OPENED})
+                IN (SELECT (result_id, outcome, opened) FROM gone_incidence WHERE NOT whole)""",
+    ),
+)
+define(
+    "safe_periods",
+    hidden(
+        "long_periods",
+        """(result_id, variable_name, variable_level) IN (SELECT (s.result_id, layer, x)
+            FROM gone_levels g JOIN sets s ON s.mode = g.family AND result_type = 'summarise_table'
+            AND NOT s.per_person)""",
+    ),
+)
 define("safe_per_person", hidden("long_per_person"))
 LONG = (
     "result_id, cdm_name, group_name, group_level, strata_name, strata_level,"

@@ -650,6 +650,13 @@ def imported(spark: SparkSession, folder: str) -> longform.SummarisedResult:
     return exchange.import_results(spark, exported(spark, folder))
 
 
+def unsuppressed(spark: SparkSession, folder: str) -> longform.SummarisedResult:
+    """The study's result before small counts are hidden."""
+    cdm, spans = all_periods(spark, folder)
+    tables = study.characterise(spans, cdm, STUDY, written(spark, folder, "outcomes"), written(spark, folder, "features"))
+    return study.study_result(tables, cdm)
+
+
 def of_type(spark, folder, kind: str) -> longform.SummarisedResult:
     return imported(spark, folder).filter_settings(F.col("result_type") == kind)
 

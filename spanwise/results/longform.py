@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanwise.operators.records import stack
+from spanwise.results.disclosure import FOLLOWED, PLACE, hidden_places, with_places
+from spanwise.session import materialise
 
 # Columns of the long result and of its settings.
 PAIRS = ("group", "strata", "additional")
@@ -175,9 +177,12 @@ def summarised(
 
 
 def bind(*results: SummarisedResult) -> SummarisedResult:
-    """Stack results; ids are renumbered from 1 in the order of the arguments."""
+    """Stack results; ids are renumbered from 1 in the order of the arguments.
+
+    Nothing gives an empty result.
+    """
     if not results:
-        raise ValueError("nothing to bind")
+        return empty_result(SparkSession.active())
     position = "bound_position"
 
     def placed(frames):
@@ -200,13 +205,16 @@ def bind(*results: SummarisedResult) -> SummarisedResult:
 
 
 def suppress(result: SummarisedResult, min_cell_count: int = 5) -> SummarisedResult:
-    """Blank small counts and all that could give them away.
+    """Blank small counts, all of their cell or stratum, and what else would give them away.
 
     A count between 1 and ``min_cell_count - 1`` is blanked together with every
     estimate of the same cell; when it counts the subjects or records that a
     stratum is about, the whole stratum is blanked: the person-days of few periods,
     and the rates and limits of a small denominator, from which it could be
-    worked out, go with it. Zero stays.
+    worked out, go with it. Zero stays. Where totals over sexes, ages, years or levels
+    are shown as well, further cells are blanked until no blanked count can be worked
+    out from what is left (:mod:`spanwise.results.disclosure`). The rows are written
+    first, as they are read twice.
     """
     value = F.col("estimate_value").try_cast("double")
     small = (
@@ -222,8 +230,15 @@ def suppress(result: SummarisedResult, min_cell_count: int = 5) -> SummarisedRes
     ]
     cell = Window.partitionBy(*stratum, "variable_name", "variable_level")
     whole = Window.partitionBy(*stratum)
-    flagged = result.rows.withColumn("small", F.coalesce(small, F.lit(False)))
-    hidden = F.bool_or("small").over(cell) | F.bool_or(F.col("small") & base).over(whole)
+    placed = materialise(with_places(result.rows, result.settings), "long-rows")
+    further = hidden_places(placed, min_cell_count).withColumnRenamed("whole", "further")
+    flagged = placed.join(further, list(PLACE), "left").withColumn("small", F.coalesce(small, F.lit(False)))
+    beside = F.col("further") | (F.col("kind") != FOLLOWED) | (F.col("variable_name") == "Outcome")
+    hidden = (
+        F.bool_or("small").over(cell)
+        | F.bool_or(F.col("small") & base).over(whole)
+        | F.coalesce(F.col("further").isNotNull() & beside, F.lit(False))
+    )
     rows = flagged.withColumn("hidden", hidden).withColumn(
         "estimate_value", F.when(~F.col("hidden"), F.col("estimate_value"))
     )
