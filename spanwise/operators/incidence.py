@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spanwise.functions.dates import days_between, year_end, year_start
 from spanwise.functions.poisson import limits_of_count
 from spanwise.operators.cohorts import in_each_sex
-from spanwise.operators.intervals import merge_intervals, split_by_year
+from spanwise.operators.intervals import held, merge_intervals, split_by_year
 
 DAYS_PER_YEAR = 365.25
 RATE_PER = 100_000
@@ -78,78 +78,77 @@ def _knots(events: DataFrame, names: Sequence[str]) -> DataFrame:
     )
 
 
-PERSON = ("person_id", "mode", "sex", "age_group", "year")
+def _states(stretches: DataFrame, knots: DataFrame, names: int, by_year: bool) -> DataFrame:
+    """``person_id, day`` with ``lost_i`` days off risk and ``started_i`` events up to that day.
 
-
-def _bounds(follow_up: DataFrame, intervals: Sequence[str]) -> DataFrame:
-    """Last days of follow-up, and the days before it begins, with how often they count.
-
-    A value that grows with time adds up over the follow-up of a person as the sum of
-    ``sign`` times its state on these days. Stretches that share a bound are added up
-    before the shuffle, so a person has no more rows than days, however many stretches.
+    There is a row for each day at which a stretch is read: the day before it begins,
+    its last day, and the ends of the years between. A person has one such row a day at
+    most, however many stretches; the running sums are taken over these and the knots.
     """
-    pieces = split_by_year(
-        follow_up, and_whole="overall" in intervals, by_year="years" in intervals
-    )
-    first, last = F.col("start_date"), F.col("end_date")
-    none = F.lit(None).cast("date")
-
-    def bound(day, sign, length, opens, closes):
-        return F.struct(
-            day.alias("day"),
-            F.lit(sign).alias("sign"),
-            length.cast("long").alias("days"),
-            opens.alias("first_day"),
-            closes.alias("last_day"),
-        )
-
-    both = F.array(
-        bound(last, 1, days_between(first, last, inclusive=True), first, last),
-        bound(F.date_sub(first, 1), -1, F.lit(0), none, none),
-    )
-    return (
-        pieces.select(*PERSON, F.inline(both))
-        .groupBy(*PERSON, "day")
-        .agg(
-            F.sum("sign").alias("sign"),
-            F.sum("days").alias("days"),
-            F.min("first_day").alias("first_day"),
-            F.max("last_day").alias("last_day"),
-        )
+    ends = F.array(F.date_sub("start_date", 1), F.col("end_date"))
+    days = stretches.select("person_id", F.explode(ends).alias("day"))
+    if by_year:
+        first, last = F.year(F.min("start_date")) - 1, F.year(F.max("end_date"))
+        reached = stretches.groupBy("person_id").agg(first.alias("first"), last.alias("last"))
+        years = F.transform(F.sequence("first", "last"), year_end)
+        days = days.unionByName(reached.select("person_id", F.explode(years).alias("day")))
+    marks = [f"{what}_{i}" for what in ("slope", "offset", "event") for i in range(names)]
+    # What a day brings takes effect on it.
+    placed = days.distinct().withColumn("turn", F.lit(1)).unionByName(
+        knots.withColumn("turn", F.lit(0)), allowMissingColumns=True
     )
-
-
-def _swept(bounds: DataFrame, knots: DataFrame, count: int) -> DataFrame:
-    """Follow-up per person with ``lost_i`` days off risk and ``started_i`` events.
-
-    Bounds and knots of a person are put in order of their days, running sums over the
-    knots are read at the bounds. The work is a sort per person; no follow-up is ever
-    paired with an event.
-    """
     along = (
         Window.partitionBy("person_id")
         .orderBy("day", "turn")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    marks = [f"{what}_{i}" for what in ("slope", "offset", "event") for i in range(count)]
-    placed = bounds.withColumn("turn", F.lit(1)).unionByName(
-        knots.withColumn("turn", F.lit(0)), allowMissingColumns=True
+    running = placed.select(
+        "person_id", "day", "turn", *[F.coalesce(F.sum(c).over(along), F.lit(0)).alias(c) for c in marks]
     )
-    running = [F.coalesce(F.sum(c).over(along), F.lit(0)).alias(c) for c in marks]
-    read = placed.select(
-        *PERSON, "day", "turn", "sign", "days", "first_day", "last_day", *running
-    ).filter(F.col("turn") == 1)
-    day = F.unix_date("day")
+    lost = [
+        (F.col(f"slope_{i}") * F.unix_date("day") - F.col(f"offset_{i}")).alias(f"lost_{i}")
+        for i in range(names)
+    ]
+    started = [F.col(f"event_{i}").alias(f"started_{i}") for i in range(names)]
+    return running.filter("turn = 1").select("person_id", "day", *lost, *started)
 
-    def lost(i):
-        return F.sum(F.col("sign") * (F.col(f"slope_{i}") * day - F.col(f"offset_{i}")))
 
-    return read.groupBy(*PERSON).agg(
-        F.min("first_day").alias("first_day"),
-        F.max("last_day").alias("last_day"),
-        F.sum("days").alias("days"),
-        *[lost(i).alias(f"lost_{i}") for i in range(count)],
-        *[F.sum(F.col("sign") * F.col(f"event_{i}")).alias(f"started_{i}") for i in range(count)],
+def _followed(
+    follow_up: DataFrame, knots: DataFrame, names: int, intervals: Sequence[str]
+) -> DataFrame:
+    """``stratum, person_id, year``: days of follow-up, days off risk and events.
+
+    ``stratum`` is a number for mode, sex and age group. Equal stretches are counted
+    first. A value that grows with time adds up over a stretch as the difference of its
+    states at the last day and at the day before the first, which are looked up by
+    person and day: so the stretches of one person are spread over its days.
+    """
+    stretches = (
+        follow_up.withColumn("stratum", F.xxhash64(*STRATUM[:3]))
+        .groupBy("stratum", "person_id", "start_date", "end_date")
+        .agg(F.count(F.lit(1)).alias("times"))
+    )
+    by_year = "years" in intervals
+    pieces = split_by_year(stretches, and_whole="overall" in intervals, by_year=by_year)
+    states = _states(follow_up, knots, names, by_year)
+    values = [f"{what}_{i}" for what in ("lost", "started") for i in range(names)]
+
+    def at(label: str) -> DataFrame:
+        return states.withColumnsRenamed({"day": label, **{v: f"{label}_{v}" for v in values}})
+
+    read = (
+        pieces.withColumn("before", F.date_sub("start_date", 1))
+        .withColumn("until", F.col("end_date"))
+        .join(at("before"), ["person_id", "before"])
+        .join(at("until"), ["person_id", "until"])
+    )
+    length = days_between(F.col("start_date"), F.col("end_date"), inclusive=True)
+    passed = [F.sum(F.col("times") * (F.col(f"until_{v}") - F.col(f"before_{v}"))).alias(v) for v in values]
+    return read.groupBy("stratum", "person_id", "year").agg(
+        F.min("start_date").alias("first_day"),
+        F.max("end_date").alias("last_day"),
+        F.sum(F.col("times") * length).alias("days"),
+        *passed,
     )
 
 
@@ -165,14 +164,17 @@ def incidence(
     """Counts and time at risk per mode, outcome, sex, age group and interval.
 
     The days off risk and the events up to a day are running sums over a person's
-    events; the follow-up reads them at its bounds. So neither the number of outcomes
-    nor that of events multiplies the follow-up, and only the intervals asked for are
-    split by year. Outcomes that are not among ``names`` are an error. The interval
+    distinct days; the follow-up looks them up at its bounds. So neither the number of
+    outcomes nor that of events multiplies the follow-up, and only the intervals asked
+    for are split by year. Outcomes that are not among ``names`` are an error. The interval
     ``overall`` has no year.
     """
     slots = range(len(names))
     knots = _knots(events_and_rest(outcomes, washout, repeated), names)
-    per_person = _swept(_bounds(follow_up, intervals), knots, len(names))
+    followed = held(follow_up)
+    per_person = _followed(followed, knots, len(names), intervals)
+    # A few rows: what the numbers of the strata stand for.
+    strata_of = followed.select(*STRATUM[:3]).distinct().withColumn("stratum", F.xxhash64(*STRATUM[:3]))
     summed = ["days", *[f"lost_{i}" for i in slots], *[f"started_{i}" for i in slots]]
     merged = [
         F.min("first_day").alias("first_day"),
@@ -183,7 +185,7 @@ def incidence(
         F.count_if(F.col("days") > F.col(f"lost_{i}")).alias(f"persons_{i}")
         for i in slots
     ]
-    strata = per_person.groupBy(*STRATUM).agg(*merged, *at_risk)
+    strata = per_person.groupBy("stratum", "year").agg(*merged, *at_risk).join(strata_of, "stratum").drop("stratum")
     persons = [F.sum(f"persons_{i}").alias(f"persons_{i}") for i in slots]
     totals = in_each_sex(strata).groupBy(*STRATUM).agg(*merged, *persons)
     if complete_intervals:

@@ -69,9 +69,13 @@ def test_split_follow_up_is_added_up_before_it_is_shuffled(spark, large_plans):
     cdm, spans = all_periods(spark, SMALL)
     table = incidence(study_follow_up(spans, cdm, STUDY), outcome_cohorts(cdm, STUDY), STUDY.ingredients)
     plan = plan_of(table)
-    # The bounds meet the events in one window per person, after a sum in the task that made them.
-    assert re.search(r"Exchange hashpartitioning\(person_id#\d+L, mode.*\n.*partial_sum\(sign", plan)
-    assert len([k for _, k in exchanges(plan) if "year" in k and "person_id" in k]) == 1
+    # Periods look states up by person and day, so those of one person are spread over its days.
+    lookups = {k.split(", ")[1] for _, k in exchanges(plan) if re.match("person_id, (before|until)", k)}
+    assert lookups == {"before", "until"}
+    # The only window by person is over its distinct days, which are made out before they are shuffled.
+    assert re.search(r"Exchange hashpartitioning\(person_id#\d+L, day.*\n.*HashAggregate\(keys=\[person_id", plan)
+    windows = [line for line in plan.split("\n") if "Window" in line and "slope_0" in line]
+    assert windows and all("mode" not in w and "age_group" not in w for w in windows)
 
 
 def test_records_are_read_once_for_all_features(spark, large_plans):
