@@ -11,7 +11,7 @@ import dataclasses
 from collections.abc import Callable
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from checks import oracles as O
@@ -38,6 +38,7 @@ from spanwise.plans import study
 from spanwise.report import overview, prepare, selection
 from spanwise.results import exchange, longform, reshape
 from spanwise.session import materialise, shared_folder
+from spanwise.sources.cdm import Cdm
 from spanwise.sources.fixtures import STUDY, fixture_cdm
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -657,6 +658,13 @@ def unsuppressed(spark: SparkSession, folder: str) -> longform.SummarisedResult:
     return study.study_result(tables, cdm)
 
 
+def placed_by(table: DataFrame, column: str) -> DataFrame:
+    """A sorted table with ``position``: how many rows come before the first of its value of ``column``, plus one."""
+    numbered = table.withColumn("row", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())))
+    first = F.min("row").over(Window.partitionBy(column))
+    return numbered.withColumn("position", first.cast("long")).drop("row")
+
+
 def of_type(spark, folder, kind: str) -> longform.SummarisedResult:
     return imported(spark, folder).filter_settings(F.col("result_type") == kind)
 
@@ -1107,40 +1115,59 @@ def incidence_table_yearly(spark, folder):
     return kept.withColumnRenamed("estimate_name", "variable_estimate")
 
 
+def left_over_sql(cells: str, templates: dict[str, tuple[str, ...]]) -> str:
+    """Whether an estimate stands alone: those of a template that misses one of them."""
+    alone = [
+        f"(estimate_name IN {tuple(names) if len(names) > 1 else f"('{names[0]}')"} AND"
+        f" ({' OR '.join(f'{cells}.{n} IS NULL' for n in names)}))"
+        for names in templates.values()
+    ]
+    return f"({' OR '.join(alone)})"
+
+
+PAPER = "'number records', 'number subjects', 'duration', 'time_to_next_observation', 'op_per_person'"
+SHOWN = ("count", "median", "q25", "q75", "min", "max")
 O.define(
     "paper_cells",
     f"""SELECT cdm_name, s.mode, variable_name,
                {", ".join(
                    f"max(CASE WHEN estimate_name = '{e}' THEN {shown_sql(0, 0, 1)} END)"
-                   f" AS {e}" for e in ("count", "median", "q25", "q75")
+                   f" AS {e}" for e in SHOWN
                )}
         FROM safe_tables r JOIN sets s ON r.result_id = s.result_id
-        WHERE variable_name IN ('number records', 'number subjects', 'duration',
-                'time_to_next_observation', 'op_per_person')
-          AND NOT regexp_matches(s.mode, '180|545')
+        WHERE variable_name IN ({PAPER}) AND NOT regexp_matches(s.mode, '180|545')
         GROUP BY ALL""",
 )
+O.define(
+    "paper_shown",
+    f"""SELECT variable_name, cdm_name, mode, 'N' AS estimate_name, count AS estimate_value
+        FROM paper_cells WHERE count IS NOT NULL
+        UNION ALL SELECT variable_name, cdm_name, mode, 'median [Q25 - Q75]',
+            median || ' [' || q25 || ' - ' || q75 || ']'
+        FROM paper_cells WHERE median IS NOT NULL AND q25 IS NOT NULL AND q75 IS NOT NULL
+        UNION ALL SELECT c.variable_name, c.cdm_name, c.mode, estimate_name, {shown_sql(0, 0, 1)}
+        FROM safe_tables r JOIN sets s ON r.result_id = s.result_id
+        JOIN paper_cells c ON (c.variable_name, c.cdm_name, c.mode) = (r.variable_name, r.cdm_name, s.mode)
+        WHERE {left_over_sql("c", {"n": ("count",), "m": ("median", "q25", "q75"), "r": ("min", "max")})}""",
+)
 
 
 @register(
     "paper_table",
-    """SELECT CASE variable_name WHEN 'number records' THEN 'Number records'
+    f"""SELECT CASE variable_name WHEN 'number records' THEN 'Number records'
                    WHEN 'number subjects' THEN 'Number subjects'
                    WHEN 'duration' THEN 'OP length'
                    WHEN 'time_to_next_observation' THEN 'Time between OP'
                    ELSE 'OP per person' END AS variable_name,
-              cdm_name, mode,
-              CASE WHEN count IS NULL THEN 'median [Q25 - Q75]' ELSE 'N' END
-                AS estimate_name,
-              coalesce(count, median || ' [' || q25 || ' - ' || q75 || ']')
-                AS estimate_value
-       FROM paper_cells WHERE count IS NOT NULL OR median IS NOT NULL""",
+              cdm_name, mode, estimate_name, estimate_value,
+              rank() OVER (ORDER BY list_position([{PAPER}], variable_name)) AS position
+       FROM paper_shown""",
 )
 def paper_table(spark, folder):
     table = prepare.paper_table(of_type(spark, folder, "summarise_table"))
-    return table.select(
-        "variable_name", "cdm_name", "mode", "estimate_name", "estimate_value"
-    ).filter(F.col("estimate_value").isNotNull())
+    return placed_by(table, "variable_name").select(
+        "variable_name", "cdm_name", "mode", "estimate_name", "estimate_value", "position"
+    )
 
 
 @register(
@@ -1152,8 +1179,7 @@ def paper_table(spark, folder):
 def paper_table_by_database(spark, folder):
     part = of_type(spark, folder, "summarise_table")
     table = prepare.paper_table_by_database(part)
-    labels = table.select("mode", "variable_name", "estimate_name", STUDY.cdm_name)
-    return labels.filter(F.col(STUDY.cdm_name).isNotNull())
+    return table.select("mode", "variable_name", "estimate_name", STUDY.cdm_name)
 
 
 O.define(
@@ -1181,7 +1207,13 @@ O.define(
         UNION ALL SELECT {SIMPLE}, 'mean (SD)', mean || ' (' || sd || ')'
         FROM simple_cells WHERE mean IS NOT NULL AND sd IS NOT NULL
         UNION ALL SELECT {SIMPLE}, 'range', '[' || min || ' ' || max || ']'
-        FROM simple_cells WHERE min IS NOT NULL""",
+        FROM simple_cells WHERE min IS NOT NULL
+        UNION ALL SELECT c.cdm_name, c.mode, c.variable_name, c.variable_level, estimate_name, {shown_sql(0, 1, 0)}
+        FROM safe_tables r JOIN sets s ON r.result_id = s.result_id
+        JOIN simple_cells c ON c.cdm_name = r.cdm_name AND c.mode = s.mode AND c.variable_name = r.variable_name
+            AND c.variable_level IS NOT DISTINCT FROM r.variable_level
+        WHERE {left_over_sql("c", {"n": ("count",), "m": ("median", "q25", "q75"), "s": ("mean", "sd"), "r": ("min", "max")})}
+            OR estimate_name = 'percentage' AND c.percentage IS NULL""",
 )
 
 
@@ -1194,7 +1226,7 @@ O.define(
                 AS "variable_name; variable_level" FROM simple_shown) GROUP BY ALL""",
 )
 def simple_table(spark, folder):
-    table = prepare.simple_table(
+    return prepare.simple_table(
         of_type(spark, folder, "summarise_table"),
         header=["mode"],
         group=["variable_name", "variable_level"],
@@ -1208,8 +1240,6 @@ def simple_table(spark, folder):
             "denominator_sex",
         ],
     )
-    labels = list(prepare.SIMPLE_TEMPLATES)
-    return selection.select_rows(table, estimate_name=labels)
 
 
 # Selections and overview ---------------------------------------------------
@@ -1392,22 +1422,101 @@ def overview_text(spark, folder):
     return overview.overview_text(imported(spark, folder), panels=len(prepare.PANELS))
 
 
+def labelled(mode: str) -> str:
+    cases = " ".join(f"WHEN '{m}' THEN '{label}'" for m, label in MODE_LABELS.items())
+    return f"CASE {mode} {cases} END"
+
+
+LONG_KEY = (
+    "r.result_id, cdm_name, group_name, group_level, strata_name, strata_level, variable_name,"
+    " variable_level, estimate_name, additional_name, additional_level"
+)
+LISTED = {
+    "cdm_names": [STUDY.cdm_name],
+    "sexes": ["overall", "Female", "Male"],
+    "age_groups": ["overall", "0 to 19", "20 to 39", "40 to 59", "60 to 79", "80 or above"],
+    "modes": sorted(MODE_LABELS.values()),
+}
+BUNDLE = {
+    "snapshot": ("cdm_name", "variable_name", "estimate_name"),
+    "in_obs": ("cdm_name", "mode", "variable_name", "sex", "age_group", "year", "sex_order", "age_group_order"),
+    "obs_period": tuple(LONG_KEY.replace("r.", "").replace(" ", "").split(",")),
+    "obs_period_settings": ("result_id", "result_type", "mode", "min_cell_count"),
+    "incidence": ("cdm_name", "outcome", "age_group", "sex", "analysis_interval", "year", "mode", "estimate_name"),
+    "cdm_names": ("position", "cdm_name"),
+    "sexes": ("position", "sex"),
+    "age_groups": ("position", "age_group"),
+    "modes": ("position", "mode"),
+}
+
+
 @register(
     "prepared_bundle",
-    """SELECT 'snapshot' AS panel, count(*) AS panel_rows FROM long_snapshot
-       UNION ALL SELECT 'in_obs', count(*) FROM prepared_in_obs
-       UNION ALL SELECT 'obs_period', count(*) FROM safe_tables
-       UNION ALL SELECT 'incidence', count(*) FROM prepared_incidence
-       UNION ALL SELECT 'modes', count(DISTINCT mode) FROM prepared_in_obs""",
+    f"""SELECT 'snapshot' AS panel, concat_ws(' | ', cdm_name, variable_name, estimate_name) AS key,
+               round(num, 4) AS num, txt FROM long_snapshot r
+        UNION ALL SELECT 'in_obs', concat_ws(' | ', cdm_name, {labelled("mode")}, variable_name, sex, age_group, year,
+               sex_order, age_group_order), count, NULL FROM prepared_in_obs
+        UNION ALL SELECT 'obs_period', concat_ws(' | ', {LONG_KEY}), round(num, 4), txt FROM safe_tables r
+        UNION ALL SELECT 'obs_period_settings', concat_ws(' | ', result_id, result_type, {labelled("mode")},
+               '{STUDY.min_cell_count}'), NULL, NULL FROM sets WHERE result_type = 'summarise_table'
+        UNION ALL SELECT 'incidence', concat_ws(' | ', cdm_name, outcome, age_group, sex, analysis_interval, year,
+               {labelled("mode")}, estimate_name), round(num, 4), NULL FROM prepared_incidence
+        UNION ALL {" UNION ALL ".join(f"SELECT '{name}', '{i} | {value}', NULL, NULL"
+            for name, values in LISTED.items() for i, value in enumerate(values, 1))}""",
 )
 def prepared_bundle(spark, folder):
+    """Every row of the nine tables, saved for this export and loaded again."""
     source = exported(spark, folder)
-    names = ["snapshot", "in_obs", "obs_period", "incidence", "modes"]
-    bundle = exchange.load_bundle(
-        spark, f"{source}-bundle", names, lambda: prepare.prepare_report(spark, source)
+    version = exchange.results_version(spark, source)
+    load = lambda: exchange.load_bundle(
+        spark, f"{source}-bundle/{version}", BUNDLE, lambda: prepare.prepare_report(spark, source)
     )
-    counted = [
-        bundle[n].agg(F.count("*").alias("panel_rows")).withColumn("panel", F.lit(n))
-        for n in names
-    ]
-    return records.stack(counted)
+    load()
+    shown = []
+    for name, table in load().items():
+        key = F.concat_ws(" | ", *[F.col(c).cast("string") for c in BUNDLE[name]]).alias("key")
+        none = F.lit(None)
+        if "estimate_value" in table.columns:
+            table = comparable(table)
+            num, txt = F.col("num"), (none if name == "incidence" else F.col("txt"))
+        else:
+            num, txt = (F.col("count") if name == "in_obs" else none), none
+        shown.append(
+            table.select(
+                F.lit(name).alias("panel"), key, num.cast("double").alias("num"), txt.cast("string").alias("txt")
+            )
+        )
+    return records.stack(shown)
+
+
+# Bindings and empty results ------------------------------------------------
+
+
+@register("catalog_binding", "SELECT * FROM person_span")
+def catalog_binding(spark, folder):
+    """The extremes of the records, from tables of a catalog under a prefix."""
+    prefix = "spanwise_check_"
+    for name, table in clinical(spark, folder).tables.items():
+        table.createOrReplaceGlobalTempView(f"{prefix}{name}")
+    fields = clinical(spark, folder).date_fields
+    cdm = Cdm.from_catalog(spark, "global_temp", prefix, name=STUDY.cdm_name, date_fields=fields)
+    return records.first_last(records.records(cdm))
+
+
+@register("study_without_periods", f"SELECT {LONG} FROM long_snapshot")
+def study_without_periods(spark, folder):
+    """The whole study where no definition has a period: the snapshot alone is left."""
+    cdm, spans = all_periods(spark, folder)
+    nobody = spans.filter("person_id IS NULL")
+    tables = study.characterise(nobody, cdm, STUDY, written(spark, folder, "outcomes"))
+    result = study.study_result(tables, cdm, study.present(nobody))
+    return comparable(longform.suppress(longform.bind(longform.empty_result(spark), result)).rows)
+
+
+@register("empty_selection", f"SELECT {LONG} FROM safe_all WHERE FALSE")
+def empty_selection(spark, folder):
+    """A selection that nothing meets gives an empty result, and so do the tables made of it."""
+    result = selection.filter_result(
+        imported(spark, folder), settings={"mode": ["unheard of"]}, variable_name=["duration"]
+    )
+    return comparable(longform.bind(result, longform.bind()).rows)

@@ -102,7 +102,8 @@ def characterise(
 
 
 def _modes(spark, result_type: str, modes: Sequence[str], **pairs) -> DataFrame:
-    return settings_table(spark, result_type, [{"mode": m} for m in modes], **pairs)
+    entries = [{"mode": m} for m in modes]
+    return settings_table(spark, result_type, entries, free=["mode"], **pairs)
 
 
 def in_observation_result(table: DataFrame, cdm: Cdm, modes=MODES) -> SummarisedResult:
@@ -233,10 +234,10 @@ def incidence_result(table: DataFrame, cdm: Cdm, modes=MODES) -> SummarisedResul
         for b in DENOMINATOR_BANDS
         for s in DENOMINATOR_SEXES
     ]
+    keys = ["mode", "denominator_age_group", "denominator_sex"]
     settings = settings_table(
-        cdm.spark, "incidence", entries, group=group, additional=additional
+        cdm.spark, "incidence", entries, group=group, additional=additional, free=keys
     )
-    keys = ["mode", "denominator_age_group", "denominator_sex"]
     return summarised(rows, settings, keys)
 
 

@@ -102,6 +102,20 @@ def import_results(spark: SparkSession, folder: str) -> SummarisedResult:
     return SummarisedResult(found, settings.select(new_id, *sorted(names)))
 
 
+def results_version(spark: SparkSession, folder: str) -> str:
+    """A name for the exported files below ``folder`` as they are now; another export has another one."""
+    files = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", "*.csv")
+        .load(folder)
+        .select("path", "length", "modificationTime")
+    )
+    mixed = F.xxhash64("path", "length", "modificationTime")
+    found = files.agg(F.bit_xor(mixed).alias("mixed"), F.count(F.lit(1)).alias("files")).first()
+    return f"{found['files']}-{(found['mixed'] or 0) % (1 << 64):016x}"
+
+
 def save_bundle(tables: dict[str, DataFrame], folder: str) -> None:
     """Write prepared tables, one parquet folder each."""
     for name, table in tables.items():
@@ -109,7 +123,10 @@ def save_bundle(tables: dict[str, DataFrame], folder: str) -> None:
 
 
 def load_bundle(spark: SparkSession, folder: str, names, rebuild) -> dict[str, DataFrame]:
-    """Prepared tables from ``folder``, built by ``rebuild`` and saved if absent."""
+    """Prepared tables from ``folder``, built by ``rebuild`` and saved if absent.
+
+    Name the folder by :func:`results_version`, so that a later export is prepared anew.
+    """
     paths = {name: f"{folder.rstrip('/')}/{name}" for name in names}
     try:
         return {name: spark.read.parquet(path) for name, path in paths.items()}

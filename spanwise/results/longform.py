@@ -96,9 +96,13 @@ def settings_table(
     group: Sequence[str] = (),
     strata: Sequence[str] = (),
     additional: Sequence[str] = (),
+    free: Sequence[str] = (),
 ) -> DataFrame:
-    """Settings with ids from 1, one row per entry of free columns."""
-    free = list(dict.fromkeys(c for e in entries for c in e))
+    """Settings with ids from 1, one row per entry of free columns.
+
+    ``free`` names those that are there without any entry.
+    """
+    free = list(dict.fromkeys([*free, *(c for e in entries for c in e)]))
     fixed = (
         result_type,
         *PACKAGE,
