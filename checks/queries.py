@@ -124,6 +124,27 @@ def record_days(spark, folder):
     return records.record_days(records.records(clinical(spark, folder)))
 
 
+O.define(
+    "record_steps",
+    """SELECT *, unnest(range(u, least(e, opens + 59) + 1)) AS d FROM (
+           SELECT *, CAST(u - ((u % 60) + 60) % 60 AS INT) AS opens FROM (
+               SELECT person_id, end_date AS raw, date_diff('day', DATE '1970-01-01', start_date) AS u,
+                      date_diff('day', DATE '1970-01-01', greatest(coalesce(end_date, start_date), start_date)) AS e
+               FROM recs WHERE start_date IS NOT NULL))""",
+)
+
+
+@register(
+    "record_sets",
+    """SELECT person_id, opens, bit_or(1::BIGINT << CAST(d - opens AS INT)) AS covered,
+              bit_or(CASE WHEN d < e THEN 1::BIGINT << CAST(d - opens AS INT) ELSE 0 END) AS linked,
+              CAST(max(CASE WHEN e >= opens + 60 THEN e END) AS INT) AS reach, max(raw) AS raw_end
+       FROM record_steps GROUP BY person_id, opens""",
+)
+def record_sets(spark, folder):
+    return records.record_sets(records.records(clinical(spark, folder)))
+
+
 @register("first_last_record", "SELECT * FROM person_span")
 def first_last_record(spark, folder):
     return records.first_last(records.records(clinical(spark, folder)))

@@ -20,7 +20,7 @@ from spanwise.operators.demographics import person_attributes, with_attributes
 from spanwise.operators.intervals import merge_by_gaps, merge_intervals
 from spanwise.operators.records import (
     first_last,
-    record_days,
+    record_runs,
     records,
     repair_ends,
     stack,
@@ -83,7 +83,7 @@ def first_to_last(
 
 def record_eras(cdm: Cdm, days: DataFrame | None = None) -> DataFrame:
     """Time under an ongoing record of any kind, not censored."""
-    days = record_days(records(cdm)) if days is None else days
+    days = record_runs(records(cdm)) if days is None else days
     return merge_intervals(days, ["person_id"], gap=0, starts_unique=True)
 
 
@@ -99,7 +99,7 @@ def persistence_periods(
     of gap p, closed p days later. So each persistence is merged once, and its
     surveillance variant only moves the end.
     """
-    days = record_days(records(cdm)) if days is None else days
+    days = record_runs(records(cdm)) if days is None else days
     gaps = [persistence for persistence, _ in rules]
     eras = merge_by_gaps(days, ["person_id"], gaps, starts_unique=True)
     variants = F.array(
@@ -178,7 +178,7 @@ def build_periods(
         eras = first_last(repair_ends(rows))
     else:
         gap = max(collapse_era, persistence_window)
-        eras = merge_intervals(record_days(rows), ["person_id"], gap, True)
+        eras = merge_intervals(record_runs(rows), ["person_id"], gap, True)
     spans = eras.withColumn("end_date", F.date_add("end_date", persistence_window))
     return censor(spans, cdm, censor_date)
 
@@ -222,14 +222,15 @@ def all_definitions(
     ``mode, person_id, start_date, end_date, period_id, sex, date_of_birth``;
     only original periods have an id at this point. Original and inpatient
     periods are left as they are unless the study censors all. ``days`` takes
-    the person-days of all records when they are at hand as a written table.
+    the spans of all records, one for each person and start, when they are at hand as a
+    written table.
 
     Inpatient and record-based periods, of which a person has one per day at
     most, come partitioned by person, so attributes and deaths are joined to
     all of them at once without a further shuffle. Original periods are joined
     by themselves, which lets a person with very many of them be split up.
     """
-    days = record_days(records(cdm)) if days is None else days
+    days = record_runs(records(cdm)) if days is None else days
     derived = with_attributes(
         stack(
             [

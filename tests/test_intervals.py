@@ -6,7 +6,7 @@ from tables import day, rows_of
 from pyspark.sql import functions as F
 
 from spanwise.operators.intervals import merge_by_gaps, merge_intervals, split_by_year
-from spanwise.operators.records import repair_ends
+from spanwise.operators.records import record_runs, repair_ends
 
 
 def naive(spans, gap):
@@ -110,3 +110,32 @@ def test_one_person_with_most_rows(spark):
     merged = merge_by_gaps(frame, ["person_id"], [0, 2, 3])
     counts = {r["gap"]: r["n"] for r in merged.filter("person_id = 0").groupBy("gap").agg(F.count("*").alias("n")).collect()}
     assert counts == {0: 500, 2: 500, 3: 1}
+
+
+@pytest.mark.parametrize("longest", [2, 25, 70, 500])
+def test_sets_of_days_merge_like_the_records(spark, longest):
+    """Records of any length around 1970 and over window ends, missing and inverted ends, in many tasks."""
+    rng = random.Random(longest)
+    origin = dt.date(1969, 6, 1)
+    rows, people = [], {}
+    for person in range(60):
+        for _ in range(rng.randint(1, 40)):
+            start = origin + dt.timedelta(rng.randint(0, 400))
+            end = start + dt.timedelta(rng.randint(-1, longest))
+            end = None if rng.random() < 0.1 else end
+            rows.append((person, start, end))
+            people.setdefault(person, []).append((start, start if end is None or end < start else end))
+    rows.append((0, None, origin))
+    frame = spark.createDataFrame(rows, "person_id long, start_date date, end_date date").repartition(7)
+    runs = record_runs(frame)
+    assert runs.select("person_id", "start_date").distinct().count() == runs.count()
+    known = {}
+    for person, _, end in rows[:-1]:
+        known[person] = max((d for d in (known.get(person), end) if d), default=None)
+    assert dict(rows_of(runs.groupBy("person_id").agg(F.max("raw_end")))) == known
+    gaps = [0, 1, 29, 59, 60, 61, None]
+    merged = merge_by_gaps(runs, ["person_id"], gaps, starts_unique=True)
+    wanted = [
+        (person, gap, *era) for person, given in people.items() for gap in gaps for era in naive(given, gap)
+    ]
+    assert rows_of(merged, "person_id", "gap", "start_date", "end_date") == sorted(wanted, key=repr)

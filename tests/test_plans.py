@@ -7,6 +7,7 @@ import pytest
 from checks.queries import QUERIES, all_periods
 from spanwise.operators.incidence import incidence
 from spanwise.operators.periods import record_eras
+from spanwise.operators.records import record_days, record_sets, records
 from spanwise.operators.cohorts import study_follow_up
 from spanwise.plans.study import outcome_cohorts
 from spanwise.sources.fixtures import STUDY, fixture_cdm
@@ -52,9 +53,9 @@ def test_no_single_task_and_no_pairing_of_everything(spark, large_plans, name):
 
 def test_definitions_read_and_shuffle_the_records_once(spark, large_plans):
     plan = plan_of(QUERIES["all_definitions"](spark, SMALL))
-    by_day = [k for _, k in exchanges(plan) if k.startswith("person_id, start_date")]
-    # Once for all records, and once for the stays.
-    assert len(by_day) == 2
+    # All records once, as sets of days; the stays once.
+    assert len([k for _, k in exchanges(plan) if k.startswith("person_id, opens")]) == 1
+    assert len([k for _, k in exchanges(plan) if k.startswith("person_id, start_date")]) == 1
     assert plan.count("lineitem.parquet") == 1
     # Nothing after the merge is shuffled by the person and the mode.
     assert not [k for _, k in exchanges(plan) if "mode" in k]
@@ -62,7 +63,13 @@ def test_definitions_read_and_shuffle_the_records_once(spark, large_plans):
 
 def test_merging_pre_aggregates_before_the_first_shuffle(spark, large_plans):
     plan = plan_of(record_eras(fixture_cdm(spark, SMALL)))
-    assert re.search(r"Exchange hashpartitioning\(person_id#\d+L, start_date#\d+.*\n.*partial_max", plan)
+    assert re.search(r"Exchange hashpartitioning\(person_id#\d+L, opens#\d+.*\n.*partial_bit_or", plan)
+
+
+def test_eras_shuffle_fewer_rows_than_person_days(spark):
+    cdm = fixture_cdm(spark, SMALL)
+    everything = records(cdm)
+    assert record_sets(everything).count() < 0.7 * record_days(everything).count()
 
 
 def test_split_follow_up_is_added_up_before_it_is_shuffled(spark, large_plans):
