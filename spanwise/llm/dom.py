@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections import defaultdict
 
 import numpy as np
 
@@ -33,10 +34,10 @@ SAME_TEXT = 1 << 32
 class Node:
     """An element: its tag, the tokens of its class, id and role, and its texts and elements in order."""
 
-    __slots__ = ("tag", "tokens", "hidden", "parts", "kids", "text", "number")
+    __slots__ = ("tag", "tokens", "names", "hidden", "parts", "kids", "text", "number")
 
-    def __init__(self, tag: str, tokens: frozenset = frozenset(), hidden: bool = False) -> None:
-        self.tag, self.tokens, self.hidden = tag, tokens, hidden
+    def __init__(self, tag: str, tokens: frozenset = frozenset(), hidden: bool = False, names: frozenset = frozenset()) -> None:
+        self.tag, self.tokens, self.hidden, self.names = tag, tokens, hidden, names
         self.parts: list = []
         self.kids: list[Node] = []
         self.text, self.number = 0, -1
@@ -50,27 +51,60 @@ def _node(tag: str, attributes: str) -> Node:
     if not attributes or attributes.isspace():
         return Node(tag)
     tokens: list[str] = []
+    names: list[str] = []
     hidden = False
     for name, value in NAMES.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id", "role"):
             # Numbers in names tell records apart, not kinds of them.
             tokens += [t for t in TOKEN.findall(value.lower()) if not t.isdigit()]
+            names += value.lower().split() if name != "id" else []
         else:
             hidden |= name == "hidden" or (name == "aria-hidden" and value == "true") or bool(HIDDEN.search(value))
-    return Node(tag, frozenset(tokens), hidden)
+    return Node(tag, frozenset(tokens), hidden, frozenset(names))
+
+
+class Open:
+    """The elements that are open while a page is read, and where those of each tag stand."""
+
+    def __init__(self, root: Node) -> None:
+        self.stack = [root]
+        self.places: defaultdict[str, list[int]] = defaultdict(list)
+        self.blocks: list[int] = []
+
+    def push(self, node: Node) -> None:
+        self.places[node.tag].append(len(self.stack))
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+
+    def last(self, *tags: str) -> int:
+        """The innermost place of any of these tags; 0 if none is open."""
+        return max((self.places[t][-1] for t in tags if self.places[t]), default=0)
+
+    def close(self, place: int) -> None:
+        """Close the element at a place, and all in it; nothing at place 0."""
+        if place:
+            for node in self.stack[place:]:
+                self.places[node.tag].pop()
+                if node.tag in BLOCK:
+                    self.blocks.pop()
+            del self.stack[place:]
 
 
 def parse(source: str) -> Node:
-    """The tree of a page; missing end tags are implied, stray ones ignored, scripts and the like left empty."""
+    """The tree of a page; missing end tags are implied, stray ones ignored, scripts and the like left empty.
+
+    Pages may be of any length and depth; the time is in proportion to the length.
+    """
     root = Node("#root")
-    stack = [root]
+    now = Open(root)
     at = 0
     while True:
         found = MARKUP.search(source, at)
         text = source[at : found.start()] if found else source[at:]
         if text:
-            stack[-1].parts.append(html.unescape(text))
+            now.stack[-1].parts.append(html.unescape(text))
         if not found:
             break
         at = found.end()
@@ -78,32 +112,24 @@ def parse(source: str) -> Node:
         if not tag:
             continue
         if found[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            now.close(now.last(tag))
             continue
-        if tag in BLOCK and any(n.tag == "p" for n in stack):
-            last = max(i for i, n in enumerate(stack) if n.tag == "p")
-            # A paragraph ends where a block begins, unless another block has begun inside it.
-            if not any(n.tag in BLOCK for n in stack[last + 1 :]):
-                del stack[last:]
+        # A paragraph ends where a block begins, unless another block has begun inside it.
+        paragraph = now.last("p") if tag in BLOCK else 0
+        if paragraph and now.blocks[-1] == paragraph:
+            now.close(paragraph)
         if tag in SAME_CLOSES:
-            closed, bound = (x.split() for x in SAME_CLOSES[tag])
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in bound:
-                    break
-                if stack[i].tag in closed:
-                    del stack[i:]
-                    break
+            closed, bound = (now.last(*x.split()) for x in SAME_CLOSES[tag])
+            if closed > bound:
+                now.close(closed)
         node = _node(tag, found[3])
-        stack[-1].parts.append(node)
-        stack[-1].kids.append(node)
+        now.stack[-1].parts.append(node)
+        now.stack[-1].kids.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>?", re.I).search(source, at)
             at = end.end() if end else len(source)
         elif tag not in VOID and not found[3].rstrip().endswith("/"):
-            stack.append(node)
+            now.push(node)
     _finish(root)
     return root
 
@@ -152,24 +178,31 @@ def align(a: Node, b: Node) -> dict[int, int]:
     weights: dict[tuple[int, int], int] = {}
     chosen: dict[tuple[int, int], list[tuple[int, int]]] = {}
 
-    def weigh(x: Node, y: Node) -> int:
+    def weight(x: Node, y: Node) -> int | None:
+        """What a match of both brings; none if that is not known yet."""
         if x.tag != y.tag or x.tokens != y.tokens:
             return 0
-        known = (ours[x.number], theirs[y.number])
-        if known in weights:
-            return weights[known]
+        return weights.get((ours[x.number], theirs[y.number]))
+
+    def ends(x: Node, y: Node) -> tuple[int, int]:
+        """How many kids are of equal content from the first on, and from the last on."""
         left, right = [ours[k.number] for k in x.kids], [theirs[k.number] for k in y.kids]
-        n, m = len(left), len(right)
+        least = min(len(left), len(right))
         lo = hi = 0
-        while lo < min(n, m) and left[lo] == right[lo]:
+        while lo < least and left[lo] == right[lo]:
             lo += 1
-        while hi < min(n, m) - lo and left[-1 - hi] == right[-1 - hi]:
+        while hi < least - lo and left[-1 - hi] == right[-1 - hi]:
             hi += 1
+        return lo, hi
+
+    def choose(x: Node, y: Node, lo: int, hi: int) -> None:
+        """Match the kids of both, whose weights are known."""
+        n, m = len(x.kids), len(y.kids)
         pairs = [(i, i) for i in range(lo)] + [(n - 1 - i, m - 1 - i) for i in range(hi)]
-        total = sum(weigh(x.kids[i], y.kids[j]) for i, j in pairs)
+        total = sum(weight(x.kids[i], y.kids[j]) for i, j in pairs)
         n, m = n - lo - hi, m - lo - hi
         if n and m:
-            each = np.array([[weigh(p, q) for q in y.kids[lo : lo + m]] for p in x.kids[lo : lo + n]], dtype=np.int64)
+            each = np.array([[weight(p, q) for q in y.kids[lo : lo + m]] for p in x.kids[lo : lo + n]], dtype=np.int64)
             best = np.zeros((n + 1, m + 1), dtype=np.int64)
             for i in range(n):
                 np.maximum.accumulate(np.maximum(best[i, 1:], best[i, :-1] + each[i]), out=best[i + 1, 1:])
@@ -183,12 +216,31 @@ def align(a: Node, b: Node) -> dict[int, int]:
                     i, j = i - 1, j - 1
                     pairs.append((lo + i, lo + j))
             total += int(best[n, m])
+        known = (ours[x.number], theirs[y.number])
         chosen[known] = pairs
         weights[known] = 1 + total + (SAME_TEXT if x.text and x.text == y.text else 0)
-        return weights[known]
+
+    # Kids before their parents, on a stack of its own: trees may be of any depth.
+    waiting = [(a, b)]
+    while waiting:
+        x, y = waiting[-1]
+        if weight(x, y) is not None:
+            waiting.pop()
+            continue
+        lo, hi = ends(x, y)
+        n, m = len(x.kids), len(y.kids)
+        outer = [(i, i) for i in range(lo)] + [(n - 1 - i, m - 1 - i) for i in range(hi)]
+        wanted = [(x.kids[i], y.kids[j]) for i, j in outer]
+        wanted += [(p, q) for p in x.kids[lo : n - hi] for q in y.kids[lo : m - hi]]
+        open_pairs = [(p, q) for p, q in wanted if weight(p, q) is None]
+        if open_pairs:
+            waiting += open_pairs
+        else:
+            choose(x, y, lo, hi)
+            waiting.pop()
 
     matched: dict[int, int] = {}
-    todo = [(a, b)] if weigh(a, b) else []
+    todo = [(a, b)] if weight(a, b) else []
     while todo:
         x, y = todo.pop()
         matched[y.number] = x.number

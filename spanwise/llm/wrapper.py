@@ -14,6 +14,7 @@ from spanwise.session import materialise
 
 # Pages of a host and layout that go to one task; larger groups are split.
 PART_PAGES = 2_000
+PARSED_AT_ONCE = 500
 # A node is template if so many other pages were aligned with it and so many of them have the same text there;
 # in an article, where documents may share lines, the same share of all pages must have it.
 LEAST_PAGES, SAME_SHARE = 3, 0.9
@@ -31,13 +32,15 @@ AROUND = set(
     " widget pagination pager toolbar login signup search".split()
 )
 HEADERS = set("header masthead topbar".split())
+# What an article is written in: an anchor's id, or a word of a longer name, says nothing about it.
+PROSE = set("h1 h2 h3 h4 h5 h6 p blockquote pre figcaption".split())
 
 ROW = "page_id long, url string, text string, n_chars long"
 
 
 def around(node: Node, inside: bool) -> bool:
     """Whether an element is no part of an article, by its tag, its names or for being hidden."""
-    if node.tag in NEVER or node.hidden or node.tokens & AROUND:
+    if node.tag in NEVER or node.hidden or (node.names if node.tag in PROSE else node.tokens) & AROUND:
         return True
     return not inside and (node.tag == "header" or bool(node.tokens & HEADERS))
 
@@ -176,37 +179,36 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
-def _shapes(rows: DataFrame) -> DataFrame:
-    """``host, fine, coarse, text, tree`` of each page that has a main text: layouts, digest of the text, packed tree."""
-    schema = pa.schema({"host": pa.string(), "fine": pa.int64(), "coarse": pa.int64(), "text": pa.int64(), "tree": pa.string()})
+def _parsed(rows: DataFrame) -> DataFrame:
+    """``rows`` read once: ``fine, coarse`` layouts, ``digest`` of the main text, ``plain`` text, and the packed ``tree``.
 
-    def shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            done = []
-            for host, source in zip(*(batch.column(c).to_pylist() for c in ("host", "html")), strict=True):
-                root = parse(source)
-                text = digest(main_text(root, set()))
-                if text:
-                    done.append((host, *layouts(root), text, packed(root)))
-            yield _batch(done, schema)
-
-    return rows.select("host", "html").mapInArrow(shape, "host string, fine long, coarse long, text long, tree string")
-
-
-def _with_layouts(rows: DataFrame) -> DataFrame:
-    """``rows`` and their layouts; null where there is no main text."""
-    schema = pa.schema({"page_id": pa.int64(), "url": pa.string(), "html": pa.string(), "host": pa.string(), "fine": pa.int64(), "coarse": pa.int64()})
+    The main text is that without a template. Where there is none, layouts and tree are null.
+    """
+    schema = pa.schema(
+        {"page_id": pa.int64(), "url": pa.string(), "html": pa.string(), "host": pa.string(), "fine": pa.int64(),
+         "coarse": pa.int64(), "digest": pa.int64(), "plain": pa.string(), "tree": pa.string()}
+    )
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            trees = [parse(source) for source in batch.column("html").to_pylist()]
-            found = [layouts(t) if main_text(t, set()) else (None, None) for t in trees]
-            own = [batch.column(c).cast(schema.field(c).type) for c in ("page_id", "url", "html", "host")]
-            more = [pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*own, *more], schema=schema)
+            # A few pages at a time: their trees are many times as large.
+            for begin in range(0, batch.num_rows, PARSED_AT_ONCE):
+                some = batch.slice(begin, PARSED_AT_ONCE)
+                found = []
+                for source in some.column("html").to_pylist():
+                    root = parse(source)
+                    text = main_text(root, set())
+                    known = (*layouts(root), digest(text)) if text else (None, None, None)
+                    found.append((*known, text, packed(root) if text else None))
+                own = [some.column(c).cast(schema.field(c).type) for c in ("page_id", "url", "html", "host")]
+                more = [pa.array([f[i] for f in found], t) for i, t in enumerate(schema.types[4:])]
+                yield pa.RecordBatch.from_arrays([*own, *more], schema=schema)
 
     columns = rows.select("page_id", "url", "html", "host")
-    return columns.mapInArrow(place, "page_id long, url string, html string, host string, fine long, coarse long")
+    return columns.mapInArrow(
+        place,
+        "page_id long, url string, html string, host string, fine long, coarse long, digest long, plain string, tree string",
+    )
 
 
 def _dealt(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
@@ -268,7 +270,7 @@ def _kinds(shapes: DataFrame) -> DataFrame:
     return fine.join(coarse, ["host", "coarse"]).select("host", "fine", "coarse", layout.alias("layout"), "pages")
 
 
-def induce(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def induce(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``host, fine, coarse, layout, parts`` and ``host, layout, parts, pivot, template``.
 
     The first names the group of pages whose wrapper serves a layout, the second has
@@ -279,7 +281,7 @@ def induce(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     without such text do not count. Counts are added up in the tasks before they are
     shuffled. Node -1 stands for all pages that were counted.
     """
-    shapes = materialise(_shapes(rows), "shapes", "zstd")
+    shapes = parsed.filter("digest IS NOT NULL").select("host", "fine", "coarse", F.col("digest").alias("text"), "tree")
     kinds = materialise(_kinds(shapes), "kinds")
     groups = kinds.groupBy("host", "layout").agg(F.ceil(F.sum("pages") / PART_PAGES).cast("long").alias("parts"))
     ways = F.array(F.concat_ws(" ", "coarse", "fine"), F.col("coarse").cast("string"), F.lit(""))
@@ -364,7 +366,15 @@ def extract(pages: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    served, wrappers = induce(rows)
+    parsed = materialise(_parsed(_rows(pages)), "parsed", "zstd")
+    served, wrappers = induce(parsed)
     wrappers = materialise(wrappers, "wrappers")
-    placed = _with_layouts(rows).join(served, ["host", "fine", "coarse"], "left").withColumnRenamed("html", "source")
-    return _dealt(placed, wrappers).mapInArrow(read, ROW)
+    # Only where something is template does the text change, and is the page read again.
+    acting = wrappers.filter(F.size("template") > 0)
+    with_template = served.join(acting.select("host", "layout"), ["host", "layout"])
+    key = ["host", "fine", "coarse"]
+    again = parsed.join(with_template, key).withColumnRenamed("html", "source")
+    settled = parsed.join(with_template.select(*key), key, "left_anti").select(
+        "page_id", "url", F.col("plain").alias("text"), F.length("plain").cast("long").alias("n_chars")
+    )
+    return settled.unionByName(_dealt(again, acting).mapInArrow(read, ROW))

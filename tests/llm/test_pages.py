@@ -2,6 +2,9 @@ import base64
 import hashlib
 import html
 import random
+import time
+
+import pytest
 import re
 
 from spanwise.llm import warc, wrapper
@@ -170,3 +173,29 @@ def test_records_come_back_and_copies_are_revisits(spark):
     folder = warc.archive_folder(spark)
     warc.write(pages(spark, rows).limit(0), folder)
     assert warc.read(spark, folder).collect() == []
+
+
+@pytest.mark.parametrize("depth", [700, 20_000])
+def test_deep_pages(spark, depth):
+    """Pages of any depth are read and aligned."""
+    rows = [
+        (i, f"http://deep.org/{i}", "<body>" + "<div>" * depth + f"<p>Text number {'abcdefg'[i]} of this host.</p>" + "</div>" * (depth - i))
+        for i in range(6)
+    ]
+    found = texts(spark, rows)
+    assert found == {i: f"Text number {'abcdefg'[i]} of this host." for i in range(6)}
+
+
+def test_long_menus_and_unclosed_elements_take_linear_time():
+    begun = time.process_time()
+    parse("<div>" * 60_000 + "</span>" * 60_000 + "<p>x" * 60_000 + "<li>y" * 60_000)
+    assert time.process_time() - begun < 20
+
+
+def test_anchors_and_longer_names_stay(spark):
+    article = (
+        '<article><h2 id="related-work">Related work</h2><p class="no-ad">One.</p><h2 id="search">Search</h2>'
+        '<p class="lead">Two.</p><p class="ad">Buy.</p><div class="ad-box">Buy more.</div></article>'
+    )
+    found = texts(spark, [(1, "http://a.org/1", f"<body><nav>Menu</nav>{article}</body>")])
+    assert found == {1: "Related work\nOne.\nSearch\nTwo."}
