@@ -366,15 +366,17 @@ def extract(pages: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    parsed = materialise(_parsed(_rows(pages)), "parsed", "zstd")
+    rows = _rows(pages)
+    parsed = materialise(_parsed(rows).drop("html"), "parsed", "zstd")
     served, wrappers = induce(parsed)
     wrappers = materialise(wrappers, "wrappers")
     # Only where something is template does the text change, and is the page read again.
     acting = wrappers.filter(F.size("template") > 0)
-    with_template = served.join(acting.select("host", "layout"), ["host", "layout"])
     key = ["host", "fine", "coarse"]
-    again = parsed.join(with_template, key).withColumnRenamed("html", "source")
-    settled = parsed.join(with_template.select(*key), key, "left_anti").select(
+    changed = materialise(served.join(acting.select("host", "layout"), ["host", "layout"]), "acting")
+    settled = parsed.join(changed.select(*key), key, "left_anti").select(
         "page_id", "url", F.col("plain").alias("text"), F.length("plain").cast("long").alias("n_chars")
     )
+    of_hosts = rows.join(changed.select("host").distinct(), "host", "left_semi")
+    again = _parsed(of_hosts).join(changed, key).withColumnRenamed("html", "source")
     return settled.unionByName(_dealt(again, acting).mapInArrow(read, ROW))
