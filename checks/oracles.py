@@ -812,7 +812,9 @@ def hidden(source: str, further: str = "FALSE") -> str:
 # The keys of hidden places as they stand in the long rows.
 define(
     "gone_strata",
-    """SELECT s.result_id, CASE WHEN x = '' AND y = '' THEN 'overall' ELSE concat_ws(' &&& ', nullif(x, ''),
+    """SELECT s.result_id, CASE WHEN x <> '' AND y <> '' THEN 'sex &&& age_group' WHEN x <> '' THEN 'sex'
+               WHEN y <> '' THEN 'age_group' ELSE 'overall' END AS strata_of,
+           CASE WHEN x = '' AND y = '' THEN 'overall' ELSE concat_ws(' &&& ', nullif(x, ''),
                nullif(y, '')) END AS strata, layer || '-01-01 to ' || layer || '-12-31 &&& years' AS additional
        FROM gone_in_obs g JOIN sets s ON s.mode = g.family AND result_type = 'summarise_in_observation'""",
 )
@@ -828,7 +830,8 @@ define(
 OPENED = "CASE WHEN additional_name LIKE '%interval' THEN split_part(additional_level, ' &&& ', 1) ELSE '' END"
 define(
     "safe_in_obs",
-    hidden("long_in_obs", "(result_id, strata_level, additional_level) IN (SELECT (result_id, strata, additional) FROM gone_strata)"),
+    hidden("long_in_obs", "(result_id, strata_name, strata_level, additional_level)"
+        " IN (SELECT (result_id, strata_of, strata, additional) FROM gone_strata)"),
 )
 define(
     "safe_incidence",
