@@ -12,65 +12,87 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanwise.llm.tokens import process_memory, slices
-from spanwise.llm.words import NOT_ALNUM, U, shingles, words
+from spanwise.llm.words import NOT_ALNUM, U, mix, shingles, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BITS = 64
-# Fingerprints of texts as similar as SIMILARITY differ in about 10 bits of 64, in more than 23 once in a million.
-RADIUS = 23
-BLOCKS = 8
-# Items whose index is held in memory at a time; more are searched for in further passes.
-ITEMS = 20_000
+# Bits of a fingerprint. Texts as similar as SIMILARITY differ in about 19 of them, in more than RADIUS about
+# once in seven hundred; texts that have nothing in common differ in 64, in RADIUS or fewer once in a hundred millions.
+BITS = 128
+RADIUS = 31
+# An index of blocks of 16 bits. Items are listed under all block values that differ in at most RADIUS // 8 bits.
+BLOCK_BITS = 16
+BLOCKS = BITS // BLOCK_BITS
+# Items whose index is held in memory at a time (about 22 kB each); more are searched for in further passes.
+ITEMS = 4_000
+# Shingles whose bits are summed at a time.
+PIECE = 8_192
 
 FOUND = "doc_id long, item_id long, similarity double, start_word long, n_words int"
 
 
-def fingerprints(grams: np.ndarray, starts: np.ndarray, count: int) -> np.ndarray:
-    """SimHash of the ``count`` shingles from each of ``starts`` on."""
-    bits = ((grams[:, None] >> np.arange(BITS, dtype=U)) & U(1)).astype(np.int32) * 2 - 1
-    sums = np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(bits, axis=0, dtype=np.int32)])
-    on = (sums[starts + count] - sums[starts] > 0).astype(U)
-    return (on << np.arange(BITS, dtype=U)).sum(axis=1, dtype=U)
+def bit_sums(grams: np.ndarray) -> np.ndarray:
+    """How many of the shingles before each place have each of BITS bits."""
+    both = np.stack([grams, mix(grams ^ U(0x5851F42D4C957F2D))], axis=1)
+    sums = np.zeros((len(grams) + 1, BITS), np.int32)
+    np.cumsum(np.unpackbits(both.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.int32, out=sums[1:])
+    return sums
+
+
+def fingerprints(sums: np.ndarray, starts: np.ndarray, count) -> np.ndarray:
+    """SimHash, two words each, of the ``count`` shingles from each of ``starts`` on."""
+    on = 2 * (sums[starts + count] - sums[starts]) > np.reshape(count, (-1, 1))
+    return np.packbits(on, axis=1, bitorder="little").view(U)
 
 
 class HammingIndex:
-    """All items within RADIUS of a fingerprint.
+    """All items of a kind within RADIUS of a fingerprint.
 
     Two fingerprints that differ in at most RADIUS bits differ in at most
     RADIUS // BLOCKS bits in one block; each item is listed under all block values
-    that near, so that the lists of a fingerprint's own block values hold it.
+    that near, so that the lists of a fingerprint's own block values hold it. Lists
+    are kept by block value and kind together; a list may hold items of others, which
+    are told apart by their kind and whole fingerprint.
     """
 
-    def __init__(self, prints: np.ndarray) -> None:
-        self.prints = prints
-        width = BITS // BLOCKS
-        flips = [sum(1 << b for b in some) for k in range(RADIUS // BLOCKS + 1) for some in combinations(range(width), k)]
+    def __init__(self, prints: np.ndarray, kinds: np.ndarray) -> None:
+        self.prints, self.kinds = prints, kinds
+        near = range(RADIUS // BLOCKS + 1)
+        flips = np.array([sum(1 << b for b in some) for k in near for some in combinations(range(BLOCK_BITS), k)])
+        self.slots = 1 << int(np.clip(len(prints) * len(flips), 1 << 16, 1 << 21) - 1).bit_length()
         self.lists = []
         for block in range(BLOCKS):
-            own = self._block(prints, block)
-            values = (own[:, None] ^ np.array(flips)).ravel()
-            items = np.repeat(np.arange(len(prints)), len(flips))
-            order = np.argsort(values, kind="stable")
-            self.lists.append((np.searchsorted(values[order], np.arange((1 << width) + 1)), items[order]))
+            slots = self._slots(self._blocks(prints)[:, block][:, None] ^ flips, kinds[:, None]).ravel()
+            order = np.argsort(slots, kind="stable")
+            bounds = np.searchsorted(slots[order], np.arange(self.slots + 1)).astype(np.int32)
+            self.lists.append((bounds, (order // len(flips)).astype(np.int32)))
 
     @staticmethod
-    def _block(prints: np.ndarray, block: int) -> np.ndarray:
-        width = BITS // BLOCKS
-        return ((prints >> U(block * width)) & U((1 << width) - 1)).astype(np.int64)
-
-    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of places in ``prints`` and of items within the radius."""
-        pairs = []
-        for block, (bounds, items) in enumerate(self.lists):
-            value = self._block(prints, block)
-            sizes = bounds[value + 1] - bounds[value]
-            query = np.repeat(np.arange(len(prints)), sizes)
-            at = np.arange(int(sizes.sum())) + np.repeat(bounds[value] - (np.cumsum(sizes) - sizes), sizes)
-            item = items[at]
-            close = np.bitwise_count(prints[query] ^ self.prints[item]) <= RADIUS
-            pairs.append(query[close] * len(self.prints) + item[close])
-        both = np.unique(np.concatenate(pairs))
+    def _blocks(prints: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(prints).view(np.uint16).astype(np.int64)
+
+    def _slots(self, values: np.ndarray, kinds) -> np.ndarray:
+        return (values + kinds * 0x9E3779B1) & (self.slots - 1)
+
+    def listed(self, prints: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of places in ``prints`` and of items of the kind that share a list, repeated for each shared list."""
+        blocks, places, items = self._blocks(prints), [], []
+        for block, (bounds, listed) in enumerate(self.lists):
+            slot = self._slots(blocks[:, block], kind)
+            begins, sizes = bounds[slot], bounds[slot + 1] - bounds[slot]
+            some = np.flatnonzero(sizes)
+            begins, sizes = begins[some], sizes[some]
+            item = listed[np.arange(int(sizes.sum())) + np.repeat(begins - (np.cumsum(sizes) - sizes), sizes)]
+            own = self.kinds[item] == kind
+            places.append(np.repeat(some, sizes)[own])
+            items.append(item[own])
+        return np.concatenate(places), np.concatenate(items).astype(np.int64)
+
+    def near(self, prints: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of places in ``prints`` and of items of the kind within the radius."""
+        place, item = self.listed(prints, kind)
+        close = np.bitwise_count(prints[place] ^ self.prints[item]).sum(axis=1) <= RADIUS
+        both = np.unique(place[close] * len(self.prints) + item[close])
         return both // len(self.prints), both % len(self.prints)
 
 
@@ -90,25 +112,25 @@ def similarity(a: Counter, b: Counter) -> float:
 
 
 class Benchmark:
-    """Items of one pass, by their number of words."""
+    """Items of one pass, and the index of their fingerprints by number of words."""
 
     def __init__(self, ids: list[int], texts: list[str]) -> None:
         hashes, sizes, ends = words(pa.array(texts, pa.string()), NOT_ALNUM)
-        by_size: dict[int, list[tuple]] = {}
+        self.items: list[tuple[int, Counter]] = []
+        self.least: dict[int, int] = {}
+        kinds, prints = [], []
+        known: dict[int, list[np.ndarray]] = {}
         for i, (begin, end) in enumerate(zip([0, *ends.tolist()], ends.tolist(), strict=False)):
             if end > begin:
-                n = min(SHINGLE, end - begin)
+                size, n = end - begin, min(SHINGLE, end - begin)
                 grams = shingles(hashes[begin:end], n)
-                letters = _letters(sizes[begin:end], n)
-                by_size.setdefault(end - begin, []).append((ids[i], grams, weights(grams, letters)))
-        self.sizes = {}
-        self.least = {size: min(w.total() for _, _, w in items) for size, items in by_size.items()}
-        known: dict[int, list[np.ndarray]] = {}
-        for size, items in by_size.items():
-            n = min(SHINGLE, size)
-            prints = np.concatenate([fingerprints(g, np.zeros(1, np.int64), len(g)) for _, g, _ in items])
-            self.sizes[size] = (HammingIndex(prints), [(i, w) for i, _, w in items])
-            known.setdefault(n, []).extend(g for _, g, _ in items)
+                bag = weights(grams, _letters(sizes[begin:end], n))
+                self.items.append((ids[i], bag))
+                self.least[size] = min(self.least.get(size, bag.total()), bag.total())
+                kinds.append(size)
+                prints.append(fingerprints(bit_sums(grams), np.zeros(1, np.int64), len(grams)))
+                known.setdefault(n, []).append(grams)
+        self.index = HammingIndex(np.concatenate([np.empty((0, BITS // 64), U), *prints]), np.array(kinds, np.int64))
         self.known = {n: np.unique(np.concatenate(g)) for n, g in known.items()}
         self.filters = {n: np.bincount((g & U(0xFFFFF)).astype(np.int64), minlength=1 << 20) > 0 for n, g in self.known.items()}
 
@@ -119,39 +141,79 @@ class Benchmark:
         at = np.minimum(np.searchsorted(known, grams[maybe]), len(known) - 1)
         return maybe[known[at] == grams[maybe]]
 
-    def search(self, hashes: np.ndarray, sizes: np.ndarray, hits: dict[int, np.ndarray]) -> dict[int, tuple]:
-        """Best (similarity, first word, number of words) of each item in one document.
+    def search(self, hashes: np.ndarray, sizes: np.ndarray, ends: np.ndarray) -> dict[tuple[int, int], tuple]:
+        """Best (similarity, first word, number of words) of each document and item among many documents.
 
         Only windows that hold some shingle of an item are fingerprinted: the others
         have a similarity of zero to all. A document shorter than an item is one window,
         if it has letters enough to be similar.
         """
-        best: dict[int, tuple] = {}
-        for longest, (index, items) in self.sizes.items():
-            n = min(SHINGLE, longest)
-            size = min(longest, len(hashes))
-            count = size - n + 1
-            if not len(hits.get(n, ())):
+        best: dict[tuple[int, int], tuple] = {}
+        begins = np.concatenate([[0], ends[:-1]])
+        for n in self.known:
+            grams, letters = shingles(hashes, n), _letters(sizes, n)
+            hits = self.hits(grams, n)
+            docs = np.searchsorted(ends, hits, side="right")
+            # Shingles that run into the next text are no hits of either.
+            hits, docs = hits[hits + n <= ends[docs]], docs[hits + n <= ends[docs]]
+            if not len(hits):
                 continue
-            if size < longest and _letters(sizes, n).sum() / self.least[longest] < SIMILARITY:
-                continue
-            marks = np.zeros(len(hashes) - size + 2, np.int64)
-            np.add.at(marks, np.maximum(hits[n] - count + 1, 0).clip(max=len(marks) - 1), 1)
-            np.add.at(marks, np.minimum(hits[n] + 1, len(marks) - 1), -1)
-            starts = np.flatnonzero(np.cumsum(marks)[:-1] > 0)
-            for run in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1) if len(starts) else []:
-                for piece in np.split(run, range(4096, len(run), 4096)):
-                    lo, hi = int(piece[0]), int(piece[-1]) + size
-                    grams = shingles(hashes[lo:hi], n)
-                    letters = _letters(sizes[lo:hi], n)
-                    for w, i in zip(*(x.tolist() for x in index.near(fingerprints(grams, piece - lo, count))), strict=True):
-                        at = int(piece[w]) - lo
-                        item, bag = items[i]
-                        same = similarity(weights(grams[at : at + count], letters[at : at + count]), bag)
-                        if same >= SIMILARITY and (same, -lo - at) > (best.get(item, (0, 0))[0], -best.get(item, (0, 0))[1]):
-                            best[item] = (same, lo + at, size)
+            lists = {s: _starts(hits, begins[docs], ends[docs], s, n) for s in self.least if min(SHINGLE, s) == n}
+            touched = np.unique(docs)
+            total = np.concatenate([[0], np.cumsum(letters)])
+            whole = total[ends[touched] - n + 1] - total[begins[touched]]
+            spans = {s: [(starts, np.full(len(starts), s))] for s, starts in lists.items()}
+            for s in spans:
+                short = touched[(ends[touched] - begins[touched] < s) & (whole / self.least[s] >= SIMILARITY)]
+                spans[s].append((begins[short], ends[short] - begins[short]))
+            for s, (full, short) in spans.items():
+                spans[s] = tuple(np.concatenate(pair) for pair in zip(full, short, strict=True))
+            for place, size, item in self._near(grams, n, spans):
+                count = size - n + 1
+                name, bag = self.items[item]
+                same = similarity(weights(grams[place : place + count], letters[place : place + count]), bag)
+                if same >= SIMILARITY:
+                    d = int(np.searchsorted(ends, place, side="right"))
+                    first = place - int(begins[d])
+                    held = best.get((d, name), (0, 0, 0))
+                    if (same, -first) > (held[0], -held[1]):
+                        best[d, name] = (same, first, size)
         return best
 
+    def _near(self, grams: np.ndarray, n: int, spans: dict[int, tuple]) -> Iterator[tuple[int, int, int]]:
+        """First word, words and item of each window whose fingerprint lies near the item's.
+
+        Bits are summed over the shingles of windows only, a bounded piece of them at a time.
+        """
+        marks = np.zeros(len(grams) + 1, np.int32)
+        for starts, lengths in spans.values():
+            np.add.at(marks, starts, 1)
+            np.add.at(marks, starts + lengths - n + 1, -1)
+        used = np.flatnonzero(np.cumsum(marks[:-1]) > 0)
+        ordered = []
+        for kind, (starts, lengths) in spans.items():
+            order = np.argsort(starts, kind="stable")
+            ordered.append((kind, starts[order], lengths[order], np.searchsorted(used, starts[order])))
+        longest = max((int(lengths.max()) for _, _, lengths, _ in ordered if len(lengths)), default=0)
+        for lo in range(0, len(used), PIECE):
+            sums = bit_sums(grams[used[lo : lo + PIECE + longest]])
+            for kind, starts, lengths, places in ordered:
+                part = slice(*np.searchsorted(places, (lo, lo + PIECE)).tolist())
+                if part.stop > part.start:
+                    prints = fingerprints(sums, places[part] - lo, lengths[part] - n + 1)
+                    window, item = self.index.near(prints, kind)
+                    yield from zip(starts[part][window].tolist(), lengths[part][window].tolist(), item.tolist(), strict=True)
+
+
+def _starts(hits: np.ndarray, begins: np.ndarray, ends: np.ndarray, size: int, n: int) -> np.ndarray:
+    """First words of all windows of ``size`` words that hold a hit and lie in the hit's document."""
+    first = np.maximum(hits - (size - n), begins)
+    last = np.minimum(hits, ends - size)
+    # Hits ascend, so a window that an earlier hit has too begins no later than that one's last.
+    first = np.maximum(first, np.maximum.accumulate(np.concatenate([[-1], last[:-1]])) + 1)
+    many = np.maximum(last - first + 1, 0)
+    return np.arange(int(many.sum())) + np.repeat(first - (np.cumsum(many) - many), many)
+
 
 def _letters(sizes: np.ndarray, n: int) -> np.ndarray:
     total = np.concatenate([[0], np.cumsum(sizes)])
@@ -167,7 +229,7 @@ def find(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) -> DataFrame
     at least SIMILARITY; the best window is returned. The items are a query set: they
     go to every task in passes of about ``items``, over all documents each. Null and
     empty texts match nothing; rows with a null ``doc_id`` or ``item_id`` are kept as
-    they are; equal rows give equal rows; other columns are not read.
+    they are; equal rows give equal rows; empty tables give no rows; other columns are not read.
     """
     spark = docs.sparkSession
     text = F.lower(F.coalesce(F.col("text"), F.lit("")))
@@ -184,20 +246,9 @@ def find(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) -> DataFrame
             items = index.value
             for batch in batches:
                 for part in slices(batch.column(2).to_pylist()):
-                    hashes, sizes, ends = words(batch.column(1)[part], NOT_ALNUM)
-                    grams = {n: shingles(hashes, n) for n in items.known}
-                    hits = {n: items.hits(g, n) for n, g in grams.items()}
-                    rows = []
-                    begins = np.concatenate([[0], ends[:-1]])
-                    # Shingles that run into the next text are no hits of either.
-                    hits = {n: h[h + n <= ends[np.searchsorted(ends, h, side="right")]] for n, h in hits.items()}
-                    touched = {int(d) for h in hits.values() for d in np.unique(np.searchsorted(ends, h, side="right"))}
                     ids = batch.column(0)[part]
-                    for d in sorted(touched):
-                        a, b = int(begins[d]), int(ends[d])
-                        own = {n: h[(h >= a) & (h < b)] - a for n, h in hits.items()}
-                        for item, (same, start, size) in items.search(hashes[a:b], sizes[a:b], own).items():
-                            rows.append((ids[d].as_py(), item, same, start, size))
+                    found = items.search(*words(batch.column(1)[part], NOT_ALNUM))
+                    rows = [(ids[d].as_py(), item, *best) for (d, item), best in found.items()]
                     columns = zip(*rows, strict=True) if rows else [[]] * 5
                     types = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int32())
                     arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from checks.compare import connect, differences
 from spanwise.llm import chat, decontamination, parsing, pii, toxicity
 from spanwise.llm.queries import QUERIES, SQL
-from spanwise.llm.words import mix
+from spanwise.llm.words import mix, shingles
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -145,13 +145,47 @@ def test_fingerprints_of_odd_rows(odd_docs, no_docs, spark):
 
 def test_all_items_within_the_radius_are_found():
     rng = np.random.default_rng(3)
-    items = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    items = rng.integers(0, 1 << 63, (300, 2), dtype=np.uint64)
+    kinds = rng.integers(5, 8, 300)
     prints = items[rng.integers(0, 300, 400)]
-    for _ in range(23):
-        prints = prints ^ (np.uint64(1) << rng.integers(0, 64, 400, dtype=np.uint64))
-    query, item = decontamination.HammingIndex(items).near(prints)
-    close = np.bitwise_count(prints[:, None] ^ items) <= decontamination.RADIUS
-    assert set(zip(query.tolist(), item.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(close)), strict=True))
+    for _ in range(35):
+        prints = prints ^ (np.uint64(1) << rng.integers(0, 64, (400, 2), dtype=np.uint64)) * rng.integers(0, 2, (400, 2), dtype=np.uint64)
+    index = decontamination.HammingIndex(items, kinds)
+    distances = np.bitwise_count(prints[:, None] ^ items).sum(axis=2)
+    assert (distances == decontamination.RADIUS).any() and (distances == decontamination.RADIUS + 1).any()
+    for kind in (5, 6, 7, 8):
+        query, item = index.near(prints, kind)
+        close = (distances <= decontamination.RADIUS) & (kinds == kind)
+        assert set(zip(query.tolist(), item.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(close)), strict=True))
+
+
+def test_the_index_selects():
+    """A window looks at few of the items, also of those that have as many words."""
+    rng = np.random.default_rng(4)
+    items, prints = (rng.integers(0, 1 << 64, (n, 2), dtype=np.uint64) for n in (1000, 500))
+    for kinds, most in ((np.full(1000, 30), 0.09), (np.arange(1000) % 40, 0.003)):
+        places, _ = decontamination.HammingIndex(items, kinds).listed(prints, 30)
+        assert len(places) < most * len(items) * len(prints)
+
+
+def test_similar_passages_have_near_fingerprints():
+    """Of passages edited down to a similarity of 0.8 to 0.85, hardly any lies beyond the radius."""
+    rng = random.Random(5)
+    near = []
+    while len(near) < 2000:
+        size = rng.randint(15, 120)
+        words = np.array([rng.getrandbits(64) for _ in range(size)], np.uint64)
+        sizes = np.array([rng.randint(2, 9) for _ in range(size)])
+        edited, long = words.copy(), sizes.copy()
+        for _ in range(rng.randint(1, 4)):
+            at = rng.choice([0, 1, size - 1, rng.randrange(size)])
+            edited[at], long[at] = rng.getrandbits(64), rng.randint(2, 9)
+        grams = [shingles(w, 5) for w in (words, edited)]
+        bags = [decontamination.weights(g, decontamination._letters(n, 5)) for g, n in zip(grams, (sizes, long), strict=True)]
+        if 0.8 <= decontamination.similarity(*bags) < 0.85:
+            prints = [decontamination.fingerprints(decontamination.bit_sums(g), np.zeros(1, int), len(g)) for g in grams]
+            near.append(int(np.bitwise_count(prints[0] ^ prints[1]).sum()) <= decontamination.RADIUS)
+    assert np.mean(near) > 0.99
 
 
 def test_passages_against_every_window(spark):
