@@ -64,12 +64,11 @@ def op5_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
-    from spanwise.llm.warc import archive_folder, read, write
+    from spanwise.llm.warc import archive_folder, verified, write
 
     place = archive_folder(spark)
     write(_table(spark, folder, "pages"), place)
-    records = read(spark, place).filter(F.col("record_type").isin("response", "revisit"))
-    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return verified(spark, place).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:

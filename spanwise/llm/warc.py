@@ -10,7 +10,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
@@ -23,6 +23,8 @@ DATE = "2020-01-01T00:00:00Z"
 LEAST_BYTES = 0
 LIST = "_files"
 
+BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
 RECORD = "urn:page:"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 COLUMNS = (
@@ -225,5 +227,56 @@ def read(spark: SparkSession, folder: str, payload: bool = False) -> DataFrame:
     return spark.read.format("warc").option("payload", str(payload)).load(folder)
 
 
+def base32(digits: Column) -> Column:
+    """The 40 hexadecimal ``digits`` of a SHA-1 in base 32: five digits are four letters."""
+
+    def letters(place: Column) -> Column:
+        number = F.conv(F.substr(digits, 5 * place + 1, F.lit(5)), 16, 10).cast("int")
+        codes = (F.shiftright(number, bits).bitwiseAND(31) + 1 for bits in (15, 10, 5, 0))
+        return F.concat(*(F.substr(F.lit(BASE32), code, F.lit(1)) for code in codes))
+
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), letters), "")
+
+
+def verified(spark: SparkSession, folder: str) -> DataFrame:
+    """The records of a folder, without payloads, after a check of every payload.
+
+    The payloads of responses are read; their length and digest are taken from their
+    bytes, and the job fails if a record's headers tell others. Revisits have no payload:
+    what they tell is held against the response that they refer to, and a revisit that
+    refers to no response, or to other bytes, fails the job too. Null ids stay null; an
+    empty folder gives no rows.
+    """
+    digest, size = base32(F.sha1("payload")), F.octet_length("payload").cast("long")
+    same = (digest == F.col("payload_digest")) & (size == F.col("payload_bytes"))
+    responses = read(spark, folder, payload=True).filter("record_type = 'response'")
+    responses = responses.select(
+        "page_id",
+        "url",
+        "record_type",
+        "refers_to",
+        F.when(same, digest).otherwise(_refuse("payload of page ", "page_id")).alias("payload_digest"),
+        size.alias("payload_bytes"),
+    )
+    revisits = read(spark, folder).filter("record_type = 'revisit'").drop("payload")
+    # A response is met by its page, length and digest, so pages that share an id are told apart.
+    targets = responses.select(
+        F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes", F.lit(True).alias("found")
+    ).distinct()
+    held = revisits.join(targets, ["refers_to", "payload_digest", "payload_bytes"], "left").select(
+        "page_id",
+        "url",
+        F.when(F.col("found"), F.col("record_type")).otherwise(_refuse("revisit of page ", "page_id")).alias("record_type"),
+        "refers_to",
+        "payload_digest",
+        "payload_bytes",
+    )
+    return responses.unionByName(held)
+
+
+def _refuse(what: str, column: str) -> Column:
+    return F.raise_error(F.concat(F.lit(what), F.coalesce(F.col(column).cast("string"), F.lit("null")), F.lit(" does not agree with its headers")))
+
+
 def archive_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"

@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import json
 import html
 import random
 import time
@@ -175,6 +176,38 @@ def test_records_come_back_and_copies_are_revisits(spark):
     assert warc.read(spark, folder).collect() == []
 
 
+def test_digests_are_taken_from_the_payloads(spark):
+    rows = [(1, "a", "<p>é"), (2, "b", "<p>é"), (3, None, ""), (4, "d", None), (5, "e", "z" * 100_000), (5, "f", "y"), (None, "g", "y")]
+    folder = warc.archive_folder(spark)
+    warc.write(pages(spark, rows), folder)
+    found = {(r["page_id"], r["url"]): (r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.verified(spark, folder).collect()}
+    refers = {(1, "a"): 2, (3, None): 4}
+    for page_id, url, html in rows:
+        body = (html or "").encode()
+        kind = "revisit" if (page_id, url) in refers else "response"
+        digest = base64.b32encode(hashlib.sha1(body).digest()).decode()
+        assert found[page_id, url] == (len(body), digest, kind, refers.get((page_id, url)))
+    assert len(found) == len(rows)
+
+
+def test_payloads_that_do_not_agree_with_their_headers(spark):
+    right = base64.b32encode(hashlib.sha1(b"right").digest()).decode()
+    good = warc.record(1, "a", right, None, b"right")
+    cases = {
+        "payload": [good, warc.record(2, "b", right, None, b"wrong")],
+        "revisit of nothing": [good, warc.record(2, "b", right, 7, b"right")],
+        "revisit of other bytes": [good, warc.record(2, "b", "A" * 32, 1, b"other")],
+    }
+    for records in cases.values():
+        folder = warc.archive_folder(spark)
+        name = warc.put(folder, "part", b"".join(records))
+        system, path = warc.place(folder)
+        with system.open_output_stream(f"{path}/{warc.LIST}") as out:
+            out.write(json.dumps([str(name)]).encode())
+        with pytest.raises(Exception, match="does not agree with its headers"):
+            warc.verified(spark, folder).collect()
+
+
 @pytest.mark.parametrize("depth", [700, 20_000])
 def test_deep_pages(spark, depth):
     """Pages of any depth are read and aligned."""
