@@ -228,14 +228,12 @@ def read(spark: SparkSession, folder: str, payload: bool = False) -> DataFrame:
 
 
 def base32(digits: Column) -> Column:
-    """The 40 hexadecimal ``digits`` of a SHA-1 in base 32: five digits are four letters."""
+    """The 40 hexadecimal ``digits`` of a SHA-1 in base 32; a number of 60 bits has 15 of the one and 12 of the other."""
 
-    def letters(place: Column) -> Column:
-        number = F.conv(F.substr(digits, 5 * place + 1, F.lit(5)), 16, 10).cast("int")
-        codes = (F.shiftright(number, bits).bitwiseAND(31) + 1 for bits in (15, 10, 5, 0))
-        return F.concat(*(F.substr(F.lit(BASE32), code, F.lit(1)) for code in codes))
+    def part(begin: int, size: int) -> Column:
+        return F.lpad(F.conv(F.substring(digits, begin, size), 16, 32), size * 4 // 5, "0")
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), letters), "")
+    return F.translate(F.concat(part(1, 15), part(16, 15), part(31, 10)), "0123456789ABCDEFGHIJKLMNOPQRSTUV", BASE32)
 
 
 def verified(spark: SparkSession, folder: str) -> DataFrame:
@@ -247,17 +245,22 @@ def verified(spark: SparkSession, folder: str) -> DataFrame:
     refers to no response, or to other bytes, fails the job too. Null ids stay null; an
     empty folder gives no rows.
     """
-    digest, size = base32(F.sha1("payload")), F.octet_length("payload").cast("long")
-    same = (digest == F.col("payload_digest")) & (size == F.col("payload_bytes"))
-    responses = read(spark, folder, payload=True).filter("record_type = 'response'")
-    responses = responses.select(
+    read_back = read(spark, folder, payload=True).filter("record_type = 'response'")
+    measured = read_back.select(
         "page_id",
         "url",
         "record_type",
         "refers_to",
-        F.when(same, digest).otherwise(_refuse("payload of page ", "page_id")).alias("payload_digest"),
-        size.alias("payload_bytes"),
+        F.struct("payload_digest", "payload_bytes").alias("told"),
+        F.struct(base32(F.sha1("payload")).alias("digest"), F.octet_length("payload").cast("long").alias("bytes")).alias("own"),
     )
+    agrees = F.when(F.col("told") == F.col("own"), F.col("own")).otherwise(_refuse("payload of page ", "page_id"))
+    responses = materialise(
+        measured.withColumn("own", agrees).select(
+            "page_id", "url", "record_type", "refers_to", "own.digest", "own.bytes"
+        ),
+        "warc-payloads",
+    ).withColumnsRenamed({"digest": "payload_digest", "bytes": "payload_bytes"})
     revisits = read(spark, folder).filter("record_type = 'revisit'").drop("payload")
     # A response is met by its page, length and digest, so pages that share an id are told apart.
     targets = responses.select(
