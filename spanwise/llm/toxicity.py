@@ -21,9 +21,8 @@ WINDOW, STRIDE, FILL = 40, 28, 40
 ORDINARY_BYTES, TOXIC_BYTES = 98_304, 4_096
 # Tables large enough that no part of a dictionary hides another.
 SEARCH = {"min_match": 6, "window_log": 17, "hash_log": 18, "chain_log": 18, "search_log": 6, "target_length": 48}
-# Training reads at most about so many labelled documents, and so many characters of each.
+# Training reads at most about so many labelled documents, each of them whole.
 SAMPLE_DOCS = 10_000
-SAMPLE_CHARS = 8_000
 REJECT = 0.7
 
 # So many characters are scored at a time.
@@ -178,7 +177,8 @@ def learn(texts: list[str], toxic: list[int]) -> Classifier:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Classifier:
     """Learn from about ``sample`` labelled documents outside the held-out fold, chosen by a hash of the id.
 
-    Null labels and texts are left out of training; a ``doc_id`` labelled twice counts as
+    The documents are bounded in number, not in length: their words are counted, and their
+    windows compared, over whole texts. Null labels and texts are left out of training; a ``doc_id`` labelled twice counts as
     its larger label. With one sort of label only, nothing can be learned and all scores are 0.
     """
     known = (
@@ -191,7 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Clas
     chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0)
     # About as many ids as the sample has documents.
     rows = (
-        docs.select(F.col("doc_id").cast("long"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+        docs.select(F.col("doc_id").cast("long"), "text")
         .filter("text is not null")
         .join(F.broadcast(chosen), "doc_id")
         .dropDuplicates(["doc_id"])
