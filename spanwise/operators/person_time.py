@@ -4,36 +4,119 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanwise.config import AGE_BANDS
-from spanwise.functions.dates import Band, days_between
-from spanwise.operators.demographics import with_age, with_attributes
-from spanwise.operators.intervals import split_by_year
+from spanwise.functions.dates import Band, age_at, age_band, days_between, year_end
+from spanwise.operators.demographics import with_attributes
+from spanwise.operators.intervals import held
 from spanwise.sources.cdm import Cdm
 
 STRATA = ("sex", "age_group")
 
 
+def _runs(bands: Sequence[Band]) -> Column:
+    """The years after its first that a span touches, as runs of one age band each.
+
+    The age on 1 January rises by one a year, so the years of a band are a stretch that
+    follows from the birth date; ages between the bounds of all bands share a label.
+    """
+    birth = F.col("date_of_birth")
+    bounds = sorted({low for low, _ in bands} | {high + 1 for _, high in bands if high is not None})
+    late = (F.month(birth) * 100 + F.dayofmonth(birth) > 101).cast("int")
+    newborn = F.year(birth) + late
+    first, last = F.year("start_date") + 1, F.year("end_date")
+
+    def run(label: Column, low: Column, high: Column) -> Column:
+        return F.struct(label.alias("age_group"), low.alias("low"), high.alias("high"))
+
+    found = []
+    for low, high in zip([None, *bounds], [*bounds, None], strict=True):
+        label = age_band(F.lit(bounds[0] - 1 if low is None else low), bands)
+        begin = first if low is None else F.greatest(first, newborn + low)
+        found.append(run(label, begin, last if high is None else F.least(last, newborn + (high - 1))))
+    ageless = F.array(run(F.lit("None"), first, last))
+    runs = F.when(birth.isNull(), ageless).otherwise(F.array(*found))
+    return F.filter(runs, lambda r: r["low"] <= r["high"])
+
+
+def _marks(bands: Sequence[Band]) -> Column:
+    """What a span adds at single years: its first year, and where each run of whole years begins and ends.
+
+    A mark has a year and an age group; ``records`` and ``person_days`` count in that
+    year only, ``change`` in all years from it on.
+    """
+    start, end = F.col("start_date"), F.col("end_date")
+
+    def mark(year: Column, group: Column, records: int, days: Column, change: int) -> Column:
+        return F.struct(
+            year.alias("year"),
+            group.alias("age_group"),
+            F.lit(records).alias("records"),
+            days.cast("int").alias("person_days"),
+            F.lit(change).alias("change"),
+        )
+
+    opening = mark(
+        F.year(start),
+        age_band(age_at(F.col("date_of_birth"), start), bands),
+        1,
+        days_between(start, F.least(end, year_end(F.year(start))), inclusive=True),
+        0,
+    )
+    missing = F.datediff(end, year_end(F.year(end)))
+    none = F.lit(0)
+    per_run = F.transform(
+        _runs(bands),
+        lambda r: F.array(
+            mark(r["low"], r["age_group"], 0, none, 1),
+            mark(r["high"], r["age_group"], 0, F.when(r["high"] == F.year(end), missing).otherwise(none), 0),
+            mark(r["high"] + 1, r["age_group"], 0, none, -1),
+        ),
+    )
+    return F.concat(F.array(opening), F.flatten(per_run))
+
+
 def in_observation(
     periods: DataFrame, cdm: Cdm, bands: Sequence[Band] = AGE_BANDS
 ) -> DataFrame:
     """``mode, year, sex, age_group, records, person_days`` and their percentages.
 
     A period counts in every year it touches, with the age at its first day in
-    that year. The rows are first added up per year, sex and age group, so the
-    totals over strata are taken from a table of a few thousand rows. The
-    percentages refer to all periods, or all person-days, of the mode.
+    that year. It gives a mark at its first year, and three for each age band that it
+    passes through later, however many years it lasts: the marks are added up per year,
+    sex and age group, and running sums over the years tell how many periods last
+    through each. So totals over strata are taken from a table of a few thousand rows.
+    The percentages refer to all periods, or all person-days, of the mode.
     """
-    spans = with_attributes(periods, cdm).withColumn("first_year", F.year("start_date"))
-    yearly = split_by_year(spans)
-    aged = with_age(yearly, "start_date", "age", "age_group", bands)
-    days = days_between(F.col("start_date"), F.col("end_date"), inclusive=True)
-    cells = aged.groupBy("mode", "year", *STRATA).agg(
-        F.count("*").alias("records"),
-        F.sum(days).alias("person_days"),
-        F.sum((F.col("year") == F.col("first_year")).cast("long")).alias("opened"),
+    spans = held(with_attributes(periods, cdm))
+    marks = spans.select("mode", "sex", F.explode(_marks(bands)).alias("mark")).select("mode", "sex", "mark.*")
+    added = marks.groupBy("mode", "year", *STRATA).agg(
+        *(F.sum(c).alias(c) for c in ("records", "person_days", "change"))
+    )
+    years = Window.partitionBy("mode", *STRATA).orderBy("year")
+    lasting = added.withColumns(
+        {
+            "lasting": F.sum("change").over(years),
+            "until": F.coalesce(F.lead("year").over(years) - 1, F.col("year")),
+        }
+    )
+    # Years without a mark are those of the mark before, less what counts in that one's year only.
+    here = F.col("year") == F.col("marked")
+    length = F.dayofyear(year_end(F.col("year")))
+    cells = (
+        lasting.withColumnRenamed("year", "marked")
+        .withColumn("year", F.explode(F.sequence("marked", "until")))
+        .select(
+            "mode",
+            "year",
+            *STRATA,
+            (F.when(here, F.col("records")).otherwise(0) + F.col("lasting")).alias("records"),
+            (F.when(here, F.col("person_days")).otherwise(0) + F.col("lasting") * length).alias("person_days"),
+            F.when(here, F.col("records")).otherwise(0).alias("opened"),
+        )
+        .filter("records > 0")
     )
     whole = Window.partitionBy("mode")
     cells = cells.withColumns(

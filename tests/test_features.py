@@ -6,9 +6,11 @@ import pytest
 from tables import day, rows_of
 from pyspark.sql import functions as F
 
+from spanwise.config import AGE_BANDS
 from spanwise.operators import features, summaries
+from spanwise.operators.demographics import with_attributes
 from spanwise.operators.density import density
-from spanwise.operators.person_time import in_observation
+from spanwise.operators.person_time import _marks, in_observation
 from spanwise.operators.quantiles import numeric_estimates
 
 PERIOD = "mode string, person_id long, start_date date, end_date date, period_id long"
@@ -108,6 +110,49 @@ def test_person_days_add_up(spark, make_cdm):
     assert shares.agg(F.sum("person_days_percentage")).first()[0] == pytest.approx(100)
 
 
+def test_person_time_against_every_year_of_every_period(spark, make_cdm):
+    """Bands change on birthdays, periods last up to a century, and some people have no birth date."""
+    rng = random.Random(12)
+    people, rows = [], []
+    for p in range(60):
+        year = rng.choice([None, rng.randint(1890, 2010)])
+        people.append((p, rng.choice([8507, 8532, 0]), year, rng.choice([None, 1, 2, 12]), rng.choice([None, 1, 2, 28])))
+        for _ in range(rng.randint(0, 4)):
+            start = dt.date(1900, 1, 1) + dt.timedelta(rng.choice([0, 365, 59 + rng.randrange(40_000)]))
+            end = start + dt.timedelta(rng.choice([-1, 0, 1, 364, 365, 366, rng.randrange(36_500)]))
+            rows.append(("a" if p % 3 else "b", p, str(start), str(end)))
+    rows += [("a", 0, "2004-01-01", "2004-12-31"), ("a", 0, "2004-12-31", "2005-01-01"), ("c", 999, "1999-06-01", "2003-02-01")]
+    births = {p: y and dt.date(y, m or 1, d or 1) for p, _, y, m, d in people}
+    sexes = {p: {8507: "Male", 8532: "Female"}.get(g, "None") for p, g, *_ in people}
+    frame, cdm = periods_of(spark, rows), make_cdm(person=people)
+    # Bands in no order, with a gap, and one inside another.
+    for bands in (AGE_BANDS, ((40, 59), (0, 0), (1, 17), (10, 30), (70, None)), ((5, 9),)):
+        wanted = {}
+        for mode, person, a, b in rows:
+            start, end = day(a), day(b)
+            for year in range(start.year, end.year + 1 if start <= end else 0):
+                first, last = max(start, dt.date(year, 1, 1)), min(end, dt.date(year, 12, 31))
+                birth = births.get(person)
+                age = birth and first.year - birth.year - ((first.month, first.day) < (birth.month, birth.day))
+                names = (f"{low} or above" if high is None else f"{low} to {high}" for low, high in bands if birth and low <= age and (high is None or age <= high))
+                cell = wanted.setdefault((mode, year, sexes.get(person, "None"), next(names, "None")), [0, 0])
+                cell[0] += 1
+                cell[1] += (last - first).days + 1
+        found = in_observation(frame, cdm, bands).filter("sex <> 'overall' AND age_group <> 'overall'")
+        assert {tuple(r)[:4]: list(r)[4:6] for r in found.collect()} == wanted
+
+
+def test_marks_do_not_grow_with_the_length_of_periods(spark, make_cdm):
+    """Rows before the first sum: as many for centuries as for what passes through the same age bands."""
+    counts = []
+    for end in ("2003-01-01", "2300-01-01"):
+        frame = periods_of(spark, [("a", 1, "2000-05-01", end)] * 50)
+        cdm = make_cdm(person=[(1, 8507, 1900, 1, 1)])
+        spans = with_attributes(frame, cdm)
+        counts.append(spans.select(F.explode(_marks(AGE_BANDS))).count())
+    assert counts == [200, 200]
+
+
 def test_estimates_match_numpy(spark):
     rng = np.random.default_rng(11)
     groups = {
