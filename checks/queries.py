@@ -8,6 +8,7 @@ queries that build them start from the clinical tables.
 from __future__ import annotations
 
 import dataclasses
+import datetime as dt
 from collections.abc import Callable
 from functools import cache
 
@@ -20,6 +21,7 @@ from spanwise.config import (
     MODE_LABELS,
     NUMERIC_VARIABLES,
     PERSISTENCE_RULES,
+    RECORD_TABLES,
     mode_name,
 )
 from spanwise.functions.dates import add_years
@@ -34,7 +36,7 @@ from spanwise.operators import (
     summaries,
 )
 from spanwise.operators.demographics import person_attributes, with_age
-from spanwise.plans import study
+from spanwise.plans import incremental, study
 from spanwise.report import overview, prepare, selection
 from spanwise.results import exchange, longform, reshape
 from spanwise.session import materialise, shared_folder
@@ -250,6 +252,20 @@ def all_definitions(spark, folder):
     return spans.drop("sex", "date_of_birth")
 
 
+def before_the_last_week(cdm):
+    """The tables as of a week before the study's data cut."""
+    cut = STUDY.data_end_date - dt.timedelta(7)
+    tables = {t: cdm[t].filter(F.col(cdm.date_fields[t][0]).cast("date") < cut) for t in RECORD_TABLES}
+    return Cdm.from_tables(cdm.spark, cdm.tables | tables, cdm.name, cdm.date_fields)
+
+
+@register("definitions_of_next_cut", "SELECT * FROM all_periods")
+def definitions_of_next_cut(spark, folder):
+    cdm = clinical(spark, folder)
+    last = incremental.first_cut(before_the_last_week(cdm), STUDY)
+    return incremental.next_cut(cdm, STUDY, last).periods.drop("sex", "date_of_birth")
+
+
 O.define(
     "all_censored",
     O.union(
