@@ -246,3 +246,17 @@ def test_limits_travel_without_the_package(tmp_path):
         check=False,
     )
     assert run.stdout.strip() == "[3.68888, 11.66833]", run.stderr
+
+
+def test_states_of_persons_are_never_sent_to_the_driver(spark):
+    follow_up = spark.createDataFrame(
+        [("a", p, "Male", "all", dt.date(2012, 1, 1), dt.date(2013, 5, 1)) for p in range(5)], FOLLOW
+    )
+    outcomes = spark.createDataFrame([("x", 1, dt.date(2012, 3, 1), dt.date(2012, 3, 2))], OUTCOME)
+    knots = incidence_operator._knots(incidence_operator.events_and_rest(outcomes, 30), ["x"])
+    followed = incidence_operator._followed(follow_up, knots, 1, ("years", "overall"))
+    assert followed.count() == 15
+    followed.collect()
+    plan = followed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") >= 2
+    assert "BroadcastHashJoin" not in plan
