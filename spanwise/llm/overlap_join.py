@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from math import exp, log2, sqrt
@@ -23,6 +22,9 @@ BLOCK = 4096
 PIVOTS = 12
 # Cost of a binary probe of a long list against a step of the merge.
 PROBE = 0.0085
+# Costs of looking a document up in long lists, and in each of them, against counting a posting.
+PROBES, PROBED = 5_000, 50
+COUNTED = 4_000_000
 ODD = U(0xD1342543DE82EF95)
 # How far a span of sizes reaches above its lower end. Spans overlap the less the farther they reach, and their
 # ranges hold the fewer shingles; this is near the least number of keys.
@@ -209,7 +211,7 @@ class Search:
 
     def __init__(self, rule: Rule, sets: list[np.ndarray]) -> None:
         self.rule = rule
-        self.sizes = [len(s) for s in sets]
+        self.sizes = np.array([len(s) for s in sets], np.int64)
         grams = np.concatenate([*sets, np.empty(0, U)])
         owners = np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)
         order = np.argsort(grams, kind="stable")  # owners rise within a shingle
@@ -229,9 +231,9 @@ class Search:
     def linked(self, grams: np.ndarray, limit: int, skip) -> list[int]:
         """Documents below ``limit`` that link with the set, but for those that ``skip`` knows.
 
-        Divide and skip: the longest lists are set aside, as many as a set can lack and
-        still reach the overlap; the short ones are merged by a heap that jumps over
-        documents too rare to matter; what remains is probed in the long lists.
+        The longest lists are set aside, as many as a set can lack and still reach the
+        overlap; the short ones are merged by counting their documents. What remains is
+        probed in the long lists, or counted there too where it is the larger part of them.
         """
         size, rule = len(grams), self.rule
         needed = rule.least(size)
@@ -248,35 +250,33 @@ class Search:
         at, begin, end = at[held][order], begin[held][order], end[held][order]
         aside = min(needed - 1, int(needed / (PROBE * log2(max(2, int(end[-1] - begin[-1]))) + 1)))
         cut = len(at) - aside
-        short = [self.owners[a:b].tolist() for a, b in zip(begin[:cut].tolist(), end[:cut].tolist(), strict=True)]
-        long, wanted = at[cut:] * self.count, needed - aside
-        found = []
-        heap = [(posting[0], i) for i, posting in enumerate(short)]
-        heapq.heapify(heap)
-        place = [0] * len(short)
-        while len(heap) >= wanted:
-            document, popped = heap[0][0], []
-            while heap and heap[0][0] == document:
-                popped.append(heapq.heappop(heap)[1])
-            if len(popped) >= wanted:
-                if not skip(document):
-                    near = np.searchsorted(self.places, long + document)
-                    near = np.minimum(near, len(self.places) - 1)
-                    shared = len(popped) + int((self.places[near] == long + document).sum())
-                    if shared >= rule.overlap(size, self.sizes[document]):
-                        found.append(document)
-                target = document + 1
-            else:
-                while heap and len(popped) < wanted - 1:
-                    popped.append(heapq.heappop(heap)[1])
-                if not heap:
-                    break
-                target = heap[0][0]
-            for i in popped:
-                place[i] = bisect_left(short[i], target, place[i])
-                if place[i] < len(short[i]):
-                    heapq.heappush(heap, (short[i][place[i]], i))
-        return found
+        counts = self._counted(begin[:cut], end[:cut], limit)
+        near = np.flatnonzero(counts >= needed - aside)
+        if aside and len(near) * (PROBES + PROBED * aside) > int((end - begin)[cut:].sum()):
+            shared = (counts + self._counted(begin[cut:], end[cut:], limit))[near]
+        else:
+            shared = counts[near] + [self._held(at[cut:] * self.count + document) for document in near]
+        near = near[shared >= rule.overlap(size, self.sizes[near])]
+        return [document for document in near.tolist() if not skip(document)]
+
+    def _counted(self, begin: np.ndarray, end: np.ndarray, limit: int) -> np.ndarray:
+        """In how many of the lists each document below ``limit`` is; so many postings are counted at a time."""
+        counts = np.zeros(limit, np.int64)
+        turn = np.cumsum(end - begin) // COUNTED
+        for first, last in _runs(turn):
+            lists = [self.owners[a:b] for a, b in zip(begin[first:last].tolist(), end[first:last].tolist(), strict=True)]
+            counts += np.bincount(np.concatenate(lists), minlength=limit)
+        return counts
+
+    def _held(self, places: np.ndarray) -> int:
+        near = np.minimum(np.searchsorted(self.places, places), len(self.places) - 1)
+        return int((self.places[near] == places).sum())
+
+
+def _runs(turn: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Where each stretch of equal numbers begins and ends."""
+    ends = np.append(np.flatnonzero(turn[1:] != turn[:-1]) + 1, len(turn))[: len(turn)].tolist()
+    yield from zip([0, *ends[:-1]], ends, strict=False)
 
 
 class Forest:
@@ -395,10 +395,11 @@ def link_classes(docs: DataFrame, rule: Rule, block: int = BLOCK) -> DataFrame:
     1. Each document is signed once; equal sets are one class and go on as one.
     2. Documents that share a key fall into one group. Linked ones always do. Only the
        first of each class is searched for.
-    3. Each group is searched. A group of more than ``block`` is dealt by a hash into
-       parts, and a few of its documents are put into every part, which joins what
-       belongs together across them. Where more than one class is left of a group, any
-       two of its parts meet, and what is not in the largest class asks about the rest.
+    3. Each group is searched. A group of more than ``block`` is dealt by the sizes of
+       the sets into parts, and a few of its documents are put into every part, which
+       joins what belongs together across them. Where more than one class is left of a
+       group, any two of its parts meet that hold sizes which can link, and what is not
+       in the largest class asks about the rest.
     """
     signed = materialise(sign(docs, rule), "signed")
     classes = signed.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"))
@@ -408,21 +409,33 @@ def link_classes(docs: DataFrame, rule: Rule, block: int = BLOCK) -> DataFrame:
     firsts = classes.select(F.col("doc_id").alias("node")).distinct()
     # Equal sets have all keys in common, so the first of them is in the group of the others.
     groups = materialise(components(near).join(firsts, "node", "left_semi"), "groups")
-    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    dealt = groups.join(sizes.filter("size > 1"), "root").select(
+    # Rows with one id may have sets of several sizes.
+    sized = signed.filter("n > 0").groupBy(F.col("doc_id").alias("node")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    members = groups.join(sized, "node")
+    whole = Window.partitionBy("root")
+    smaller = whole.orderBy("low").rowsBetween(Window.unboundedPreceding, -1)
+    # A row for each size in a group, not for each document.
+    spread = (
+        members.groupBy("root", "low")
+        .agg(F.count(F.lit(1)).alias("same"))
+        .select("root", "low", "same", F.coalesce(F.sum("same").over(smaller), F.lit(0)).alias("before"), F.sum("same").over(whole).alias("size"))
+    )
+    hashed = F.xxhash64("node")
+    dealt = members.join(spread.filter("size > 1"), ["root", "low"]).select(
         F.col("node").alias("doc_id"),
         "root",
+        "low",
+        "high",
         F.ceil(F.col("size") / block).cast("long").alias("parts"),
-        F.pmod(F.xxhash64("node"), F.col("size")).alias("place"),
+        F.floor((F.col("before") + F.pmod(hashed, F.col("same"))) / block).cast("long").alias("row"),
+        (F.pmod(hashed, F.col("size")) < PIVOTS).alias("pivot"),
     )
-    # Parts of a group that fits in one are numbered 0; pivots have a small place and go to all.
+    # Parts of a group that fits in one are numbered 0; pivots go to all.
     parts = dealt.select(
         "doc_id",
         "root",
         F.explode(
-            F.when(F.col("parts") == 1, F.array(F.lit(0).cast("long")))
-            .when(F.col("place") < PIVOTS, F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-            .otherwise(F.array(F.pmod(F.col("place"), F.col("parts"))))
+            F.when(F.col("pivot"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array("row"))
         ).alias("part"),
     ).select(F.xxhash64("root", "part").alias("part"), "doc_id", F.col("doc_id").alias("known"), F.lit(True).alias("asks"))
     # Both sides are always shuffled, so that the plan is the same at every size.
@@ -453,13 +466,15 @@ def _across(split: DataFrame, links: DataFrame, texts: DataFrame, rule: Rule) ->
     largest = counts.groupBy("root").agg(F.max_by("known", F.struct("n", F.negative("known"))).alias("largest"))
     members = members.join(largest, "root")
     open_groups = members.filter("known <> largest").select("root").distinct()
-    rows = F.pmod(F.col("place"), F.col("parts"))
-    # A document goes to the meetings of its part with every other one; whoever is not in the largest class asks.
-    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda p: p != F.col("row"))
+    members = members.join(open_groups, "root", "left_semi")
+    # A row for each part of a split group. A document goes to the meetings of its part with every other one that
+    # holds sizes it can link with; whoever is not in the largest class asks.
+    bounds = members.groupBy("root", F.col("row").alias("other")).agg(F.min("low").alias("lowest"), F.max("high").alias("highest"))
+    fits = (100 * F.col("high") >= rule.per_cent * F.col("lowest")) & (100 * F.col("highest") >= rule.per_cent * F.col("low"))
     meetings = (
-        members.join(open_groups, "root", "left_semi")
-        .withColumn("row", rows)
-        .select("doc_id", "root", "known", "row", (F.col("known") != F.col("largest")).alias("asks"), F.explode(others).alias("other"))
+        members.join(F.broadcast(bounds), "root")
+        .filter((F.col("row") != F.col("other")) & fits)
+        .select("doc_id", "root", "known", "row", (F.col("known") != F.col("largest")).alias("asks"), "other")
     )
     number = F.xxhash64("root", F.least("row", "other"), F.greatest("row", "other")).alias("part")
     return _search_parts(meetings.select(number, "doc_id", "known", "asks"), texts, rule)

@@ -1,4 +1,5 @@
 import random
+import time
 import re
 
 import numpy as np
@@ -102,3 +103,28 @@ def test_components_of_paths_stars_and_loops(spark):
     assert len(found) == len(roots) == 500
     assert all(roots[i] == 0 for i in range(300)) and all(roots[1000 + i] == 1000 for i in range(200))
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_many_sets_that_share_much_without_linking_are_searched_quickly():
+    rng = np.random.default_rng(7)
+    common = rng.integers(0, 1 << 63, 180, dtype=np.uint64)
+    rows = []
+    for i in range(1500):
+        own = rng.integers(0, 1 << 63, 30, dtype=np.uint64)
+        rows.append((i, i, np.unique(np.concatenate([rng.permutation(common)[:150], own])), True))
+    rows.append((1500, 1500, np.sort(rows[3][2])[:-1], True))
+    began = time.process_time()
+    assert O.links_of_part(rows, O.Rule(3, 90)) == [(1500, 3)]
+    assert time.process_time() - began < 12
+
+
+def test_parts_of_sizes_that_cannot_link_do_not_meet(spark, monkeypatch):
+    """A large group of texts of many sizes; the rows that its parts exchange are counted."""
+    docs = [(k, " ".join(f"w{j}" for j in range(4 + k // 2))) for k in range(400)]
+    rows = []
+    search = O._search_parts
+    monkeypatch.setattr(O, "_search_parts", lambda members, *more: (rows.append(members.count()), search(members, *more))[1])
+    frame = spark.createDataFrame([*docs, (1000, "w0 x0 x1 x2 x3 x4 x5")], "doc_id long, text string")
+    found = O.link_classes(frame, O.Rule(1, 90), block=10).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute([(r["doc_id"], r["text"]) for r in frame.collect()], 1, 90)
+    assert len(rows) == 1 or rows[1] < 400 * 12
