@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,10 +35,11 @@ LOOSE_EMAIL = re.compile(
 )
 HINT = re.compile(r"(?i)(tel|phone|call|fax|mobile|card|visa|mail|contact|addr|ip|server|host)\W*\Z")
 
-# Training reads about so many documents, chosen by a hash of their ids. The trees are fitted on so many candidates
-# of each kind in a document, drawn by a hash of their place; the thresholds are set on all candidates.
-SAMPLE_DOCS = 4_000
-SAMPLE_SPANS = 40
+# Greater features count as the first, and the greatest number in an address, at its place, as the second: so the
+# candidates of any corpus have a bounded number of forms.
+MOST, MOST_PART, PART = 100, 1000, 17
+# A task hands its counts on once it holds so many forms.
+HELD_FORMS = 50_000
 # So many candidates are scored at a time.
 JUDGED = 20_000
 PRECISION = 0.995
@@ -133,7 +136,7 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
     groups = [len(g) for g in GROUP.findall(span)] or [0]
     digits = digits_of(span)
     before, after = text[max(0, start - 24) : start], text[end : end + 1]
-    return [
+    found = [
         KINDS.index(kind),
         len(span),
         len(digits),
@@ -151,13 +154,14 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         span.count("@"),
         float(span.count("(") == span.count(")")),
         float(luhn(digits)),
-        max((int(g[-9:]) for g in GROUP.findall(span)), default=0) if kind == "ip" else 0,
+        min(max((int(g[-9:]) for g in GROUP.findall(span)), default=0), MOST_PART) if kind == "ip" else 0,
         float(before[-1:].isalnum()),
         float(before[-1:] in ("+", "=", '"', "'", ".", "-", "_")),
         float(after.isalnum()),
         float(after in ("-", "_", '"', "'")),
         float(bool(HINT.search(before))),
     ]
+    return [x if i == PART else min(x, MOST) for i, x in enumerate(found)]
 
 
 def _apart(found: list[tuple[str, int, int]], base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
@@ -208,53 +212,63 @@ def drawn(found: list[tuple[str, int, int]], most: int) -> list[tuple[str, int,
     return kept
 
 
-def train(docs: DataFrame, sample: int = SAMPLE_DOCS, spans: int = SAMPLE_SPANS) -> Detector:
-    """Fit the trees on candidates of about ``sample`` documents.
+def forms(docs: DataFrame) -> DataFrame:
+    """How often candidates of the same features ``x`` occur in all of ``docs``: ``n``, and ``y`` that are base spans."""
 
-    A candidate counts as personal data if it is a base span of its kind; what
-    marks base spans alone (the plus sign of a phone number) is no feature, so that
-    other writings of the same shape score high too. One part of the documents
-    fits the trees, on at most ``spans`` candidates of each kind in a document; the
-    other, uncut, sets each kind's threshold at a precision of ``PRECISION``. It is
-    scored in the tasks, and only counts of equal scores come to the driver. Without examples of either sort only base spans are found.
-    """
-    share = max(1, docs.count() // sample)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    chosen = docs.select(F.col("doc_id").cast("long"), text.alias("text")).filter(
-        F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0
-    )
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        process_memory("pii")
+        held: Counter = Counter()
+        positive: Counter = Counter()
 
-    fitting = F.pmod(F.floor(F.coalesce("doc_id", F.lit(0)) / share), F.lit(2)) == 0
+        def close() -> pa.RecordBatch:
+            columns = [list(held), list(held.values()), [positive[f] for f in held]]
+            arrays = [pa.array(c, t) for c, t in zip(columns, (pa.list_(pa.float64()), pa.int64(), pa.int64()), strict=True)]
+            held.clear()
+            positive.clear()
+            return pa.RecordBatch.from_arrays(arrays, ["x", "n", "y"])
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for body in batch.column(1).to_pylist():
-                base = set(base_spans(body))
-                rows += [(features(body, *c), int(c in base)) for c in drawn(candidates(body), spans)]
-            columns = zip(*rows, strict=True) if rows else [[]] * 2
-            arrays = [pa.array(c, t) for c, t in zip(columns, (pa.list_(pa.float64()), pa.int32()), strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, ["x", "y"])
-
-    # Bounded by the sample and by the candidates drawn from each document.
-    rows = chosen.filter(fitting).mapInArrow(gather, "x array<double>, y int").toPandas()
-    if not len(rows) or rows.y.nunique() < 2:
-        return Detector()
-    model = Boosted().fit(np.stack(rows.x.to_numpy()), rows.y.to_numpy())
+            for body in batch.column(0).to_pylist():
+                found = candidates(body)
+                base = set(base_spans(body)) if found else ()
+                for c in found:
+                    form = tuple(map(float, features(body, *c)))
+                    held[form] += 1
+                    if c in base:
+                        positive[form] += 1
+                if len(held) >= HELD_FORMS:
+                    yield close()
+        yield close()
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for body in batch.column(1).to_pylist():
-                base, found = set(base_spans(body)), candidates(body)
-                for i in range(0, len(found), JUDGED):
-                    some = found[i : i + JUDGED]
-                    scores = model.probability(np.array([features(body, *c) for c in some], float))
-                    arrays = [pa.array([c[0] for c in some]), pa.array(scores, pa.float64()), pa.array([int(c in base) for c in some], pa.int64())]
-                    yield pa.RecordBatch.from_arrays(arrays, ["kind", "score", "y"])
-
-    judged = chosen.filter(~fitting).mapInArrow(judge, "kind string, score double, y long")
-    counts = judged.groupBy("kind", "score").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y")).toPandas()
-    return Detector(model, {k: _threshold(counts[counts.kind == k]) for k in KINDS})
+    text = F.coalesce(F.col("text"), F.lit(""))
+    counted = docs.select(text.alias("text")).mapInArrow(gather, "x array<double>, n long, y long")
+    return counted.groupBy("x").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
+
+
+def train(docs: DataFrame) -> Detector:
+    """Fit the trees on all candidates of all documents, and set the thresholds on them.
+
+    A candidate counts as personal data if it is a base span of its kind; what
+    marks base spans alone (the plus sign of a phone number) is no feature, so that
+    other writings of the same shape score high too. The candidates are counted by
+    their features in the tasks, and only the counts of equal ones come to the driver,
+    in an order of their own, so that the trees do not hang on the partitions. Each
+    kind's threshold is set at a precision of ``PRECISION`` over all its candidates.
+    Without examples of either sort only base spans are found.
+    """
+    counts = forms(docs).toPandas()  # as many rows as forms, which the bounds of the features limit
+    if not counts.y.sum() or (counts.y == counts.n).all():
+        return Detector()
+    x = np.stack(counts.x.to_numpy())
+    order = np.lexsort(x.T)
+    x, n, y = x[order], counts.n.to_numpy()[order], counts.y.to_numpy()[order]
+    labels = np.repeat([0, 1], len(x))
+    times = np.concatenate([n - y, y])
+    seen = times > 0
+    model = Boosted().fit(np.concatenate([x, x])[seen], labels[seen], times[seen])
+    scored = pd.DataFrame({"kind": x[:, 0].astype(int), "score": model.probability(x), "n": n, "y": y})
+    scored = scored.groupby(["kind", "score"], as_index=False).sum()
+    return Detector(model, {k: _threshold(scored[scored.kind == i]) for i, k in enumerate(KINDS)})
 
 
 def _threshold(counts) -> float:
