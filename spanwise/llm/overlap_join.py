@@ -20,11 +20,15 @@ from spanwise.session import materialise
 # Documents that one search indexes, and of how many a split group shares the same ones in every part.
 BLOCK = 4096
 PIVOTS = 12
+# A document of more shingles takes the place of several in a part; so that is the mean size in a full part at most.
+PLACE_SHINGLES = 1024
+# A search sorts about so many shingles at a time.
+SORTED = 1_000_000
 # Cost of a binary probe of a long list against a step of the merge.
 PROBE = 0.0085
 # Costs of looking a document up in long lists, and in each of them, against counting a posting.
 PROBES, PROBED = 5_000, 50
-COUNTED = 4_000_000
+COUNTED = 1_000_000
 ODD = U(0xD1342543DE82EF95)
 # How far a span of sizes reaches above its lower end. Spans overlap the less the farther they reach, and their
 # ranges hold the fewer shingles; this is near the least number of keys.
@@ -207,26 +211,42 @@ def _blocks(held: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
 
 
 class Search:
-    """T-occurrence search in inverted lists, kept as one sorted array of (shingle, document)."""
+    """T-occurrence search in inverted lists, kept as one sorted array of (shingle, document).
+
+    The sets are sorted; the lists are made range by range of the hash space.
+    """
 
     def __init__(self, rule: Rule, sets: list[np.ndarray]) -> None:
         self.rule = rule
         self.sizes = np.array([len(s) for s in sets], np.int64)
+        self.count = max(1, len(sets))
+        ranges = 1 + int(self.sizes.sum()) // SORTED
+        inner = np.arange(1, ranges, dtype=U) * U((1 << 64) // ranges) if ranges > 1 else np.empty(0, U)
+        cuts = np.zeros((len(sets), ranges + 1), np.int64)
+        for i, grams in enumerate(sets):
+            cuts[i, 1:-1], cuts[i, -1] = np.searchsorted(grams, inner), len(grams)
+        made = [self._lists([s[a:b] for s, a, b in zip(sets, *c, strict=True)]) for c in zip(cuts.T[:-1], cuts.T[1:], strict=True)]
+        self.known, held, self.owners = (np.concatenate(x) for x in zip(*made, strict=True))
+        del made
+        self.begin = np.cumsum(held) - held
+        # Rises with the shingle and within it with the document.
+        self.places = np.repeat(np.arange(len(held)) * self.count, held)
+        self.places += self.owners
+
+    @staticmethod
+    def _lists(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The shingles that several sets hold, how many do, and which ones."""
         grams = np.concatenate([*sets, np.empty(0, U)])
-        owners = np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)
+        owners = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
         order = np.argsort(grams, kind="stable")  # owners rise within a shingle
         grams, owners = grams[order], owners[order]
-        del order
         # A shingle of one document is in nobody else's list.
-        with_next = np.append(grams[1:] == grams[:-1], False)
+        with_next = np.append(grams[1:] == grams[:-1], False)[: len(grams)]
         shared = with_next.copy()
         shared[1:] |= with_next[:-1]
-        grams, self.owners = grams[shared], owners[shared]
-        new = np.append(True, grams[1:] != grams[:-1])[: len(grams)]
-        self.known, self.begin = grams[new], np.flatnonzero(new)
-        self.count = max(1, len(sets))
-        # Rises with the shingle and within it with the document.
-        self.places = (np.cumsum(new) - 1) * self.count + self.owners
+        grams, owners = grams[shared], owners[shared]
+        begin = np.flatnonzero(np.append(True, grams[1:] != grams[:-1])[: len(grams)])
+        return grams[begin], np.diff(begin, append=len(grams)), owners
 
     def linked(self, grams: np.ndarray, limit: int, skip) -> list[int]:
         """Documents below ``limit`` that link with the set, but for those that ``skip`` knows.
@@ -395,8 +415,9 @@ def link_classes(docs: DataFrame, rule: Rule, block: int = BLOCK) -> DataFrame:
     1. Each document is signed once; equal sets are one class and go on as one.
     2. Documents that share a key fall into one group. Linked ones always do. Only the
        first of each class is searched for.
-    3. Each group is searched. A group of more than ``block`` is dealt by the sizes of
-       the sets into parts, and a few of its documents are put into every part, which
+    3. Each group is searched. A group of more than ``block`` documents, or of fewer large
+       ones, is dealt by the sizes of the sets into parts of bounded numbers of documents and
+       shingles, and a few of its documents are put into every part, which
        joins what belongs together across them. Where more than one class is left of a
        group, any two of its parts meet that hold sizes which can link, and what is not
        in the largest class asks about the rest.
@@ -415,19 +436,29 @@ def link_classes(docs: DataFrame, rule: Rule, block: int = BLOCK) -> DataFrame:
     whole = Window.partitionBy("root")
     smaller = whole.orderBy("low").rowsBetween(Window.unboundedPreceding, -1)
     # A row for each size in a group, not for each document.
+    taken = F.col("same") * F.col("each")
     spread = (
         members.groupBy("root", "low")
         .agg(F.count(F.lit(1)).alias("same"))
-        .select("root", "low", "same", F.coalesce(F.sum("same").over(smaller), F.lit(0)).alias("before"), F.sum("same").over(whole).alias("size"))
+        .withColumn("each", F.greatest("low", F.lit(PLACE_SHINGLES)).cast("long"))
+        .select(
+            "root",
+            "low",
+            "same",
+            "each",
+            F.coalesce(F.sum(taken).over(smaller), F.lit(0)).alias("before"),
+            F.sum(taken).over(whole).alias("room"),
+            F.sum("same").over(whole).alias("size"),
+        )
     )
-    hashed = F.xxhash64("node")
+    hashed, full = F.xxhash64("node"), block * PLACE_SHINGLES
     dealt = members.join(spread.filter("size > 1"), ["root", "low"]).select(
         F.col("node").alias("doc_id"),
         "root",
         "low",
         "high",
-        F.ceil(F.col("size") / block).cast("long").alias("parts"),
-        F.floor((F.col("before") + F.pmod(hashed, F.col("same"))) / block).cast("long").alias("row"),
+        F.ceil(F.col("room") / full).cast("long").alias("parts"),
+        F.floor((F.col("before") + F.pmod(hashed, F.col("same")) * F.col("each")) / full).cast("long").alias("row"),
         (F.pmod(hashed, F.col("size")) < PIVOTS).alias("pivot"),
     )
     # Parts of a group that fits in one are numbered 0; pivots go to all.

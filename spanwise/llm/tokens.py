@@ -38,6 +38,7 @@ def process_memory(owner: str) -> dict:
     if module.__dict__.get("owner") != owner:
         module.__dict__.update(owner=owner, kept={})
         gc.collect()
+        pa.default_memory_pool().release_unused()
     return module.__dict__["kept"]
 
 

@@ -1,5 +1,6 @@
 import random
 import time
+import tracemalloc
 import re
 
 import numpy as np
@@ -128,3 +129,39 @@ def test_parts_of_sizes_that_cannot_link_do_not_meet(spark, monkeypatch):
     found = O.link_classes(frame, O.Rule(1, 90), block=10).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute([(r["doc_id"], r["text"]) for r in frame.collect()], 1, 90)
     assert len(rows) == 1 or rows[1] < 400 * 12
+
+
+def test_parts_of_large_documents_hold_few_of_them(spark, monkeypatch):
+    """A part is bounded by its shingles too, not by the number of its documents alone."""
+    monkeypatch.setattr(O, "PLACE_SHINGLES", 10, raising=False)
+    monkeypatch.setattr(O, "PIVOTS", 1)
+    docs = [(k, " ".join([f"c{j}" for j in range(60)] + [f"k{k}x{j}" for j in range(k % 20)])) for k in range(60)]
+    parts = []
+    search = O._search_parts
+    monkeypatch.setattr(
+        O, "_search_parts", lambda members, *more: (parts.append(members.select("part").distinct().count()), search(members, *more))[1]
+    )
+    found = O.link_classes(spark.createDataFrame(docs, "doc_id long, text string"), O.Rule(1, 80), block=10).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute(docs, 1, 80)
+    # 60 documents of 60 to 79 shingles, 100 shingles to a part.
+    assert parts[0] > 20
+
+
+def test_the_index_of_a_part_takes_little_beside_the_sets(monkeypatch):
+    monkeypatch.setattr(O, "SORTED", 100_000, raising=False)
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 1 << 63, 300_000, dtype=np.uint64)
+    sets = [np.unique(pool[at : at + 5000]) for at in rng.integers(0, len(pool) - 5000, 200)]
+    tracemalloc.start()
+    made = O.Search(O.Rule(5, 80), sets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 28 * sum(map(len, sets))
+    held = {g: [i for i, s in enumerate(sets) if g in s] for g in sets[0][:5]}
+    for gram, owners in held.items():
+        at = int(np.searchsorted(made.known, gram))
+        if len(owners) > 1:
+            end = made.begin[at + 1] if at + 1 < len(made.begin) else len(made.owners)
+            assert made.known[at] == gram and made.owners[made.begin[at] : end].tolist() == owners
+        else:
+            assert at == len(made.known) or made.known[at] != gram
