@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import re
 
 import numpy as np
 import pytest
@@ -192,3 +193,16 @@ def test_density_integrates_to_one(spark):
     table = density(frequencies, ["mode", "variable"]).toPandas().sort_values("point")
     assert len(table) == 512
     assert np.trapezoid(table["density_y"], table["density_x"]) == pytest.approx(1, abs=2e-3)
+
+
+def test_counts_are_looked_up_at_the_bounds_of_source_periods_only(spark, make_cdm):
+    """The kinds are told apart before the next start is looked for, and days between bounds are not shuffled on."""
+    cdm = make_cdm(drug_exposure=[(1, 1, day("2010-01-01") + dt.timedelta(i), None) for i in range(50)])
+    derived = [("a", 1, day("2010-01-01") + dt.timedelta(i), day("2010-02-01"), None) for i in range(9)]
+    frame = spark.createDataFrame([*derived, ("b", 1, day("2010-01-03"), day("2010-01-10"), 7)], PERIOD)
+    made = features.period_features(frame, cdm)
+    assert {r["mode"]: r["number_drugs"] for r in made.collect()}["b"] == 8
+    planned = made._jdf.queryExecution().optimizedPlan().toString()
+    # Once for each kind; of the running counts, only those at bounds go on to the join.
+    assert planned.count("lead(start_date") == 2
+    assert len(re.findall(r"Filter .*turn#\d+ = 1", planned)) == 2
