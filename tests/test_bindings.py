@@ -84,3 +84,16 @@ def test_features_are_written_before_their_tables_read_them(spark, make_cdm, mon
     tables = study.characterise(spans, cdm, STUDY, study.outcome_cohorts(cdm, STUDY))
     assert written == ["features"]
     assert [(r["mode"], r["number_records"]) for r in tables.sizes.collect()] == [("original_data", 1)]
+
+
+def test_a_study_writes_its_tables_one_by_one(spark, make_cdm, monkeypatch, tmp_path):
+    """Incidence goes before the features are on the disks."""
+    cdm = make_cdm(
+        person=[(1, 8507, 1980, 1, 1)], observation_period=[(7, 1, day("2010-01-01"), day("2010-12-31"), 0)]
+    )
+    written = []
+    monkeypatch.setattr(study, "materialise", lambda df, name: (written.append(name), materialise(df, name))[1])
+    study.run_study(cdm, STUDY, str(tmp_path))
+    assert written[:3] == ["periods", "outcomes", "incidence"]
+    assert set(written[3:]) == {"in_observation", "per_person", "features", "numeric", "categorical", "sizes"}
+    assert written.index("per_person") < written.index("features") < written.index("numeric")

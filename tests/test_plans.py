@@ -94,6 +94,18 @@ def test_records_are_read_once_for_all_features(spark, large_plans):
     assert "lineitem.parquet" not in plan_of(QUERIES["period_features"](spark, SMALL))
 
 
+def test_bounds_of_derived_periods_are_not_shuffled(spark, large_plans):
+    from spanwise.operators import features
+
+    cdm, spans = all_periods(spark, SMALL)
+    daily = features.materialise(features.daily_counts(cdm), "daily_counts")
+    counted = features._count_along_bounds(features._next_in_order(spans.filter("period_id IS NULL")), daily)
+    # Periods and days once each, and nothing above the bounds.
+    keys = [k for _, k in exchanges(plan_of(counted))]
+    assert len(keys) == 2 and all(k.startswith("person_id, ") and "mode" not in k for k in keys)
+    assert "Exchange" not in plan_of(counted).split("Union")[0]
+
+
 def test_exposures_are_not_joined_with_periods(spark, large_plans):
     plan = plan_of(QUERIES["drug_outcome_eras"](spark, SMALL))
     assert "observed_from" not in plan and "LeftSemi" not in plan
